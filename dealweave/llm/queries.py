@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import chat, html, mixing, pii, piece, quality, simhash
+from dealweave.llm import chat, html, mixing, pii, piece, quality, simhash, substring, wavelet
 from dealweave.llm.common import read_table, written
 
 
@@ -36,6 +36,17 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = wavelet.write_shards(read_table(spark, sf_dir, "documents"), word_tokenizer_path())
+    return wavelet.documents(shards)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read_table(spark, sf_dir, "documents"))
 
@@ -54,6 +65,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.digests(read_table(spark, sf_dir, "documents"), piece_model_path())
 
@@ -68,9 +84,11 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_html": op2_html,
     "op3_mixing": op3_mixing,
+    "op4_wavelet": op4_wavelet,
     "op5_quality_rules": op5_quality_rules,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
+    "op9_substring": op9_substring,
     "op10_sentencepiece": op10_sentencepiece,
     "pipeline": pipeline,
 }
