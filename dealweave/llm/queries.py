@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import chat, html, mixing, pii, piece, quality, simhash, substring, wavelet
+from dealweave.llm import chat, embed, html, mixing, pii, piece, quality, simhash, substring, wavelet
 from dealweave.llm.common import read_table, written
 
 
@@ -56,6 +56,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).drop("text", "lang")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found")
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_wavelet": op4_wavelet,
     "op5_quality_rules": op5_quality_rules,
+    "op6_embeddings": op6_embeddings,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
     "op9_substring": op9_substring,
