@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from dealweave.plans import ingest_queries  # noqa: F401
+from dealweave.plans.base import ORACLES, QUERIES  # noqa: F401
