@@ -88,6 +88,9 @@ VIEWS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)""",
     "recipes": """recipes AS (
         SELECT recipe_id, category, source_name, list(line ORDER BY line_no) AS ingredients FROM recipe_lines GROUP BY 1, 2, 3)""",
+    "hits": """hits AS (
+        SELECT recipe_id, offer_id, line_no, line, name, savings, original_price, split_part(name, ' ', 2) AS keyword, split_part(line, ' ', 1) AS lc, split_part(name, ' ', 1) AS nc
+        FROM recipe_lines JOIN offers ON split_part(line, ' ', 2) = split_part(name, ' ', 2))""",
     "doc_lines": """doc_lines AS (
         SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line_no FROM documents)""",
     "runs": """runs AS (
@@ -107,3 +110,10 @@ def next_offers(spark: SparkSession, folder: str) -> DataFrame:
     price = F.when(F.col("offer_id") % 7 == 0, (F.col("original_price") + 10).cast("decimal(10,2)")).otherwise(F.col("original_price"))
     kept = old.where("offer_id % 11 <> 0").withColumn("original_price", price)
     return kept.unionByName(old.where("offer_id % 13 = 0").withColumn("offer_id", F.col("offer_id") + 10_000_000))
+
+
+def hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Recipe lines and offers that share their noun: (recipe_id, offer_id, line_no, line, name, savings, original_price, keyword)."""
+    lines = recipe_lines(spark, folder).select("recipe_id", "line_no", "line", F.split_part("line", F.lit(" "), F.lit(2)).alias("keyword"))
+    o = offers(spark, folder).select("offer_id", "name", "savings", "original_price", F.split_part("name", F.lit(" "), F.lit(2)).alias("keyword"))
+    return lines.join(o, "keyword")
