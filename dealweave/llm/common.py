@@ -42,6 +42,13 @@ def written(df: DataFrame, kind: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bounds the Arrow batches of this session's Python stages, whose rows are whole documents: buffers on both sides stay small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def word_array(text) -> F.Column:
     """The words of a text column, null as no words."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import written
+from dealweave.llm.common import lean_batches, written
 
 #: Winners of so many hosts are broadcast at most; more are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
@@ -265,6 +265,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row of `pages` (page_id, url, html)."""
+    lean_batches(pages.sparkSession)
     winners = written(host_paths(pages), "hosts")
 
     def run(batches):
