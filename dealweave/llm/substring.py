@@ -20,7 +20,6 @@ empty table gives an empty result; extra columns are ignored. Whole texts are re
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import new_path, written
+from dealweave.llm.common import lean_batches, new_path, written
 
 WINDOW = 20
 RUN = 5
@@ -134,18 +133,24 @@ class FingerprintIndex:
 
 
 def _verify(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (hi, lo, key, old, start) of windows to compare, and rows (key, starts) of windows that the task saw repeated."""
+    """Rows (hi, lo, key, old, start) of windows to compare, and rows with starts of windows that the task saw repeated."""
 
     def run(batches):
+        from xxhash import xxh3_128_digest
+
         seen: dict[bytes, tuple[int, int]] = {}
         for b in batches:
             digests, keys, olds, starts, local_keys, local_starts = [], [], [], [], [], []
             for key, old, places, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 words = data.split()
                 at, _ = anchor_of_windows(words)
+                text = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                begins = np.concatenate([[0], ends])
+                wanted = np.flatnonzero(np.isin(at, np.array(places, np.int64)))
                 repeated = []
-                for s in np.flatnonzero(np.isin(at, np.array(places, np.int64))).tolist():
-                    d = hashlib.blake2b(b" ".join(words[s : s + WINDOW]), digest_size=16).digest()
+                for s, low, high in zip(wanted.tolist(), begins[wanted].tolist(), begins[wanted + WINDOW].tolist(), strict=True):
+                    d = xxh3_128_digest(text[low : high - 1])
                     if d in seen:
                         if not old and seen[d] != (key, s):
                             repeated.append(s)
@@ -161,9 +166,10 @@ def _verify(found: DataFrame, texts: DataFrame) -> DataFrame:
                     local_starts.append(repeated)
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             n, m = len(keys), len(local_keys)
+            spread = np.arange(m, dtype=np.int64)  # these rows only pass through the shuffle
             columns = [
-                pa.concat_arrays([pa.array(both[:, 0]), pa.nulls(m, pa.int64())]),
-                pa.concat_arrays([pa.array(both[:, 1]), pa.nulls(m, pa.int64())]),
+                pa.array(np.concatenate([both[:, 0], spread])),
+                pa.array(np.concatenate([both[:, 1], spread])),
                 pa.array(keys + local_keys, pa.int64()),
                 pa.array(olds + [False] * m, pa.bool_()),
                 pa.array(starts + [None] * m, pa.int32()),
@@ -182,12 +188,12 @@ def repeated_windows(index: FingerprintIndex, batch: DataFrame, texts: DataFrame
     `batch` and `texts` are packed rows (key, data); `texts` has the batch and all that the index covers.
     """
     new = index.append(_anchors(batch))
-    windows = written(_verify(index.candidates(new), texts), "windows")
-    place = F.struct((~F.col("old")).alias("new"), "key", "start")
-    first = F.min(place).over(Window.partitionBy("hi", "lo"))
-    later = windows.where("hi IS NOT NULL").withColumn("first", first).where(~F.col("old") & (F.struct((~F.col("old")).alias("new"), "key", "start") != F.col("first")))
-    found = later.groupBy("key").agg(F.collect_list("start").alias("starts")).union(windows.where("hi IS NULL").select("key", "starts"))
-    found = written(found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeats")
+    place = F.when(F.col("starts").isNull(), F.struct((~F.col("old")).alias("new"), "key", "start"))
+    windows = _verify(index.candidates(new), texts)
+    windows = windows.withColumn("first", F.min(place).over(Window.partitionBy("hi", "lo")))
+    later = windows.where(F.col("starts").isNotNull() | (~F.col("old") & (place != F.col("first"))))
+    starts = F.coalesce("starts", F.array("start"))
+    found = written(later.groupBy("key").agg(F.flatten(F.collect_list(starts)).alias("starts")), "repeats")
     if len(index.runs) >= COMPACT_AT:
         index.compact()
     return found
@@ -218,6 +224,7 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
     """(key, n_words, n_removed, kept: binary) of every row: `docs` as a log of `batches` batches by ascending id."""
+    lean_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = spark.table(pack(docs, key, text))
     cuts = texts.agg(F.percentile_approx("key", F.array(*(F.lit(k / batches) for k in range(1, batches))), 1000)).first()[0] if batches > 1 else []
