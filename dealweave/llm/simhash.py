@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import connected_components, written
+from dealweave.llm.common import connected_components, lean_batches, written
 
 SHINGLE = 3
 SEED = 42
@@ -52,6 +52,7 @@ def fingerprint(data: bytes | None) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp: long) for every row of `docs`."""
+    lean_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -118,9 +119,10 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """One document of each group, that with the least key; of repeated rows of that key, one."""
     first = components(docs, text, key).where(F.col(key).eqNullSafe(F.col("component_id")))
     counted = written(first.groupBy(key).agg(F.count(F.lit(1)).alias("copies")), "kept")
-    kept = docs.join(counted.select(F.col(key).alias("kept_key"), "copies"), F.col(key).eqNullSafe(F.col("kept_key")))
-    columns = docs.columns
-    if counted.where("copies > 1").isEmpty():
-        return kept.select(*columns)
-    once = kept.where("copies = 1").select(*columns)
-    return once.union(kept.where("copies > 1").select(*columns).dropDuplicates([key]))
+    # the kept ids grow with the corpus: a merge join at every size, never a broadcast
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("row_key"))
+    kept = rows.join(counted.select(F.col(key).alias("kept_key"), "copies").hint("merge"), F.col("row_key").eqNullSafe(F.col("kept_key")))
+    if not counted.where("copies > 1").isEmpty():
+        once = kept.where("copies = 1").select("row", "row_key")
+        kept = once.union(kept.where("copies > 1").select("row", "row_key").dropDuplicates(["row_key"]))
+    return kept.select("row.*")
