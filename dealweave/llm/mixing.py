@@ -124,11 +124,12 @@ def with_draws(rows: DataFrame, drawn: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix: rows of `docs`, repeated as drawn, with shard, epoch and place (a keyed shuffle within the shard)."""
-    rows = sized(docs, seed)
-    drawn = draws(written(rows.select("doc_id", "size", "m_source", "m_block", "m_order"), "sizes"), shards, seed)
+    """The mix: (row, shard, epoch, place): rows of `docs` as structs, repeated as drawn; place is a keyed shuffle within the shard."""
+    rows = sized(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"), seed)
+    sizes = sized(docs.select("doc_id", "text", "source"), seed).select("doc_id", "size", "m_source", "m_block", "m_order")
+    drawn = draws(written(sizes, "sizes"), shards, seed)
     out = with_draws(rows, drawn).withColumn("d", F.explode("m_draws"))
-    return out.select(*docs.columns, F.col("d.shard").alias("shard"), F.col("d.epoch").alias("epoch"), F.xxhash64(F.lit(seed), "m_order", "d.epoch", F.lit("place")).alias("place"))
+    return out.select("row", F.col("d.shard").alias("shard"), F.col("d.epoch").alias("epoch"), F.xxhash64(F.lit(seed), "m_order", "d.epoch", F.lit("place")).alias("place"))
 
 
 def write_mix(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
@@ -138,6 +139,6 @@ def write_mix(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
 
 def report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Per row of `docs`: doc_id, size, source_size, target and taken, the words that the mix takes of it."""
-    rows = written(sized(docs, seed).select("doc_id", "size", "m_source", "m_block", "m_order"), "sizes")
+    rows = written(sized(docs.select("doc_id", "text", "source"), seed).select("doc_id", "size", "m_source", "m_block", "m_order"), "sizes")
     out = with_draws(rows, draws(rows, shards, seed))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("m_draws")).cast("long").alias("taken"))

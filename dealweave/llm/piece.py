@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dealweave.llm.common import lean_batches
+
 MARK = "▁"
 MEMORY = 300_000
 #: Characters of text that are handled together, and symbols of words merged together.
@@ -254,6 +256,7 @@ def encode_texts(path: str, texts: list[str]):
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids: array<int>, decoded) per row of `docs`."""
+    lean_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -269,6 +272,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) per row of `docs`; the ids themselves don't leave the task."""
+    lean_batches(docs.sparkSession)
 
     def run(batches):
         sha = hashlib.sha256

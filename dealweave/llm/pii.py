@@ -206,13 +206,15 @@ def pseudonym(m, key: str) -> F.Column:
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
-    """`docs` with `text` rewritten, n_found (values that pass validation) and found (array of kind names)."""
+    """(row, n_found): rows of `docs` as structs with `text` rewritten, and the number of values replaced."""
     pattern = _pattern(FORMATS)
-    likely = F.col(text).rlike("[0-9@=:]")
-    out = docs.withColumn("p_hits", F.when(likely, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))))
+    t = F.col("p_text")
+    out = docs.select(F.struct(*docs.columns).alias("p_row"), F.col(text).alias("p_text"))
+    out = out.withColumn("p_hits", F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
     hit = F.size("p_hits") > 0
     out = out.withColumn("p_new", F.when(hit, F.transform("p_hits", lambda m: pseudonym(m, key))))
-    rest = F.transform(F.split(F.col(text), pattern, -1), lambda s, i: F.concat(s, F.coalesce(F.get("p_new", i), F.lit(""))))
+    rest = F.transform(F.split(t, pattern, -1), lambda s, i: F.concat(s, F.coalesce(F.get("p_new", i), F.lit(""))))
     changed = F.filter(F.zip_with("p_hits", "p_new", lambda a, b: a != b), lambda x: x)
-    out = out.withColumn("n_found", F.when(hit, F.size(changed)).otherwise(0).cast("long"))
-    return out.withColumn(text, F.when(hit, F.array_join(rest, "")).otherwise(F.col(text))).drop("p_hits", "p_new")
+    new = F.when(hit, F.array_join(rest, "")).otherwise(t)
+    row = F.struct(*(new.alias(c) if c == text else F.col("p_row")[c].alias(c) for c in docs.columns))
+    return out.select(row.alias("row"), F.when(hit, F.size(changed)).otherwise(0).cast("long").alias("n_found"))

@@ -6,7 +6,8 @@ Jensen-Shannon distance (base 2, so 0 to 1). Texts under a minimum length are no
 
 Defined results: a null or empty text has no words and fails the base rules; a null or unlisted
 language is compared by characters alone, with all languages together as its reference; repeated rows
-and ids get the same verdict each, as nothing is grouped by id; extra columns are passed through.
+and ids get the same verdict each, as nothing is grouped by id; extra columns are passed through, those
+with the name of a result give way to it in `judge` and stay in `keep_good`; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -148,7 +149,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, with its own columns."""
+    """The rows of `docs` that the rules keep, with its own columns, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("q_row"), "text", "lang")
     # the id, always true here, keeps the optimiser from copying the whole verdict into a filter on the scan
-    judged = judge(docs).withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return judged.where("kept").select(*docs.columns)
+    judged = judge(rows).withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.where("kept").select("q_row.*")
