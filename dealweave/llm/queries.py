@@ -53,7 +53,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.judge(docs).drop("text", "lang")
+    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs).select("row.doc_id", "row.text", "n_found")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +99,47 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
+_WORDS_SQL = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def _quality_sql() -> str:
+    """The quality rules over `documents`, whose ids are unique and set."""
+    words = ", ".join(f"('{lang}', {i}, '{w}')" for lang, ws in quality.COMMON_WORDS.items() for i, w in enumerate(ws))
+    term = "(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END) / 2"
+    return f"""
+        WITH lists(lang, bin, word) AS (VALUES {words}), d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS_SQL} AS ws FROM documents),
+        s1 AS (SELECT *, regexp_replace(text, '[\\p{{Ll}}]+', '', 'g') AS a FROM d), s2 AS (SELECT *, regexp_replace(a, '[\\x20\\x09-\\x0D]+', '', 'g') AS b FROM s1), s3 AS (SELECT *, regexp_replace(b, '\\p{{L}}+', '', 'g') AS c FROM s2),
+        s4 AS (SELECT *, regexp_replace(c, '\\p{{Nd}}+', '', 'g') AS e FROM s3), s5 AS (SELECT *, regexp_replace(e, '[.,;:!?''"()\\-]+', '', 'g') AS f FROM s4),
+        cls AS (SELECT doc_id, lang, unnest([length(text) - length(a), length(b) - length(c), length(c) - length(e), length(a) - length(b), length(e) - length(f), length(f)]) AS n, unnest([0, 1, 2, 3, 4, 5]) AS bin FROM s5),
+        cref AS (SELECT lang, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM cls WHERE lang IN (SELECT lang FROM lists) GROUP BY 1, 2), call AS (SELECT bin, sum(n) / sum(sum(n)) OVER () AS q FROM cls GROUP BY 1),
+        cp AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p, coalesce(cref.q, call.q) AS q FROM cls JOIN call USING (bin) LEFT JOIN cref ON cref.lang = cls.lang AND cref.bin = cls.bin),
+        cd AS (SELECT doc_id, sqrt(greatest(sum({term.format(p="p", q="q")}), 0)) AS dist FROM cp GROUP BY 1),
+        tok AS (SELECT doc_id, lang, unnest(ws) AS word FROM d), hit AS (SELECT doc_id, bin, count(*) AS n FROM tok JOIN lists ON lists.lang = tok.lang AND lists.word = lower(tok.word) GROUP BY 1, 2),
+        com AS (SELECT d.doc_id, d.lang, lists.bin, coalesce(n, 0) AS n FROM d JOIN lists ON lists.lang = d.lang LEFT JOIN hit ON hit.doc_id = d.doc_id AND hit.bin = lists.bin
+            UNION ALL SELECT d.doc_id, d.lang, 999, len(ws) - coalesce((SELECT sum(n) FROM hit WHERE hit.doc_id = d.doc_id), 0) FROM d WHERE lang IN (SELECT lang FROM lists)),
+        wref AS (SELECT lang, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM com GROUP BY 1, 2), wp AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p, q FROM com JOIN wref USING (lang, bin)),
+        wd AS (SELECT doc_id, sqrt(greatest(sum({term.format(p="p", q="q")}), 0)) AS dist FROM wp GROUP BY 1),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM d WHERE len(ws) >= 5)),
+        rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1) GROUP BY 1),
+        base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, length(text) AS chars
+            FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d) LEFT JOIN rep USING (doc_id)),
+        failed AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT coalesce(chars >= {quality.MIN_CHARS_FOR_CLASSES} AND cd.dist > {quality.MAX_CLASS_DISTANCE}, false) AND NOT coalesce(n_words >= {quality.MIN_WORDS_FOR_COMMON} AND wd.dist > {quality.MAX_COMMON_DISTANCE}, false) AS kept
+        FROM failed LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": _quality_sql(),
+    "op9_substring": f"""
+        WITH w AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
+        s AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM (SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM w WHERE len(ws) >= 20))),
+        cut AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS pos FROM s WHERE n > 1), tok AS (SELECT doc_id, unnest(ws) AS word, CAST(generate_subscripts(ws, 1) AS BIGINT) AS pos FROM w),
+        r AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY 1), k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM tok ANTI JOIN cut USING (doc_id, pos) GROUP BY 1)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
     "op1_chat": """
         WITH rows AS (
             SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
