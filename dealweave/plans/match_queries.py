@@ -115,10 +115,10 @@ def c12(spark, d):
     return C.compounds(v, v.where("n >= 40"))
 
 
-@query("c13_suggest", f"WITH {VOCAB_SQL}, u AS (SELECT word FROM df WHERE n < 40 AND length(word) >= 5 AND length(word) <= 6 AND regexp_full_match(word, '[a-z]+')), d AS (SELECT word AS fix FROM dict WHERE regexp_full_match(word, '[a-z]+')), p AS (SELECT word, fix FROM u JOIN d ON abs(length(word) - length(fix)) <= 1 AND levenshtein(word, fix) = 1) SELECT word, min(fix) AS fix FROM p GROUP BY 1 HAVING count(*) = 1")
+@query("c13_suggest", f"WITH {VOCAB_SQL}, u AS (SELECT word FROM df WHERE n < 40 AND length(word) >= 5 AND regexp_full_match(word, '[a-z]+')), d AS (SELECT word AS fix FROM dict WHERE regexp_full_match(word, '[a-z]+')), p AS (SELECT word, fix FROM u JOIN d ON abs(length(word) - length(fix)) <= 1 AND levenshtein(word, fix) = 1) SELECT word, min(fix) AS fix FROM p GROUP BY 1 HAVING count(*) = 1")
 def c13(spark, d):
     v = vocabulary(spark, d).where("word RLIKE '^[a-z]+$'")
-    return C.suggest(v.where("length(word) <= 6"), v.where("n >= 40"))
+    return C.suggest(v, v.where("n >= 40"))
 
 
 def _summary(df):
@@ -274,10 +274,10 @@ def d17(spark, d):
     return D.validate(hits(spark, d), stages).groupBy("line_no").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d18_drop_unbuyable", views("doc_lines") + "SELECT doc_id, line_no FROM doc_lines WHERE length(line) < 15 AND array_to_string(list_filter(string_split_regex(lower(line), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') NOT IN ('the', 'la', 'der', 'of')")
+@query("d18_drop_unbuyable", views("doc_lines") + "SELECT doc_id, line_no FROM doc_lines WHERE array_to_string(list_filter(string_split_regex(lower(line), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') NOT IN ('the', 'la', 'der', 'of')")
 def d18(spark, d):
     names = spark.createDataFrame([("The",), ("la.",), ("Der",), ("of",)], "name string")
-    return D.drop_unbuyable(doc_lines(spark, d).where("length(line) < 15"), names).select("doc_id", "line_no")
+    return D.drop_unbuyable(doc_lines(spark, d), names).select("doc_id", "line_no")
 
 
 @query("e01_having_any", views("offers") + f", {TERMS_SQL} SELECT offer_id, count(DISTINCT term) AS n_terms FROM terms WHERE offer_id % 2 = 0 OR kind = 'name_word' GROUP BY 1 HAVING bool_or(kind IN ('keyword', 'parent_keyword'))")
@@ -389,10 +389,11 @@ def e13(spark, d):
     return E.summarize_ops(ops)
 
 
-@query("e14_unmatched_count", views("recipe_lines", "offers") + "SELECT greatest((SELECT count(*) FROM offers) - count(DISTINCT offer_id), 0) AS unmatched FROM recipe_lines JOIN offers ON line = name WHERE recipe_id % 50 = 0")
+@query("e14_unmatched_count", views("recipe_lines", "offers") + "SELECT greatest((SELECT count(*) FROM offers) - count(DISTINCT offer_id), 0) AS unmatched FROM recipe_lines JOIN offers ON line = name WHERE source_name = 'F'")
 def e14(spark, d):
     o = offers(spark, d)
-    matched = C.candidates(line_terms(spark, d).where("recipe_id % 50 = 0"), C.offer_terms(o))
+    finished = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("recipe_id"))
+    matched = C.candidates(line_terms(spark, d).join(finished, "recipe_id", "left_semi"), C.offer_terms(o))
     return E.unmatched_count(o, matched)
 
 

@@ -245,17 +245,17 @@ def h11(spark, d):
     return H.coverage_diff(p.where("p_size % 10 <> 3"), p.where("p_size % 10 <> 4"), "p_type", "id")
 
 
-@query("i01_repair", views("doc_lines") + """, t AS (SELECT doc_id, line_no, unnest(string_split(replace(replace(translate(lower(line), 'éèñ', 'een'), 'tion', 'zon'), 'sh', 'x'), ' ')) AS w, generate_subscripts(string_split(line, ' '), 1) AS i FROM doc_lines WHERE length(line) < 200)
+@query("i01_repair", views("doc_lines") + """, t AS (SELECT doc_id, line_no, unnest(string_split(replace(replace(translate(lower(line), 'éèñ', 'een'), 'tion', 'zon'), 'sh', 'x'), ' ')) AS w, generate_subscripts(string_split(line, ' '), 1) AS i FROM doc_lines)
     SELECT doc_id, line_no, string_agg(CASE w WHEN 'the' THEN 'teh' WHEN 'of' THEN 'off' ELSE w END, ' ' ORDER BY i) AS line FROM t GROUP BY 1, 2""")
 def i01(spark, d):
-    lines = doc_lines(spark, d).where("length(line) < 200").withColumn("k", F.struct("doc_id", "line_no"))
+    lines = doc_lines(spark, d).withColumn("k", F.struct("doc_id", "line_no"))
     fixes = spark.createDataFrame([("the", "teh"), ("of", "off")], "wrong string, right string")
     return T.repair(lines, "k", "line", fixes, [("sh", "x"), ("tion", "zon")], ("éèñ", "een")).select("doc_id", "line_no", "line")
 
 
-@query("i02_join_phrases", views("doc_lines") + "SELECT doc_id, line_no, trim(replace(replace(replace(' ' || lower(line) || ' ', ' of the and ', ' ofthand '), ' in the ', ' inthe '), ' of the ', ' ofthe '), ' ') AS line FROM doc_lines WHERE length(line) < 200")
+@query("i02_join_phrases", views("doc_lines") + "SELECT doc_id, line_no, trim(replace(replace(replace(' ' || lower(line) || ' ', ' of the and ', ' ofthand '), ' in the ', ' inthe '), ' of the ', ' ofthe '), ' ') AS line FROM doc_lines")
 def i02(spark, d):
-    return T.join_phrases(doc_lines(spark, d).where("length(line) < 200"), "line", [("of the", "ofthe"), ("in the", "inthe"), ("of the and", "ofthand")]).select("doc_id", "line_no", "line")
+    return T.join_phrases(doc_lines(spark, d), "line", [("of the", "ofthe"), ("in the", "inthe"), ("of the and", "ofthand")]).select("doc_id", "line_no", "line")
 
 
 @query("i03_normalize_name", "SELECT p_partkey, CASE WHEN p_name LIKE 'old %' THEN '' ELSE replace(split_part(p_name, ' ', 1), 'red', 'crimson') || ' ' END || split_part(p_name, ' ', 2) AS name FROM part")
@@ -264,9 +264,9 @@ def i03(spark, d):
     return table(spark, d, "part").select("p_partkey", T.normalize_name(text, [("red", "crimson")], ["old"], F.col("p_brand")).alias("name"))
 
 
-@query("i04_rewrite_lines", views("doc_lines") + "SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(regexp_replace(line, '[.,;]', ' ', 'g'), '\\bthe (\\w+)', 'THE-\\1', 'g'), '[ \\t\\n]+', ' ', 'g'), ' ') AS line FROM doc_lines WHERE length(line) < 120 AND regexp_full_match(line, '[ -~]*')")
+@query("i04_rewrite_lines", views("doc_lines") + "SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(regexp_replace(line, '[.,;]', ' ', 'g'), '\\bthe (\\w+)', 'THE-\\1', 'g'), '[ \\t\\n]+', ' ', 'g'), ' ') AS line FROM doc_lines WHERE regexp_full_match(line, '[ -~]*')")
 def i04(spark, d):
-    rows = doc_lines(spark, d).where("length(line) < 120 AND line RLIKE '^[ -~]*$'")
+    rows = doc_lines(spark, d).where("line RLIKE '^[ -~]*$'")
     return rows.select("doc_id", "line_no", T.rewrite_lines(F.col("line"), [(r"[.,;]", " "), (r"\bthe (\w+)", "THE-$1")]).alias("line"))
 
 
@@ -377,15 +377,15 @@ def i16(spark, d):
     return I.search_terms(lines, "recipe_id", "line", keywords, spark.createDataFrame([("red ring", "jewel")], "keyword string, parent string"), ["t"])
 
 
-PANTRY_SQL = """it AS (SELECT DISTINCT recipe_id, line AS item FROM recipe_lines), pq AS (SELECT DISTINCT c_custkey AS query_id, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) AS term FROM customer JOIN part ON p_partkey = c_custkey WHERE c_custkey % 100 = 7),
+PANTRY_SQL = """it AS (SELECT DISTINCT recipe_id, line AS item FROM recipe_lines), pq AS (SELECT query_id, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) AS term FROM (SELECT p_name, min(p_partkey) AS query_id FROM part GROUP BY 1)),
     v AS (SELECT DISTINCT query_id, item FROM pq JOIN (SELECT DISTINCT item FROM it) ON contains(item, term) OR contains(term, item){extra}), h AS (SELECT query_id, recipe_id, item FROM it JOIN v USING (item)), t AS (SELECT recipe_id, count(*) AS total FROM it GROUP BY 1),
     c AS (SELECT query_id, recipe_id, count(*) AS matched, any_value(total) AS total FROM h JOIN t USING (recipe_id) GROUP BY 1, 2), k AS (SELECT * FROM c WHERE matched >= 0.5 * total AND total - matched <= 3)
     SELECT query_id, recipe_id, matched, total, round(matched / total, 4) AS coverage, matched = total AS is_full, coalesce(array_to_string((SELECT list(item ORDER BY item) FROM it WHERE it.recipe_id = k.recipe_id AND item NOT IN (SELECT item FROM v WHERE v.query_id = k.query_id))[1:3], ', '), '') AS preview FROM k"""
 
 
 def _pantry(spark, d, fuzzy):
-    c = table(spark, d, "customer").where("c_custkey % 100 = 7").select(F.col("c_custkey").alias("query_id"))
-    q = c.join(table(spark, d, "part"), F.col("query_id") == F.col("p_partkey")).select("query_id", F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    names = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("query_id"))
+    q = names.select("query_id", F.explode(F.split("p_name", " ")).alias("term")).distinct()
     return I.pantry_search(recipe_lines(spark, d).select("recipe_id", F.col("line").alias("item")), q, "recipe_id", fuzzy=fuzzy)
 
 
@@ -405,9 +405,9 @@ def i19(spark, d):
     return I.query_coverage(index, I.parse_queries(_queries(spark, d), "query_id", "text"))
 
 
-@query("i20_repair_spelling", views("doc_lines") + "SELECT doc_id, line_no, regexp_replace(regexp_replace(lower(line), '^((?:.*?[^a-z])??)(?:of)($|[^a-z])', '\\1off\\2'), '^((?:.*?[^a-z])??)(?:the)($|[^a-z])', '\\1teh\\2') AS line FROM doc_lines WHERE length(line) < 80 AND regexp_full_match(line, '[ -/:-~]*')")
+@query("i20_repair_spelling", views("doc_lines") + "SELECT doc_id, line_no, regexp_replace(regexp_replace(lower(line), '^((?:.*?[^a-z])??)(?:of)($|[^a-z])', '\\1off\\2'), '^((?:.*?[^a-z])??)(?:the)($|[^a-z])', '\\1teh\\2') AS line FROM doc_lines WHERE regexp_full_match(line, '[ -/:-~]*')")
 def i20(spark, d):
-    rows = doc_lines(spark, d).where("length(line) < 80 AND line RLIKE '^[ -/:-~]*$'").select("doc_id", "line_no", "line")
+    rows = doc_lines(spark, d).where("line RLIKE '^[ -/:-~]*$'").select("doc_id", "line_no", "line")
     fixes = spark.createDataFrame([("the", "teh"), ("of", "off")], "word string, fix string")
     return C.repair_spelling(rows, fixes, ["doc_id", "line_no"], "line")[0]
 
@@ -560,12 +560,12 @@ def k03(spark, d):
 
 @query(
     "k04_explain_pairs",
-    views("offers", "recipe_lines") + """, e AS (SELECT DISTINCT recipe_id, offer_id, line, name FROM recipe_lines JOIN offers ON split_part(line, ' ', 2) = split_part(name, ' ', 2) WHERE recipe_id % 20 = 0), g AS (SELECT recipe_id, offer_id, bool_or(line = name) AS eq, bool_or(line = name AND offer_id % 3 <> 0) AS kept FROM e GROUP BY 1, 2)
+    views("offers", "recipe_lines") + """, e AS (SELECT DISTINCT recipe_id, offer_id, line, name FROM recipe_lines JOIN offers ON split_part(line, ' ', 2) = split_part(name, ' ', 2)), g AS (SELECT recipe_id, offer_id, bool_or(line = name) AS eq, bool_or(line = name AND offer_id % 3 <> 0) AS kept FROM e GROUP BY 1, 2)
     SELECT CASE WHEN NOT eq THEN 'term' WHEN NOT kept THEN 'gate' ELSE 'found' END AS stage, count(*) AS n FROM g GROUP BY 1""",
 )
 def k04(spark, d):
-    expected = hits(spark, d).where("recipe_id % 20 = 0").select("recipe_id", "offer_id").distinct()
-    term = _stored(spark, d).where("recipe_id % 20 = 0")
+    expected = hits(spark, d).select("recipe_id", "offer_id").distinct()
+    term = _stored(spark, d)
     return K.funnel(K.explain_pairs(expected, [("term", term), ("gate", term.where("offer_id % 3 <> 0"))], ["recipe_id", "offer_id"]))
 
 
