@@ -18,6 +18,7 @@ import json
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import new_path
+from dealweave.llm.common import lean_batches, new_path
 
 MAGIC = b"WVMX"
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-#: Distinct words that a Python worker remembers.
-MEMORY = 700_000
+#: Distinct words, and distinct pieces of words, that a Python worker remembers.
+WORD_MEMORY, PIECE_MEMORY = 1_000_000, 700_000
 
 
 class WaveletMatrix:
@@ -161,11 +162,18 @@ def unpack_shard(blob: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
     return WaveletMatrix(planes, head["zeros"], head["n"]), doc_ids, np.frombuffer(parts[2], "<i8")
 
 
+class _Places(dict):
+    """Word to its place, -1 for unknown words."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct word once.
 
     Texts of ASCII and Latin-1 letters are lower-cased and cut as the tokenizer itself cuts them, which
-    is checked when it is loaded; the library encodes the words it hasn't seen. Other texts, and texts
+    is checked when it is loaded; the library encodes the pieces it hasn't seen. Other texts, and texts
     that might hold a special token, go to the library whole.
     """
 
@@ -184,42 +192,67 @@ class WordEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         size = self.tokenizer.get_vocab_size()
         self.levels, self.dtype = max(1, (size - 1).bit_length()), np.uint16 if size <= 1 << 16 else np.uint32
+        suffix = spec["model"].get("end_of_word_suffix") or "\0"
+        self.ends_word = np.zeros(size, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self):
-        self.place: dict[str, int] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.clear_words()
+
+    def clear_words(self):
+        self.place = _Places()
         self.flat = np.empty(0, self.dtype)
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self, words: list[str]):
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        """Adds some words, of pieces cut as the tokenizer cuts; pieces not seen yet go to the library, many in one text."""
+        cuts = [self.WORDS.findall(w) for w in words]
+        new = [p for p in set().union(*cuts) if p not in self.pieces]
+        if len(self.pieces) + len(new) > PIECE_MEMORY:
+            self.pieces = {}
+            new = list(set().union(*cuts))
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):  # a piece that the library cuts further
+                found = [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            else:
+                data, step = ids.tobytes(), ids.itemsize
+                bounds = [0, *(ends * step).tolist()]
+                found = [data[low:high] for low, high in zip(bounds, bounds[1:], strict=False)]
+            self.pieces.update(zip(part, found, strict=True))
+        pieces = self.pieces
+        found = [b"".join([pieces[p] for p in cut]) for cut in cuts]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.flat.itemsize
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), self.dtype, int(lengths.sum()))])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), self.dtype)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         plain = [self.cuts and self.PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        lists = [self.WORDS.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p]
-        wanted = set().union(*lists)
-        if len(self.place) + len(wanted) > MEMORY:
-            self.clear()
-        self._learn([w for w in wanted if w not in self.place])
+        lists = [t.lower().split() for t, p in zip(texts, plain, strict=True) if p]
+        words = list(chain.from_iterable(lists))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new = list({words[i] for i in unknown})
+            if len(self.place) + len(new) > WORD_MEMORY:
+                self.clear_words()
+                new, unknown = list(set(words)), range(len(words))
+            self._learn(new)
+            at[unknown] = [self.place[words[i]] for i in unknown]
+        n = self.lengths[at]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.cumsum([len(x) for x in lists], dtype=np.int64)]
         whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        cut, out = iter(lists), []
-        for p in plain:
-            if p:
-                words = next(cut)
-                at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-                n = self.lengths[at]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                out.append(self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(total)])
-            else:
-                out.append(np.array(next(whole).ids, self.dtype))
-        return out
+        cut = iter(np.split(ids, upto[:-1]) if lists else [])
+        return [next(cut) if p else np.array(next(whole).ids, self.dtype) for p in plain]
 
 
 @functools.cache
@@ -243,6 +276,7 @@ def _slices(batch, chars: int = 4_000_000):
 
 def write_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encodes `docs`, writes the shard table in document order to the shared folder and returns it as read back."""
+    lean_batches(docs.sparkSession)
 
     def run(batches):
         enc, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
