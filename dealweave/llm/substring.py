@@ -4,9 +4,9 @@ A window is `WINDOW` = 20 consecutive words. Each window is filed under its fing
 its five-word runs (16 in a window). Equal windows have the same fingerprint at the same offset, and
 neighbouring windows mostly share theirs, so a document has about one fingerprint per eight words.
 
-The index is a log: every batch of documents adds one immutable run, a table of (h, key, pos) bucketed by
-h and sorted by it. A new batch's run is merge-joined with the runs before it, bucket by bucket; what it
-shares with them, or repeats itself, names candidate places. Only windows filed under those are then
+The index is a log: every batch of documents adds one immutable run, a table of (h, key, n) bucketed by
+h and sorted by it, a row for each document and fingerprint. A new batch's run is merge-joined with the runs before it, bucket by bucket; what it
+shares with them, or repeats itself, names candidates. Only windows filed under those are then
 verified, by 128-bit digests of their words: a window is repeated if its digest also starts earlier, in
 the history or in the batch. From `COMPACT_AT` runs on, runs are compacted into one.
 
@@ -61,22 +61,22 @@ def anchor_of_windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(h, key, pos) of packed `docs` (key, data)."""
+    """(h, key, n) of packed `docs` (key, data): each document's fingerprints once, with the number of places."""
 
     def run(batches):
         for b in batches:
-            hs, keys, places = [], [], []
+            hs, keys, counts = [], [], []
             for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 at, runs = anchor_of_windows((data.as_py() or b"").split())
                 if len(at):
-                    at = at[np.append(True, at[1:] != at[:-1])]
-                    hs.append(runs[at].view(np.int64))
-                    keys.append(np.full(len(at), key))
-                    places.append(at.astype(np.int32))
+                    found, n = np.unique(runs[at[np.append(True, at[1:] != at[:-1])]].view(np.int64), return_counts=True)
+                    hs.append(found)
+                    keys.append(np.full(len(found), key))
+                    counts.append(n.astype(np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["h", "key", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["h", "key", "n"])
 
-    return docs.select("key", "data").mapInArrow(run, "h long, key long, pos int")
+    return docs.select("key", "data").mapInArrow(run, "h long, key long, n int")
 
 
 def _bucketed(df: DataFrame, column: str, kind: str) -> str:
@@ -115,9 +115,9 @@ class FingerprintIndex:
                 self.spark.sql(f"DROP TABLE {name}")
 
     def candidates(self, new: str) -> DataFrame:
-        """(key, old, places) of documents with fingerprints that the run `new` repeats or shares with older runs."""
+        """(key, old, hashes) of documents with fingerprints that the run `new` repeats or shares with older runs."""
         run = self.spark.table(new)
-        twice = run.groupBy("h").agg((F.count(F.lit(1)) > 1).alias("twice"))
+        twice = run.groupBy("h").agg((F.sum("n") > 1).alias("twice"))
         hits, older = twice, [self.spark.table(name) for name in self.runs if name != new]
         for k, other in enumerate(older):
             hits = hits.join(other.groupBy("h").agg(F.lit(True).alias(f"old{k}")), "h", "left")
@@ -126,10 +126,10 @@ class FingerprintIndex:
         for c in shared:
             any_old = any_old | c
         hits = hits.select("h", F.col("twice"), any_old.alias("shared")).where("twice OR shared")
-        found = run.join(hits.select("h"), "h").select("key", F.lit(False).alias("old"), "pos")
+        found = run.join(hits.select("h"), "h").select("key", F.lit(False).alias("old"), "h")
         for other in older:
-            found = found.union(other.join(hits.where("shared").select("h"), "h").select("key", F.lit(True).alias("old"), "pos"))
-        return found.groupBy("key", "old").agg(F.collect_list("pos").alias("places"))
+            found = found.union(other.join(hits.where("shared").select("h"), "h").select("key", F.lit(True).alias("old"), "h"))
+        return found.groupBy("key", "old").agg(F.collect_list("h").alias("hashes"))
 
 
 def _verify(found: DataFrame, texts: DataFrame) -> DataFrame:
@@ -141,13 +141,13 @@ def _verify(found: DataFrame, texts: DataFrame) -> DataFrame:
         seen: dict[bytes, tuple[int, int]] = {}
         for b in batches:
             digests, keys, olds, starts, local_keys, local_starts = [], [], [], [], [], []
-            for key, old, places, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, old, hashes, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 words = data.split()
-                at, _ = anchor_of_windows(words)
+                at, runs = anchor_of_windows(words)
                 text = b" ".join(words)
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
                 begins = np.concatenate([[0], ends])
-                wanted = np.flatnonzero(np.isin(at, np.array(places, np.int64)))
+                wanted = np.flatnonzero(np.isin(runs[at].view(np.int64), np.array(hashes, np.int64)))
                 repeated = []
                 for s, low, high in zip(wanted.tolist(), begins[wanted].tolist(), begins[wanted + WINDOW].tolist(), strict=True):
                     d = xxh3_128_digest(text[low : high - 1])
@@ -177,7 +177,7 @@ def _verify(found: DataFrame, texts: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "key", "old", "start", "starts"])
 
-    rows = texts.join(found, "key").select("key", "old", "places", "data")
+    rows = texts.join(found, "key").select("key", "old", "hashes", "data")
     rows = rows.sortWithinPartitions(F.desc("old"), "key")
     return rows.mapInArrow(run, "hi long, lo long, key long, old boolean, start int, starts array<int>")
 
