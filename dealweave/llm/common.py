@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +26,7 @@ def _own_folder() -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the cluster names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _own_folder()
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
@@ -42,8 +40,18 @@ def written(df: DataFrame, kind: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _package_archive() -> str:
+    root = Path(__file__).resolve().parents[2]
+    return shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/dealweave", "zip", root, "dealweave")
+
+
 def lean_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Bounds the Arrow batches of this session's Python stages, whose rows are whole documents: buffers on both sides stay small."""
+    """Readies this session's Python stages: the package goes to the executors once, and Arrow batches, whose rows are whole documents, stay small."""
+    context = spark.sparkContext
+    if not getattr(context, "_has_dealweave", False):
+        context.addPyFile(_package_archive())
+        context._has_dealweave = True
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import connected_components, written
+from dealweave.llm.common import connected_components, lean_batches, written
 
 THRESHOLD = 0.95
 #: Room for rounding of 32-bit similarities, which only propose edges.
@@ -266,6 +266,7 @@ def audit(nodes: DataFrame, every: int = AUDIT_EVERY) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) for every row of `vectors`."""
+    lean_batches(vectors.sparkSession, 10_000)
     found = written(nodes_of(vectors, key, column), "vectors")
     # a node is known by the digest of its bytes, unless a least id is there to name it
     named = found.withColumn("node", F.coalesce("id", F.xxhash64("raw")))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import written
+from dealweave.llm.common import lean_batches, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -75,6 +75,7 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
         halves = [pd.DataFrame({"node": 2 * key[0] + side, "m_source": rows["m_source"], "quota": part}) for side, part in ((0, left), (1, here - left))]
         return pd.concat(halves)
 
+    lean_batches(quotas.sparkSession)
     nodes = quotas.select(F.lit(1).cast("long").alias("node"), "m_source", F.col("quota").cast("long").alias("quota"))
     for _ in range(shards.bit_length() - 1):
         nodes = nodes.groupBy("node").applyInPandas(split, "node long, m_source string, quota long")
