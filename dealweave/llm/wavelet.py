@@ -32,7 +32,7 @@ MAGIC = b"WVMX"
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 #: Distinct words, and distinct pieces of words, that a Python worker remembers.
-WORD_MEMORY, PIECE_MEMORY = 1_000_000, 700_000
+WORD_MEMORY, PIECE_MEMORY = 1_800_000, 1_000_000
 
 
 class WaveletMatrix:
