@@ -3,9 +3,11 @@
 Equal vectors are one node. A forest of random hyperplane cells gives every node its first `K` neighbours;
 then each round joins the neighbour graph with itself at every node (its neighbours and those that have it
 as a neighbour are compared with each other) and keeps the best lists. Lists of which all members are over
-the threshold are saturated and are enlarged for the next round. Edges over the threshold are verified in
-double precision and give components; inside each component all pairs are compared in blocks, which counts
-links exactly however large a group of copies is. The audit compares every node whose id is divisible by
+the threshold are saturated and are enlarged for the next round. Lists only steer the search: of all pairs
+that are ever compared, those over the threshold are kept as ties (as a spanning forest of each compared group,
+which joins the same nodes). Ties are verified in double precision and give components; components with
+saturated lists are searched again with fresh planes until nothing more joins them. Inside each component all
+pairs are compared in blocks, which counts links exactly however large a group of copies is. The audit compares every node whose id is divisible by
 `AUDIT_EVERY` with all nodes, in blocks; its findings join the graph, and while recall is under `RECALL`,
 longer lists are tried.
 
@@ -90,43 +92,73 @@ def _matrix(column, dtype) -> np.ndarray:
 
 
 class _Links:
-    """Collects (u, v, sim) rows into batches of bounded size."""
+    """Collects (u, v, sim, tie) rows into batches of bounded size."""
 
     def __init__(self, limit: int = 100_000):
         self.limit, self.parts, self.n = limit, [], 0
 
-    def add(self, u, v, sim):
-        self.parts.append((u, v, sim))
+    def add(self, u, v, sim, tie):
+        self.parts.append((u, v, sim, tie))
         self.n += len(u)
         return self.n >= self.limit
 
     def batch(self):
-        u, v, sim = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.empty(0) for i in range(3))
+        u, v, sim, tie = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.empty(0) for i in range(4))
         self.parts, self.n = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(sim.astype(np.float32))], names=["u", "v", "sim"])
+        return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(sim.astype(np.float32)), pa.array(tie.astype(bool))], names=["u", "v", "sim", "tie"])
 
 
-_LINKS = "u long, v long, sim float"
+_LINKS = "u long, v long, sim float, tie boolean"
+
+
+def _forest(sims: np.ndarray):
+    """(rows, cols): pairs that join what all pairs over the threshold join.
+
+    Pairs surely over it give a spanning forest; pairs that rounding could move over or under it are all given
+    where the sure ones don't join their ends.
+    """
+    sure, maybe = sims >= THRESHOLD + SLACK, np.abs(sims - THRESHOLD) < SLACK
+    label, rows, cols = np.full(len(sims), -1), [], []
+    for start in np.flatnonzero(sure.any(axis=1)).tolist():
+        if label[start] >= 0:
+            continue
+        label[start], edge = start, np.array([start])
+        while len(edge):
+            fresh = np.flatnonzero(sure[edge].any(axis=0) & (label < 0))
+            rows.append(edge[sure[np.ix_(edge, fresh)].argmax(axis=0)])
+            cols.append(fresh)
+            label[fresh], edge = start, fresh
+    a, b = np.nonzero(np.triu(maybe, 1))
+    apart = (label[a] != label[b]) | (label[a] < 0)
+    return np.concatenate([*rows, a[apart]]).astype(np.int64), np.concatenate([*cols, b[apart]]).astype(np.int64)
 
 
 def _best(ids: np.ndarray, x: np.ndarray, keep: np.ndarray, floor: np.ndarray):
-    """(u, v, sim): for each row its `keep` best others whose similarity passes its floor."""
+    """(u, v, sim, tie): for each row its `keep` best others whose similarity passes its floor, and the ties among all rows."""
     sims = x @ x.T
     sims[ids[:, None] == ids[None, :]] = -2
     most = min(int(keep.max()), len(ids) - 1)
     if most < 1:
-        return np.empty(0), np.empty(0), np.empty(0)
+        return np.empty(0), np.empty(0), np.empty(0), np.empty(0)
+    a, b = _forest(sims)
     top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
     values = np.take_along_axis(sims, top, axis=1)
     order = np.argsort(-values, axis=1, kind="stable")
     top, values = np.take_along_axis(top, order, axis=1), np.take_along_axis(values, order, axis=1)
     good = (np.arange(most)[None, :] < keep[:, None]) & (values > floor[:, None]) & (values > -1.5)
     rows, cols = np.nonzero(good)
-    return ids[rows], ids[top[rows, cols]], values[rows, cols]
+    tie = np.arange(len(rows) + len(a)) >= len(rows)
+    return np.concatenate([ids[rows], ids[a]]), np.concatenate([ids[top[rows, cols]], ids[b]]), np.concatenate([values[rows, cols], sims[a, b]]), tie
+
 
+def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates for lists, ties) of what a comparison found; both come from one written table."""
+    found = written(found, "found")
+    return found.where("not tie").drop("tie"), found.where("tie").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim").distinct()
 
-def first_graph(nodes: DataFrame, count: int, trees: int = TREES, seed: int = SEED) -> DataFrame:
-    """(u, v, sim) from cells of random hyperplanes; cells over twice `CELL` are dealt out by hash."""
+
+def first_graph(nodes: DataFrame, count: int, trees: int = TREES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(lists, ties) from cells of random hyperplanes; cells over twice `CELL` are dealt out by hash."""
     bits = max(0, round(np.log2(max(1, count / CELL))))
 
     def cells(batches):
@@ -154,7 +186,8 @@ def first_graph(nodes: DataFrame, count: int, trees: int = TREES, seed: int = SE
     sizes = nodes.select("node", "dim", "v").mapInArrow(cells, "tree int, dim int, cell long, node long, v binary").groupBy("tree", "dim", "cell").count()
     rows = rows.join(sizes, ["tree", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("count") / (2 * CELL))).cast("int"))
     rows = rows.select("tree", "dim", "cell", "part", "node", "v").repartition("tree", "dim", "cell", "part").sortWithinPartitions("tree", "dim", "cell", "part")
-    return best_lists(rows.mapInArrow(local, _LINKS))
+    near, ties = split(rows.mapInArrow(local, _LINKS))
+    return best_lists(near), ties
 
 
 def best_lists(links: DataFrame) -> DataFrame:
@@ -165,8 +198,8 @@ def best_lists(links: DataFrame) -> DataFrame:
     return ranked.where((F.col("rank") <= K) | (F.col("sim") >= THRESHOLD - SLACK)).drop("rank")
 
 
-def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: every node compares its neighbours and reverse neighbours with each other; lists improve."""
+def descend(graph: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lists, ties) of one round: every node compares its neighbours and reverse neighbours with each other; lists improve."""
     full = F.col("n") >= K
     saturated = F.when(full & (F.col("low") < THRESHOLD - SLACK), F.col("low"))
     limits = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).select(F.col("u").alias("node"), F.coalesce(saturated, F.when(full, F.lit(THRESHOLD - SLACK)).otherwise(F.lit(-2.0))).cast("float").alias("floor"))
@@ -189,11 +222,12 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
         yield out.batch()
 
     rows = rows.select("at", "part", "node", "floor", "v").repartition("at", "part").sortWithinPartitions("at", "part")
-    return best_lists(rows.mapInArrow(local, _LINKS).union(graph))
+    near, ties = split(rows.mapInArrow(local, _LINKS))
+    return best_lists(near.union(graph)), ties
 
 
-def verified(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v) with u < v whose cosine in double precision passes the threshold."""
+def verified(ties: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v) with u < v of the ties whose cosine in double precision passes the threshold."""
 
     def run(batches):
         for b in batches:
@@ -201,12 +235,32 @@ def verified(graph: DataFrame, nodes: DataFrame) -> DataFrame:
             good = np.flatnonzero(np.einsum("ij,ij->i", a, c) >= THRESHOLD) if b.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good)), b.column(1).take(pa.array(good))], names=["u", "v"])
 
-    near = graph.where(F.col("sim") >= THRESHOLD - SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    near = ties.where(F.col("sim") >= THRESHOLD - SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     exact = nodes.select(F.col("node").alias("u"), F.col("exact").alias("a"), "dim")
     rows = near.join(exact, "u").join(exact.select(F.col("u").alias("v"), F.col("a").alias("b"), F.col("dim").alias("dim2")), "v").where("dim = dim2")
     return rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def joined(graph: DataFrame, edges: DataFrame, nodes: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, roots): components of `edges`, after those with saturated lists were searched again until no search joins any."""
+    while True:
+        roots = connected_components(edges)
+        lists = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
+        full = lists.where((F.col("n") >= SATURATED_K) & (F.col("low") >= THRESHOLD - SLACK)).select(F.col("u").alias("node"))
+        groups = full.join(roots, "node").select("root").distinct()
+        among = written(roots.join(groups, "root").join(nodes, "node").select(*nodes.columns, "root"), "saturated")
+        if among.agg(F.count_distinct("root")).first()[0] < 2:
+            return edges, roots
+        seed += 1
+        _, ties = first_graph(among, among.count(), seed=seed)
+        of = among.select("node", "root")
+        apart = ties.join(of.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
+        more = written(verified(apart.where("a <> b").select("u", "v", "sim"), nodes), "links")
+        if more.isEmpty():
+            return edges, roots
+        edges = edges.union(more)
+
+
 def _blocked(rows: DataFrame) -> DataFrame:
     """(node, links) from (grp, node, dim, copies, exact, size): all pairs of each group, block by block of `BLOCK` nodes."""
 
@@ -280,18 +334,19 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     nodes = named.select("node", "id", "dim", "copies", shrink.alias("exact"))
     nodes = written(nodes.mapInArrow(small, "node long, id long, dim int, copies long, v binary, exact binary"), "nodes")
     count = nodes.count()
-    graph = written(first_graph(nodes, count), "graph")
+    graph, ties = first_graph(nodes, count)
+    graph = written(graph, "graph")
     truth = written(audit(nodes), "audit")
     counted, roots = None, None
     for attempt in range(3):
         for _ in range(ROUNDS):
-            better = written(descend(graph, nodes), "graph")
+            better, more = descend(graph, nodes)
+            better, ties = written(better, "graph"), ties.union(more)
             size, same = better.count(), better.join(graph, ["u", "v"], "left_semi").count()
             graph = better
             if size - same <= SETTLED * size:
                 break
-        edges = written(verified(graph, nodes), "links")
-        roots = connected_components(edges)
+        _, roots = joined(graph, written(verified(ties, nodes), "links"), nodes, SEED + 100 * (attempt + 1))
         sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
         members = roots.join(sizes, "root").join(nodes, "node").select(F.col("root").alias("grp"), "node", "copies", "exact", "size")
         counted = written(_blocked(members), "counts")

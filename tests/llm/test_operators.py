@@ -338,6 +338,37 @@ def test_embeddings(spark):
     assert embed.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_join_dense_subgroups(spark):
+    """Two groups of which every list is full of its own, with links from each to all of the other."""
+    r = np.random.default_rng(8)
+    x = np.zeros((80, 16))
+    x[:, 0], x[40:, 1] = 1.0, 0.255
+    x += 0.005 * r.standard_normal(x.shape)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sims = x @ x.T
+    assert sims[:40, :40].min() > 0.998 and sims[:40, 40:].min() > 0.95 and sims[:40, 40:].max() < 0.98
+    df = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {(r["n_links"], r["component_id"]) for r in embed.near_duplicates(df).collect()} == {(79, 1)}
+
+
+def test_embeddings_ties():
+    r = np.random.default_rng(2)
+    x = r.standard_normal((60, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+
+    def parts(pairs):
+        name = list(range(60))
+        for _ in range(60):
+            for a, b in pairs:
+                name[a] = name[b] = min(name[a], name[b])
+        return name
+
+    ties = list(zip(*embed._forest(sims), strict=True))
+    assert len(ties) < 60 and parts(ties) == parts(np.argwhere(sims >= 0.95).tolist())
+
+
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body class=has-sidebar><nav><ul><li><a href=/x>Menu</a></ul></nav><div class='cookie-notice'>We use cookies</div>{}<div class=sidebar>Side</div><section id=comments><p>nice post</section><footer>&copy; F</footer></body></html>"
 
 
