@@ -369,6 +369,31 @@ def test_embeddings_ties():
     assert len(ties) < 60 and parts(ties) == parts(np.argwhere(sims >= 0.95).tolist())
 
 
+def test_embeddings_recall_of_each_vector(spark):
+    """One large group that is whole doesn't hide that every pair is missed."""
+    truth = spark.createDataFrame([(i, 0, 1.0, 4_999) for i in range(100)] + [(i, 0, 1.0, 1) for i in range(100, 150)], embed._LINKS.replace("tie boolean", "links long"))
+    counted = spark.createDataFrame([(i, 4_999) for i in range(100)], "node long, links long")
+    got = embed.recalls(truth, counted)
+    assert got == {0: pytest.approx(2 / 3), 1: 0.0, 13: 1.0}
+    assert embed.recalls(truth.limit(0), counted) == {}
+
+
+def test_embeddings_fail_on_low_recall(spark, monkeypatch):
+    """A search that finds nothing is not made good by the audit's own answers."""
+    r = np.random.default_rng(4)
+    x = [v.tolist() for v in r.standard_normal((50, 8))]
+    df = spark.createDataFrame([(50 * (i + 1) + j, v) for i, v in enumerate(x) for j in (0, 1)], "vec_id long, embedding array<double>")
+    df = df.withColumn("embedding", F.transform("embedding", lambda e: e + 0.001 * (F.col("vec_id") % 50)))
+    blind = spark.createDataFrame([], "u long, v long, sim float")
+    tried = []
+    monkeypatch.setattr(embed, "first_graph", lambda nodes, count, trees=0, seed=0, grow=1: tried.append((trees, grow)) or (blind, blind))
+    monkeypatch.setattr(embed, "ATTEMPTS", 3)
+    monkeypatch.setattr(embed, "ROUNDS", 0)
+    with pytest.raises(RuntimeError, match="recall"):
+        embed.near_duplicates(df)
+    assert [g for _, g in tried] == [1, 2, 4] and tried[0][0] <= tried[1][0] < tried[2][0]
+
+
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body class=has-sidebar><nav><ul><li><a href=/x>Menu</a></ul></nav><div class='cookie-notice'>We use cookies</div>{}<div class=sidebar>Side</div><section id=comments><p>nice post</section><footer>&copy; F</footer></body></html>"
 
 
