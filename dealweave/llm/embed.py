@@ -1,7 +1,9 @@
 """Embedding near-duplicates by NN-descent.
 
-Equal vectors are one node. A forest of random hyperplane cells gives every node its first `K` neighbours;
-then each round joins the neighbour graph with itself at every node (its neighbours and those that have it
+Equal vectors are one node. A forest of random hyperplane cells gives every node its first `K` neighbours. The
+planes of a cell go through its mean, whatever direction the vectors share, and cells that are still too large
+are split again; there are so many trees that a pair at the threshold shares a cell of one with probability
+`MET`, in a very narrow cone as many as the audit asks for. Then each round joins the neighbour graph with itself at every node (its neighbours and those that have it
 as a neighbour are compared with each other) and keeps the best lists. Lists of which all members are over
 the threshold are saturated and are enlarged for the next round. Lists only steer the search: of all pairs
 that are ever compared, those over the threshold are kept as ties (as a spanning forest of each compared group,
@@ -32,8 +34,15 @@ THRESHOLD = 0.95
 SLACK = 1e-4
 K = 8
 SATURATED_K = 32
-TREES = 6
+#: Probability that a pair at the threshold meets in a cell, which gives the number of trees; so many of them are built at a time.
+MET = 0.99
+TREES = 8
+#: A very narrow cone starts with so many trees; the audit then asks for more.
+FIRST_TREES = 64
 CELL = 256
+#: Splits of too large cells, and planes at once. What no plane splits is dealt out by hash.
+SPLITS = 8
+PLANES = 20
 ROUNDS = 3
 #: A round that changes fewer of its links than this is the last.
 SETTLED = 0.01
@@ -160,22 +169,69 @@ def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("not tie").drop("tie"), found.where("tie").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim").distinct()
 
 
-def first_graph(nodes: DataFrame, count: int, trees: int = TREES, seed: int = SEED, grow: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(lists, ties) from cells of random hyperplanes; cells over twice `CELL` are dealt out by hash."""
-    bits = max(0, round(np.log2(max(1, count / CELL))))
+def spread(nodes: DataFrame) -> float:
+    """Root mean square distance of the vectors from the mean of their length; the least of all lengths."""
 
-    def cells(batches):
-        planes: dict = {}
+    def run(batches):
         for b in batches:
-            ids, dims = b.column(0).to_numpy(), b.column(1).to_numpy()
+            dims = b.column(0).to_numpy()
             for dim in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == dim)
-                x = _matrix(b.column(2).take(pa.array(mine)), np.float32)
-                for t in range(trees):
+                x = _matrix(b.column(1).take(pa.array(np.flatnonzero(dims == dim))), np.float32).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(x)], pa.int64()), pa.array(np.arange(dim)[None].tolist(), pa.list_(pa.int32())), pa.array([x.sum(axis=0).tolist()], pa.list_(pa.float64()))], names=["dim", "n", "at", "total"])
+
+    parts = nodes.select("dim", "v").mapInArrow(run, "dim int, n long, at array<int>, total array<double>")
+    each = parts.select("dim", "n", F.explode(F.arrays_zip("at", "total")).alias("x")).groupBy("dim", "x.at").agg((F.sum("x.total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+    # vectors have length one, so their mean square distance is one less the mean's square
+    norms = each.groupBy("dim").agg(F.sum(F.col("mean") * F.col("mean")).alias("square"), F.max("n").alias("n")).where(F.col("n") > CELL)
+    most = norms.agg(F.max("square")).first()[0]
+    return float(np.sqrt(max(0.0, 1.0 - (most or 0.0))))
+
+
+def trees_for(count: int, width: float = 1.0) -> int:
+    """Trees in which a pair at the threshold shares a cell with probability `MET`, among vectors that are `width` away from their mean; `FIRST_TREES` at most."""
+    bits = max(0, round(np.log2(max(1, count / CELL))))
+    chord = np.sqrt(2 - 2 * THRESHOLD)
+    angle = 2 * np.arcsin(min(1.0, chord / max(2 * width, 1e-9)))
+    shared = (1 - min(0.5, angle / np.pi)) ** bits
+    return 1 if shared >= 1 else int(min(FIRST_TREES, np.ceil(np.log(1 - MET) / np.log1p(-shared))))
+
+
+def cells(nodes: DataFrame, trees: range, seed: int = SEED) -> DataFrame:
+    """(tree, dim, cell, node): cells are split by planes through their mean while they are over twice `CELL`."""
+
+    def projected(turn):
+        def run(batches):
+            planes: dict = {}
+            for b in batches:
+                trees, dims = b.column(0).to_numpy(), b.column(1).to_numpy()
+                out = np.zeros((b.num_rows, PLANES))
+                for t, dim in {*zip(trees.tolist(), dims.tolist(), strict=True)}:
                     if (t, dim) not in planes:
-                        planes[t, dim] = np.random.default_rng([seed, t, dim]).standard_normal((dim, bits)).astype(np.float32)
-                    cell = ((x @ planes[t, dim]) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(np.full(len(x), dim, np.int32)), pa.array(cell.astype(np.int64)), pa.array(ids[mine]), b.column(2).take(pa.array(mine))], names=["tree", "dim", "cell", "node", "v"])
+                        planes[t, dim] = np.random.default_rng([seed, t, dim, turn]).standard_normal((dim, PLANES)).astype(np.float32)
+                    mine = np.flatnonzero((trees == t) & (dims == dim))
+                    out[mine] = _matrix(b.column(5).take(pa.array(mine)), np.float32) @ planes[t, dim]
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(c) for c in out.T)], names=["tree", "dim", "cell", "node", "bits", *(f"p{i}" for i in range(PLANES))])
+
+        return run
+
+    key = ["tree", "dim", "cell"]
+    rows = nodes.select(F.explode(F.array(*(F.lit(t) for t in trees))).alias("tree"), "dim", F.lit(0).cast("long").alias("cell"), "node")
+    for turn in range(SPLITS):
+        sizes = rows.groupBy(*key).count().where(F.col("count") > 2 * CELL)
+        sizes = written(sizes.select(*key, F.least(F.lit(PLANES), F.greatest(F.lit(1), F.round(F.log2(F.col("count") / CELL)))).cast("int").alias("bits")), "sizes")
+        if sizes.isEmpty():
+            break
+        large = rows.join(sizes, key).join(nodes.select("node", "v"), "node").select(*key, "node", "bits", "v")
+        large = written(large.mapInArrow(projected(turn), "tree int, dim int, cell long, node long, bits int, " + ", ".join(f"p{i} double" for i in range(PLANES))), "planes")
+        means = large.groupBy(*key).agg(*(F.avg(f"p{i}").alias(f"m{i}") for i in range(PLANES)))
+        code = sum((F.when((F.col("bits") > i) & (F.col(f"p{i}") > F.col(f"m{i}")), 1 << i).otherwise(0) for i in range(PLANES)), F.lit(0))
+        large = large.join(means, key).select("tree", "dim", F.xxhash64("cell", F.lit(turn), code).alias("cell"), "node")
+        rows = written(rows.join(sizes, key, "left_anti").select(*key, "node").union(large), "cells")
+    return rows
+
+
+def first_graph(nodes: DataFrame, count: int, trees: int = TREES, seed: int = SEED, grow: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(lists, ties) from the cells of so many trees, `TREES` at a time."""
 
     def local(batches):
         out = _Links()
@@ -185,12 +241,16 @@ def first_graph(nodes: DataFrame, count: int, trees: int = TREES, seed: int = SE
                 yield out.batch()
         yield out.batch()
 
-    rows = nodes.select("node", "dim", "v").mapInArrow(cells, "tree int, dim int, cell long, node long, v binary")
-    sizes = nodes.select("node", "dim", "v").mapInArrow(cells, "tree int, dim int, cell long, node long, v binary").groupBy("tree", "dim", "cell").count()
-    rows = rows.join(sizes, ["tree", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("count") / (2 * CELL))).cast("int"))
-    rows = rows.select("tree", "dim", "cell", "part", "node", "v").repartition("tree", "dim", "cell", "part").sortWithinPartitions("tree", "dim", "cell", "part")
-    near, ties = split(rows.mapInArrow(local, _LINKS))
-    return best_lists(near, grow), ties
+    lists, ties, key = None, None, ["tree", "dim", "cell"]
+    for low in range(0, trees, TREES):
+        rows = cells(nodes, range(low, min(trees, low + TREES)), seed)
+        rows = rows.join(rows.groupBy(*key).count(), key).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("count") / (2 * CELL))).cast("int"))
+        rows = rows.join(nodes.select("node", "v"), "node")
+        rows = rows.select(*key, "part", "node", "v").repartition(*key, "part").sortWithinPartitions(*key, "part")
+        near, more = split(rows.mapInArrow(local, _LINKS))
+        lists = written(best_lists(near if lists is None else near.union(lists), grow), "graph")
+        ties = more if ties is None else ties.union(more)
+    return lists, ties
 
 
 def best_lists(links: DataFrame, grow: int = 1) -> DataFrame:
@@ -201,15 +261,18 @@ def best_lists(links: DataFrame, grow: int = 1) -> DataFrame:
     return ranked.where((F.col("rank") <= K * grow) | (F.col("sim") >= THRESHOLD - SLACK)).drop("rank")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, grow: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(lists, ties) of one round: every node compares its neighbours and reverse neighbours with each other; lists improve."""
+def descend(graph: DataFrame, nodes: DataFrame, grow: int = 1, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(lists, ties) of one round: every node compares its neighbours and reverse neighbours with each other; lists improve.
+
+    A hub's neighbours are dealt out in parts, other ones in each `turn`.
+    """
     full = F.col("n") >= K * grow
     saturated = F.when(full & (F.col("low") < THRESHOLD - SLACK), F.col("low"))
     limits = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).select(F.col("u").alias("node"), F.coalesce(saturated, F.when(full, F.lit(THRESHOLD - SLACK)).otherwise(F.lit(-2.0))).cast("float").alias("floor"))
     carried = nodes.select("node", "dim", "v").join(limits, "node", "left")
     pairs = graph.select(F.col("u").alias("at"), F.col("v").alias("node")).union(graph.select(F.col("v").alias("at"), F.col("u").alias("node"))).union(graph.select(F.col("u").alias("at"), F.col("u").alias("node"))).distinct()
     degree = pairs.groupBy("at").count()
-    pairs = pairs.join(degree, "at").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / (4 * SATURATED_K * grow))).cast("int"))
+    pairs = pairs.join(degree, "at").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("count") / (4 * SATURATED_K * grow))).cast("int"))
     rows = pairs.select("at", "part", "node").join(carried, "node")
 
     def local(batches):
@@ -255,7 +318,7 @@ def joined(graph: DataFrame, edges: DataFrame, nodes: DataFrame, seed: int, grow
         if among.agg(F.count_distinct("root")).first()[0] < 2:
             return edges, roots
         seed += 1
-        _, ties = first_graph(among, among.count(), seed=seed)
+        _, ties = first_graph(among, size := among.count(), trees_for(size, spread(among)), seed)
         of = among.select("node", "root")
         apart = ties.join(of.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
         more = written(verified(apart.where("a <> b").select("u", "v", "sim"), nodes), "links")
@@ -346,14 +409,14 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     nodes = named.select("node", "id", "dim", "copies", shrink.alias("exact"))
     nodes = written(nodes.mapInArrow(small, "node long, id long, dim int, copies long, v binary, exact binary"), "nodes")
     count = nodes.count()
-    graph, ties, trees, grow = None, None, TREES, 1
+    graph, ties, trees, grow = None, None, trees_for(count, spread(nodes)), 1
     truth = written(audit(nodes), "audit")
     for attempt in range(ATTEMPTS):
         lists, more = first_graph(nodes, count, trees, SEED + 1000 * attempt, grow)
         graph = written(lists if graph is None else best_lists(lists.union(graph), grow), "graph")
         ties = more if ties is None else ties.union(more)
-        for _ in range(ROUNDS):
-            better, more = descend(graph, nodes, grow)
+        for turn in range(ROUNDS):
+            better, more = descend(graph, nodes, grow, attempt * ROUNDS + turn)
             better, ties = written(better, "graph"), ties.union(more)
             size, same = better.count(), better.join(graph, ["u", "v"], "left_semi").count()
             graph = better

@@ -394,6 +394,31 @@ def test_embeddings_fail_on_low_recall(spark, monkeypatch):
     assert [g for _, g in tried] == [1, 2, 4] and tried[0][0] <= tried[1][0] < tried[2][0]
 
 
+def test_embeddings_trees_grow():
+    """A pair at cosine 0.95 meets in some tree, however many planes the table takes."""
+    for count in (100, 50_000, 1_000_000, 16_000_000):
+        bits = max(0, round(np.log2(count / embed.CELL)))
+        assert 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** embed.trees_for(count) >= embed.MET
+    assert embed.trees_for(50_000, 0.7) > embed.trees_for(50_000)
+
+
+def test_embeddings_common_mean(spark):
+    """Pairs near the threshold meet in cells though all vectors lean one way, and no cell stays a lump."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((6000, 32))
+    x[:, 0] += 6
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = x[:600] + 0.28 * (d := r.standard_normal((600, 32))) / np.linalg.norm(d, axis=1)[:, None]
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    close = np.flatnonzero(np.einsum("ij,ij->i", x[:600], y) >= 0.95)
+    rows = [(i, 32, v.astype(np.float32).tobytes()) for i, v in enumerate(np.concatenate([x, y]))]
+    nodes = spark.createDataFrame(rows, "node long, dim int, v binary").cache()
+    found = embed.cells(nodes, range(embed.trees_for(len(rows), embed.spread(nodes)))).cache()
+    assert found.groupBy("tree", "cell").count().agg(F.max("count")).first()[0] <= 2 * embed.CELL
+    pairs = found.join(found.select("tree", "cell", F.col("node").alias("other")), ["tree", "cell"]).where("other = node + 6000").select("node").distinct()
+    assert len(close) > 300 and len({p["node"] for p in pairs.collect()} & set(close.tolist())) >= 0.95 * len(close)
+
+
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body class=has-sidebar><nav><ul><li><a href=/x>Menu</a></ul></nav><div class='cookie-notice'>We use cookies</div>{}<div class=sidebar>Side</div><section id=comments><p>nice post</section><footer>&copy; F</footer></body></html>"
 
 
