@@ -4,7 +4,8 @@ Every page's containers are scored by the text they hold themselves, less links;
 for the containers' generalised tag-class paths, summed per host in Spark. Each page is then extracted
 again from the containers on the path that its host chose; a page without that path falls back on its
 own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by their tags, roles and class words.
+comments are left out by their tags, roles and class words; class words never leave out an element that is or
+holds the page's main element, else its largest article, else most of its text.
 
 Defined results: null and empty pages have the empty text; a null or odd URL belongs to the host of the
 empty name; repeated rows are extracted alike; a page without any container uses its body, broken markup
@@ -41,15 +42,19 @@ BAD_WORDS = set(
 HEAD_WORDS = set("header masthead topbar".split())
 GOOD_WORDS = set("article content post entry main story text body".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+#: Class tokens that speak of something else than the element itself.
+_MODIFIERS = re.compile(r"(?<!\S)(?:(?:has|no|not|with|without)[-_]\S*|hidden-(?:xs|sm|md|lg|xl)\S*)", re.I)
+#: Share of a page's text that its largest article has at least, and that counts as most of it.
+FAIR, MOST = 0.25, 0.75
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "skip", "good", "heading")
+    __slots__ = ("tag", "label", "parent", "children", "skip", "good", "heading", "marked")
 
     def __init__(self, tag, label, parent, skip=False, good=1.0):
         self.tag, self.label, self.parent, self.skip, self.good = tag, label, parent, skip, good
-        self.children, self.heading = [], False
+        self.children, self.heading, self.marked = [], False, False
 
     def path(self) -> str:
         labels, at = [], self
@@ -63,6 +68,7 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", "", None)
+        self.marked = []
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and self._open(tag):
@@ -73,13 +79,16 @@ class _Builder(HTMLParser):
             self.at = other.parent
         attrs = dict(attrs)
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        words = {w.lower() for w in _WORDS.findall(names)} if names != " " else set()
+        words = {w.lower() for w in _WORDS.findall(_MODIFIERS.sub("", names))} if names != " " else set()
         top = tag in ("html", "body")
-        skip = tag in SKIPPED or not top and (bool(words & BAD_WORDS) and not (tag in ("main",)) or (attrs.get("role") or "").lower() in BAD_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower())
+        skip = tag in SKIPPED or not top and ((attrs.get("role") or "").lower() in BAD_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower())
         good = 3.0 if tag in ("article", "main") or (attrs.get("role") or "").lower() in ("main", "article") or (attrs.get("itemprop") or "").lower() == "articlebody" else 1.5 if words & GOOD_WORDS else 1.0
         kept = sorted(c for c in {re.sub(r"\d+", "#", c) for c in (attrs.get("class") or "").lower().split()} if len(c) <= 40)
         node = Node(tag, ".".join([tag, *kept]), self.at, skip, good)
         node.heading = tag == "header" or not top and bool(words & HEAD_WORDS)
+        if not top and not skip and tag != "main" and words & BAD_WORDS:
+            node.marked = True
+            self.marked.append(node)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -114,9 +123,35 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    if builder.marked:
+        for node in _keepers(builder.root):
+            while node is not None:
+                node.marked = False
+                node = node.parent
     return builder.root
 
 
+def _keepers(root: Node) -> list[Node]:
+    """What class words must not leave out: main elements, else the article with most text, else the innermost element with most of the text."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [x for x in node.children if isinstance(x, Node) and not x.skip]
+    sizes = {id(n): 0 for n in order}
+    for node in reversed(order):  # inner ones first
+        sizes[id(node)] += sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
+        if node.parent is not None:
+            sizes[id(node.parent)] += sizes[id(node)]
+    if mains := [n for n in order if n.tag == "main" and sizes[id(n)]]:
+        return mains
+    articles = [n for n in order if n.tag == "article" and sizes[id(n)] >= FAIR * sizes[id(root)] > 0]
+    if articles:
+        return [max(articles, key=lambda n: sizes[id(n)])]
+    most = [n for n in order if sizes[id(n)] >= MOST * sizes[id(root)] > 0]
+    return most[-1:]
+
+
 def _holds_h1(node: Node) -> bool:
     todo = list(node.children)
     while todo:
@@ -138,7 +173,7 @@ def _inside_article(node: Node) -> bool:
 
 def _left_out(node: Node) -> bool:
     """Boilerplate; a header is kept only inside the article and if it holds the page's headline."""
-    return node.skip or node.heading and not (_inside_article(node.parent) and _holds_h1(node))
+    return node.skip or node.marked or node.heading and not (_inside_article(node.parent) and _holds_h1(node))
 
 
 def container_scores(root: Node) -> list[tuple[Node, float]]:

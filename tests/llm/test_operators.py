@@ -433,6 +433,14 @@ def test_html(spark):
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments", "nav-open", "social-article", "post widget", "hidden-xs", "promo"])
+def test_html_class_words_keep_the_article(name):
+    text = "long text " * 29 + "long text"
+    aside = "<div class=sidebar>side words</div><section id=comments><article class=comment-body>nice post</article></section>"
+    for page in ("<article class='{}'><p>{}</article>", "<div class='{}'><article><p>{}</article></div>", "<div class='{}'><main><p>{}</main></div>", "<div class='{}'><p>{}</div>"):
+        assert html.extract("<body>" + page.format(name, text) + aside + "</body>") == text
+
+
 def test_html_votes_overrule_a_page(spark):
     good = "<body><article><p>" + "long text " * 30 + "</article><div class=teaser><p>short</div></body>"
     odd = "<body><article><p>brief</article><div class=box><p>" + "other words " * 30 + "</div></body>"
