@@ -1,12 +1,13 @@
 """SimHash near-duplicates through an inverted index over byte positions, with count filtering.
 
 A fingerprint is eight bytes at fixed positions. Two fingerprints at most `MAX_BITS` = 2 bits apart share
-at least 8 - 2 = 6 positional bytes. The index keys each fingerprint by every choice of six positions
-with their bytes (28 postings), so two fingerprints meet in a posting exactly if they reach that
-guaranteed minimum count; pairs met are tallied byte by byte and verified bit by bit. Members of one
-posting differ in two bytes only, hence a posting holds 65,536 members at most whatever the corpus.
-Members of postings over `PAIR_LIMIT` are linked through shared one-bit neighbours instead, which needs
-65 rows a fingerprint and loses no link: two fingerprints at most two bits apart share such a neighbour.
+at least 8 - 2 = 6 positional bytes. The index keys each fingerprint by every choice of five positions
+with their bytes (56 postings). Pairs that meet in postings are tallied: with 5, 6 or 7 shared bytes they
+meet 1, 6 or 21 times, so the count filter keeps pairs that meet 6 times, the guaranteed minimum, and those
+are verified bit by bit. Members of one posting differ in three bytes only, hence a posting holds 2**24
+members at most (128 MB) whatever the corpus. Members of postings over `PAIR_LIMIT`, whose pairs would grow
+with the square, are linked through shared one-bit neighbours as well, which needs 65 rows a fingerprint and
+loses no link: two fingerprints at most two bits apart share such a neighbour.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; equal fingerprints
 are one node, so repeated rows, ties and huge groups of copies cost one row; a null id gets the
@@ -16,6 +17,7 @@ component of its fingerprint and never names one unless all ids are null. Whole
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,9 @@ SEED = 42
 MAX_BITS = 2
 BYTES = 8
 LEAST_SHARED = BYTES - MAX_BITS
+KEY_BYTES = 5
+#: Pairs that share `LEAST_SHARED` bytes meet in so many postings.
+LEAST_MEETINGS = comb(LEAST_SHARED, KEY_BYTES)
 PAIR_LIMIT = 64
 #: So many shingle hashes are turned into bits at once, which bounds a task's memory for any text.
 _CHUNK = 1 << 15
@@ -68,9 +73,9 @@ def byte_at(fp, k: int) -> F.Column:
 
 
 def postings(fps: DataFrame) -> DataFrame:
-    """(slot: long, fp: long) of distinct fingerprints: one row for each choice of six byte positions."""
+    """(slot: long, fp: long) of distinct fingerprints: one row for each choice of `KEY_BYTES` byte positions."""
     keys = []
-    for number, places in enumerate(combinations(range(BYTES), LEAST_SHARED)):
+    for number, places in enumerate(combinations(range(BYTES), KEY_BYTES)):
         key = F.lit(number).cast("long")
         for k in places:
             key = F.shiftleft(key, 8).bitwiseOR(byte_at(F.col("fp"), k))
@@ -78,25 +83,22 @@ def postings(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("slot"), "fp")
 
 
-def shared_bytes(a, b) -> F.Column:
-    """At how many of the eight positions two fingerprints have the same byte."""
-    x = a.bitwiseXOR(b)
-    return sum((F.when(byte_at(x, k) == 0, 1).otherwise(0) for k in range(1, BYTES)), F.when(byte_at(x, 0) == 0, 1).otherwise(0))
+def tallied(lists: DataFrame) -> DataFrame:
+    """(u, v, meetings) of the pairs u < v that meet in posting `lists` (fps: array)."""
+    pairs = lists.select("fps", F.explode("fps").alias("u"))
+    pairs = pairs.select("u", F.explode(F.filter("fps", lambda b: b > F.col("u"))).alias("v"))
+    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("meetings"))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v: long) over distinct fingerprints `fps` (fp) that connect all pairs at most `MAX_BITS` apart."""
     lists = postings(fps).groupBy("slot").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-
-    def near(a):
-        return lambda b: (b > a) & (shared_bytes(a, b) >= LEAST_SHARED) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
-
-    members = lists.select("fps", "slot", F.size("fps").alias("n"))
-    small = members.where(F.col("n") <= PAIR_LIMIT).select("fps", F.explode("fps").alias("u"))
-    pairs = small.select("u", F.explode(F.filter("fps", near(F.col("u")))).alias("v"))
-    big = members.where(F.col("n") > PAIR_LIMIT).select(F.explode("fps").alias("u")).distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
-    spots = big.select("u", F.explode(flips).alias("flip"))
+    lists = written(lists.select("fps"), "postings")
+    counted = tallied(lists.where(F.size("fps") <= PAIR_LIMIT)).where(F.col("meetings") >= LEAST_MEETINGS)
+    pairs = counted.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS).select("u", "v")
+    big = lists.where(F.size("fps") > PAIR_LIMIT).select(F.explode("fps").alias("u")).distinct()
+    one_bit = [F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]
+    spots = big.select("u", F.explode(F.array(F.lit(0).cast("long"), *one_bit)).alias("flip"))
     spots = spots.select("u", F.col("u").bitwiseXOR(F.col("flip")).alias("spot"))
     least = spots.groupBy("spot").agg(F.min("u").alias("v"))
     stars = spots.join(least, "spot").where("u <> v").select("u", "v")
@@ -106,7 +108,9 @@ def links(fps: DataFrame) -> DataFrame:
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp, component_id) for every row: the least key that is linked, directly or not."""
     fps = written(fingerprints(docs, text, key), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min(key).alias("first"))
+    # a number of its own keeps the small rows, each of which gives 56 postings, from being dealt to one or two tasks
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = fps.repartition(tasks, "fp").groupBy("fp").agg(F.min(key).alias("first"))
     roots = connected_components(links(nodes.select("fp")))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     grouped = written(grouped, "groups")
