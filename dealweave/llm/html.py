@@ -15,11 +15,13 @@ is closed as browsers do; extra columns are ignored. Whole pages are read, of an
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from dealweave.llm.common import lean_batches, written
 
@@ -33,6 +35,7 @@ CONTAINERS = set("article main section div td body".split())
 SKIPPED = set("nav footer aside form script style noscript template iframe svg math button select option input textarea object embed canvas audio video head title dialog menu map".split())
 CLOSES_P = BLOCKS | set("nav footer aside form menu".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+P_SCOPES = ("td", "th", "button", "object", "caption")
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 BAD_WORDS = set(
     "ad ads adbox adslot adsense advert adverts advertisement advertising banner sponsor sponsored sponsors promo promos promotion promoted cookie cookies consent gdpr notice notices "
@@ -42,6 +45,8 @@ BAD_WORDS = set(
 HEAD_WORDS = set("header masthead topbar".split())
 GOOD_WORDS = set("article content post entry main story text body".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+#: Weight of main elements and articles.
+ARTICLE = 3.0
 #: Class tokens that speak of something else than the element itself.
 _MODIFIERS = re.compile(r"(?<!\S)(?:(?:has|no|not|with|without)[-_]\S*|hidden-(?:xs|sm|md|lg|xl)\S*)", re.I)
 #: Share of a page's text that its largest article has at least, and that counts as most of it.
@@ -50,84 +55,97 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "skip", "good", "heading", "marked")
+    """An element; what depends on the elements around it is carried down, so that depth costs nothing."""
 
-    def __init__(self, tag, label, parent, skip=False, good=1.0):
-        self.tag, self.label, self.parent, self.skip, self.good = tag, label, parent, skip, good
-        self.children, self.heading, self.marked = [], False, False
+    __slots__ = ("tag", "parent", "children", "skip", "good", "heading", "marked", "depth", "path", "inside", "holds_h1")
 
-    def path(self) -> str:
-        labels, at = [], self
-        while at.parent is not None:
-            labels.append(at.label)
-            at = at.parent
-        return "/".join(reversed(labels))
+    def __init__(self, tag, label, parent, skip=False, good=1.0):
+        self.tag, self.parent, self.skip, self.good = tag, parent, skip, good
+        self.children, self.heading, self.marked, self.holds_h1 = [], False, False, False
+        self.depth = parent.depth + 1 if parent else 0
+        #: Digest of the tag-class path: each label's, seeded with that of the path to its parent.
+        self.path = xxh64_intdigest(label.encode(errors="replace"), parent.path) if parent else 0
+        #: Whether it stands inside the article.
+        self.inside = parent is not None and (parent.inside or parent.good >= ARTICLE)
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", "", None)
-        self.marked = []
+        self.marked, self.open = [], defaultdict(list)
+
+    def _close(self, node):
+        """Leaves `node`, and with it all that is open in it."""
+        while True:
+            left, self.at = self.at, self.at.parent
+            self.open[left.tag].pop()
+            if left is node:
+                return
+
+    def _open(self, tags, stops=()):
+        """The innermost open element of `tags`, unless one of `stops` is open inside it."""
+        found = max((self.open[t][-1] for t in tags if self.open[t]), key=lambda n: n.depth, default=None)
+        if found and any(self.open[t][-1].depth > found.depth for t in stops if self.open[t]):
+            return None
+        return found
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and self._open(tag):
+        if tag in ("html", "body") and self._open((tag,)):
             return
-        if tag in CLOSES_P and (p := self._open("p", {"td", "th", "button", "object", "caption"})):
-            self.at = p.parent
-        if tag in SIBLINGS and (other := self._open_any(SIBLINGS[tag], SCOPES[tag])):
-            self.at = other.parent
+        if tag in CLOSES_P and (p := self._open(("p",), P_SCOPES)):
+            self._close(p)
+        if tag in SIBLINGS and (other := self._open(SIBLINGS[tag], SCOPES[tag])):
+            self._close(other)
         attrs = dict(attrs)
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
         words = {w.lower() for w in _WORDS.findall(_MODIFIERS.sub("", names))} if names != " " else set()
-        top = tag in ("html", "body")
-        skip = tag in SKIPPED or not top and ((attrs.get("role") or "").lower() in BAD_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower())
-        good = 3.0 if tag in ("article", "main") or (attrs.get("role") or "").lower() in ("main", "article") or (attrs.get("itemprop") or "").lower() == "articlebody" else 1.5 if words & GOOD_WORDS else 1.0
-        kept = sorted(c for c in {re.sub(r"\d+", "#", c) for c in (attrs.get("class") or "").lower().split()} if len(c) <= 40)
-        node = Node(tag, ".".join([tag, *kept]), self.at, skip, good)
+        role, top = (attrs.get("role") or "").lower(), tag in ("html", "body")
+        unseen = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
+        unseen = unseen or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
+        skip = tag in SKIPPED or not top and (role in BAD_ROLES or unseen)
+        is_article = tag in ("article", "main") or role in ("main", "article")
+        is_article = is_article or (attrs.get("itemprop") or "").lower() == "articlebody"
+        good = ARTICLE if is_article else 1.5 if words & GOOD_WORDS else 1.0
+        classes = {re.sub(r"\d+", "#", c) for c in (attrs.get("class") or "").lower().split()}
+        label = ".".join([tag, *sorted(c for c in classes if len(c) <= 40)])
+        node = Node(tag, label, self.at, skip, good)
         node.heading = tag == "header" or not top and bool(words & HEAD_WORDS)
         if not top and not skip and tag != "main" and words & BAD_WORDS:
             node.marked = True
             self.marked.append(node)
+        if tag == "h1":
+            up = self.at
+            while up is not None and not up.holds_h1:
+                up.holds_h1, up = True, up.parent
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag].append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag in ("svg", "path", "math", "script") and self.at.tag == tag:
-            self.at = self.at.parent
+            self._close(self.at)
 
     def handle_endtag(self, tag):
-        if tag not in ("html", "body") and (found := self._open(tag)):
-            self.at = found.parent
+        if tag not in ("html", "body") and (found := self._open((tag,))):
+            self._close(found)
 
     def handle_data(self, data):
         self.at.children.append(data)
 
-    def _open(self, tag, stop=()):
-        return self._open_any({tag}, stop)
-
-    def _open_any(self, tags, stop):
-        at = self.at
-        while at.parent is not None:
-            if at.tag in tags:
-                return at
-            if at.tag in stop:
-                return None
-            at = at.parent
-        return None
-
 
 def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
     if builder.marked:
+        spared = set()
         for node in _keepers(builder.root):
-            while node is not None:
-                node.marked = False
-                node = node.parent
+            while node is not None and id(node) not in spared:
+                spared.add(id(node))
+                node.marked, node = False, node.parent
     return builder.root
 
 
@@ -152,67 +170,46 @@ def _keepers(root: Node) -> list[Node]:
     return most[-1:]
 
 
-def _holds_h1(node: Node) -> bool:
-    todo = list(node.children)
-    while todo:
-        x = todo.pop()
-        if isinstance(x, Node):
-            if x.tag == "h1":
-                return True
-            todo += x.children
-    return False
-
-
-def _inside_article(node: Node) -> bool:
-    while node is not None:
-        if node.good >= 3.0:
-            return True
-        node = node.parent
-    return False
-
-
 def _left_out(node: Node) -> bool:
     """Boilerplate; a header is kept only inside the article and if it holds the page's headline."""
-    return node.skip or node.marked or node.heading and not (_inside_article(node.parent) and _holds_h1(node))
+    return node.skip or node.marked or node.heading and not (node.inside and node.holds_h1)
 
 
-def container_scores(root: Node) -> list[tuple[Node, float]]:
-    """(container, score): the text that stands nearest to it, links deducted, and half of what its inner containers have."""
-    scores: dict[int, list] = {}
-    order: list[Node] = []
+def container_scores(root: Node) -> list[tuple[Node, float, Node | None]]:
+    """(container, score, container around it), outer ones first.
+
+    The score is the text that stands nearest to it, links deducted, and half of what its inner containers have.
+    """
+    scores: dict[int, float] = {}
+    order: list[tuple[Node, Node | None]] = []
     todo = [(root, None, False)]
     while todo:
         node, holder, link = todo.pop()
         if node.tag in CONTAINERS:
+            order.append((node, holder))
+            scores[id(node)] = 0.0
             holder = node
-            scores[id(node)] = [0.0, node]
-            order.append(node)
         link = link or node.tag == "a"
         for x in reversed(node.children):
             if isinstance(x, str):
                 if holder is not None:
                     n = len("".join(x.split()))
-                    scores[id(holder)][0] += -n if link else n
+                    scores[id(holder)] += -n if link else n
             elif not _left_out(x):
                 todo.append((x, holder, link))
-    for node in reversed(order):  # inner ones first
-        score = max(0.0, scores[id(node)][0])
-        up = node.parent
-        while up is not None and id(up) not in scores:
-            up = up.parent
-        if up is not None:
-            scores[id(up)][0] += score / 2
-    return [(n, max(0.0, scores[id(n)][0]) * n.good) for n in order]
+    for node, holder in reversed(order):  # inner ones first
+        if holder is not None:
+            scores[id(holder)] += max(0.0, scores[id(node)]) / 2
+    return [(n, max(0.0, scores[id(n)]) * n.good, holder) for n, holder in order]
 
 
-def page_votes(html: str) -> list[tuple[str, float]]:
+def page_votes(html: str) -> list[tuple[int, float]]:
     """(path, share) of a page: its containers' scores over the best one's, summed by path."""
-    scored = [(n, s) for n, s in container_scores(parse(html)) if s > 0]
+    scored = [(n.path, s) for n, s, _ in container_scores(parse(html)) if s > 0]
     if not scored:
         return []
     best, votes = max(s for _, s in scored), {}
-    for n, s in scored:
-        path = n.path()
+    for path, s in scored:
         votes[path] = max(votes.get(path, 0.0), s / best)
     return list(votes.items())
 
@@ -248,24 +245,19 @@ def text_of(nodes: list[Node]) -> str:
     return "\n".join(blocks)
 
 
-def extract(html: str, path: str | None = None) -> str:
+def extract(html: str, path: int | None = None) -> str:
     """Main text of one page: from the outermost containers on `path`, else from its best container, else from its body."""
     if not html:
         return ""
     root = parse(html)
     scored = container_scores(root)
-    found = [n for n, _ in scored if n.path() == path] if path else []
-    inner = {id(n) for n in found}
-
-    def nested(n):
-        at = n.parent
-        while at is not None:
-            if id(at) in inner:
-                return True
-            at = at.parent
-        return False
-
-    found = [n for n in found if not nested(n)]
+    found, within = [], set()
+    for n, _, holder in scored if path is not None else ():
+        if holder is not None and id(holder) in within:
+            within.add(id(n))
+        elif n.path == path:
+            within.add(id(n))
+            found.append(n)
     text = text_of(found)
     if not text and scored:
         best = max(scored, key=lambda x: x[1])
@@ -280,7 +272,7 @@ def host_of(url) -> F.Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes of each host; ties go to the path that sorts first."""
+    """(host, path): the path with most votes of each host; ties go to the least digest."""
 
     def run(batches):
         for b in batches:
@@ -288,11 +280,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for path, share in page_votes(html) if html else ():
                     hosts.append(host)
-                    paths.append(path)
+                    paths.append(path - (1 << 64) if path >= 1 << 63 else path)
                     votes.append(round(share * 1_000_000))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], names=["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(votes, pa.int64())], names=["host", "path", "votes"])
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, votes long")
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path long, votes long")
     summed = rows.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     best = summed.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path")).alias("b"))
     return best.select("host", F.col("b.path").alias("path"))
@@ -305,7 +297,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [extract(html or "", path) for html, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            wanted = [None if path is None else path % (1 << 64) for path in b.column(3).to_pylist()]
+            texts = [extract(html or "", path) for html, path in zip(b.column(2).to_pylist(), wanted, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     small = winners.count() <= BROADCAST_HOSTS
