@@ -9,7 +9,7 @@ the threshold are saturated and are enlarged for the next round. Lists only stee
 that are ever compared, those over the threshold are kept as ties (as a spanning forest of each compared group,
 which joins the same nodes). Ties are verified in double precision and give components; components with
 saturated lists are searched again with fresh planes until nothing more joins them. Inside each component all
-pairs are compared in blocks, which counts links exactly however large a group of copies is. The audit compares every node whose id is divisible by
+pairs are compared in blocks, which counts links exactly however large a group of copies is. The audit compares every node whose digest is divisible by
 `AUDIT_EVERY` with all nodes, in blocks, and only measures: the mean share of its links that each audited node
 has, over all of them and over those of each size of group, must reach `RECALL`. Until then longer lists and as
 many fresh trees again are added; when `ATTEMPTS` are used up, the run fails and names the shares.
@@ -48,6 +48,8 @@ ROUNDS = 3
 SETTLED = 0.01
 BLOCK = 256
 AUDIT_EVERY = 50
+#: Nodes that are asked for at least, if there are so many.
+AUDIT_LEAST = 200
 RECALL = 0.98
 #: Each one doubles lists and trees.
 ATTEMPTS = 6
@@ -353,11 +355,12 @@ def _blocked(rows: DataFrame) -> DataFrame:
 
 
 def audit(nodes: DataFrame, every: int = AUDIT_EVERY) -> DataFrame:
-    """(u, v, sim, links): for each node with an id divisible by `every`, compared with all nodes in blocks, its links in a block and the nearest of them."""
-    asked = nodes.where(F.pmod("node", F.lit(every)) == 0)
+    """(u, v, sim, links): for each node with a digest divisible by `every` (more of them in small tables), compared with all nodes in blocks, its links in a block and the nearest of them."""
+    everything = nodes.count()
+    asked = nodes.where(F.pmod("node", F.lit(max(1, min(every, everything // AUDIT_LEAST)))) == 0)
     count = max(1, asked.count())
     blocks = -(-count // BLOCK)
-    strips = max(1, -(-nodes.count() // (8 * BLOCK)))
+    strips = max(1, -(-everything // (8 * BLOCK)))
 
     def run(batches):
         for g in _groups(batches, 2):
@@ -394,11 +397,15 @@ def recalls(truth: DataFrame, counted: DataFrame) -> dict[int, float]:
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(key, n_links, component_id, kept) for every row of `vectors`."""
+    """(key, n_links, component_id, kept, audited_recall) for every row of `vectors`; the last is the mean share of its links
+    that each audited vector has, the same in all rows, null where no audited vector has links."""
     lean_batches(vectors.sparkSession, 10_000)
     found = written(nodes_of(vectors, key, column), "vectors")
-    # a node is known by the digest of its bytes, unless a least id is there to name it
-    named = found.withColumn("node", F.coalesce("id", F.xxhash64("raw")))
+    # a node is known by the digest of its bytes, whatever the ids; another seed serves if two share one
+    for seed in range(SEED, SEED + 100):
+        named = written(found.withColumn("node", F.xxhash64(F.lit(seed), "raw")), "named")
+        if named.groupBy("node").count().where("count > 1").isEmpty():
+            break
     shrink = F.col("v")
 
     def small(batches):
@@ -449,4 +456,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
 
     out = rows.mapInArrow(raws, f"{key} long, raw binary").join(of_raw, "raw", "left")
     component = F.coalesce("component_id", F.col(key))
-    return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(key).eqNullSafe(component).alias("kept"))
+    return out.select(
+        key,
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.col(key).eqNullSafe(component).alias("kept"),
+        F.lit(shares.get(0)).cast("double").alias("audited_recall"),
+    )
