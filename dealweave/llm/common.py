@@ -8,6 +8,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,26 @@ def word_array(text) -> F.Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def flat_words(data: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words, bounds) of binary or string `data`: text i has words[bounds[i]:bounds[i + 1]]; null has none."""
+    cells = pc.ascii_split_whitespace(data.cast(pa.binary()).view(pa.string()))
+    cells = pc.fill_null(cells, pa.scalar([], cells.type)) if cells.null_count else cells
+    words, bounds = cells.flatten(), cells.offsets.to_numpy().astype(np.int64)
+    filled = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    return words.filter(filled).view(pa.binary()), upto[bounds - bounds[0]]
+
+
+def slices(data: pa.Array, size: int = 4_000_000):
+    """(low, high) of runs of rows of about `size` bytes of binary or string `data`."""
+    ends, low = np.cumsum(pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield low, high
+        low = high
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root) for every node of the undirected `edges` (u, v: long); root names the component.
 

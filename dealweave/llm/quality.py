@@ -2,7 +2,8 @@
 
 Every text gives two histograms: its characters by class, and its words over the common words of its
 language. Both are held against references of the language, which are sums over the whole corpus, by
-Jensen-Shannon distance (base 2, so 0 to 1). Texts under a minimum length are not judged by it.
+Jensen-Shannon distance (base 2, so 0 to 1). Texts under a minimum length are not judged by it. The texts are read
+once: their counts are written, and references and verdicts come from that small table.
 
 Defined results: a null or empty text has no words and fails the base rules; a null or unlisted
 language is compared by characters alone, with all languages together as its reference; repeated rows
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import SPACES, word_array
+from dealweave.llm.common import SPACES, word_array, written
 
 # Common words by language.
 COMMON_WORDS = {
@@ -34,7 +35,10 @@ MIN_WORDS_FOR_COMMON = 100
 MAX_CLASS_DISTANCE = 0.30
 MAX_COMMON_DISTANCE = 0.30
 CLASSES = ("lower", "upper", "digit", "space", "mark", "other")
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RESULTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    "class_distance", "common_distance", "base_failed", "kept",
+)
 
 
 def _by_language(values: dict, lang) -> F.Column:
@@ -44,41 +48,105 @@ def _by_language(values: dict, lang) -> F.Column:
     return chosen
 
 
-def histograms(docs: DataFrame) -> DataFrame:
-    """`docs` with q_words, q_classes (counts by character class) and q_common (counts by common word, others last; null for unlisted languages)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lists = _by_language({k: F.array(*map(F.lit, v)) for k, v in COMMON_WORDS.items()}, F.col("lang"))
-    out = docs.withColumn("q_words", word_array(F.col("text"))).withColumn("q_list", lists)
+def _histograms(rows: DataFrame) -> DataFrame:
+    """Adds q_classes (counts by character class) and q_common (counts by common word, others last; null for unlisted
+    languages) to rows with q_text, q_words and q_lang."""
     # each class is cut out of what the classes before it have left
-    out = out.withColumn("q_a", F.regexp_replace(text, "[\\p{Ll}]+", ""))
-    out = out.withColumn("q_b", F.regexp_replace("q_a", SPACES, ""))
-    out = out.withColumn("q_c", F.regexp_replace("q_b", "\\p{L}+", "")).withColumn("q_d", F.regexp_replace("q_c", "\\p{Nd}+", "")).withColumn("q_e", F.regexp_replace("q_d", "[.,;:!?'\"()\\-]+", ""))
-    size = [F.length(x) for x in (text, "q_a", "q_b", "q_c", "q_d", "q_e")]
+    out = rows.withColumn("q_a", F.regexp_replace("q_text", "[\\p{Ll}]+", ""))
+    for name, left, pattern in (
+        ("q_b", "q_a", SPACES), ("q_c", "q_b", "\\p{L}+"), ("q_d", "q_c", "\\p{Nd}+"), ("q_e", "q_d", "[.,;:!?'\"()\\-]+"),
+    ):
+        out = out.withColumn(name, F.regexp_replace(left, pattern, ""))
+    size = [F.length(x) for x in ("q_text", "q_a", "q_b", "q_c", "q_d", "q_e")]
     lower, space, upper, digit, mark = (size[i] - size[i + 1] for i in range(5))
     out = out.withColumn("q_classes", F.array(*(x.cast("long") for x in (lower, upper, digit, space, mark, size[5]))))
-    place = F.transform("q_words", lambda w: F.array_position(F.col("q_list"), F.lower(w)))
-    out = out.withColumn("q_place", F.when(F.col("q_list").isNotNull(), F.array_remove(place, 0)))
+
+    def places(words):
+        listed = F.filter("q_words", lambda w: F.lower(w).isin(*words))
+        return F.transform(listed, lambda w: F.array_position(F.array(*map(F.lit, words)), F.lower(w)).cast("int"))
+
+    out = out.withColumn("q_place", _by_language({k: places(v) for k, v in COMMON_WORDS.items()}, F.col("q_lang")))
     most = max(map(len, COMMON_WORDS.values()))
     hits = [(F.size("q_place") - F.size(F.array_remove("q_place", i + 1))).cast("long") for i in range(most)]
     others = (F.size("q_words") - F.size("q_place")).cast("long")
-    out = out.withColumn("q_common", F.when(F.col("q_list").isNotNull(), F.array(*hits, others)))
-    return out.drop("q_a", "q_b", "q_c", "q_d", "q_e", "q_place", "q_list")
+    out = out.withColumn("q_common", F.when(F.col("q_place").isNotNull(), F.array(*hits, others)))
+    return out.drop("q_a", "q_b", "q_c", "q_d", "q_e", "q_place")
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """Adds n_repeat_words: words covered by a window of five words that the text holds twice or more."""
+    n = F.size("q_words")
+
+    def following(column, by):
+        return F.slice(column, by + 1, F.greatest(n, F.lit(1)))
+
+    # hashes of runs of one, two, four and five words, each from shorter ones
+    out = rows.withColumn("q_h1", F.transform("q_words", lambda w: F.xxhash64(w)))
+    out = out.withColumn("q_h2", F.zip_with("q_h1", following("q_h1", 1), lambda a, b: F.xxhash64(a, b)))
+    out = out.withColumn("q_h4", F.zip_with("q_h2", following("q_h2", 2), lambda a, b: F.xxhash64(a, b)))
+    whole = F.zip_with("q_h4", following("q_h1", WINDOW - 1), lambda a, b: F.xxhash64(a, b))
+    out = out.withColumn("q_win", F.slice(whole, F.lit(1), F.greatest(n - WINDOW + 1, F.lit(0))))
+    ordered = F.sort_array(F.transform("q_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn("q_sorted", F.when(F.size(F.array_distinct("q_win")) < F.size("q_win"), ordered))
 
+    def twice(x, k):
+        before, after = F.get("q_sorted", k - 1)["h"], F.get("q_sorted", k + 1)["h"]
+        return F.coalesce(before == x["h"], F.lit(False)) | F.coalesce(after == x["h"], F.lit(False))
+
+    starts = F.sort_array(F.transform(F.filter("q_sorted", twice), lambda x: x["i"]))
+    out = out.withColumn("q_starts", F.when(F.col("q_sorted").isNotNull(), starts))
+    until = lambda p, k: F.coalesce(F.get("q_starts", k + 1) - p, F.lit(WINDOW))
+    covered = F.transform("q_starts", lambda p, k: F.least(F.lit(WINDOW), until(p, k)))
+    total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
+    out = out.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long")))
+    return out.drop("q_h1", "q_h2", "q_h4", "q_win", "q_sorted", "q_starts")
 
-def references(docs: DataFrame) -> dict:
-    """Language to its two reference distributions: sums over all of `docs`. As many rows as listed languages and one reach the driver."""
+
+def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(q_row, q_lang, q_chars, q_classes, q_common and the base counts) of every row of `docs` (text, lang), in one pass
+    over the texts, written; q_row has the columns `carry`, all by default."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        F.struct(*(docs.columns if carry is None else carry)).alias("q_row"),
+        F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).alias("q_lang"),
+        text.alias("q_text"),
+        word_array(F.col("text")).alias("q_words"),
+    )
+    out = _repeats(_histograms(rows))
+    lines = F.filter(F.split("q_text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    out = out.withColumn("q_lines", lines)
+    spaces = F.get("q_classes", F.lit(CLASSES.index("space")))
+    return written(
+        out.select(
+            "q_row", "q_lang", "q_classes", "q_common",
+            F.length("q_text").alias("q_chars"),
+            F.size("q_words").cast("long").alias("n_words"),
+            (F.length("q_text") - spaces).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace("q_text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
+            (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
+            "n_repeat_words",
+        ),
+        "quality",
+    )
+
+
+def references(rows: DataFrame) -> dict:
+    """Language to its two reference distributions: sums over all of the measured `rows`. As many rows as listed languages
+    and one reach the driver."""
     most = max(map(len, COMMON_WORDS.values())) + 1
-    lang = F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang"))
-    sums = [F.sum(F.get("q_classes", F.lit(i))).alias(f"k{i}") for i in range(len(CLASSES))] + [F.sum(F.get("q_common", F.lit(i))).alias(f"w{i}") for i in range(most)]
-    rows = histograms(docs.select("text", "lang")).groupBy(lang.alias("lang")).agg(*sums).collect()
+    sums = [F.sum(F.get("q_classes", F.lit(i))).alias(f"k{i}") for i in range(len(CLASSES))]
+    sums += [F.sum(F.get("q_common", F.lit(i))).alias(f"w{i}") for i in range(most)]
+    found = rows.groupBy("q_lang").agg(*sums).collect()
 
     def shares(counts):
         total = sum(counts)
         return [x / total for x in counts] if total else None
 
-    found = {r["lang"]: ([r[f"k{i}"] or 0 for i in range(len(CLASSES))], [r[f"w{i}"] or 0 for i in range(most)]) for r in rows}
-    every = [sum(x) for x in zip(*(k for k, _ in found.values()), strict=True)] if found else [0] * len(CLASSES)
-    return {None: (shares(every), None)} | {k: (shares(a), shares(b)) for k, (a, b) in found.items() if k is not None}
+    classes = {r["q_lang"]: [r[f"k{i}"] or 0 for i in range(len(CLASSES))] for r in found}
+    common = {r["q_lang"]: [r[f"w{i}"] or 0 for i in range(most)] for r in found}
+    every = [sum(x) for x in zip(*classes.values(), strict=True)] if found else [0] * len(CLASSES)
+    listed = {k: (shares(classes[k]), shares(common[k])) for k in classes if k is not None}
+    return {None: (shares(every), None)} | listed
 
 
 def js_distance(counts, shares) -> F.Column:
@@ -96,61 +164,37 @@ def js_distance(counts, shares) -> F.Column:
     return F.when(total > 0, F.sqrt(F.greatest(summed, F.lit(0.0))))
 
 
-def _repeats(docs: DataFrame) -> DataFrame:
-    """Adds n_repeat_words: words covered by a window of five words that the text holds twice or more."""
-    words, n = F.col("q_words"), F.size("q_words")
-    window = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))
-    out = docs.withColumn("q_win", F.when(n >= WINDOW, window).otherwise(F.array().cast("array<bigint>")))
-    ordered = F.array_sort(F.transform("q_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn("q_sorted", F.when(F.size(F.array_distinct("q_win")) < F.size("q_win"), ordered))
+def score(rows: DataFrame, refs: dict) -> DataFrame:
+    """Measured `rows` with class_distance, common_distance (null where a guard holds), base_failed and kept."""
 
-    def twice(x, k):
-        return F.coalesce(F.get("q_sorted", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("q_sorted", k + 1)["h"] == x["h"], F.lit(False))
-
-    starts = F.array_sort(F.transform(F.filter("q_sorted", twice), lambda x: x["i"]))
-    out = out.withColumn("q_starts", F.when(F.col("q_sorted").isNotNull(), starts))
-    covered = F.transform("q_starts", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("q_starts", k + 1) - p, F.lit(WINDOW))))
-    total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("q_win", "q_sorted", "q_starts")
+    def as_array(shares):
+        return F.array(*map(F.lit, shares)) if shares else F.lit(None).cast("array<double>")
 
-
-def score(docs: DataFrame, refs: dict) -> DataFrame:
-    """`docs` with the base counts, class_distance, common_distance (null where a guard holds), base_failed and kept."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = _repeats(histograms(docs))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = out.withColumn("q_lines", lines)
-    n = F.size("q_words").cast("long")
-    out = out.withColumns(
-        {
-            "n_words": n,
-            "word_chars": (F.length(text) - F.get("q_classes", F.lit(CLASSES.index("space")))).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-        }
-    )
-    as_array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.lit(None).cast("array<double>")
-    classes = F.coalesce(_by_language({k: as_array(a) for k, (a, _) in refs.items() if k}, F.col("lang")), as_array(refs[None][0]))
-    common = _by_language({k: as_array(b) for k, (_, b) in refs.items() if k}, F.col("lang")).cast("array<double>")
-    out = out.withColumns(
+    lang, every = F.col("q_lang"), as_array(refs[None][0])
+    classes = F.coalesce(_by_language({k: as_array(a) for k, (a, _) in refs.items() if k}, lang), every)
+    common = _by_language({k: as_array(b) for k, (_, b) in refs.items() if k}, lang).cast("array<double>")
+    judged = F.col("q_chars") >= MIN_CHARS_FOR_CLASSES
+    repeats = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+    out = rows.withColumns(
         {
-            "class_distance": F.when(F.length(text) >= MIN_CHARS_FOR_CLASSES, js_distance(F.col("q_classes"), classes)),
+            "class_distance": F.when(judged, js_distance(F.col("q_classes"), classes)),
             "common_distance": F.when(F.col("n_words") >= MIN_WORDS_FOR_COMMON, js_distance(F.col("q_common"), common)),
-            "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
+            "base_failed": (F.col("n_words") < MIN_WORDS) | repeats,
         }
     )
-    far = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("common_distance") > MAX_COMMON_DISTANCE, F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("q_words", "q_classes", "q_common", "q_lines")
+    far = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False))
+    far = far | F.coalesce(F.col("common_distance") > MAX_COMMON_DISTANCE, F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """`docs` with counts, distances and verdict, against references taken from the same `docs`."""
-    return score(docs, references(docs))
+def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` of `docs`, all by default, with counts, distances and verdict, against references from `docs`."""
+    rows = measured(docs, carry)
+    own = [c for c in (docs.columns if carry is None else carry) if c not in RESULTS]
+    return score(rows, references(rows)).select(*(F.col("q_row")[c].alias(c) for c in own), *RESULTS)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep, with its own columns, whatever their names."""
-    rows = docs.select(F.struct(*docs.columns).alias("q_row"), "text", "lang")
-    # the id, always true here, keeps the optimiser from copying the whole verdict into a filter on the scan
-    judged = judge(rows).withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return judged.where("kept").select("q_row.*")
+    rows = measured(docs)
+    return score(rows, references(rows)).where("kept").select("q_row.*")
