@@ -108,10 +108,10 @@ def links(fps: DataFrame) -> DataFrame:
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp, component_id) for every row: the least key that is linked, directly or not."""
     fps = written(fingerprints(docs, text, key), "fingerprints")
+    nodes = written(fps.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
     # a number of its own keeps the small rows, each of which gives 56 postings, from being dealt to one or two tasks
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = fps.repartition(tasks, "fp").groupBy("fp").agg(F.min(key).alias("first"))
-    roots = connected_components(links(nodes.select("fp")))
+    roots = connected_components(links(nodes.select("fp").repartition(tasks, "fp")))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     grouped = written(grouped, "groups")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
