@@ -219,6 +219,7 @@ def report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, tree_seed: i
     drawn = draws(rows, shards, seed, tree_seed=tree_seed)
     mixed = write_mix(_placed(rows, drawn, seed, "m_row", "size"), new_path(docs.sparkSession, "mix"))
     taken = mixed.groupBy("m_row").agg(F.sum("size").alias("taken"))
-    goal = drawn.groupBy("m_source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    out = rows.join(goal, "m_source").join(taken, "m_row", "left")
+    # by source and block, as a source alone may be most of the rows
+    goal = drawn.select("m_source", "m_block", "source_size", "target")
+    out = rows.join(goal, ["m_source", "m_block"]).join(taken, "m_row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
