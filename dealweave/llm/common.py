@@ -28,8 +28,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder that all executors share; one of our own only in local mode where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or _own_folder()).rstrip("/")
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
@@ -85,7 +88,7 @@ def slices(data: pa.Array, size: int = 4_000_000):
         low = high
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected `edges` (u, v: long); root names the component.
 
     Each round points every node to its least neighbour in an order shuffled by hash, contracts the
@@ -99,7 +102,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     edges = written(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges")
     maps = []
-    while len(maps) < max_rounds and not edges.isEmpty():
+    while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(order(F.col("v"))).alias("m"))
         step = written(

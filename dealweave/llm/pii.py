@@ -2,7 +2,7 @@
 
 Found values are validated and then permuted by a keyed Feistel network inside their own format: an
 address stays an address, a card number keeps a right check digit, a date stays a date. The permutation
-depends on the key and the value alone, so equal values stay linked across documents and different
+depends on the key, which the caller keeps secret, and the value alone, so equal values stay linked across documents and different
 values of a format stay different. Text outside the values is left as it is.
 
 Two networks are used, of `ROUNDS` rounds each:
@@ -17,20 +17,24 @@ no rule, as each row stands alone; extra columns are passed through. Whole texts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-DEFAULT_KEY = "dealweave"
+#: Session setting that holds the key of the registered queries.
+KEY_SETTING = "spark.dealweave.pii.key"
 
 # Formats, as Java regular expressions. The order is the order of precedence.
 FORMATS = {
     "secret": r"(?i:\b(?:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-]{8,200})",
     "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
+    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d|-[A-Za-z])",
     "date": r"(?<![\d\-/.])(?:19|20)\d{2}([\-/.])\d{2}\1\d{2}(?![\d]|[\-/.]\d)|(?<![\d\-/.])\d{2}([\-/.])\d{2}\2(?:19|20)\d{2}(?![\d]|[\-/.]\d)",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "ssn": r"(?<![\d\-])(?!000)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)",
     "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w])",
 }
@@ -41,11 +45,6 @@ def _digits(s) -> F.Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
-def _digest(key: str, label: str, number: int, value) -> F.Column:
-    """Keyed 60-bit digest as a long."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}:{label}:{number}:"), value.cast("string")), 256), 1, 15), 16, 10).cast("long")
-
-
 def feistel_number(value, a: int, b: int, key: str, label: str) -> F.Column:
     """A keyed permutation of 0 .. a*b - 1."""
     high, low = F.floor(value / b).cast("long"), value % b
@@ -205,7 +204,17 @@ def pseudonym(m, key: str) -> F.Column:
     return out.otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+@functools.cache
+def _own_key() -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session is set to, else a random one of this process, which links values within its runs only."""
+    return spark.conf.get(KEY_SETTING, None) or _own_key()
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(row, n_found): rows of `docs` as structs with `text` rewritten, and the number of values replaced."""
     pattern = _pattern(FORMATS)
     t = F.col("p_text")

@@ -62,7 +62,7 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs).select("row.doc_id", "row.text", "n_found")
+    return pii.pseudonymise(docs, pii.session_key(spark)).select("row.doc_id", "row.text", "n_found")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,18 @@ def test_simhash(docs, empty, texts):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_simhash_tally(spark):
+    """Pairs meet once, six or 21 times by their shared bytes, and only from six meetings on they are kept."""
+    a = 0x0102030405060708
+    fps = {a: None, a ^ 1: 21, a ^ 1 << 8 ^ 2: 6, a ^ 1 << 8 ^ 1 << 16 ^ 4: 1, a ^ 0x7F7F7F7F << 16: None, a ^ 0x7F << 24: 21}
+    table = spark.createDataFrame([(x,) for x in fps], "fp long")
+    lists = simhash.postings(table).groupBy("slot").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    met = {frozenset((r["u"], r["v"])): r["meetings"] for r in simhash.tallied(lists).collect()}
+    assert {x: met.get(frozenset((a, x))) for x in fps if x != a} == {x: n for x, n in fps.items() if x != a}
+    want = {frozenset((x, y)) for x in fps for y in fps if x != y and (x ^ y).bit_count() <= 2}
+    assert {frozenset((r["u"], r["v"])) for r in simhash.links(table).collect()} == want
+
+
 def test_simhash_dense_group(spark, monkeypatch):
     base = rng.getrandbits(63)
     near = {base} | {base ^ 1 << rng.randint(0, 15) ^ 1 << rng.randint(0, 15) for _ in range(90)}
@@ -147,7 +160,7 @@ def test_simhash_dense_group(spark, monkeypatch):
 def test_pii_formats(spark):
     cases = ["+1 (988) 555-2485", "4041894974608795", "4041 8949 7460 8795", "bosbt.42@mail8.example.com", "42.144.35.254", "1984-02-29", "31/12/1999", "DE89 3704 0044 0532 0130 00", "123-45-6789", 'token = "0641917ea4e9feb9cda83477"']
     df = spark.createDataFrame([(i, f"see {c} here, and {c}.", "x") for i, c in enumerate(cases)], "doc_id long, text string, n_found string")
-    out = {r["row"]["doc_id"]: r for r in pii.pseudonymise(df).collect()}
+    out = {r["row"]["doc_id"]: r for r in pii.pseudonymise(df, "k").collect()}
     luhn = lambda s: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(re.sub(r"\D", "", s)))) % 10
     for i, c in enumerate(cases):
         text = out[i]["row"]["text"]
@@ -157,8 +170,8 @@ def test_pii_formats(spark):
         if "@" not in c and "." not in c:
             assert re.sub(r"\d", "9", re.sub("[a-z]", "x", a))[:4] == re.sub(r"\d", "9", re.sub("[a-z]", "x", c))[:4]
     assert luhn(out[1]["row"]["text"].split()[1]) == 0
-    same = spark.createDataFrame([(1, "version 1.2.3, 300.1.1.1, 2001-02-30, 4041894974608796, 12345 7-8"), (2, None), (3, "")], "doc_id long, text string")
-    got = {r["row"]["doc_id"]: (r["row"]["text"], r["n_found"]) for r in pii.pseudonymise(same).collect()}
+    same = spark.createDataFrame([(1, "version 1.2.3, 1.2.3.4-beta, 000-12-3456, 123-45-0000, 300.1.1.1, 2001-02-30, 4041894974608796, 12345 7-8"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["row"]["text"], r["n_found"]) for r in pii.pseudonymise(same, "k").collect()}
     assert got == {r["doc_id"]: (r["text"], 0) for r in same.collect()}
 
 
@@ -168,6 +181,58 @@ def test_pii_is_a_permutation(spark):
     assert len({r["s"] for r in rows}) == len(rows)
 
 
+def shifted(key, label, number, value):
+    return int(hashlib.sha256(f"{key}:{label}:{number}:{value}".encode()).hexdigest()[:15], 16)
+
+
+def brute_number(value, a, b, key, label):
+    high, low = divmod(value, b)
+    for r in range(pii.ROUNDS):
+        if r % 2 == 0:
+            high = (high + shifted(key, label, r, low)) % a
+        else:
+            low = (low + shifted(key, label, r, high)) % b
+    return high * b + low
+
+
+def brute_text(value, key, label):
+    half = (len(value) + 1) // 2
+    parts = [value[:half], value[half:]]
+    for r in range(pii.ROUNDS):
+        mine, other = parts[r % 2], parts[1 - r % 2]
+        stream, out = hashlib.sha512(f"{key}:{label}:{r}:{other}".encode()).hexdigest(), ""
+        for i, c in enumerate(mine):
+            block = stream if i < 60 else hashlib.sha512(f"{stream}:{i // 60}".encode()).hexdigest()
+            by = int(block[i % 60 * 2 : i % 60 * 2 + 4], 16)
+            for alphabet in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+                if c in alphabet:
+                    c = alphabet[(alphabet.index(c) + by) % len(alphabet)]
+                    break
+            out += c
+        parts[r % 2] = out
+    return "".join(parts)
+
+
+def test_pii_by_another_feistel(spark, empty):
+    """Whole documents against a network written on its own, a very long one among them; an empty table stays empty."""
+    from datetime import date, timedelta
+
+    names = [f"ann.b{i}x" for i in range(6)] + ["Z" * 64]
+    tails = [f"{i:03d}-{i + 10}-{4000 + i}" for i in range(1, 7)] + ["899-99-9999"]
+    days = [date(1950, 1, 1) + timedelta(997 * i) for i in range(7)]
+    rows, want = [], {}
+    for i, (n, s, d) in enumerate(zip(names, tails, days, strict=True)):
+        pad = "no data " * (200_000 if i == 3 else 2)
+        rows.append((i, f"{pad}{n}@x.example.com and {s}, {d} or 10.0.{i}.7 {pad}"))
+        day = date(1900, 1, 1) + timedelta(brute_number((d - date(1900, 1, 1)).days, pii.DAYS_A, pii.DAYS_B, "k", "date"))
+        ip = brute_number((10 << 24) + (i << 8) + 7, 1 << 16, 1 << 16, "k", "ip")
+        address = ".".join(str(ip >> x & 255) for x in (24, 16, 8, 0))
+        want[i] = f"{pad}{brute_text(n, 'k', 'email')}@x.example.com and {brute_text(s, 'k', 'ssn')}, {day} or {address} {pad}"
+    found = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    assert {r["row"]["doc_id"]: r["row"]["text"] for r in found} == want and {r["n_found"] for r in found} == {4}
+    assert pii.pseudonymise(empty, "k").count() == 0
+
+
 def water_fill(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -205,16 +270,46 @@ def test_mixing(docs, empty):
     assert mixing.report(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
-def test_splitting_tree(spark):
-    quotas = {"a": 100, "b": 7, "c": 0, "d": 33}
-    rows = mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "m_source string, quota long"), 8).collect()
-    total = Counter()
-    per_shard = Counter()
-    for r in rows:
-        total[r["m_source"]] += r["quota"]
-        per_shard[r["shard"]] += r["quota"]
-        assert r["quota"] >= 0
-    assert total == Counter(quotas) and max(per_shard.values()) - min(per_shard.values()) <= 3
+def test_splitting_tree(spark, monkeypatch):
+    quotas = [("a", "b_last", 100), ("b", "b_last", 7), ("c", "b_last", 0), ("d", "a_whole", 33), ("d", "c_left", 50)]
+    table = spark.createDataFrame(quotas, "m_source string, kind string, quota long")
+    for shards, limit in ((8, 10**9), (5, 10**9), (1, 10**9), (8, 20)):
+        monkeypatch.setattr(mixing, "SAMPLER_LIMIT", limit)
+        total, per_shard = Counter(), Counter()
+        for r in mixing.split_quotas(table, shards).collect():
+            total[r["m_source"], r["kind"]] += r["quota"]
+            per_shard[r["shard"]] += r["quota"] * (r["kind"] != "c_left")
+            assert r["quota"] >= 0
+        assert total == Counter({(s, k): n for s, k, n in quotas})
+        assert len(per_shard) == shards and max(per_shard.values()) - min(per_shard.values()) <= 3
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(mixing, "SAMPLER_LIMIT", 10**9)
+    assert 0.49e12 < mixing._hypergeometric(rng, 10**12, 10**12, 10**12) < 0.51e12
+
+
+def test_the_tree_decides(spark):
+    """Another seed of the tree alone takes other documents, and both meet the targets; shards hold what is reported."""
+    rows = [(i, "w " * (5 + i % 40), "abc"[i % 7 % 3], i) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard long")
+    found = [{r["doc_id"]: r for r in mixing.report(df, shards=4, tree_seed=s).collect()} for s in (1, 2)]
+    assert {i for i, r in found[0].items() if r["taken"]} != {i for i, r in found[1].items() if r["taken"]}
+    for by_id in found:
+        taken, target = Counter(), {}
+        for i, _, source, _ in rows:
+            taken[source] += by_id[i]["taken"]
+            target[source] = by_id[i]["target"]
+        assert all(abs(taken[s] - target[s]) <= 45 for s in target)
+    mixed = mixing.mix(df, shards=4)
+    parts = {r["shard"]: r for r in mixed.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("row.source").alias("s")).collect()}
+    sizes = [r["n"] for r in parts.values()]
+    assert set(parts) == {0, 1, 2, 3} and max(sizes) < 1.3 * min(sizes) and {r["s"] for r in parts.values()} == {3}
+    drawn = Counter(r[0] for r in mixed.select("row.doc_id").collect())
+    assert all(found[0][i]["taken"] == found[0][i]["size"] * drawn[i] for i, *_ in rows)
+    files = mixed.select(F.input_file_name().alias("f"), "place").collect()
+    order = {}
+    for r in files:
+        order.setdefault(r["f"], []).append(r["place"])
+    assert all(x == sorted(x) for x in order.values())
 
 
 def test_piece_equals_library():
@@ -255,6 +350,21 @@ def test_wavelet_matrix():
     assert wavelet.WaveletMatrix.build(np.empty(0, np.uint16), 10).count(3) == 0
 
 
+def test_wavelet_blocks(monkeypatch):
+    """Ranks come from the stored directory, and only the blocks that are asked for are opened."""
+    monkeypatch.setattr(wavelet, "BLOCK", 256)
+    r = np.random.default_rng(1)
+    ids = np.concatenate([r.integers(0, 50, 3000), np.full(700, 9), r.integers(0, 600, 2001)]).astype(np.uint16)
+    matrix = wavelet.unpack_shard(wavelet.pack_shard(ids, [1], [len(ids)], 10))[0]
+    assert (matrix.access(np.array([4000])) == ids[4000]).all()
+    assert all(len(p.opened) == 1 and len(p.blocks) == 23 for p in matrix.planes)
+    assert (matrix.access(np.arange(len(ids))) == ids).all() and (matrix.decode() == ids).all()
+    for s in (9, 0, 599, 1000):
+        places = np.flatnonzero(ids == s).tolist()
+        assert [matrix.select(s, k) for k in range(len(places))] == places and matrix.select(s, len(places)) == -1
+        assert all(matrix.rank(s, e) == (ids[:e] == s).sum() for e in (0, 255, 256, 257, 3000, len(ids)))
+
+
 def test_wavelet_documents(docs, empty, texts):
     from tokenizers import Tokenizer
 
@@ -271,14 +381,24 @@ def test_wavelet_documents(docs, empty, texts):
     assert wavelet.documents(wavelet.write_shards(empty, path)).count() == 0
 
 
-def test_word_encoder_on_odd_texts():
+def test_word_encoder_on_odd_texts(monkeypatch):
     from tokenizers import Tokenizer
 
     path = queries.word_tokenizer_path()
     t, e = Tokenizer.from_file(path), wavelet.WordEncoder(path)
     cases = ["It's THE ÉTÉ, don't!", "ΣΑΣ İ", "áb é", "<|endoftext|> x", "x<|endoftext|>y", "'s's 'll", "\x1c a\x85b", "½²³ ª º", "x1y22", "漢字 😀"]
     cases += ["".join(rng.choice("abDE'stre 19.,!\n\té%") for _ in range(50)) for _ in range(300)]
-    assert [x.tolist() for x in e.encode(cases)] == [t.encode(c, add_special_tokens=False).ids for c in cases]
+    want = [t.encode(c, add_special_tokens=False).ids for c in cases]
+
+    def encoded(texts):
+        ids, lengths = e.encode(pa.array(texts, pa.string()))
+        return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+    assert encoded(cases) == want and encoded(cases[:1]) == want[:1] and encoded(cases[3:4]) == want[3:4]
+    monkeypatch.setattr(wavelet, "PIECE_MEMORY", 40)
+    assert encoded(cases) == want and [encoded([c])[0] for c in cases[-20:]] == want[-20:]
+    monkeypatch.setattr(wavelet, "BYTE_MEMORY", 10)
+    assert encoded(cases) == want
 
 
 def removed(items):
@@ -296,12 +416,36 @@ def removed(items):
 
 
 @pytest.mark.parametrize("batches", [1, 3, 5])
-def test_substring(docs, texts, batches):
+def test_substring(spark, docs, texts, batches):
     want = removed(enumerate(texts))
-    once = docs.dropDuplicates(["doc_id"])
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substring.dedup(once, batches=batches).collect()}
+    once, index = docs.dropDuplicates(["doc_id"]), substring.FingerprintIndex(spark, compact_at=3)
+    rows = substring.dedup(once, batches=batches, index=index).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], bytes(r["kept"])) for r in rows}
     assert {i: got[i] for i in want} == want
-    assert got[None][1] == 0
+    assert got[None][1] == 0 and (index.compactions > 0) == (batches > 2)
+    index.close()
+
+
+def test_substring_index_is_kept(spark, docs, texts):
+    """A later session opens the index by its manifest and adds a batch; the registered query compacts."""
+    once = docs.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")
+    name = substring.pack(once)
+    packed, index = spark.table(name), substring.FingerprintIndex(spark)
+    half = len(texts) // 2
+    first = substring.repeated_windows(index, packed.where(F.col("key") < half), packed.where(F.col("key") < half), 8)
+    index.close()
+    later = substring.FingerprintIndex.open(spark, index.folder)
+    second = substring.repeated_windows(later, packed.where(F.col("key") >= half), packed, 8)
+    found = {r["key"]: set(r["starts"]) for r in first.union(second).collect()}
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for s in range(len(w) - 19):
+            if tuple(w[s : s + 20]) in seen:
+                want.setdefault(i, set()).add(s)
+            seen.add(tuple(w[s : s + 20]))
+    assert found == want and later.compactions == 1 and len(later.runs) == 1
+    assert substring.FingerprintIndex.open(spark, index.folder).version == later.version
 
 
 def test_substring_odd_tables(docs, empty):
@@ -338,6 +482,14 @@ def test_embeddings(spark):
     assert embed.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_repeated_ids(spark):
+    """Rows are rows, whatever their ids: different vectors under one id are nodes of their own."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    found = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"], r["audited_recall"]) for r in found)
+    assert got == [(1, 1, 1, True, 1.0), (1, 1, 1, True, 1.0), (2, 1, 1, False, 1.0), (3, 1, 1, False, 1.0), (4, 0, 4, True, 1.0)]
+
+
 def test_embeddings_join_dense_subgroups(spark):
     """Two groups of which every list is full of its own, with links from each to all of the other."""
     r = np.random.default_rng(8)
@@ -441,6 +593,35 @@ def test_html_class_words_keep_the_article(name):
         assert html.extract("<body>" + page.format(name, text) + aside + "</body>") == text
 
 
+def test_html_depth_is_linear():
+    from time import process_time
+
+    def seconds(depth):
+        page = "<p>x" + "<div class=a1><span><header>" * depth + "<h1>head</h1> deep text " + "</span><section>y</section>" * depth
+        start = process_time()
+        text = html.extract(page, next(iter(html.page_votes(page)))[0])
+        return process_time() - start, text
+
+    seconds(1000)
+    (short, _), (long, text) = seconds(8000), seconds(64_000)
+    assert text and long < 30 * short
+
+
+def test_html_pages_by_another_method(spark, sf_dir):
+    """All given pages, whose articles have no markup errors, against regular expressions."""
+    from html import unescape
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want, drop = {}, r"<(script|style|aside|nav|form|header|footer)\b.*?</\1>|<!--.*?-->|<div class=\"(?:ad|share|related)\">.*?</div>"
+    for r in pages.collect():
+        body = re.search(r"<article[^>]*>(.*?)</article>", re.sub(drop, "", r["html"], flags=re.S | re.I), re.S | re.I)[1]
+        blocks = re.split(r"</?(?:p|h\d|ul|ol|li|div|blockquote|pre|table|tr|td|th|section|figure|figcaption)\b[^>]*>", body, flags=re.I)
+        lines = [" ".join(unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in blocks]
+        want[r["page_id"]] = "\n".join(x for x in lines if x)
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(pages).collect()}
+    assert {i: (got[i], t) for i, t in want.items() if got[i] != t} == {}
+
+
 def test_html_votes_overrule_a_page(spark):
     good = "<body><article><p>" + "long text " * 30 + "</article><div class=teaser><p>short</div></body>"
     odd = "<body><article><p>brief</article><div class=box><p>" + "other words " * 30 + "</div></body>"
