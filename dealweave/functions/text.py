@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from dealweave.functions.matching import shingles, words
 
 
-def repair(df: DataFrame, key: str, text: str, fixes: DataFrame, substrings: Sequence[tuple[str, str]] = (), accents: tuple[str, str] = ("", "")) -> DataFrame:
-    """`df` with text lower-cased, accents mapped, listed substrings replaced (longest first) and whole words fixed from a table (wrong, right) of any size."""
+def repair(df: DataFrame, text: str, fixes: DataFrame, substrings: Sequence[tuple[str, str]] = (), accents: tuple[str, str] = ("", "")) -> DataFrame:
+    """`df` with text lower-cased, accents mapped, listed substrings replaced (longest first) and whole words fixed from a table (wrong, right) of any size; rows stand alone, and equal texts are looked up once."""
     c = F.lower(F.coalesce(F.col(text), F.lit("")))
     c = F.translate(c, *accents) if accents[0] else c
     c = reduce(lambda a, p: F.replace(a, F.lit(p[0]), F.lit(p[1])), sorted(substrings, key=lambda p: (-len(p[0]), p[0])), c)
     base = df.withColumn(text, c)
-    tokens = base.select(F.col(key).alias("_k"), F.posexplode(F.split(text, " ")).alias("_i", "_w"))
-    fixed = tokens.join(fixes.select(F.col("wrong").alias("_w"), "right"), "_w", "left").withColumn("_w", F.coalesce("right", "_w"))
-    joined = fixed.groupBy("_k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_w"))), lambda x: x["_w"]), " ").alias("_t"))
-    return base.join(joined, F.col(key) == F.col("_k"), "left").withColumn(text, F.coalesce("_t", text)).drop("_k", "_t")
+    once = fixes.groupBy(F.col("wrong").alias("_w")).agg(F.min("right").alias("_right"))
+    words_of = base.select(F.col(text).alias("_t"), F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
+    # only texts with a wrong word meet the rows again
+    changes = words_of.join(once, "_w").groupBy("_t").agg(F.map_from_entries(F.collect_set(F.struct("_w", "_right"))).alias("_fixes"))
+    right = F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.col("_fixes")[w], w)), " ")
+    rows = base.join(changes, F.col(text) == F.col("_t"), "left")
+    return rows.withColumn(text, F.when(F.col("_fixes").isNotNull(), right).otherwise(F.col(text))).drop("_t", "_fixes")
 
 
 def join_phrases(df: DataFrame, text: str, phrases: Sequence[tuple[str, str]]) -> DataFrame:
@@ -108,8 +111,12 @@ def classify(df: DataFrame, key: str, text: str, classes: DataFrame, default: st
     """(key, class): a label decides; else the class (class, keyword) whose keyword comes first in the text, masked compounds left out; else the default."""
     t = reduce(lambda a, m: F.replace(a, F.lit(m), F.lit("_" * len(m))), masks, F.lower(F.coalesce(text, F.lit(""))))
     rows = df.select(key, t.alias("_t"), (label if label is not None else F.lit(None).cast("string")).alias("_l"))
-    found = rows.join(classes, F.col("_t").contains(F.col("keyword"))).groupBy(key).agg(F.min_by("class", F.struct(F.expr("locate(keyword, _t)").alias("at"), "class")).alias("_c"))
-    return rows.join(found, key, "left").select(key, F.coalesce("_l", "_c", F.lit(default)).alias("class"))
+    # the rules are one row, tried within each row of the texts
+    rules = classes.agg(F.collect_list(F.struct("class", "keyword")).alias("_rules"))
+    at = F.transform("_rules", lambda r: F.struct(F.position(r["keyword"], F.col("_t")).alias("at"), r["class"].alias("class")))
+    first = F.array_min(F.filter(at, lambda x: x["at"] > 0))["class"]
+    rows = rows.crossJoin(F.broadcast(rules))  # one row
+    return rows.select(key, F.coalesce("_l", first, F.lit(default)).alias("class"))
 
 
 def pattern_frequency(lines: DataFrame, key: Sequence[str], line: str, patterns: Sequence[tuple[str, str]], examples: int = 3) -> DataFrame:

@@ -110,10 +110,16 @@ def off_season(df: DataFrame, rules: DataFrame, key: str, text: str, date: str)
 
     rules: priority, keyword, kind (fixed, easter, midsummer), start, end ("MM-dd", or day offsets), inside (the keyword only counts as the start of a longer word).
     """
-    texts = df.select(text).distinct().withColumn("_w", F.explode(F.array_distinct(words(F.col(text)))))
-    hit = (F.col("inside") & F.col("_w").startswith(F.col("keyword")) & (F.length("_w") > F.length("keyword"))) | (~F.col("inside") & (F.col("_w") == F.col("keyword")))
-    best = texts.join(rules, hit).groupBy(text).agg(F.min_by(F.struct("keyword", "kind", "start", "end"), F.struct("priority", "keyword")).alias("r"))
-    rows = df.join(best, text)
+    # a text is known by its digest, words meet rules by equality, and distinct words by their proper prefixes
+    rows = df.withColumn("_d", F.xxhash64(text)).withColumn("_n", F.length(text))
+    tokens = rows.select("_d", "_n", F.explode(F.array_distinct(words(F.col(text)))).alias("_w")).distinct()
+    vocabulary = tokens.select("_w").distinct()
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("_w") - 1), lambda i: F.substring("_w", F.lit(1), i))
+    inner = vocabulary.where(F.length("_w") > 1).select("_w", F.explode(prefixes).alias("keyword"))
+    ruled = vocabulary.select("_w", F.col("_w").alias("keyword")).join(rules.where(~F.col("inside")), "keyword")
+    ruled = ruled.unionByName(inner.join(rules.where("inside"), "keyword"))
+    best = tokens.join(ruled, "_w").groupBy("_d", "_n").agg(F.min_by(F.struct("keyword", "kind", "start", "end"), F.struct("priority", "keyword")).alias("r"))
+    rows = rows.join(best, ["_d", "_n"])
     d, year = F.col(date).cast("date"), F.year(date)
     anchor = F.when(F.col("r.kind") == "easter", easter(year)).when(F.col("r.kind") == "midsummer", midsummer(year))
     relative = d.between(F.date_add(anchor, F.col("r.start").try_cast("int")), F.date_add(anchor, F.col("r.end").try_cast("int")))

@@ -43,7 +43,7 @@ def route_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, short:
     """(key, term): terms (term, kind) in texts; keyword and parent_keyword as substrings of a word, name_word and short terms as whole words.
 
     The vocabulary meets the terms once, not the texts: a term without blanks that lies in a text lies in one
-    of its words. Terms with blanks are matched by runs of as many words, equal but for the first word's start and the last word's end.
+    of its words. Terms with blanks are looked for in the texts that have their rarest word, once for all terms of a text.
     """
     tokens = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(F.trim(text)), r"\s+"))).alias("w"))
     single, multi = terms.where(~F.col("term").contains(" ")), terms.where(F.col("term").contains(" "))
@@ -52,16 +52,21 @@ def route_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, short:
     parts = vocabulary.join(single, F.when(exact, F.col("w") == F.col("term")).otherwise(F.col("w").contains(F.col("term")))).select("w", "term").distinct()
     out = tokens.join(parts, "w").select(key, "term")
     heads = multi.select("term", F.split("term", " ").alias("ts")).distinct()
-    most = heads.agg(F.max(F.size("ts"))).first()[0]
-    if not most:
+    if heads.isEmpty():
         return out.distinct()
-    runs = texts.select(key, F.split(F.lower(F.trim(text)), r"\s+").alias("ws"))
-    runs = runs.select(key, F.explode(F.transform("ws", lambda w, i: F.slice("ws", i + 1, most))).alias("run")).select(key, "run", F.get("run", F.lit(1)).alias("w"))
-    # the second word decides which terms a run is held against: equal to the term's, or starting with it where it is the last
-    second = F.get("ts", F.lit(1))
-    seconds = vocabulary.join(heads, F.when(F.size("ts") > 2, F.col("w") == second).otherwise(F.col("w").startswith(second)))
-    hit = runs.join(seconds, "w").where(F.array_join(F.slice("run", F.lit(1), F.size("ts")), " ").contains(F.col("term")))
-    return out.union(hit.select(key, "term")).distinct()
+    # a text with the term has a word for each of the term's: the first ends with it, the last starts with it, others equal it
+    parts = heads.select("term", F.size("ts").alias("n"), F.posexplode("ts").alias("i", "t"))
+    place = F.when(F.col("i") == 0, F.col("w").endswith(F.col("t"))).when(F.col("i") == F.col("n") - 1, F.col("w").startswith(F.col("t"))).otherwise(F.col("w") == F.col("t"))
+    fitting = vocabulary.join(parts, place).select("w", "term", "n", "i")
+    # of the term's words the rarest in all texts names the texts that are read again
+    counts = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("docs")).join(fitting, "w").groupBy("term", "n", "i").agg(F.sum("docs").alias("docs"))
+    rarest = counts.groupBy("term").agg(F.min_by("i", F.struct("docs", "i")).alias("i"))
+    wanted = tokens.join(fitting.join(rarest, ["term", "i"]).select("w", "term"), "w").select(key, "term").distinct()
+    lists = wanted.groupBy(key).agg(F.collect_list("term").alias("_terms"))
+    flat = F.concat_ws(" ", F.split(F.lower(F.trim(text)), r"\s+"))
+    hit = texts.select(key, flat.alias("_t")).join(lists, key)
+    hit = hit.select(key, F.explode(F.filter("_terms", lambda t: F.col("_t").contains(t))).alias("term"))
+    return out.union(hit).distinct()
 
 
 def line_hints(lines: DataFrame, pairs: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id") -> DataFrame:
@@ -82,9 +87,11 @@ def refresh_scope(pairs: DataFrame, fresh: DataFrame, recipe_ids: DataFrame, off
 
 
 def duplicate_pairs(df: DataFrame, key: str, items: str, least: int = 2) -> DataFrame:
-    """(a, b): rows with more than `least` items and the same sorted items, a < b."""
+    """(a, b): rows b with more than `least` items and the same sorted items as a, the least key of its class; a class of n rows gives n - 1 pairs."""
     rows = df.where(F.size(items) > least).select(key, F.sha2(F.array_join(F.sort_array(items), "\x1f"), 256).alias("h"))
-    return rows.select(F.col(key).alias("a"), "h").join(rows.select(F.col(key).alias("b"), "h"), "h").where("a < b").select("a", "b")
+    # the classes are made with partial sums, so that a hot list is never gathered
+    first = rows.groupBy("h").agg(F.min(key).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.select(F.col(key).alias("b"), "h").join(first, "h").where("a < b").select("a", "b")
 
 
 def count_duplicate_pairs(df: DataFrame, items: str, least: int = 2) -> DataFrame:
@@ -125,11 +132,19 @@ def status_by_parent(parents: DataFrame, children: DataFrame, parent_key: str, c
     return parents.join(agg, F.col(parent_key) == F.col("_k"), "left").select(parent_key, F.coalesce("n", F.lit(0)).alias("n"), "last")
 
 
-def review_list(fixes: DataFrame, recipes: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """Fixes joined to their recipe, with place by a mixed order and unreviewed, the number of open ones."""
+def review_list(fixes: DataFrame, recipes: DataFrame, key: str, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Fixes joined to their recipe, with place by the columns `by`, never null, then by a mixed order, and unreviewed, the number of open ones.
+
+    Only the sizes of the groups of `by` meet in one task; rows are ranked group by group.
+    """
     unreviewed = fixes.agg(F.count_if(~F.col("reviewed")).alias("unreviewed"))
     out = fixes.join(recipes, key).crossJoin(F.broadcast(unreviewed))  # one row
-    return out.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    # places within each reviewed state by the rest of the order, after all rows of the states before it
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    sizes = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    out = out.withColumn("_place", place).join(before, list(by))
+    return out.withColumn("place", (F.col("_place") + F.col("_before")).cast("long")).drop("_place", "_before")
 
 
 def compounds(vocabulary: DataFrame, dictionary: DataFrame, head: int = 4, tail: int = 3, binding: str = "s") -> DataFrame:

@@ -43,7 +43,11 @@ def balanced_topk(profiles: DataFrame, items: DataFrame, weights: DataFrame, n:
     top = items.withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy(F.desc(by), key)))
     n_hidden = 0 if hidden is None else (hidden.groupBy("profile").count().agg(F.max("count")).first()[0] or 0)
     rows = top.where(F.col("_r") <= n + n_hidden).join(slots, "category")
-    pool_rows = items.orderBy(F.desc(pool), key).limit(2 * n + n_hidden).crossJoin(F.broadcast(profiles))  # a bounded list for each profile
+    # categories without weight are never shown, but where the pool has all slots
+    everything = weights.select("profile", "category").join(profiles.where(F.col("n_pool") >= n), "profile").select("profile", "category")
+    allowed = slots.select("profile", "category").union(everything).distinct()
+    best = items.withColumn("_p", F.row_number().over(Window.partitionBy("category").orderBy(F.desc(pool), key)))
+    pool_rows = best.where(F.col("_p") <= 2 * n + n_hidden).drop("_p").join(allowed, "category")  # a bounded list for each profile
     if hidden is not None:
         rows, pool_rows = (x.join(hidden, ["profile", key], "left_anti") for x in (rows, pool_rows))
     place = F.row_number().over(Window.partitionBy("profile", "category").orderBy(F.desc(by), key))
@@ -73,10 +77,20 @@ def serve(profiles: DataFrame, items: DataFrame, weights: DataFrame, n: int, in_
 
 
 def interleave(df: DataFrame, category: str, order: Sequence, by: Sequence[str] = ()) -> DataFrame:
-    """Adds turn (rank within the category) and place (by turn, then category)."""
-    turn = F.row_number().over(Window.partitionBy(*by, category).orderBy(*order))
-    rows = df.withColumn("turn", turn)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("turn", category, *order)))
+    """Adds turn (rank within the category) and place (by turn, then category).
+
+    A row's place follows from its turn and the sizes of the categories of its `by` group, which are few, so that no
+    window spans the categories.
+    """
+    rows = df.withColumn("turn", F.row_number().over(Window.partitionBy(*by, category).orderBy(*order)))
+    sizes = df.groupBy(*by, category).agg(F.count(F.lit(1)).alias("n"))
+    lists = sizes.groupBy(*by).agg(F.collect_list(F.struct(F.col(category).alias("c"), "n")).alias("_sizes"))
+    rows = rows.join(lists, list(by)) if by else rows.crossJoin(F.broadcast(lists))  # one row
+    # nulls sort first, as in an ascending window
+    not_after = lambda c: F.coalesce(c <= F.col(category), c.isNull())
+    earlier = F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, s: a + F.least(s["n"], F.col("turn") - 1))
+    here = F.size(F.filter("_sizes", lambda s: (s["n"] >= F.col("turn")) & not_after(s["c"])))
+    return rows.withColumn("place", (earlier + here).cast("long")).drop("_sizes")
 
 
 def page(df: DataFrame, order: Sequence, limit: int, offset: int = 0, seen: DataFrame | None = None, key: str = "id") -> DataFrame:

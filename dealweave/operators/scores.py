@@ -11,30 +11,91 @@ SAVING_CAP = 50
 FULL_MATCHES = 6
 
 
-def build_groups(hits: DataFrame, recipe: str = "recipe_id") -> DataFrame:
-    """(recipe, line_no, keywords, offers): one group per line with a hit; offers sorted by id with their savings."""
-    return hits.groupBy(recipe, "line_no").agg(F.sort_array(F.collect_set("keyword")).alias("keywords"), F.sort_array(F.collect_set(F.struct("offer_id", "savings"))).alias("offers"))
+def offers_by_keyword(offers: DataFrame) -> DataFrame:
+    """(keyword, offers): the offers (keyword, offer_id, savings, ...) of each keyword once, sorted by id."""
+    rest = [c for c in offers.columns if c not in ("keyword", "offer_id")]
+    lists = F.sort_array(F.collect_set(F.struct("offer_id", *rest)))
+    return offers.groupBy("keyword").agg(lists.alias("offers"))
+
+
+def build_groups(lines: DataFrame, offers: DataFrame, recipe: str = "recipe_id") -> DataFrame:
+    """(recipe, line_no, keywords, offers): one group per line with a hit; offers sorted by id with their savings.
+
+    Offers are grouped by keyword once; lines (recipe, line_no, keyword) meet these groups, never single offers.
+    """
+    rows = lines.select(recipe, "line_no", "keyword").distinct().join(offers_by_keyword(offers), "keyword")
+    found = F.sort_array(F.array_distinct(F.flatten(F.collect_list("offers"))))
+    return rows.groupBy(recipe, "line_no").agg(F.sort_array(F.collect_set("keyword")).alias("keywords"), found.alias("offers"))
+
+
+def _closed(sets: DataFrame, step: DataFrame) -> DataFrame:
+    """(key, target) of all keys after all moves (short, to) have been followed.
+
+    Each move lengthens the key, so a chain has fewer moves than the longest key has letters; the reach of the moves
+    doubles each round, and the rounds are as many as that needs.
+    """
+    longest = step.agg(F.max(F.length("to"))).first()[0] or 0
+    reach = step.select("short", "to")
+    for _ in range(longest.bit_length()):
+        there = reach.select(F.col("short").alias("to"), F.col("to").alias("further"))
+        reach = reach.join(there, "to", "left").select("short", F.coalesce("further", "to").alias("to")).persist()
+    out = sets.select("key").join(reach.withColumnRenamed("short", "key"), "key", "left")
+    return out.select("key", F.coalesce("to", "key").alias("target"))
+
+
+def _key_sets(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("key").agg(F.collect_set("group").alias("groups"))
 
 
 def promote(keys: DataFrame, suffixes: Sequence[str] = ("s", "es")) -> DataFrame:
     """(key, target) of keys (key, group): a key moves to a longer one that is it and a suffix if its groups are a subset, over and over."""
-    sets = keys.groupBy("key").agg(F.collect_set("group").alias("groups"))
+    sets = _key_sets(keys)
     ends = F.array(*map(F.lit, suffixes))
     longer = sets.select(F.col("key").alias("short"), "groups", F.explode(F.transform(ends, lambda e: F.concat("key", e))).alias("key"))
     step = longer.join(sets.select("key", F.col("groups").alias("theirs")), "key").where(F.size(F.array_except("groups", "theirs")) == 0)
-    step = step.groupBy("short").agg(F.min_by("key", F.struct((-F.length("key")).alias("n"), "key")).alias("to"))
-    out = sets.select("key", F.col("key").alias("target"))
-    for _ in range(3):  # each move lengthens the key, and the reach doubles
-        there = step.select(F.col("short").alias("target"), "to")
-        out = out.join(there, "target", "left").select("key", F.coalesce("to", "target").alias("target"))
-    return out
+    return _closed(sets, step.groupBy("short").agg(F.min_by("key", F.struct((-F.length("key")).alias("n"), "key")).alias("to")))
+
+
+def promote_contained(keys: DataFrame, least: int = 2, blocked: DataFrame | None = None) -> DataFrame:
+    """(key, target) of keys (key, group): a key moves to the shortest longer one that contains it and whose groups hold all of its own, over and over.
+
+    Pairs (short, key) in `blocked` don't count. Keys meet by the substrings of the longer one, of `least` letters or more.
+    """
+    sets = _key_sets(keys)
+    starts = F.sequence(F.lit(1), F.length("key") - least + 1)
+    pieces = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(least), F.length("key") - i + 1), lambda n: F.substring("key", i, n)))
+    long = sets.where(F.length("key") > least).select(F.explode(F.array_distinct(F.flatten(pieces))).alias("short"), "key", F.col("groups").alias("theirs"))
+    step = long.where("short <> key").join(sets.select(F.col("key").alias("short"), "groups"), "short").where(F.size(F.array_except("groups", "theirs")) == 0)
+    if blocked is not None:
+        step = step.join(blocked.select("short", "key"), ["short", "key"], "left_anti")
+    return _closed(sets, step.groupBy("short").agg(F.min_by("key", F.struct(F.length("key").alias("n"), "key")).alias("to")))
+
+
+def merge_equal(keys: DataFrame) -> DataFrame:
+    """(key, target) of keys (key, group, n): of keys with the same groups, the one with most offers (then the longest, then the first) takes those that contain it or lie in it."""
+    sets = keys.groupBy("key").agg(F.sort_array(F.collect_set("group")).alias("groups"), F.sum("n").alias("n"))
+    first = F.min(F.struct((-F.col("n")).alias("n"), (-F.length("key")).alias("long"), "key")).over(Window.partitionBy("groups"))
+    out = sets.withColumn("to", first["key"])
+    return out.select("key", F.when(F.col("to").contains(F.col("key")) | F.col("key").contains(F.col("to")), F.col("to")).otherwise(F.col("key")).alias("target"))
 
 
 def score(groups: DataFrame, n_lines: DataFrame, recipe: str = "recipe_id") -> DataFrame:
     """Per recipe, from (recipe, line_no, offers) and (recipe, n_lines): total_savings, num_matches, coverage_pct, match_score, budget_score, mean_pct, weighted_pct."""
     best = groups.withColumn("b", F.array_max(F.transform("offers", lambda o: F.struct(o["savings"].alias("savings"), o["pct"].alias("pct")))))
     signature = F.array_join(F.transform("offers", lambda o: o["offer_id"].cast("string")), ",")
-    once = best.groupBy(recipe, signature.alias("sig")).agg(F.max("b").alias("b"))
+    return score_signatures(best.select(recipe, signature.alias("sig"), "b"), n_lines, recipe)
+
+
+def best_by_keyword(offers: DataFrame) -> DataFrame:
+    """(keyword, sig, b): the signature of each keyword's offers and the best (savings, pct) of them."""
+    best = F.array_max(F.transform("offers", lambda o: F.struct(o["savings"].alias("savings"), o["pct"].alias("pct"))))
+    signature = F.array_join(F.transform("offers", lambda o: o["offer_id"].cast("string")), ",")
+    return offers_by_keyword(offers.select("keyword", "offer_id", "savings", "pct")).select("keyword", F.sha2(signature, 256).alias("sig"), best.alias("b"))
+
+
+def score_signatures(lines: DataFrame, n_lines: DataFrame, recipe: str = "recipe_id") -> DataFrame:
+    """The scores of `score`, from (recipe, sig, b) per line; lines with the same offers count once."""
+    once = lines.groupBy(recipe, "sig").agg(F.max("b").alias("b"))
     out = once.groupBy(recipe).agg(F.sum(F.least(F.col("b.savings"), F.lit(SAVING_CAP))).alias("total_savings"), F.count(F.lit(1)).alias("num_matches"), F.avg("b.pct").alias("mean"))
     out = out.join(n_lines, recipe)
     coverage = F.least(F.lit(100.0), F.col("num_matches") / F.col("n_lines") * 100)
@@ -47,10 +108,15 @@ def score(groups: DataFrame, n_lines: DataFrame, recipe: str = "recipe_id") -> D
     )
 
 
-def to_entry(scores: DataFrame, hits: DataFrame, version: str, recipe: str = "recipe_id") -> DataFrame:
-    """Nested result entry: scores, and match_data with the rules version, the offers and the groups."""
-    offers = hits.groupBy(recipe).agg(F.sort_array(F.collect_set(F.struct("offer_id", "savings"))).alias("offers"), F.sort_array(F.collect_set(F.struct("line_no", "keyword"))).alias("groups"))
-    return scores.join(offers, recipe).withColumn("match_data", F.struct(F.lit(version).alias("rules_version"), "offers", "groups")).drop("offers", "groups")
+def to_entry(scores: DataFrame, lines: DataFrame, offers: DataFrame, version: str, recipe: str = "recipe_id") -> DataFrame:
+    """Nested result entry: scores, and match_data with the rules version, the offers and the groups.
+
+    lines: recipe, line_no, keyword; offers: keyword, offer_id, savings, grouped by keyword before lines meet them.
+    """
+    rows = lines.join(offers_by_keyword(offers), "keyword")
+    groups = rows.groupBy(recipe).agg(F.sort_array(F.collect_set(F.struct("line_no", "keyword"))).alias("groups"))
+    lists = rows.select(recipe, "keyword", "offers").distinct().groupBy(recipe).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("offers")))).alias("offers"))
+    return scores.join(lists, recipe).join(groups, recipe).withColumn("match_data", F.struct(F.lit(version).alias("rules_version"), "offers", "groups")).drop("offers", "groups")
 
 
 def category_counts(df: DataFrame, category: str, keep: Column) -> DataFrame:

@@ -90,10 +90,10 @@ def a08(spark, d):
     "a09_clean_recipes",
     """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE (doc_id % 24) * 60 + doc_id % 60 END AS minutes, CASE WHEN doc_id % 2 = 0 THEN 'http://x/' || doc_id END AS image_url,
     CASE WHEN doc_id % 3 = 0 THEN 'rice' || '|' || 'salad' || '|' || 'bread' ELSE '1.33 dl ' || source || ' & ' || lang END AS lines
-    FROM documents WHERE (doc_id % 24) * 60 + doc_id % 60 > 0""",
+    FROM documents""",
 )
 def a09(spark, d):
-    docs = table(spark, d, "documents").where("(doc_id % 24) * 60 + doc_id % 60 > 0")
+    docs = table(spark, d, "documents")
     duration = F.when(F.col("doc_id") % 4 == 0, "PT0M").otherwise(F.concat(F.lit("PT"), F.col("doc_id") % 24, F.lit("H"), F.col("doc_id") % 60, F.lit("M")))
     line = F.when(F.col("doc_id") % 3 == 0, F.lit("rice, salad och bread")).otherwise(F.concat(F.lit("1.3333333 dl  "), "source", F.lit(" &amp; "), "lang"))
     rows = docs.select("doc_id", duration.alias("duration"), F.concat(F.when(F.col("doc_id") % 2 == 0, "http://x/").otherwise("data:"), "doc_id").alias("image_url"), F.array(line).alias("lines"))

@@ -54,7 +54,7 @@ def c04(spark, d):
     return hints.withColumn("line_nos", F.array_join(F.transform("line_nos", lambda x: x.cast("string")), ","))
 
 
-@query("c05_duplicate_pairs", views("recipe_lines", "recipes") + ", s AS (SELECT recipe_id, list_sort(ingredients) AS i FROM recipes WHERE len(ingredients) > 2) SELECT x.recipe_id AS a, y.recipe_id AS b FROM s x JOIN s y ON x.i = y.i AND x.recipe_id < y.recipe_id")
+@query("c05_duplicate_pairs", views("recipe_lines", "recipes") + ", s AS (SELECT recipe_id, list_sort(ingredients) AS i FROM recipes WHERE len(ingredients) > 2) SELECT a, recipe_id AS b FROM s JOIN (SELECT i, min(recipe_id) AS a FROM s GROUP BY 1) USING (i) WHERE recipe_id > a")
 def c05(spark, d):
     return C.duplicate_pairs(recipes(spark, d), "recipe_id", "ingredients")
 
@@ -77,10 +77,10 @@ def c08(spark, d):
     return C.offer_to_recipes(cache).withColumn("recipe_ids", F.array_join(F.transform("recipe_ids", lambda x: x.cast("string")), ","))
 
 
-@query("c09_enrich", views("offers", "recipe_lines") + ", c AS (SELECT recipe_id, count(DISTINCT offer_id) AS n_offers FROM recipe_lines JOIN offers ON line = name GROUP BY 1) SELECT o_orderkey AS recipe_id, coalesce(n_offers, 0) AS n_offers FROM orders LEFT JOIN c ON recipe_id = o_orderkey WHERE o_totalprice > 100000")
+@query("c09_enrich", views("offers", "recipe_lines") + ", c AS (SELECT recipe_id, count(DISTINCT offer_id) AS n_offers FROM recipe_lines JOIN offers ON line = name GROUP BY 1) SELECT o_orderkey AS recipe_id, coalesce(n_offers, 0) AS n_offers FROM orders LEFT JOIN c ON recipe_id = o_orderkey")
 def c09(spark, d):
     cache = C.candidates(line_terms(spark, d), C.offer_terms(offers(spark, d))).groupBy("recipe_id").agg(F.count(F.lit(1)).alias("n_offers"))
-    return C.enrich(table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").alias("recipe_id")), cache, "recipe_id", {"n_offers": 0})
+    return C.enrich(table(spark, d, "orders").select(F.col("o_orderkey").alias("recipe_id")), cache, "recipe_id", {"n_offers": 0})
 
 
 @query("c10_offer_status", "SELECT s_suppkey, count(l_orderkey) AS n, max(l_shipdate) AS last FROM supplier LEFT JOIN (SELECT * FROM lineitem WHERE l_suppkey % 3 <> 0) ON l_suppkey = s_suppkey GROUP BY 1")
@@ -88,10 +88,10 @@ def c10(spark, d):
     return C.status_by_parent(table(spark, d, "supplier"), table(spark, d, "lineitem").where("l_suppkey % 3 <> 0"), "s_suppkey", "l_suppkey", "l_shipdate")
 
 
-@query("c11_review_list", "WITH f AS (SELECT o_orderkey, o_custkey AS c_custkey, o_orderstatus = 'F' AS reviewed FROM orders WHERE o_orderpriority = '1-URGENT') SELECT o_orderkey, c_name, (SELECT count(*) FROM f WHERE NOT reviewed) AS unreviewed, row_number() OVER (ORDER BY reviewed, c_name DESC, o_orderkey) AS place FROM f JOIN customer USING (c_custkey)")
+@query("c11_review_list", "WITH f AS (SELECT o_orderkey, o_custkey AS c_custkey, o_orderstatus = 'F' AS reviewed FROM orders) SELECT o_orderkey, c_name, (SELECT count(*) FROM f WHERE NOT reviewed) AS unreviewed, row_number() OVER (ORDER BY reviewed, c_name DESC, o_orderkey) AS place FROM f JOIN customer USING (c_custkey)")
 def c11(spark, d):
-    fixes = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), (F.col("o_orderstatus") == "F").alias("reviewed"))
-    out = C.review_list(fixes, table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", [F.col("reviewed"), F.desc("c_name"), F.col("o_orderkey")])
+    fixes = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), (F.col("o_orderstatus") == "F").alias("reviewed"))
+    out = C.review_list(fixes, table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", ["reviewed"], [F.desc("c_name"), F.col("o_orderkey")])
     return out.select("o_orderkey", "c_name", "unreviewed", "place")
 
 
@@ -151,9 +151,9 @@ def d01(spark, d):
     v AS (SELECT doc_id, keyword FROM f WHERE multi OR NOT (list_contains(ws, keyword) OR len(list_filter(ws, lambda q: starts_with(q, keyword) AND NOT list_contains(bs, q))) > 0))
     SELECT doc_id, keyword FROM j ANTI JOIN v USING (doc_id, keyword)""")
 def d02(spark, d):
-    kws = spark.createDataFrame([("the",), ("la",), ("ere",)], "keyword string")
+    kws = ["the", "la", "ere"]
     base = table(spark, d, "documents").select("doc_id", F.lower("text").alias("line"), F.lit("x").alias("name"))
-    found = base.join(kws, F.col("line").contains(F.col("keyword")))
+    found = base.select("*", F.explode(F.filter(F.array(*map(F.lit, kws)), lambda k: F.col("line").contains(k))).alias("keyword"))
     blockers = spark.createDataFrame([("the", "then"), ("the", "other"), ("la", "de la"), ("ere", "there")], "keyword string, blocker string")
     return D.block_false_hits(found, blockers).select("doc_id", "keyword")
 
@@ -286,16 +286,23 @@ def e01(spark, d):
     return C.having_any(terms, ["offer_id"], ["keyword", "parent_keyword"])
 
 
-@query("e02_build_groups", views("recipe_lines", "offers", "hits") + "SELECT recipe_id, line_no, count(DISTINCT keyword) AS n_keywords, count(DISTINCT offer_id) AS n_offers, min(offer_id) AS first_offer FROM hits WHERE line = name GROUP BY 1, 2")
+def keyed(spark, d):
+    """(recipe_id, line_no, keyword) of all lines and (keyword, offer_id, savings, pct) of all offers: both go by their noun."""
+    noun = lambda c: F.split_part(c, F.lit(" "), F.lit(2)).alias("keyword")
+    pct = F.col("savings").cast("double") / F.col("original_price").cast("double") * 100
+    return recipe_lines(spark, d).select("recipe_id", "line_no", noun("line")), offers(spark, d).select(noun("name"), "offer_id", "savings", pct.alias("pct"))
+
+
+@query("e02_build_groups", views("recipe_lines", "offers", "hits") + "SELECT recipe_id, line_no, count(DISTINCT keyword) AS n_keywords, count(DISTINCT offer_id) AS n_offers, min(offer_id) AS first_offer FROM hits GROUP BY 1, 2")
 def e02(spark, d):
-    g = E.build_groups(hits(spark, d).where("line = name"))
+    g = E.build_groups(*keyed(spark, d))
     return g.select("recipe_id", "line_no", F.size("keywords").cast("long").alias("n_keywords"), F.size("offers").cast("long").alias("n_offers"), F.get("offers", F.lit(0))["offer_id"].alias("first_offer"))
 
 
 @query(
     "e03_promote",
     f"""WITH RECURSIVE {VOCAB_SQL}, g AS (SELECT word, list_sort(list(DISTINCT doc_id % 7)) AS g FROM tok GROUP BY 1), s AS (SELECT a.word AS short, arg_min(b.word, 100000 - length(b.word)) AS "to" FROM (SELECT word, g, unnest([word || 's', word || 'es']) AS longer FROM g) a JOIN g b ON b.word = a.longer WHERE list_has_all(b.g, a.g) GROUP BY 1),
-    r AS (SELECT word AS key, word AS target, 0 AS i FROM g UNION ALL SELECT key, "to", i + 1 FROM r JOIN s ON short = target WHERE i < 3)
+    r AS (SELECT word AS key, word AS target, 0 AS i FROM g UNION ALL SELECT key, "to", i + 1 FROM r JOIN s ON short = target)
     SELECT key, arg_max(target, i) AS target FROM r GROUP BY key HAVING max(i) > 0""",
 )
 def e03(spark, d):
@@ -303,7 +310,35 @@ def e03(spark, d):
     return E.promote(tokens.distinct()).where("key <> target")
 
 
-SCORE_SQL = """g AS (SELECT recipe_id, line_no, list_sort(list(DISTINCT offer_id)) AS sig, max(savings) AS s, arg_max(savings / original_price * 100, savings * 1000000 + round(savings / original_price * 100, 6)) AS pct FROM hits WHERE line = name GROUP BY 1, 2),
+def _dictionary_keys(spark, d):
+    """(key, group, n): words of 40 documents or more, by the documents' remainder of 7, with the number of documents."""
+    tokens = table(spark, d, "documents").select("doc_id", M.words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct("w")).alias("key"))
+    known = vocabulary(spark, d).where("n >= 40").select(F.col("word").alias("key"))
+    return tokens.join(known, "key").groupBy("key", (F.col("doc_id") % 7).alias("group")).agg(F.count(F.lit(1)).alias("n"))
+
+
+KEYS_SQL = f"{VOCAB_SQL}, g AS (SELECT word, list_sort(list(DISTINCT doc_id % 7)) AS g, count(*) AS n FROM tok WHERE word IN (SELECT word FROM dict) GROUP BY 1)"
+
+
+@query(
+    "e03_contained",
+    f"""WITH RECURSIVE {KEYS_SQL}, s AS (SELECT a.word AS short, arg_min(b.word, printf('%06d', length(b.word)) || b.word) AS "to" FROM g a JOIN g b ON length(a.word) >= 2 AND length(b.word) > length(a.word) AND contains(b.word, a.word) AND list_has_all(b.g, a.g) GROUP BY 1),
+    r AS (SELECT word AS key, word AS target, 0 AS i FROM g UNION ALL SELECT key, "to", i + 1 FROM r JOIN s ON short = target) SELECT key, arg_max(target, i) AS target FROM r GROUP BY key HAVING max(i) > 0""",
+)
+def e03_contained(spark, d):
+    return E.promote_contained(_dictionary_keys(spark, d).select("key", "group")).where("key <> target")
+
+
+@query(
+    "e03_merge_equal",
+    f"""WITH {KEYS_SQL}, m AS (SELECT g, arg_min(word, printf('%012d', 1000000000 - n) || printf('%06d', 100000 - length(word)) || word) AS "to" FROM g GROUP BY 1)
+    SELECT word AS key, "to" AS target FROM g JOIN m USING (g) WHERE word <> "to" AND (contains("to", word) OR contains(word, "to"))""",
+)
+def e03_merge(spark, d):
+    return E.merge_equal(_dictionary_keys(spark, d)).where("key <> target")
+
+
+SCORE_SQL = """g AS (SELECT recipe_id, line_no, list_sort(list(DISTINCT offer_id)) AS sig, max(savings) AS s, arg_max(savings / original_price * 100, savings * 1000000 + round(savings / original_price * 100, 6)) AS pct FROM hits GROUP BY 1, 2),
     o AS (SELECT recipe_id, sig, max(s) AS s, max(pct) AS pct FROM g GROUP BY 1, 2), n AS (SELECT recipe_id, count(*) AS n_lines FROM recipe_lines GROUP BY 1),
     t AS (SELECT recipe_id, sum(least(s, 50)) AS total, count(*) AS m, avg(pct) AS mean, any_value(n_lines) AS n_lines FROM o JOIN n USING (recipe_id) GROUP BY 1),
     scores AS (SELECT recipe_id, CAST(total AS DECIMAL(12,2)) AS total_savings, m AS num_matches, round(least(100.0, m / n_lines * 100), 1) AS coverage_pct, CAST(least(100, floor(m / 6 * 100)) AS INTEGER) AS match_score,
@@ -311,10 +346,9 @@ SCORE_SQL = """g AS (SELECT recipe_id, line_no, list_sort(list(DISTINCT offer_id
 
 
 def scored(spark, d):
-    h = hits(spark, d).where("line = name").withColumn("pct", F.col("savings").cast("double") / F.col("original_price").cast("double") * 100)
-    groups = h.groupBy("recipe_id", "line_no").agg(F.sort_array(F.collect_set(F.struct("offer_id", "savings", "pct"))).alias("offers"))
-    n = recipe_lines(spark, d).groupBy("recipe_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    return E.score(groups, n)
+    lines, o = keyed(spark, d)
+    n = lines.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    return E.score_signatures(lines.join(E.best_by_keyword(o), "keyword"), n)
 
 
 @query("e04_score", views("recipe_lines", "offers", "hits") + f", {SCORE_SQL} SELECT * FROM scores")
@@ -324,7 +358,8 @@ def e04(spark, d):
 
 @query("e05_to_entry")
 def e05(spark, d):
-    return E.to_entry(scored(spark, d), hits(spark, d).where("line = name"), "v1")
+    lines, o = keyed(spark, d)
+    return E.to_entry(scored(spark, d), lines, o.drop("pct"), "v1")
 
 
 @query("e06_count_duplicate_pairs", views("recipe_lines", "recipes") + ", s AS (SELECT list_sort(ingredients) AS i, count(*) AS n FROM recipes WHERE len(ingredients) > 2 GROUP BY 1) SELECT CAST(coalesce(sum(n * (n - 1) / 2), 0) AS BIGINT) AS pairs FROM s")
@@ -340,13 +375,13 @@ def e07(spark, d):
 @query(
     "e08_source_stats",
     views("runs") + """SELECT source, coalesce(n, 0) AS n, coalesce(bytes, 0) AS bytes, last_success, enabled FROM (SELECT DISTINCT source, source <> 'src3' AS enabled FROM documents)
-    LEFT JOIN (SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1) USING (source) LEFT JOIN (SELECT 'src' || job_id AS source, max(run_at) AS last_success FROM runs WHERE success AND mode <> 'view' GROUP BY 1) USING (source)""",
+    LEFT JOIN (SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1) USING (source) LEFT JOIN (SELECT 'src' || job_id AS source, max(run_at) AS last_success FROM runs WHERE success GROUP BY 1) USING (source)""",
 )
 def e08(spark, d):
     docs = table(spark, d, "documents")
     sources = docs.select("source", (F.col("source") != "src3").alias("enabled")).distinct()
-    r = runs(spark, d).where("mode <> 'view'").withColumn("source", F.concat(F.lit("src"), "job_id"))
-    return E.source_stats(docs.where("doc_id % 3 <> 0"), r, sources)
+    r = runs(spark, d).withColumn("source", F.concat(F.lit("src"), "job_id"))
+    return E.source_stats(docs, r, sources)
 
 
 @query("e09_sync_summary", "WITH a AS (SELECT * FROM events WHERE event_type IN ('view', 'click', 'error')) SELECT 4 AS active_sources, count(*) AS rows_active, count(DISTINCT CASE WHEN ts >= TIMESTAMP '2024-02-20' - INTERVAL 30 DAY THEN event_type END) AS seen_recently, max(ts) AS last_seen, false AS all_synced FROM a")
@@ -389,11 +424,10 @@ def e13(spark, d):
     return E.summarize_ops(ops)
 
 
-@query("e14_unmatched_count", views("recipe_lines", "offers") + "SELECT greatest((SELECT count(*) FROM offers) - count(DISTINCT offer_id), 0) AS unmatched FROM recipe_lines JOIN offers ON line = name WHERE source_name = 'F'")
+@query("e14_unmatched_count", views("recipe_lines", "offers") + "SELECT greatest((SELECT count(*) FROM offers) - count(DISTINCT offer_id), 0) AS unmatched FROM recipe_lines JOIN offers ON line = name")
 def e14(spark, d):
     o = offers(spark, d)
-    finished = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("recipe_id"))
-    matched = C.candidates(line_terms(spark, d).join(finished, "recipe_id", "left_semi"), C.offer_terms(o))
+    matched = C.candidates(line_terms(spark, d), C.offer_terms(o))
     return E.unmatched_count(o, matched)
 
 

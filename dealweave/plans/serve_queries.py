@@ -58,7 +58,7 @@ def g01(spark, d):
 TOPK_SQL = views("recipe_lines", "offers", "hits") + f""", {SCORE_SQL}, {ITEMS_SQL}, {WEIGHTS_SQL},
     c AS (SELECT profile, recipe_id, category, row_number() OVER (PARTITION BY profile, category ORDER BY total_savings DESC, recipe_id) AS place, slots FROM items JOIN own USING (category)),
     chosen AS (SELECT profile, recipe_id, category, 'category' AS kind, place FROM c WHERE place <= slots), used AS (SELECT profile, count(*) AS n FROM chosen GROUP BY 1),
-    p AS (SELECT profile, recipe_id, items.category, row_number() OVER (PARTITION BY profile ORDER BY budget_score DESC, recipe_id) AS place FROM items CROSS JOIN profiles ANTI JOIN chosen USING (profile, recipe_id))
+    p AS (SELECT profile, recipe_id, items.category, row_number() OVER (PARTITION BY profile ORDER BY budget_score DESC, recipe_id) AS place FROM items JOIN (SELECT profile, category FROM own UNION SELECT profile, category FROM weights JOIN profiles USING (profile) WHERE n_pool >= 24) USING (category) ANTI JOIN chosen USING (profile, recipe_id))
     SELECT * FROM chosen UNION ALL SELECT profile, recipe_id, category, 'pool', place FROM p LEFT JOIN used USING (profile) WHERE place <= 24 - coalesce(n, 0)"""
 
 
@@ -248,9 +248,9 @@ def h11(spark, d):
 @query("i01_repair", views("doc_lines") + """, t AS (SELECT doc_id, line_no, unnest(string_split(replace(replace(translate(lower(line), 'éèñ', 'een'), 'tion', 'zon'), 'sh', 'x'), ' ')) AS w, generate_subscripts(string_split(line, ' '), 1) AS i FROM doc_lines)
     SELECT doc_id, line_no, string_agg(CASE w WHEN 'the' THEN 'teh' WHEN 'of' THEN 'off' ELSE w END, ' ' ORDER BY i) AS line FROM t GROUP BY 1, 2""")
 def i01(spark, d):
-    lines = doc_lines(spark, d).withColumn("k", F.struct("doc_id", "line_no"))
+    lines = doc_lines(spark, d)
     fixes = spark.createDataFrame([("the", "teh"), ("of", "off")], "wrong string, right string")
-    return T.repair(lines, "k", "line", fixes, [("sh", "x"), ("tion", "zon")], ("éèñ", "een")).select("doc_id", "line_no", "line")
+    return T.repair(lines, "line", fixes, [("sh", "x"), ("tion", "zon")], ("éèñ", "een")).select("doc_id", "line_no", "line")
 
 
 @query("i02_join_phrases", views("doc_lines") + "SELECT doc_id, line_no, trim(replace(replace(replace(' ' || lower(line) || ' ', ' of the and ', ' ofthand '), ' in the ', ' inthe '), ' of the ', ' ofthe '), ' ') AS line FROM doc_lines")

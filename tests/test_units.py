@@ -237,3 +237,49 @@ def test_empty_tables(spark):
     terms = spark.createDataFrame([], "offer_id long, term string, kind string")
     assert C.candidates(none, terms).count() == 0 and C.manifest(terms, "offer_id").first()["rows"] == 0
     assert C.count_duplicate_pairs(spark.createDataFrame([], "id long, items array<string>"), "items").first()[0] == 0
+
+
+def test_promotion_follows_long_chains(spark):
+    """Six moves and more, by suffix and by containment; equal sets merge only what contains another."""
+    chain = ["aaa" + "s" * i for i in range(7)]
+    rows = [(k, g) for k in chain for g in (1, 2)] + [("bbb", 1), ("bbbs", 3)]
+    found = {r["key"]: r["target"] for r in E.promote(spark.createDataFrame(rows, "key string, group long")).collect()}
+    assert found == {k: chain[-1] for k in chain} | {"bbb": "bbb", "bbbs": "bbbs"}
+    rows = [("ost", 1), ("getost", 1), ("getost", 2), ("xgetosty", 1), ("xgetosty", 2), ("kal", 3), ("kall", 4), ("vitkal", 3)]
+    keys = spark.createDataFrame(rows, "key string, group long")
+    contained = {r["key"]: r["target"] for r in E.promote_contained(keys).collect() if r["key"] != r["target"]}
+    assert contained == {"ost": "xgetosty", "getost": "xgetosty", "kal": "vitkal"}
+    blocked = spark.createDataFrame([("kal", "vitkal"), ("ost", "getost")], "short string, key string")
+    contained = {r["key"]: r["target"] for r in E.promote_contained(keys, blocked=blocked).collect() if r["key"] != r["target"]}
+    assert contained == {"ost": "xgetosty", "getost": "xgetosty"}
+    sets = [("ost", 1, 5), ("ostar", 1, 2), ("mjölk", 1, 9), ("ris", 2, 1), ("rist", 2, 1)]
+    merged = {r["key"]: r["target"] for r in E.merge_equal(spark.createDataFrame(sets, "key string, group long, n long")).collect()}
+    assert merged == {"ost": "ost", "ostar": "ostar", "mjölk": "mjölk", "ris": "rist", "rist": "rist"}
+
+
+def test_zero_weight_categories_are_not_shown(spark):
+    """Neither by slots nor in the pool, but in a profile of which the pool has all slots."""
+    items = spark.createDataFrame([(i, "ab"[i % 2], float(i), float(i)) for i in range(40)], "recipe_id long, category string, total_savings double, budget_score double")
+    weights = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.0), (2, "a", 1.0), (2, "b", 0.0)], "profile long, category string, weight double")
+    profiles = spark.createDataFrame([(1, 2), (2, 6)], "profile long, n_pool int")
+    rows = G.balanced_topk(profiles, items, weights, 6).collect()
+    assert {r["category"] for r in rows if r["profile"] == 1} == {"a"} and sum(r["profile"] == 1 for r in rows) == 6
+    assert {r["category"] for r in rows if r["profile"] == 2} == {"a", "b"}
+
+
+def test_repair_by_row(spark):
+    """Repeated and null keys keep their own texts; repeated rules don't multiply rows."""
+    rows = spark.createDataFrame([(1, "Alpha beta"), (1, "gamma delta"), (None, "beta x"), (2, None), (3, "")], "id long, t string")
+    fixes = spark.createDataFrame([("beta", "BETA"), ("beta", "BETA"), ("delta", "D")], "wrong string, right string")
+    assert sorted(r["t"] for r in T.repair(rows, "t", fixes).collect()) == ["", "", "BETA x", "alpha BETA", "gamma D"]
+
+
+def test_interleave_places(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(p, c, i) for p in (1, 2) for c, n in (("x", 3), ("y", 1), (None, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "p long, c string, i long")
+    got = sorted((r["p"], r["place"], r["c"], r["turn"]) for r in G.interleave(df, "c", [F.col("i")], ["p"]).collect())
+    one = [(1, None, 1), (2, "x", 1), (3, "y", 1), (4, None, 2), (5, "x", 2), (6, "x", 3)]
+    assert got == [(p, place, c, t) for p in (1, 2) for place, c, t in one]
+    assert sorted(r["place"] for r in G.interleave(df, "c", [F.col("p"), F.col("i")]).collect()) == list(range(1, 13))
