@@ -28,10 +28,18 @@ def manifest(terms: DataFrame, key: str) -> DataFrame:
 
 
 def candidates(recipe_terms: DataFrame, offer_terms: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id", strong: Sequence[str] | None = ("keyword", "parent_keyword")) -> DataFrame:
-    """(recipe, offer, terms): pairs that share a term, with their sorted shared terms; with `strong`, one of them must be of such a kind on the offer's side."""
-    r, o = recipe_terms.select(recipe, "term").distinct(), offer_terms.select(offer, "term", "kind").distinct()
-    pairs = r.join(o, "term").groupBy(recipe, offer).agg(F.sort_array(F.collect_set("term")).alias("terms"), F.bool_or(F.col("kind").isin(*strong) if strong else F.lit(True)).alias("strong"))
-    return pairs.where("strong").drop("strong")
+    """(recipe, offer, terms): pairs that share a term, with their sorted shared terms; with `strong`, one of them must be of such a kind on the offer's side.
+
+    Offers with equal postings form a class. Terms are gathered for recipes and classes, and only the pairs that
+    are found meet the members of their class, so that offers of one name are not grouped one by one.
+    """
+    r = recipe_terms.select(recipe, "term").distinct()
+    postings = offer_terms.groupBy(offer).agg(F.sort_array(F.collect_set(F.struct("term", "kind"))).alias("_postings"))
+    members = postings.withColumn("_class", F.sha2(F.to_json("_postings"), 256))
+    classes = members.groupBy("_class").agg(F.any_value("_postings").alias("_postings"))
+    o = classes.select("_class", F.explode("_postings").alias("p")).select("_class", "p.*")
+    pairs = r.join(o, "term").groupBy(recipe, "_class").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.bool_or(F.col("kind").isin(*strong) if strong else F.lit(True)).alias("strong"))
+    return pairs.where("strong").join(members.select("_class", offer), "_class").select(recipe, offer, "terms")
 
 
 def having_any(pairs: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:
@@ -184,7 +192,7 @@ def repair_spelling(lines: DataFrame, fixes: DataFrame, key: Sequence[str], line
     per_line = log.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("word", "fix"))).alias("f"))
     marked = lines.join(per_line, list(key), "left")
     # one fix after another; the first place of the word at word bounds
-    fixed = F.aggregate(F.coalesce("f", F.array().cast("array<struct<word:string,fix:string>>")), F.lower(line), lambda a, x: F.regexp_replace(a, F.concat(F.lit(r"^((?:.*?[^\p{L}\p{N}])??)"), x["word"], F.lit(r"(?![\p{L}\p{N}])")), F.concat(F.lit("$1"), x["fix"])))
+    fixed = F.aggregate(F.coalesce("f", F.array().cast("array<struct<word:string,fix:string>>")), F.lower(line), lambda a, x: F.regexp_replace(a, F.concat(F.lit(r"(?s)^((?:.*?[^\p{L}\p{N}])??)"), x["word"], F.lit(r"(?![\p{L}\p{N}])")), F.concat(F.lit("$1"), x["fix"])))
     return marked.withColumn(line, fixed).drop("f"), log
 
 

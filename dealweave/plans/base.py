@@ -1,7 +1,7 @@
 """Registration of queries, and the domain views that they are built on.
 
-The tables of the test data stand in for the domain: a week of sales is the weekly offer snapshot, an
-order is a recipe whose part names are its ingredient lines, events are runs and operations.
+The tables of the test data stand in for the domain: every part with its best discount over all sales is an
+offer, an order is a recipe whose part names are its ingredient lines, events are runs and operations.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def offers(spark: SparkSession, folder: str, start: str = "2000-01-01", end: str = "2000-01-08") -> DataFrame:
-    part = table(spark, folder, "part")
-    sales = table(spark, folder, "lineitem").where((F.col("l_shipdate") >= F.lit(start).cast("timestamp")) & (F.col("l_shipdate") < F.lit(end).cast("timestamp")))
+def offers(spark: SparkSession, folder: str) -> DataFrame:
+    part, sales = table(spark, folder, "part"), table(spark, folder, "lineitem")
     best = sales.groupBy("l_partkey").agg(F.min("l_discount").alias("off"), F.min("l_suppkey").alias("store_id"))
     price = F.col("p_retailprice").cast("decimal(10,2)")
     return part.join(best, part.p_partkey == best.l_partkey).select(
@@ -76,7 +75,6 @@ VIEWS = {
         SELECT p_partkey AS offer_id, p_name AS name, p_brand AS brand, p_type AS category, CAST(p_retailprice AS DECIMAL(10,2)) AS original_price,
             CAST(CAST(p_retailprice AS DECIMAL(10,2)) * CAST(min(l_discount) AS DECIMAL(4,2)) AS DECIMAL(10,2)) AS savings, min(l_suppkey) AS store_id
         FROM part JOIN lineitem ON l_partkey = p_partkey
-        WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_shipdate < TIMESTAMP '2000-01-08'
         GROUP BY p_partkey, p_name, p_brand, p_type, p_retailprice)""",
     "next_offers": """next_offers AS (
         SELECT offer_id, name, brand, category, CASE WHEN offer_id % 7 = 0 THEN CAST(original_price + 10 AS DECIMAL(10,2)) ELSE original_price END AS original_price,

@@ -115,9 +115,16 @@ def c12(spark, d):
     return C.compounds(v, v.where("n >= 40"))
 
 
-@query("c13_suggest", f"WITH {VOCAB_SQL}, u AS (SELECT word FROM df WHERE n < 40 AND length(word) >= 5 AND regexp_full_match(word, '[a-z]+')), d AS (SELECT word AS fix FROM dict WHERE regexp_full_match(word, '[a-z]+')), p AS (SELECT word, fix FROM u JOIN d ON abs(length(word) - length(fix)) <= 1 AND levenshtein(word, fix) = 1) SELECT word, min(fix) AS fix FROM p GROUP BY 1 HAVING count(*) = 1")
+@query(
+    "c13_suggest",
+    f"""WITH {VOCAB_SQL}, u AS (SELECT word FROM df WHERE n < 40 AND length(word) >= 5), d AS (SELECT word AS fix FROM dict),
+    ui AS (SELECT word, unnest(generate_series(1, length(word))) AS i FROM u), uf AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS form FROM ui),
+    di AS (SELECT fix, unnest(generate_series(1, length(fix))) AS i FROM d), df1 AS (SELECT fix, i, substr(fix, 1, i - 1) || substr(fix, i + 1) AS form FROM di),
+    p AS (SELECT word, fix FROM uf JOIN df1 USING (i, form) WHERE length(word) = length(fix) UNION SELECT word, fix FROM uf JOIN d ON form = fix UNION SELECT word, fix FROM df1 JOIN u ON form = word)
+    SELECT word, min(fix) AS fix FROM p GROUP BY 1 HAVING count(*) = 1""",
+)
 def c13(spark, d):
-    v = vocabulary(spark, d).where("word RLIKE '^[a-z]+$'")
+    v = vocabulary(spark, d)
     return C.suggest(v, v.where("n >= 40"))
 
 
