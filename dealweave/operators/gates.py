@@ -31,13 +31,22 @@ def _has(text: Column, word: Column) -> Column:
 
 
 def keyword_hits(pairs: DataFrame, lines: DataFrame, keywords: DataFrame, parents: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id") -> DataFrame:
-    """(recipe, offer, line_no, keyword, rank): the first keyword (offer, keyword, rank) found in each line of a pair; else its parent (offer, parent), rank null."""
-    rows = pairs.select(recipe, offer).join(lines, recipe)
-    own = rows.join(keywords, offer).where(F.lower("line").contains(F.col("keyword")))
-    own = own.groupBy(recipe, offer, "line_no").agg(F.min_by(F.struct("keyword", "rank"), F.struct("rank", "keyword")).alias("h")).select(recipe, offer, "line_no", "h.keyword", "h.rank")
-    rest = rows.join(own, [recipe, offer, "line_no"], "left_anti").join(parents, offer).where(F.lower("line").contains(F.col("parent")))
-    rest = rest.groupBy(recipe, offer, "line_no").agg(F.min("parent").alias("keyword")).withColumn("rank", F.lit(None).cast("int"))
-    return own.union(rest)
+    """(recipe, offer, line_no, keyword, rank): the first keyword (offer, keyword, rank) found in each line of a pair; else its parent (offer, parent), rank null.
+
+    Offers with the same keywords and parents form a class; lines are searched once for each class, then pairs take what their class found.
+    """
+    own_sets = keywords.groupBy(offer).agg(F.sort_array(F.collect_set(F.struct("keyword", "rank"))).alias("_keywords"))
+    parent_sets = parents.groupBy(offer).agg(F.sort_array(F.collect_set("parent")).alias("_parents"))
+    sets = own_sets.join(parent_sets, offer, "full").withColumn("_class", F.sha2(F.to_json(F.struct("_keywords", "_parents")), 256))
+    classes = sets.groupBy("_class").agg(F.any_value("_keywords").alias("_keywords"), F.any_value("_parents").alias("_parents"))
+    members = pairs.select(recipe, offer).join(sets.select(offer, "_class"), offer)
+    rows = members.select(recipe, "_class").distinct().join(lines, recipe)
+    text, place = F.lower("line"), [recipe, "_class", "line_no"]
+    own = rows.join(classes.select("_class", F.explode("_keywords").alias("k")).select("_class", "k.*"), "_class").where(text.contains(F.col("keyword")))
+    own = own.groupBy(*place).agg(F.min_by(F.struct("keyword", "rank"), F.struct("rank", "keyword")).alias("h")).select(*place, "h.keyword", "h.rank")
+    rest = rows.join(own, place, "left_anti").join(classes.select("_class", F.explode("_parents").alias("parent")), "_class").where(text.contains(F.col("parent")))
+    rest = rest.groupBy(*place).agg(F.min("parent").alias("keyword")).withColumn("rank", F.lit(None).cast("int"))
+    return own.union(rest).join(members, [recipe, "_class"]).select(recipe, offer, "line_no", "keyword", "rank")
 
 
 def block_false_hits(hits: DataFrame, blockers: DataFrame) -> DataFrame:

@@ -87,10 +87,14 @@ def score(groups: DataFrame, n_lines: DataFrame, recipe: str = "recipe_id") -> D
 
 
 def best_by_keyword(offers: DataFrame) -> DataFrame:
-    """(keyword, sig, b): the signature of each keyword's offers and the best (savings, pct) of them."""
-    best = F.array_max(F.transform("offers", lambda o: F.struct(o["savings"].alias("savings"), o["pct"].alias("pct"))))
-    signature = F.array_join(F.transform("offers", lambda o: o["offer_id"].cast("string")), ",")
-    return offers_by_keyword(offers.select("keyword", "offer_id", "savings", "pct")).select("keyword", F.sha2(signature, 256).alias("sig"), best.alias("b"))
+    """(keyword, sig, b): the signature of each keyword's offers and the best (savings, pct) of them.
+
+    The signature is a number of offers and two sums of their digests, so that a hot keyword is summed in parts, never listed.
+    """
+    once = offers.groupBy("keyword", "offer_id").agg(F.max(F.struct("savings", "pct")).alias("b"))
+    digest = F.sha2(F.col("offer_id").cast("string"), 256)
+    part = lambda start: F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return once.groupBy("keyword").agg(F.concat_ws(",", F.count(F.lit(1)).cast("string"), part(1), part(16)).alias("sig"), F.max("b").alias("b"))
 
 
 def score_signatures(lines: DataFrame, n_lines: DataFrame, recipe: str = "recipe_id") -> DataFrame:
@@ -113,9 +117,11 @@ def to_entry(scores: DataFrame, lines: DataFrame, offers: DataFrame, version: st
 
     lines: recipe, line_no, keyword; offers: keyword, offer_id, savings, grouped by keyword before lines meet them.
     """
-    rows = lines.join(offers_by_keyword(offers), "keyword")
-    groups = rows.groupBy(recipe).agg(F.sort_array(F.collect_set(F.struct("line_no", "keyword"))).alias("groups"))
-    lists = rows.select(recipe, "keyword", "offers").distinct().groupBy(recipe).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("offers")))).alias("offers"))
+    by_keyword = offers_by_keyword(offers)
+    known = offers.select("keyword").distinct()
+    groups = lines.join(known, "keyword", "left_semi").groupBy(recipe).agg(F.sort_array(F.collect_set(F.struct("line_no", "keyword"))).alias("groups"))
+    wanted = lines.select(recipe, "keyword").distinct().join(by_keyword, "keyword")
+    lists = wanted.groupBy(recipe).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("offers")))).alias("offers"))
     return scores.join(lists, recipe).join(groups, recipe).withColumn("match_data", F.struct(F.lit(version).alias("rules_version"), "offers", "groups")).drop("offers", "groups")
 
 

@@ -6,7 +6,7 @@ offer, an order is a recipe whose part names are its ingredient lines, events ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
@@ -115,3 +115,12 @@ def hits(spark: SparkSession, folder: str) -> DataFrame:
     lines = recipe_lines(spark, folder).select("recipe_id", "line_no", "line", F.split_part("line", F.lit(" "), F.lit(2)).alias("keyword"))
     o = offers(spark, folder).select("offer_id", "name", "savings", "original_price", F.split_part("name", F.lit(" "), F.lit(2)).alias("keyword"))
     return lines.join(o, "keyword")
+
+
+def text_hits(spark: SparkSession, folder: str, *more: Column) -> DataFrame:
+    """The hits by their texts: (keyword, line, name, more of the line's columns, n): equal lines and equal offers are counted before they meet."""
+    noun = lambda c: F.split_part(c, F.lit(" "), F.lit(2)).alias("keyword")
+    lines = recipe_lines(spark, folder).groupBy("line", *more).agg(F.count(F.lit(1)).alias("n_lines"))
+    names = offers(spark, folder).groupBy("name").agg(F.count(F.lit(1)).alias("n_offers"))
+    pairs = lines.select("*", noun("line")).join(names.select("*", noun("name")), "keyword")
+    return pairs.withColumn("n", F.col("n_lines") * F.col("n_offers")).drop("n_lines", "n_offers")

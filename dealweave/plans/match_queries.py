@@ -9,7 +9,7 @@ from dealweave.functions import text as T
 from dealweave.operators import gates as D
 from dealweave.operators import match as C
 from dealweave.operators import scores as E
-from dealweave.plans.base import doc_lines, hits, offers, query, recipe_lines, recipes, runs, table, views
+from dealweave.plans.base import doc_lines, hits, offers, query, recipe_lines, recipes, runs, table, text_hits, views
 from dealweave.plans.ingest_queries import WORDS_SQL
 
 TERMS_SQL = """terms AS (SELECT offer_id, lower(name) AS term, 'keyword' AS kind FROM offers UNION SELECT offer_id, split_part(lower(name), ' ', 2), 'parent_keyword' FROM offers
@@ -128,8 +128,8 @@ def c13(spark, d):
     return C.suggest(v, v.where("n >= 40"))
 
 
-def _summary(df):
-    return df.groupBy("line", "name").agg(F.count(F.lit(1)).alias("n"))
+def _summary(df, *more):
+    return df.groupBy("line", "name", *more).agg(F.sum("n").alias("n"))
 
 
 def gate(name, condition, extra=""):
@@ -177,7 +177,7 @@ def d03(spark, d):
 
 @gate("d04_need_qualifier", "keyword NOT IN ('bolt', 'gear') OR lc = nc")
 def d04(spark, d):
-    return _summary(D.need_qualifier(hits(spark, d), spark.createDataFrame([("bolt",), ("gear",)], "keyword string")))
+    return _summary(D.need_qualifier(text_hits(spark, d), spark.createDataFrame([("bolt",), ("gear",)], "keyword string")))
 
 
 @query(
@@ -189,8 +189,8 @@ def d04(spark, d):
 )
 def d05(spark, d):
     quals = spark.createDataFrame([("ring", "red", True), ("ring", "blue", False), ("rod", "hot", True)], "keyword string, qualifier string, two_way boolean")
-    out = D.specialty_gate(hits(spark, d), quals, spark.createDataFrame([("red", "hot")], "qualifier string, other string"))
-    return out.groupBy("line", "name", "q_rank").agg(F.count(F.lit(1)).alias("n"))
+    out = D.specialty_gate(text_hits(spark, d), quals, spark.createDataFrame([("red", "hot")], "qualifier string, other string"))
+    return _summary(out, "q_rank")
 
 
 FORM_SCHEMA = "keyword string, form string, mode string, partner string"
@@ -199,62 +199,63 @@ FORM_SCHEMA = "keyword string, form string, mode string, partner string"
 @gate("d06_form_gate", "NOT (keyword = 'bolt' AND nc = 'old' AND lc NOT IN ('old', 'new')) AND NOT (keyword = 'gear' AND nc = 'cold' AND lc NOT IN ('cold', 'hot')) AND NOT (keyword = 'gear' AND nc = 'hot' AND lc NOT IN ('cold', 'hot'))")
 def d06(spark, d):
     rules = spark.createDataFrame([("bolt", "old", "strict", "new"), ("gear", "cold", "loose", None), ("gear", "hot", "loose", None)], FORM_SCHEMA)
-    return _summary(D.form_gate(hits(spark, d), rules))
+    return _summary(D.form_gate(text_hits(spark, d), rules))
 
 
 @gate("d07_state_gate", "NOT (keyword = 'rod' AND nc = 'hot' AND lc = 'cold') AND NOT (keyword = 'plate' AND lc = 'small' AND nc NOT IN ('small', 'new'))")
 def d07(spark, d):
     rules = spark.createDataFrame([("rod", "hot", "block", "cold"), ("plate", "small", "require", "new")], FORM_SCHEMA)
-    return _summary(D.state_gate(hits(spark, d), rules))
+    return _summary(D.state_gate(text_hits(spark, d), rules))
 
 
 @gate("d08_secondary_gate", "NOT (keyword = 'anvil' AND nc = 'old') AND NOT (keyword = 'gizmo' AND nc = 'large' AND false)")
 def d08(spark, d):
     rules = spark.createDataFrame([("anvil", "old", None), ("gizmo", "large", "gizmo")], "keyword string, blocker string, exception string")
-    return _summary(D.secondary_gate(hits(spark, d), rules))
+    return _summary(D.secondary_gate(text_hits(spark, d), rules))
 
 
 @gate("d09_name_blockers", "NOT (keyword = 'ring' AND nc = 'red' AND lc NOT IN ('red', 'blue')) AND NOT (nc = 'hot' AND lc NOT IN ('hot', 'cold'))")
 def d09(spark, d):
     rules = spark.createDataFrame([("ring", "red", "blue"), (None, "hot", "cold")], "keyword string, blocker string, satisfier string")
-    return _summary(D.name_blockers(hits(spark, d), rules))
+    return _summary(D.name_blockers(text_hits(spark, d), rules))
 
 
 @query("d10_carrier_gate", views("recipe_lines", "offers", "hits") + "SELECT line, name, nc IN ('red', 'blue') AND lc = nc AS flavour_match, count(*) AS n FROM hits GROUP BY 1, 2, 3")
 def d10(spark, d):
-    out = D.carrier_gate(hits(spark, d), ["widget", "gear"], ["red", "blue"])
-    return out.groupBy("line", "name", "flavour_match").agg(F.count(F.lit(1)).alias("n"))
+    out = D.carrier_gate(text_hits(spark, d), ["widget", "gear"], ["red", "blue"])
+    return _summary(out, "flavour_match")
 
 
 @gate("d11_context_gate", "NOT (nc = 'small' AND lc <> 'small' AND keyword <> 'rod') AND NOT (lc = 'large' AND nc <> 'large') AND NOT (keyword = 'bolt' AND lc = 'new')")
 def d11(spark, d):
     rules = [("product", None, "small"), ("line", None, "large"), ("suppress", "bolt", "new"), ("exempt", "rod", "small")]
-    return _summary(D.context_gate(hits(spark, d), spark.createDataFrame(rules, "kind string, keyword string, word string")))
+    return _summary(D.context_gate(text_hits(spark, d), spark.createDataFrame(rules, "kind string, keyword string, word string")))
 
 
 @query("d12_policies", views("recipe_lines", "offers", "hits") + "SELECT line, name, CASE WHEN keyword = 'bolt' AND starts_with(line, 'o') THEN 'P1,P2' WHEN keyword = 'bolt' AND contains(line, 'old') THEN 'P2' WHEN keyword = 'gear' AND (lc = 'red' OR lc = 'blue') AND lc <> 'blue' THEN 'P3' END AS policies FROM (SELECT DISTINCT line, name, keyword, lc FROM hits) WHERE policies IS NOT NULL")
 def d12(spark, d):
     rules = [("P1", "^o", None, "bolt"), ("P2", "old", None, "bolt"), ("P3", "red|blue", "blue", "gear")]
-    void = D.apply_policies(hits(spark, d), spark.createDataFrame(rules, "policy_id string, line_pattern string, allowed_word string, blocked_keyword string"))[1]
+    void = D.apply_policies(text_hits(spark, d), spark.createDataFrame(rules, "policy_id string, line_pattern string, allowed_word string, blocked_keyword string"))[1]
     return void.select("line", "name", F.array_join("policies", ",").alias("policies"))
 
 
 @query("d13_bridges", views("recipe_lines", "offers", "hits") + "SELECT line, name, CASE WHEN keyword = 'ring' AND lc = 'red' THEN 'B1' ELSE 'B2' END AS bridge_id, count(*) AS n FROM hits WHERE (keyword = 'ring' AND lc = 'red') OR (keyword = 'gear' AND lc IN ('old', 'new') AND lc <> 'old') GROUP BY 1, 2, 3")
 def d13(spark, d):
     rules = [("B1", "^red", "ring$", None, "ring"), ("B2", "^(old|new)", "gear", "old", "gear")]
-    out = D.apply_bridges(hits(spark, d), spark.createDataFrame(rules, "bridge_id string, line_pattern string, name_pattern string, negative_pattern string, anchor string"))
-    return out.groupBy("line", "name", "bridge_id").agg(F.count(F.lit(1)).alias("n"))
+    out = D.apply_bridges(text_hits(spark, d), spark.createDataFrame(rules, "bridge_id string, line_pattern string, name_pattern string, negative_pattern string, anchor string"))
+    return _summary(out, "bridge_id")
 
 
 @gate("d14_requirement_gate", "NOT (lc = 'red' AND nc <> 'red') AND NOT (lc = 'hot' AND nc = 'cold') AND NOT (lc = 'old' AND nc = 'new' AND keyword <> 'rod')")
 def d14(spark, d):
     rules = [("red", "red", None, None), ("hot", None, "cold", None), ("old", None, "new", "rod")]
-    return _summary(D.requirement_gate(hits(spark, d), spark.createDataFrame(rules, "line_cue string, need string, forbid string, unless string")))
+    return _summary(D.requirement_gate(text_hits(spark, d), spark.createDataFrame(rules, "line_cue string, need string, forbid string, unless string")))
 
 
 @gate("d15_label_gate", "NOT ((lc = 'new' OR recipe_id % 10 = 0) AND nc <> 'new' AND keyword <> 'plate')")
 def d15(spark, d):
-    return _summary(D.label_gate(hits(spark, d), "new", F.col("recipe_id") % 10 == 0, ["plate"]))
+    tenth = (F.col("recipe_id") % 10 == 0).alias("tenth")
+    return _summary(D.label_gate(text_hits(spark, d, tenth), "new", F.col("tenth"), ["plate"]))
 
 
 @query(
@@ -363,10 +364,18 @@ def e04(spark, d):
     return scored(spark, d).drop("mean_pct", "weighted_pct")
 
 
-@query("e05_to_entry")
+@query(
+    "e05_to_entry",
+    views("recipe_lines", "offers", "hits") + f""", {SCORE_SQL}, e AS (SELECT recipe_id, 'v1' AS rules_version, count(DISTINCT offer_id) AS n_offers, min(offer_id) AS first_offer, count(DISTINCT (line_no, keyword)) AS n_groups FROM hits GROUP BY 1)
+    SELECT * FROM scores JOIN e USING (recipe_id)""",
+)
 def e05(spark, d):
+    """The entries, their lists as sizes and first offers."""
     lines, o = keyed(spark, d)
-    return E.to_entry(scored(spark, d), lines, o.drop("pct"), "v1")
+    entries = E.to_entry(scored(spark, d), lines, o.drop("pct"), "v1").drop("mean_pct", "weighted_pct")
+    lists = F.col("match_data.offers")
+    digests = {"rules_version": F.col("match_data.rules_version"), "n_offers": F.size(lists).cast("long"), "first_offer": F.array_min(F.transform(lists, lambda x: x["offer_id"])), "n_groups": F.size("match_data.groups").cast("long")}
+    return entries.withColumns(digests).drop("match_data")
 
 
 @query("e06_count_duplicate_pairs", views("recipe_lines", "recipes") + ", s AS (SELECT list_sort(ingredients) AS i, count(*) AS n FROM recipes WHERE len(ingredients) > 2 GROUP BY 1) SELECT CAST(coalesce(sum(n * (n - 1) / 2), 0) AS BIGINT) AS pairs FROM s")

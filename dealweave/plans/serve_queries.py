@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -487,16 +488,16 @@ def j07(spark, d):
     return J.gate(h, h.select("dataset", F.lit("v1").alias("version")).distinct())
 
 
-@query("j08_stream_upsert")
+@query("j08_stream_upsert", "SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def j08(spark, d):
-    from dealweave.operators.ingest import keep_first  # noqa: F401
-
+    """The last event of each user, streamed from the table's files; the final sync finds no user unseen."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    root = f"{root}/stream-{spark.sparkContext.applicationId}-{abs(hash(d))}-{spark.range(1).select(F.uuid()).first()[0]}"
+    root = f"{root}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4()}"
     e = table(spark, d, "events")
-    e.repartition(4, F.col("event_id") % 4).write.parquet(f"{root}/in")
-    stream = J.file_stream(spark, f"{root}/in", e.schema).select("user_id", "event_id", "ts", "event_type")
-    return J.stream_upsert(stream, f"{root}/out", "user_id", "event_id", f"{root}/log")
+    columns = ["user_id", "event_id", "ts", "event_type"]
+    stream = J.file_stream(spark, f"{d}/events*.parquet", e.schema, 64).select(*columns)
+    target = J.stream_upsert(stream, f"{root}/out", "user_id", "event_id", f"{root}/log")
+    return J.final_sync(target, e.select("user_id"), "user_id", F.lit(True)).select(*columns)
 
 
 @query("j09_retry_state")
@@ -568,7 +569,8 @@ def k02(spark, d):
 )
 def k03(spark, d):
     o = offers(spark, d)
-    pairs = hits(spark, d).select("offer_id", F.col("line").alias("other")).distinct()
+    noun = lambda c: F.split_part(c, F.lit(" "), F.lit(2)).alias("keyword")
+    pairs = o.select("offer_id", noun("name")).join(recipe_lines(spark, d).select(F.col("line").alias("other"), noun("line")).distinct(), "keyword").select("offer_id", "other")
     reds = table(spark, d, "part").select(F.col("p_name").alias("other")).distinct().where("other LIKE 'red %'")
     rules = o.select(F.lit("R1").alias("rule_id"), "offer_id", F.lit("all").alias("kind"), F.lit("red bolt").alias("other"))
     rules = rules.union(o.select(F.lit("R2"), "offer_id", F.lit("none"), F.lit("old ring"))).union(o.where("offer_id % 50 = 0").crossJoin(F.broadcast(reds)).select(F.lit("R3"), "offer_id", F.lit("allowed"), "other"))  # at most eight names

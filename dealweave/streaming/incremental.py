@@ -83,20 +83,26 @@ def staleness(meta: DataFrame, cache: DataFrame, sources: DataFrame, version: st
     return rows.withColumn("reasons", reasons).select(key, state.alias("state"), F.array_join("reasons", ",").alias("reasons"))
 
 
-def stream_upsert(stream: DataFrame, root: str, key: str, order: str, checkpoint: str) -> DataFrame:
-    """Runs a stream of rows into a keyed target under `root`, one version folder per micro-batch, until its input is used up.
+def stream_upsert(stream: DataFrame, root: str, key: str, order: str, checkpoint: str, compact_every: int = 16) -> DataFrame:
+    """Runs a stream of rows into a keyed target under `root` until its input is used up; of each key the last row by `order` counts, whenever it comes.
 
-    A batch keeps the last row of each key by `order`, then upserts. A rerun of a batch writes the same version again.
+    A micro-batch writes a folder with the last rows of its own keys, every `compact_every`-th one with those of the
+    whole target; readers merge the folders since the last whole one. A rerun of a batch writes the same folder again.
     """
     spark = stream.sparkSession
 
+    def merged(rows: DataFrame) -> DataFrame:
+        return ingest.keep_first(rows, key, [F.desc(order)], "drop")[0]
+
     def current(version: int) -> DataFrame | None:
-        return spark.read.parquet(f"{root}/v={version}") if version >= 0 else None
+        if version < 0:
+            return None
+        whole = max((version + 1) // compact_every * compact_every - 1, 0)
+        return merged(spark.read.parquet(*(f"{root}/v={n}" for n in range(whole, version + 1))))
 
     def save(batch: DataFrame, number: int) -> None:
-        new, _ = ingest.keep_first(batch, key, [F.desc(order)], "drop")
-        old = current(number - 1)
-        rows = new if old is None else ingest.upsert(new, old, key)[0]
+        old = current(number - 1) if (number + 1) % compact_every == 0 else None
+        rows = merged(batch if old is None else old.unionByName(batch))
         rows.write.mode("overwrite").parquet(f"{root}/v={number}")
 
     run = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

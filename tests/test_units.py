@@ -183,6 +183,9 @@ def test_streamed_upsert_and_final_sync(spark, tmp_path):
     stream = J.file_stream(spark, src, "k long, n long, v string")
     out = J.stream_upsert(stream, root, "k", "n", f"file://{tmp_path}/log")
     assert rows(out.select("k", "v")) == [(1, "d"), (2, "c"), (3, "e")]
+    compacted = J.stream_upsert(stream, f"{root}2", "k", "n", f"file://{tmp_path}/log2", compact_every=2)
+    assert rows(compacted.select("k", "v")) == [(1, "d"), (2, "c"), (3, "e")]
+    assert spark.read.parquet(f"{root}2/v=1").count() == 2 and spark.read.parquet(f"{root}2/v=2").count() == 2
     assert rows(J.final_sync(out, out.where("k < 3"), "k", F.lit(True)).select("k")) == [(1,), (2,)]
 
 
@@ -283,3 +286,39 @@ def test_interleave_places(spark):
     one = [(1, None, 1), (2, "x", 1), (3, "y", 1), (4, None, 2), (5, "x", 2), (6, "x", 3)]
     assert got == [(p, place, c, t) for p in (1, 2) for place, c, t in one]
     assert sorted(r["place"] for r in G.interleave(df, "c", [F.col("p"), F.col("i")]).collect()) == list(range(1, 13))
+
+
+def test_candidates_equal_pairwise_rule(spark):
+    import random
+
+    rng = random.Random(3)
+    kinds = ["keyword", "parent_keyword", "name_word"]
+    recipes = [(i, rng.choice("abcdef")) for i in range(12) for _ in range(3)]
+    terms = [(i, rng.choice("abcdefgh"), rng.choice(kinds)) for i in range(15) for _ in range(2)] + [(99, "a", "name_word"), (100, "b", "keyword"), (101, "b", "keyword")]
+    got = C.candidates(spark.createDataFrame(recipes, "recipe_id long, term string"), spark.createDataFrame(terms, "offer_id long, term string, kind string"))
+    want = set()
+    for r in {x[0] for x in recipes}:
+        for o in {x[0] for x in terms}:
+            shared = [(t, k) for i, t, k in terms if i == o and (r, t) in recipes]
+            if any(k != "name_word" for _, k in shared):
+                want.add((r, o, tuple(sorted({t for t, _ in shared}))))
+    assert {(r.recipe_id, r.offer_id, tuple(r.terms)) for r in got.collect()} == want
+
+
+def test_keyword_hits_by_class(spark):
+    from dealweave.operators import gates as D
+
+    pairs = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (2, 9), (3, 10)], "recipe_id long, offer_id long")
+    lines = spark.createDataFrame([(1, 1, "red bolt"), (1, 2, "old red ring"), (2, 1, "gear"), (2, 2, "Red thing"), (3, 1, "red")], "recipe_id long, line_no long, line string")
+    keywords = spark.createDataFrame([(7, "red bolt", 0), (8, "red bolt", 0), (8, "bolt", 1), (9, "gear", 2)], "offer_id long, keyword string, rank int")
+    parents = spark.createDataFrame([(7, "red"), (8, "red"), (10, "red")], "offer_id long, parent string")
+    want = [(1, 7, 1, "red bolt", 0), (1, 7, 2, "red", None), (1, 8, 1, "red bolt", 0), (1, 8, 2, "red", None), (2, 7, 2, "red", None), (2, 9, 1, "gear", 2), (3, 10, 1, "red", None)]
+    assert sorted(map(tuple, D.keyword_hits(pairs, lines, keywords, parents).collect()), key=lambda r: r[:3]) == want
+
+
+def test_path_parity_names_the_path_that_lacks_a_pair(spark):
+    from dealweave.operators import quality as K
+
+    df = lambda *r: spark.createDataFrame(list(r), "recipe_id long, offer_id long")
+    found = K.path_parity({"a": df((1, 1), (1, 2)), "b": df((1, 1), (1, 1)), "c": df((1, 1), (1, 2), (3, 3))}, ["recipe_id", "offer_id"])
+    assert sorted(map(tuple, found.collect())) == [(1, 2, "b"), (3, 3, "a,b")]
