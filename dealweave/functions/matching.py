@@ -51,3 +51,10 @@ def any_phrase(df: DataFrame, phrases: DataFrame, key: str, text: str, most_word
     pieces = df.select(key, words(F.col(text)).alias("_w")).select(key, F.explode(F.array_distinct(shingles(F.col("_w"), most_words))).alias("piece"))
     hits = pieces.join(phrases.select("phrase", F.array_join(words(F.col("phrase")), " ").alias("piece")).distinct(), "piece")
     return hits.groupBy(key).agg(F.min_by("phrase", F.struct((-F.length("phrase")).alias("n"), "phrase")).alias("phrase"))
+
+
+def compile_recipes(lines: DataFrame, key: str) -> DataFrame:
+    """(key, lines, words): one wide row per recipe from (key, line_no, line): its lines with their words in order, and its distinct words."""
+    rows = lines.withColumn("words", words(F.col("line")))
+    listed = F.sort_array(F.collect_list(F.struct("line_no", "line", "words")))
+    return rows.groupBy(key).agg(listed.alias("lines"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))

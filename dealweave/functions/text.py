@@ -80,26 +80,68 @@ def merge_lines(df: DataFrame, group: str, order: str, line: str, word: str = "o
     return out.drop("_island")
 
 
-def extract_keywords(df: DataFrame, key: str, text: str, stop: DataFrame, synonyms: DataFrame, keep_short: Sequence[str] = (), least: int = 3, most: int | None = None) -> DataFrame:
+def extract_keywords(
+    df: DataFrame, key: str | Sequence[str], text: str, stop: DataFrame, synonyms: DataFrame, keep_short: Sequence[str] = (), least: int = 3, most: int | None = None,
+    compounds: DataFrame | None = None, implicit: DataFrame | None = None, parents: DataFrame | None = None, generic: DataFrame | None = None,
+) -> DataFrame:
     """(key, keyword, pos): words without numbers, stop words (word) and short words, synonyms (word, canonical) applied, each once at its first place.
 
-    With `most` (line side), keys with more keywords than that give none. A word after `not` or `without` is dropped.
+    With `most` (line side), keys with more keywords than that give none. A word after `not` or `without` is dropped. Further rules are
+    tables: `compounds` (part, compound) drops a part where the compound stands in the same text, `implicit` (trigger, keyword) adds a keyword
+    at its trigger, `parents` (word, parent) lifts keywords after the synonyms, and keys whose only keyword is in `generic` (word) give none.
     """
-    ws = df.select(key, words(F.col(text)).alias("_w"))
+    keys = [key] if isinstance(key, str) else list(key)
+    ws = df.select(*keys, words(F.col(text)).alias("_w"))
     before = F.slice(F.concat(F.array(F.lit("")), "_w"), F.lit(1), F.size("_w"))
     kept = F.zip_with("_w", before, lambda w, p: F.when(~p.isin("not", "without"), w))
-    ws = ws.select(key, F.array_compact(kept).alias("_w"))
-    rows = ws.select(key, F.posexplode("_w").alias("pos", "word"))
+    ws = ws.select(*keys, F.array_compact(kept).alias("_w"))
+    rows = ws.select(*keys, F.posexplode("_w").alias("pos", "word"))
     rows = rows.where(((F.length("word") >= least) | F.col("word").isin(*keep_short)) & ~F.col("word").rlike(r"^\d"))
     # few distinct words meet the rule tables
-    rows = rows.join(stop.select("word"), "word", "left_anti").join(synonyms.select("word", "canonical"), "word", "left")
-    out = rows.groupBy(key, F.coalesce("canonical", "word").alias("keyword")).agg(F.min("pos").cast("long").alias("pos"))
+    rows = rows.join(stop.select("word"), "word", "left_anti")
+    if compounds is not None:
+        whole = rows.select(*keys, F.col("word").alias("compound")).join(compounds.select("part", "compound"), "compound")
+        rows = rows.join(whole.select(*keys, F.col("part").alias("word")).distinct(), [*keys, "word"], "left_anti")
+    if implicit is not None:
+        more = rows.join(implicit.select(F.col("trigger").alias("word"), F.col("keyword").alias("_k")), "word")
+        rows = rows.select(*keys, "pos", "word").unionByName(more.select(*keys, "pos", F.col("_k").alias("word")))
+    rows = rows.join(synonyms.select("word", "canonical"), "word", "left").withColumn("word", F.coalesce("canonical", "word"))
+    if parents is not None:
+        rows = rows.join(parents.select("word", "parent"), "word", "left").withColumn("word", F.coalesce("parent", "word"))
+    out = rows.groupBy(*keys, F.col("word").alias("keyword")).agg(F.min("pos").cast("long").alias("pos"))
     if most is not None:
-        few = out.groupBy(key).count().where(F.col("count") <= most).select(key)
-        out = out.join(few, key, "left_semi")
+        few = out.groupBy(*keys).count().where(F.col("count") <= most).select(*keys)
+        out = out.join(few, keys, "left_semi")
+    if generic is not None:
+        alone = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("keyword").alias("word")).where("_n = 1").join(generic.select("word"), "word", "left_semi")
+        out = out.join(alone.select(*keys), keys, "left_anti")
     return out
 
 
+def offer_keywords(
+    df: DataFrame, key: str, name: str, stop: DataFrame, synonyms: DataFrame, brand: str | None = None, completions: DataFrame | None = None, non_food: Column | None = None, **rules,
+) -> DataFrame:
+    """(key, keyword, pos) of product names, by the rules of `extract_keywords`.
+
+    `non_food` rows give none. A brand of `completions` (brand, word) puts its word before names that lack it. The brand is cut from the
+    name where it stands as whole words, unless nothing but the brand gives keywords. Null names and brands count as empty; keys are unique.
+    """
+    rows = df if non_food is None else df.where(~F.coalesce(non_food, F.lit(False)))
+    owner = F.lower(F.coalesce(F.col(brand) if brand else F.lit(""), F.lit("")))
+    rows = rows.select(key, F.lower(F.coalesce(F.col(name), F.lit(""))).alias("_name"), owner.alias("_brand"))
+    if completions is not None:
+        rows = rows.join(completions.select(F.lower("brand").alias("_brand"), F.col("word").alias("_more")), "_brand", "left")
+        lacks = F.col("_more").isNotNull() & ~F.col("_name").contains(F.col("_more"))
+        rows = rows.withColumn("_name", F.when(lacks, F.concat("_more", F.lit(" "), "_name")).otherwise(F.col("_name")))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), "_brand", F.lit(r"\E(?![\p{L}\p{N}])"))
+    cut = F.when(F.col("_brand") != "", F.regexp_replace("_name", pattern, F.lit(" "))).otherwise(F.col("_name"))
+    # the name without its brand is tried first
+    rows = rows.select(key, F.posexplode(F.array_distinct(F.array(cut, "_name"))).alias("_try", "_text"))
+    found = extract_keywords(rows, [key, "_try"], "_text", stop, synonyms, **rules)
+    first = found.withColumn("_first", F.min("_try").over(Window.partitionBy(key)))
+    return first.where("_try = _first").select(key, "keyword", "pos")
+
+
 def expand_terms(keywords: DataFrame, key: str, maps: DataFrame) -> DataFrame:
     """(key, term, rank): own keywords rank 0, mapped terms (term, other, kind) rank 1; synonym and parent go one way, and a term's least rank stays."""
     own = keywords.select(key, F.col("keyword").alias("term"), F.lit(0).alias("rank"))

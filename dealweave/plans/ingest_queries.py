@@ -77,7 +77,17 @@ def a07(spark, d):
     return A.drop_stale(o, o.where("o_orderkey % 4 = 0"), "o_orderkey", F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "5-LOW")[1]
 
 
-@query("a08_extract_jsonld")
+@query(
+    "a08_extract_jsonld",
+    """WITH h AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<script type="application/ld+json">{bad</script>' ELSE '' END || html ||
+        CASE WHEN page_id % 3 = 0 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"@type":["Recipe","X"],"name":"n' || page_id || '"}]}</script>' ELSE '' END AS html FROM pages),
+    b AS (SELECT page_id, unnest(l) AS j, generate_subscripts(l, 1) AS block FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1) AS l FROM h)),
+    v AS (SELECT page_id, block, CAST(j AS JSON) AS j FROM b WHERE json_valid(j)),
+    i AS (SELECT page_id, block, CASE WHEN json_type(j -> '$."@graph"') = 'ARRAY' THEN CAST(j -> '$."@graph"' AS JSON[]) WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) ELSE [j] END AS items FROM v),
+    o AS (SELECT page_id, block, unnest(items) AS o, generate_subscripts(items, 1) AS item FROM i)
+    SELECT page_id, arg_min(o ->> '$.name', block * 100000 + item) AS name FROM o
+    WHERE CASE WHEN json_type(o -> '$."@type"') = 'ARRAY' THEN list_contains(CAST(o -> '$."@type"' AS VARCHAR[]), 'Recipe') ELSE (o ->> '$."@type"') = 'Recipe' END GROUP BY 1""",
+)
 def a08(spark, d):
     pages = table(spark, d, "pages").select("page_id", "html")
     one = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"@type":["Recipe","X"],"name":"n'), F.col("page_id"), F.lit('"}]}</script>'))

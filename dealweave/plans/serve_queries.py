@@ -24,6 +24,14 @@ from dealweave.streaming import incremental as J
 N = 24
 
 
+def stream_folder(spark) -> str:
+    """A new folder for a stream's log and target under the one that all executors share; our own only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='spark-')}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4()}"
+
+
 def _profiles(spark, d):
     """(profile, n_pool) and (profile, category, weight): regions weigh order priorities by their nations' customers."""
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -300,6 +308,42 @@ def i07(spark, d):
     return T.extract_keywords(table(spark, d, "documents"), "doc_id", "text", stop, syn, ["is"], 3, 40)
 
 
+OFFER_RULES = {
+    "completions": ([("brand#1", "cog"), ("brand#2", "ring")], "brand string, word string"),
+    "compounds": ([("bolt", "boltbox"), ("gear", "gearbox"), ("rod", "rodbox")], "part string, compound string"),
+    "implicit": ([("gear", "cog"), ("anvil", "iron")], "trigger string, keyword string"),
+    "parents": ([("ring", "jewel"), ("sheet", "metal")], "word string, parent string"),
+    "generic": ([("gizmo",), ("widget",), ("metal",)], "word string"),
+}
+
+
+@query(
+    "i07_offer_keywords",
+    """WITH n AS (SELECT p_partkey, p_brand, split_part(p_name, ' ', 2) AS noun, p_name || ' without glue' || CASE WHEN p_partkey % 3 = 0 THEN ' ' || split_part(p_name, ' ', 2) || 'box' ELSE '' END AS t,
+        CASE p_partkey % 4 WHEN 0 THEN split_part(p_name, ' ', 2) WHEN 1 THEN upper(p_name) ELSE p_brand END AS b FROM part WHERE p_type <> 'PROMO'),
+    c AS (SELECT *, CASE WHEN b = 'Brand#1' AND NOT contains(t, 'cog') THEN 'cog ' || t WHEN b = 'Brand#2' AND NOT contains(t, 'ring') THEN 'ring ' || t ELSE t END AS full_name FROM n),
+    v AS (SELECT p_partkey, 1 AS attempt, full_name AS x FROM c UNION ALL SELECT p_partkey, 0, trim(replace(' ' || full_name || ' ', ' ' || lower(b) || ' ', '  ')) FROM c WHERE p_partkey % 4 < 2),
+    w AS (SELECT p_partkey, attempt, list_filter(string_split(x, ' '), lambda y: y <> '') AS ws FROM v),
+    k AS (SELECT p_partkey, attempt, ws, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
+    -- positions leave out the word after `without`, which stands before any added compound
+    f AS (SELECT p_partkey, attempt, ws, word, place - 1 - CASE WHEN place > list_position(ws, 'glue') THEN 1 ELSE 0 END AS pos FROM k WHERE word NOT IN ('glue', 'without', 'old', 'new', 'red', 'blue')),
+    g AS (SELECT * FROM f WHERE NOT (word IN ('bolt', 'gear', 'rod') AND list_contains(ws, word || 'box'))),
+    h AS (SELECT p_partkey, attempt, word, pos FROM g UNION ALL SELECT p_partkey, attempt, CASE word WHEN 'gear' THEN 'cog' ELSE 'iron' END, pos FROM g WHERE word IN ('gear', 'anvil')),
+    s AS (SELECT p_partkey, attempt, CASE WHEN word IN ('plate', 'sheet') THEN 'metal' WHEN word IN ('ring', 'band') THEN 'jewel' ELSE word END AS keyword, min(pos) AS pos FROM h GROUP BY 1, 2, 3),
+    a AS (SELECT *, count(*) OVER (PARTITION BY p_partkey, attempt) AS n FROM s), o AS (SELECT * FROM a WHERE NOT (n = 1 AND keyword IN ('gizmo', 'widget', 'metal')))
+    SELECT p_partkey, keyword, CAST(pos AS BIGINT) AS pos FROM o QUALIFY attempt = min(attempt) OVER (PARTITION BY p_partkey)""",
+)
+def i07_offers(spark, d):
+    rules = {kind: spark.createDataFrame(*table_) for kind, table_ in OFFER_RULES.items()}
+    stop = spark.createDataFrame([("without",), ("old",), ("new",), ("red",), ("blue",)], "word string")
+    syn = spark.createDataFrame([("plate", "sheet"), ("band", "ring")], "word string, canonical string")
+    k, noun = F.col("p_partkey"), F.split_part("p_name", F.lit(" "), F.lit(2))
+    name = F.concat("p_name", F.lit(" without glue"), F.when(k % 3 == 0, F.concat(F.lit(" "), noun, F.lit("box"))).otherwise(""))
+    brand = F.when(k % 4 == 0, noun).when(k % 4 == 1, F.upper("p_name")).otherwise(F.col("p_brand"))
+    rows = table(spark, d, "part").select("p_partkey", name.alias("name"), brand.alias("brand"), "p_type")
+    return T.offer_keywords(rows, "p_partkey", "name", stop, syn, "brand", non_food=F.col("p_type") == "PROMO", **rules)
+
+
 MAPS = [("bolt", "screw", "parent"), ("ring", "jewel", "parent"), ("ring", "band", "synonym"), ("red", "bolt", "extra")]
 
 
@@ -314,15 +358,25 @@ def i09(spark, d):
     return C.offer_terms(offers(spark, d))
 
 
-@query("i09_manifest")
+@query(
+    "i09_manifest",
+    views("offers") + f""", {TERMS_SQL}, p AS (SELECT offer_id, sha256(array_to_string(list_sort(list(DISTINCT offer_id || chr(31) || term || chr(31) || kind)), chr(10))) AS d, count(*) AS n FROM terms GROUP BY 1)
+    SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, CAST(coalesce(sum(CAST('0x' || d[1:12] AS BIGINT)), 0) AS VARCHAR) AS manifest FROM p""",
+)
 def i09_manifest(spark, d):
     return C.manifest(C.offer_terms(offers(spark, d)), "offer_id")
 
 
-@query("i10_compile_recipes")
+@query(
+    "i10_compile_recipes",
+    views("recipe_lines") + f""", w AS (SELECT *, {WORDS_SQL.format('line')} AS ws FROM recipe_lines)
+    SELECT recipe_id, count(*) AS n_lines, string_agg(line_no || ':' || line || ':' || array_to_string(ws, ' '), chr(10) ORDER BY line_no) AS lines, array_to_string(list_sort(list_distinct(flatten(list(ws)))), ' ') AS words FROM w GROUP BY 1""",
+)
 def i10(spark, d):
-    lines = recipe_lines(spark, d).withColumn("words", M.words(F.col("line")))
-    return lines.groupBy("recipe_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "words"))).alias("lines"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
+    """The compiled recipes, their lists as texts."""
+    compiled = M.compile_recipes(recipe_lines(spark, d), "recipe_id")
+    line = lambda x: F.concat_ws(":", x["line_no"].cast("string"), x["line"], F.array_join(x["words"], " "))
+    return compiled.select("recipe_id", F.size("lines").cast("long").alias("n_lines"), F.array_join(F.transform("lines", line), "\n").alias("lines"), F.array_join("words", " ").alias("words"))
 
 
 @query("i11_identity", "SELECT page_id, sha256(CASE WHEN page_id % 4 = 0 THEN 'c:' || lower(trim(url)) || chr(31) || page_id % 3 ELSE 'u:' || url END) AS id FROM pages")
@@ -491,8 +545,7 @@ def j07(spark, d):
 @query("j08_stream_upsert", "SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def j08(spark, d):
     """The last event of each user, streamed from the table's files; the final sync finds no user unseen."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    root = f"{root}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4()}"
+    root = stream_folder(spark)
     e = table(spark, d, "events")
     columns = ["user_id", "event_id", "ts", "event_type"]
     stream = J.file_stream(spark, f"{d}/events*.parquet", e.schema, 64).select(*columns)
@@ -500,12 +553,18 @@ def j08(spark, d):
     return J.final_sync(target, e.select("user_id"), "user_id", F.lit(True)).select(*columns)
 
 
-@query("j09_retry_state")
+@query(
+    "j09_retry_state",
+    """WITH b AS (SELECT user_id, ts, event_type FROM events WHERE event_type IN ('error', 'view', 'purchase')), k AS (SELECT user_id, max(ts) AS ok FROM b WHERE event_type = 'purchase' GROUP BY 1),
+    m AS (SELECT user_id, count(*) AS n, max(ts) AS last_ts, arg_max(event_type, (ts, event_type)) AS reason FROM b LEFT JOIN k USING (user_id) WHERE event_type <> 'purchase' AND (ok IS NULL OR ts > ok) GROUP BY 1)
+    SELECT user_id, n AS retry_count, reason AS last_reason, last_ts + to_days(CASE WHEN reason = 'view' THEN 3 ELSE [180, 30, 45, 90][n % 4 + 1] END) AS next_retry_at FROM m""",
+)
 def j09(spark, d):
-    """The batch replay of the streaming retry state; the streaming form is held against it in the tests."""
-    e = table(spark, d, "events").where("event_type IN ('error', 'view', 'purchase')")
+    """Misses and successes of each user, streamed from the table's files through the keyed state."""
+    root = stream_folder(spark)
+    e = J.file_stream(spark, f"{d}/events*.parquet", table(spark, d, "events").schema, 64).where("event_type IN ('error', 'view', 'purchase')")
     batch = e.select("user_id", F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("ok"), (F.col("event_type") == "view").alias("temporary"), F.col("event_type").alias("reason"))
-    return A.record_misses(spark.createDataFrame([], J.RETRY_SCHEMA), batch, ["user_id"])
+    return J.stream_retry_state(batch, f"{root}/out", "user_id", f"{root}/log")
 
 
 @query("j10_append_history", views("runs") + "SELECT job_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY run_at DESC, run_id DESC) AS k FROM runs) WHERE k <= 50")
@@ -602,13 +661,17 @@ def k05(spark, d):
     return K.lint_rules(rules, ["ECONOMY", "STANDARD", "SMALL", "LARGE", "MEDIUM"], ["active"])
 
 
-@query("l01_custom_gate")
+@query("l01_custom_gate", views("recipe_lines", "offers", "hits") + "SELECT line[1:1] = name[1:1] AS same_first_letter, count(*) AS n FROM hits GROUP BY 1")
 def l01(spark, d):
     L.register_gate("same_first_letter", lambda a, b: F.substring(a, 1, 1) == F.substring(b, 1, 1))
     return L.apply_gate(hits(spark, d), "same_first_letter", "line", "name").groupBy("same_first_letter").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("l02_rule_pack")
+@query(
+    "l02_rule_pack",
+    """WITH r AS (SELECT DISTINCT 'stop_words' AS kind, split_part(p_name, ' ', 1) || chr(31) AS fields FROM part UNION ALL SELECT DISTINCT 'term_maps', p_name || chr(31) || p_type || chr(31) || 'parent' || chr(31) FROM part)
+    SELECT CAST(coalesce(sum(CAST('0x' || md5(kind || chr(31) || fields)[1:15] AS BIGINT)), 0) AS VARCHAR) AS rules_version FROM r""",
+)
 def l02(spark, d):
     part = table(spark, d, "part")
     first = F.split_part("p_name", F.lit(" "), F.lit(1))
@@ -616,7 +679,11 @@ def l02(spark, d):
     return pack.version()
 
 
-@query("l03_custom_parser")
+@query(
+    "l03_custom_parser",
+    """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label FROM pages)
+    SELECT page_id, href, label FROM a""",
+)
 def l03(spark, d):
     import re
 

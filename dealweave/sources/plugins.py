@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,11 +57,10 @@ class RulePack:
         return self.tables[kind]
 
     def version(self) -> DataFrame:
-        """One row (rules_version): an order-free digest of all rule rows."""
-        parts = [df.select(F.xxhash64(F.lit(k), *(F.col(c).cast("string") for c in df.columns)).cast("decimal(38,0)").alias("h")) for k, df in sorted(self.tables.items())]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.union(p)
+        """One row (rules_version): an order-free sum of digests of all rule rows; null fields count as empty."""
+        row = lambda k, df: F.concat_ws("\x1f", F.lit(k), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns), F.lit(""))
+        parts = [df.select(F.conv(F.substring(F.md5(row(k, df)), 1, 15), 16, 10).cast("decimal(20,0)").alias("h")) for k, df in sorted(self.tables.items())]
+        rows = reduce(DataFrame.union, parts)
         return rows.agg(F.coalesce(F.sum("h"), F.lit(0)).cast("decimal(38,0)").cast("string").alias("rules_version"))
 
 

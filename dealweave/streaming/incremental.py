@@ -117,24 +117,27 @@ def final_sync(target: DataFrame, seen: DataFrame, key: str, source: Column) ->
 
 
 class _RetryState(StatefulProcessor):
-    """Count and next try of one key; a success deletes them."""
+    """Count and next try of one key; a success deletes them, also a miss of the same moment."""
+
+    def __init__(self, key: str):
+        self.key = key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("retry", "retry_count long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        batch = pd.concat(list(rows)).sort_values(["at", "reason"])
+        batch = pd.concat(list(rows)).sort_values(["at", "ok", "reason"])
         count = self.state.get()[0] if self.state.exists() else 0
         last = None
         for row in batch.itertuples():
             count, last = (0, None) if row.ok else (count + 1, row)
         if last is None:
             self.state.clear()
-            yield pd.DataFrame({"user_id": [key[0]], "retry_count": [0], "last_reason": [None], "next_retry_at": [pd.NaT]})
+            yield pd.DataFrame({self.key: [key[0]], "retry_count": [0], "last_reason": [None], "next_retry_at": [pd.NaT]})
             return
         self.state.update((count,))
         days = ingest.TEMPORARY_DAYS if last.temporary else ingest.RETRY_DAYS[count % 4]
-        yield pd.DataFrame({"user_id": [key[0]], "retry_count": [count], "last_reason": [last.reason], "next_retry_at": [last.at + pd.Timedelta(days=days)]})
+        yield pd.DataFrame({self.key: [key[0]], "retry_count": [count], "last_reason": [last.reason], "next_retry_at": [last.at + pd.Timedelta(days=days)]})
 
     def close(self) -> None:
         pass
@@ -144,8 +147,33 @@ RETRY_SCHEMA = "user_id long, retry_count long, last_reason string, next_retry_a
 
 
 def retry_state(stream: DataFrame, key: str = "user_id") -> DataFrame:
-    """Streaming form of `record_misses`: per key and batch the state after it; retry_count 0 says that the key was deleted."""
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=_RetryState(), outputStructType=RETRY_SCHEMA, outputMode="Update", timeMode="None")
+    """Streaming form of `record_misses` for a key of any simple type: per key and batch the state after it; retry_count 0 says that the key was deleted."""
+    schema = f"`{key}` {stream.schema[key].dataType.simpleString()}, retry_count long, last_reason string, next_retry_at timestamp"
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=_RetryState(key), outputStructType=schema, outputMode="Update", timeMode="None")
+
+
+def stream_retry_state(stream: DataFrame, root: str, key: str, checkpoint: str) -> DataFrame:
+    """Runs `retry_state` until the input is used up: the last state of each key that has misses.
+
+    Each micro-batch writes the keys that it changed under `root`, a rerun of it the same folder again.
+    """
+    spark, setting = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    updates, before = retry_state(stream, key), spark.conf.get(setting)
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/v={number}")
+
+    # keyed state of this kind lives in RocksDB only
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run = updates.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    if not run.lastProgress:
+        return spark.createDataFrame([], updates.schema)
+    states = spark.read.schema(updates.schema.add("_batch", "long")).parquet(f"{root}/v=*")
+    return ingest.keep_first(states, key, [F.desc("_batch")], "drop")[0].where("retry_count > 0").drop("_batch")
 
 
 def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "update") -> DataFrame:

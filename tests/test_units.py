@@ -200,6 +200,25 @@ def test_retry_stream_equals_batch(spark, tmp_path, sf_dir):
     assert rows(out.where("retry_count > 0")) == rows(want)
 
 
+def test_retry_stream_with_text_keys_over_batches(spark, tmp_path):
+    src, schema = f"file://{tmp_path}/in", "url string, at timestamp, ok boolean, temporary boolean, reason string"
+    day = lambda n: dt.datetime(2024, 1, n)
+    for batch in ([("a", day(1), False, False, "404"), ("b", day(1), False, True, "503"), ("c", day(2), True, False, ""), ("c", day(2), False, False, "404")], [("a", day(2), False, False, "410"), ("b", day(3), True, False, "")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+    out = J.stream_retry_state(J.file_stream(spark, src, schema), f"file://{tmp_path}/out", "url", f"file://{tmp_path}/log")
+    assert rows(out) == [("a", 2, "410", day(2) + dt.timedelta(days=45))]
+
+
+def test_offer_keywords(spark):
+    df = spark.createDataFrame([(1, "Acme rice", "ACME"), (2, "Acme", "ACME"), (3, None, None), (4, "mix", "x"), (5, "rye bread ryebread", None), (6, "cola", "Fizz")], "id int, name string, brand string")
+    stop, syn = spark.createDataFrame([], "word string"), spark.createDataFrame([("rice", "reis")], "word string, canonical string")
+    got = T.offer_keywords(
+        df, "id", "name", stop, syn, "brand", spark.createDataFrame([("fizz", "drink")], "brand string, word string"), F.col("name") == "none",
+        compounds=spark.createDataFrame([("rye", "ryebread"), ("bread", "ryebread"), ("cola", "colabox")], "part string, compound string"), generic=spark.createDataFrame([("mix",)], "word string"),
+    )
+    assert rows(got) == [(1, "reis", 0), (2, "acme", 0), (5, "ryebread", 2), (6, "cola", 1), (6, "drink", 0)]
+
+
 def test_history_streaks_and_decisions(spark):
     ops = spark.createDataFrame([("a", i, i != 3) for i in range(1, 7)] + [("b", 1, False)], "dataset string, at long, ok boolean")
     assert rows(E.trailing_streak(ops, "dataset", ["at"], F.col("ok"))) == [("a", 3), ("b", 0)]
