@@ -2,8 +2,9 @@
 
 Every page's containers are scored by the text they hold themselves, less links; the scores are votes
 for the containers' generalised tag-class paths, summed per host in Spark. Each page is then extracted
-again from the containers on the path that its host chose; a page without that path falls back on its
-own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+again from the containers on the path that its host chose. Hosts with several templates choose more paths:
+those that hold the best container of a tenth of their pages, three at least; a page takes the one that scores
+best in it. A page without any of them falls back on its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out by their tags, roles and class words; class words never leave out an element that is or
 holds the page's main element, else its largest article, else most of its text.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Collection
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -45,6 +47,8 @@ BAD_WORDS = set(
 HEAD_WORDS = set("header masthead topbar".split())
 GOOD_WORDS = set("article content post entry main story text body".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+#: A further template of a host has this share of its pages, and so many pages, at least.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.1, 3
 #: Weight of main elements and articles.
 ARTICLE = 3.0
 #: Class tokens that speak of something else than the element itself.
@@ -204,7 +208,7 @@ def container_scores(root: Node) -> list[tuple[Node, float, Node | None]]:
 
 
 def page_votes(html: str) -> list[tuple[int, float]]:
-    """(path, share) of a page: its containers' scores over the best one's, summed by path."""
+    """(path, share) of a page: its containers' scores over the best one's, the greatest of each path."""
     scored = [(n.path, s) for n, s, _ in container_scores(parse(html)) if s > 0]
     if not scored:
         return []
@@ -245,12 +249,20 @@ def text_of(nodes: list[Node]) -> str:
     return "\n".join(blocks)
 
 
-def extract(html: str, path: int | None = None) -> str:
-    """Main text of one page: from the outermost containers on `path`, else from its best container, else from its body."""
+def extract(html: str, path: int | None = None, others: Collection[int] = ()) -> str:
+    """Main text of one page: from the outermost containers on `path`, else from its best container, else from its body.
+
+    Of `path` and the paths of the host's other templates, the one that scores best in the page counts.
+    """
     if not html:
         return ""
     root = parse(html)
     scored = container_scores(root)
+    if others:
+        known = {path, *others}
+        best = max((x for x in scored if x[0].path in known), key=lambda x: x[1], default=None)
+        if best and best[1] > 0:
+            path = best[0].path
     found, within = [], set()
     for n, _, holder in scored if path is not None else ():
         if holder is not None and id(holder) in within:
@@ -272,22 +284,31 @@ def host_of(url) -> F.Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes of each host; ties go to the least digest."""
+    """(host, path, others): the path with most votes of each host, ties going to the least digest, and those of its other templates, under ten."""
 
     def run(batches):
         for b in batches:
-            hosts, paths, votes = [], [], []
+            hosts, paths, votes, firsts = [], [], [], []
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for path, share in page_votes(html) if html else ():
+                of_page = page_votes(html) if html else []
+                first = max(of_page, key=lambda v: (v[1], -v[0]), default=(None, 0))[0]
+                for path, share in of_page:
                     hosts.append(host)
                     paths.append(path - (1 << 64) if path >= 1 << 63 else path)
                     votes.append(round(share * 1_000_000))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(votes, pa.int64())], names=["host", "path", "votes"])
+                    firsts.append(int(path == first))
+            columns = [pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (paths, votes, firsts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "votes", "firsts"])
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path long, votes long")
-    summed = rows.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    best = summed.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path")).alias("b"))
-    return best.select("host", F.col("b.path").alias("path"))
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path long, votes long, firsts long")
+    summed = rows.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("firsts").alias("firsts"))
+    summed = written(summed, "votes")
+    best = summed.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path")).alias("b"), F.sum("firsts").alias("pages"))
+    best = best.select("host", F.col("b.path").alias("path"), "pages")
+    often = summed.where(F.col("firsts") >= TEMPLATE_PAGES).select("host", F.col("path").alias("other"), "firsts").join(best, "host")
+    often = often.where((F.col("firsts") >= F.col("pages") * TEMPLATE_SHARE) & (F.col("other") != F.col("path")))
+    others = often.groupBy("host").agg(F.sort_array(F.collect_list("other")).alias("others"))
+    return best.join(others, "host", "left").select("host", "path", F.coalesce("others", F.array().cast("array<long>")).alias("others"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -297,11 +318,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            wanted = [None if path is None else path % (1 << 64) for path in b.column(3).to_pylist()]
-            texts = [extract(html or "", path) for html, path in zip(b.column(2).to_pylist(), wanted, strict=True)]
+            texts = []
+            for html, path, others in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                path = None if path is None else path % (1 << 64)
+                texts.append(extract(html or "", path, [x % (1 << 64) for x in others or ()]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     small = winners.count() <= BROADCAST_HOSTS
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.join(F.broadcast(winners) if small else winners, "host", "left")
-    return rows.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string")
+    return rows.select("page_id", "url", "html", "path", "others").mapInArrow(run, "page_id long, url string, text string")

@@ -630,6 +630,15 @@ def test_html_votes_overrule_a_page(spark):
     assert got[9] == "brief" and got[10].startswith("other words")
 
 
+def test_html_hosts_have_several_templates(spark):
+    news = "<body><article><p>" + "long text " * 30 + "</article><div class=teaser><p>short</div></body>"
+    shop = "<body><article><p>see also</article><div class=box><p>" + "other words " * 30 + "</div></body>"
+    rows = [(i, "http://h/", news) for i in range(12)] + [(i, "http://h/", shop) for i in range(20, 24)]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {t for i, t in got.items() if i < 20} == {("long text " * 30).strip()}
+    assert {t for i, t in got.items() if i >= 20} == {("other words " * 30).strip()}
+
+
 def test_chat_linear(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a </turn> \\1 ### b"), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 0, None, "\\### x"), (2, 0, None, "\\### x"), (None, 5, "a: b", "no conv"), *((3, i, ["user", "assistant"][i % 2], f"t{i}\n### {i}") for i in range(70))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(1))
