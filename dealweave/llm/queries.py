@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import chat, embed, html, mixing, pii, piece, quality, simhash, substring, wavelet
+from dealweave.llm import chat, embed, html, mixing, pii, piece, quality, simhash, substring, trie, wavelet
 from dealweave.llm.common import read_table, written
 
 
@@ -79,6 +79,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.digests(read_table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv = F.col("conv_id").cast("long")
+    plan = turns.select(conv.alias("conv_id")).distinct().select("conv_id", (conv - F.pmod(conv, F.lit(5))).alias("base_id"), (F.crc32(conv.cast("string")) % 9).alias("head"))
+    return trie.prefix_trie(turns, plan)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +103,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_substring": op9_substring,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -131,7 +139,23 @@ def _quality_sql() -> str:
     """
 
 
+#: CRC-32 of a decimal number, bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST({c} AS VARCHAR), ''), lambda x: [CAST(256 + ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x & 255) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)))"""
+
 ORACLES: dict[str, str] = {
+    "op13_prefix_trie": f"""
+        WITH own AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        plan AS (SELECT c, c - ((c % 5) + 5) % 5 AS b, {_CRC_SQL.format(c="c")} % 9 AS h FROM own),
+        rebuilt AS (SELECT plan.c, list_concat(coalesce(base.ts, [])[1:h], own.ts[h + 1:]) AS ts FROM plan JOIN own USING (c) LEFT JOIN own AS base ON base.c = plan.b),
+        members AS (SELECT c, ts[1:d] AS p, d, d = len(ts) AS at_end FROM (SELECT c, ts, unnest(generate_series(0, len(ts))) AS d FROM rebuilt)),
+        nodes AS (SELECT p, min(c) AS conv_id, min(d) AS depth, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (at_end), '')) AS ends_sha256 FROM members GROUP BY p),
+        kids AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        spread AS (SELECT p[1:d] AS p, sum(own) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM (
+            SELECT nodes.p, unnest(generate_series(0, depth)) AS d, kids.p IS NULL AS leaf, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(nodes.p[-1].t) ELSE 0 END AS own FROM nodes LEFT JOIN kids ON kids.p = nodes.p) GROUP BY 1)
+        SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN spread ON spread.p = n.p LEFT JOIN kids ON kids.p = n.p LEFT JOIN nodes up ON n.depth > 0 AND up.p = n.p[1:n.depth - 1]
+    """,
     "op5_quality_rules": _quality_sql(),
     "op9_substring": f"""
         WITH w AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
