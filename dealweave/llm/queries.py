@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import chat, embed, html, mixing, pii, piece, quality, simhash, substring, trie, wavelet
+from dealweave.llm import align, chat, embed, html, kernel, mixing, pii, piece, quality, simhash, substring, trie, wavelet
 from dealweave.llm.common import read_table, written
 
 
@@ -79,6 +79,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.digests(read_table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op11_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def byte_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(read_table(spark, sf_dir, "documents"), byte_tokenizer_path(), piece_model_path())
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     conv = F.col("conv_id").cast("long")
@@ -103,6 +117,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_substring": op9_substring,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_kernel_quality": op11_kernel_quality,
+    "op12_alignment": op12_alignment,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
