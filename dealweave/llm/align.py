@@ -25,6 +25,7 @@ import hashlib
 import json
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 
 from dealweave.llm.common import lean_batches, slices, written
 
-#: Ends merged in one piece, bytes of text encoded together, bytes of text in a block.
-PIECE, SLICE_BYTES, BLOCK_BYTES = 1 << 16, 1_000_000, 8_000_000
+#: Ends merged in one piece, bytes of text encoded together, bytes of text in a block, bytes of words that a worker remembers.
+PIECE, SLICE_BYTES, BLOCK_BYTES, MEMORY = 1 << 16, 2_000_000, 8_000_000, 100_000_000
+#: Characters that are surely no white space: printable ASCII and Latin letters.
+SAFE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]))
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
@@ -72,18 +75,118 @@ class Pair:
         self.n_b = len(self.b_bytes)
         self.n_pairs = len(self.a_bytes) * self.n_b
         # text of an id, and what follows it: inside its side of a group, or at that side's end
-        self.words = [f"{i}{end}".encode() for i in range(len(self.a_bytes)) for end in ",|"]
-        self.words += [f"{i}{end}".encode() for i in range(self.n_b) for end in ",;"]
+        self.texts = [f"{i}{end}".encode() for i in range(len(self.a_bytes)) for end in ",|"]
+        self.texts += [f"{i}{end}".encode() for i in range(self.n_b) for end in ",;"]
 
-    def encode(self, texts: list[str]) -> tuple[list, list]:
-        """Ids of A and of B for each text; none where either does not give back its bytes."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.words = _Words(self)
+
+    def encode_each(self, texts: list[str], before: str = "") -> tuple[list, list, np.ndarray]:
+        """(ids of A, ids of B, whether both give back space and text) of each text; `before` is what A gets in front of it."""
+        a = [e.ids for e in self.a.encode_batch_fast([before + t for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
+        ok = np.zeros(len(texts), bool)
         for k, t in enumerate(texts):
             whole = b" " + t.encode()
-            if not t or b"".join(map(self.a_bytes.__getitem__, a[k])) != whole or b"".join(map(self.b_bytes.__getitem__, b[k])) != whole:
-                a[k], b[k] = [], []
-        return a, b
+            ok[k] = b"".join(map(self.a_bytes.__getitem__, a[k])) == whole and b"".join(map(self.b_bytes.__getitem__, b[k])) == whole
+        return a, b, ok
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """[ids of A, their number by text, ids of B, their number by text]; no ids where either side does not give back space and text."""
+        texts = pc.fill_null(texts, "")
+        cells = pc.split_pattern(texts, " ")
+        bounds = cells.offsets.to_numpy().astype(np.int64)
+        found = cells.flatten().dictionary_encode()
+        codes, slots = found.indices.to_numpy(zero_copy_only=False), self.words.slots(found.dictionary.to_pylist())
+        safe = np.concatenate([[0], np.cumsum(slots[codes] >= 0)])
+        plain = np.diff(safe[bounds - bounds[0]]) == np.diff(bounds)
+        odd = np.flatnonzero(~plain & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)).tolist()
+        odd_a, odd_b, odd_ok = self.encode_each([texts[k].as_py() for k in odd], " ")
+        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        slot = slots[codes]
+        good = plain.copy()
+        good[owner[(slot >= 0) & ~self.words.ok[slot]]] = False
+        slot, owner = slot[good[owner]], owner[good[owner]]
+        out = []
+        for kept, others in ((self.words.a, odd_a), (self.words.b, odd_b)):
+            n = kept.count[slot]
+            sizes = np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64)
+            ids = kept.ids[np.repeat(kept.start[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(int(n.sum()))]
+            mine = np.repeat(np.arange(len(texts)), sizes)
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            for k, x, ok in zip(odd, others, odd_ok, strict=True):
+                sizes[k] = len(x) if ok else 0
+            bounds_all = np.concatenate([[0], np.cumsum(sizes)])
+            flat = np.empty(bounds_all[-1], np.int64)
+            flat[np.arange(len(ids)) + (bounds_all - before)[mine]] = ids
+            for k, x in zip(odd, others, strict=True):
+                flat[bounds_all[k] : bounds_all[k + 1]] = x[: sizes[k]]
+            out += [flat, sizes]
+        return out
+
+
+class _Kept:
+    """Ids of words in one array that grows."""
+
+    def __init__(self):
+        self.ids, self.start, self.count = (np.empty(0, np.int64) for _ in range(3))
+
+    def add(self, ids: np.ndarray, n: np.ndarray):
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+        self.count = np.concatenate([self.count, n])
+        self.ids = np.concatenate([self.ids, ids])
+
+
+class _Words:
+    """The ids of words that stand between single spaces, each encoded once; up to `MEMORY` bytes of them are remembered.
+
+    A word whose first and last characters are surely no white space has the same tokens wherever it stands: A's pattern begins a new token
+    at a space between two such characters, and no piece of B has a word mark after another character. Other words have slot -1.
+    """
+
+    def __init__(self, pair: Pair):
+        self.pair = pair
+        if any("▁" in pair.b.id_to_piece(i).lstrip("▁") for i in range(pair.b.vocab_size())):
+            raise ValueError("pieces must not hold a word mark inside")
+        self.clear()
+
+    def clear(self):
+        self.known, self.size, self.ok, self.a, self.b = {}, 0, np.empty(0, bool), _Kept(), _Kept()
+
+    def _learn(self, words: list[str]):
+        """Encodes different words: A's as one text, which its pattern cuts at their spaces, B's one by one."""
+        pair, text = self.pair, "".join([" " + w for w in words])
+        ids = pair.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        lists = pair.b.encode(words, num_threads=1)
+        whole, flat = text.encode(), list(chain.from_iterable(lists))
+        a, b = np.array(ids, np.int64), np.array(flat, np.int64)
+        n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+        word_ends = np.cumsum(pc.binary_length(pa.array(words)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        ends, ends_b = np.cumsum(pair.a_length[a]), np.cumsum(pair.b_length[b])
+        last = np.minimum(np.searchsorted(ends, word_ends), len(a) - 1)
+        exact = b"".join(map(pair.a_bytes.__getitem__, ids)) == whole and b"".join(map(pair.b_bytes.__getitem__, flat)) == whole
+        if exact and np.array_equal(ends[last], word_ends) and np.array_equal(ends_b[np.cumsum(n_b) - 1], word_ends):
+            self.a.add(a, np.diff(np.append(-1, last)))
+            self.b.add(b, n_b)
+            self.ok = np.append(self.ok, np.ones(len(words), bool))
+            return
+        lists_a, lists_b, ok = pair.encode_each(words, " ")  # some word is not given back
+        for kept, found in ((self.a, lists_a), (self.b, lists_b)):
+            kept.add(np.fromiter(chain.from_iterable(found), np.int64), np.fromiter(map(len, found), np.int64, len(found)))
+        self.ok = np.append(self.ok, ok)
+
+    def slots(self, words: list[str]) -> np.ndarray:
+        """The slot of each of some different words."""
+        if self.size > MEMORY:
+            self.clear()
+        new = [w for w in words if w not in self.known]
+        fit = [w for w in new if w and w[0] in SAFE and w[-1] in SAFE]
+        at = len(self.ok)
+        if fit:
+            self._learn(fit)
+        self.known.update(dict.fromkeys(new, -1))
+        self.known.update(zip(fit, range(at, at + len(fit)), strict=True))
+        self.size += sum(map(len, new)) + 100 * len(new)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 @functools.cache
@@ -119,10 +222,8 @@ def overlaps(a: np.ndarray, b: np.ndarray, i0: int, i1: int, j0: int, j1: int) -
     return np.append(np.arange(i0, i1), partner[alone]), np.append(with_a, j0 + alone), partner[both], j0 + both
 
 
-def _aligned(ids_a: list, ids_b: list, pair: Pair):
+def _aligned(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, pair: Pair):
     """Of some documents: (counts by document, digests, pair codes, their bounds by document, their multiplicities)."""
-    n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
-    a, b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
     bounds_a, bounds_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
     ends_a, ends_b = np.cumsum(pair.a_length[a]), np.cumsum(pair.b_length[b])
     found = [overlaps(ends_a, ends_b, *x) for x in zip(*(y[k:][: len(y) - 1] for y in diagonals(ends_a, ends_b, PIECE) for k in (0, 1)), strict=True)] if len(a) else []
@@ -135,7 +236,7 @@ def _aligned(ids_a: list, ids_b: list, pair: Pair):
     words = np.empty(len(a) + len(b), np.int64)
     words[np.arange(len(a)) + before_b[group_a]] = 2 * a + cut_a
     words[np.arange(len(b)) + before_a[group_b + 1]] = 2 * (len(pair.a_bytes) + b) + cut_b
-    texts, ends = list(map(pair.words.__getitem__, words.tolist())), (bounds_a + bounds_b).tolist()
+    texts, ends = list(map(pair.texts.__getitem__, words.tolist())), (bounds_a + bounds_b).tolist()
     digests = [hashlib.sha256(b"".join(texts[low:high])[:-1]).hexdigest() if high > low else "" for low, high in zip(ends, ends[1:], strict=False)]
     doc = np.searchsorted(bounds_a, link_a, "right") - 1
     codes, times = np.unique(doc * pair.n_pairs + a[link_a] * pair.n_b + b[link_b], return_counts=True)
@@ -182,7 +283,7 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id
             ids, column = batch.column(0).to_pylist(), batch.column(1)
             sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
             for low, high in slices(column, SLICE_BYTES):
-                encoded = both.encode([t or "" for t in column[low:high].to_pylist()])
+                encoded = both.encode(column[low:high])
                 block.add(ids[low:high], _aligned(*encoded, both), int(sizes[low:high].sum()))
                 if block.size >= BLOCK_BYTES:
                     yield block.row(part << 32 | number)

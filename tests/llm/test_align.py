@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dealweave.llm import align, queries
@@ -77,37 +78,43 @@ def test_brute(spark, texts):
 def test_pieces(texts, piece, monkeypatch):
     """Pieces of any size give the same overlaps and groups, each with its share of the ends."""
     both = align.pair(queries.byte_tokenizer_path(), queries.piece_model_path())
-    ids = both.encode([t or "" for t in texts])
+    ids = both.encode(pa.array(texts))
     whole = align._aligned(*ids, both)
     monkeypatch.setattr(align, "PIECE", piece)
     cut = align._aligned(*ids, both)
     for x, y in zip(whole, cut, strict=True):
         assert np.array_equal(x, y)
-    ends = [np.cumsum(n[np.array([i for x in side for i in x])]) for n, side in ((both.a_length, ids[0]), (both.b_length, ids[1]))]
+    ends = [np.cumsum(n[flat]) for n, flat in ((both.a_length, ids[0]), (both.b_length, ids[2]))]
     low, lower = align.diagonals(*ends, piece)
     assert set(np.diff(low + lower)[:-1]) == {piece}
     order = np.argsort(np.concatenate(ends), kind="stable")
     assert np.array_equal(low, np.concatenate([[0], np.cumsum(order < len(ends[0]))])[low + lower])
 
 
-def test_blocks(texts, spark):
-    """Blocks and slices of a few documents give the counts of the corpus."""
-    was = align.SLICE_BYTES, align.BLOCK_BYTES
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    both = queries.byte_tokenizer_path(), queries.piece_model_path()
-    try:  # the closure carries no module state to workers, so run the block function here
-        align.SLICE_BYTES, align.BLOCK_BYTES = 60, 200
-        parts = [align._aligned(*align.pair(*both).encode([t or "" for t in texts[k : k + 5]]), align.pair(*both)) for k in range(0, len(texts), 5)]
-        block = align._Block()
-        for k, part in enumerate(parts):
-            block.add(list(range(5 * k, min(5 * k + 5, len(texts)))), part, 100)
-        row = block.row(3).to_pylist()[0]
-        assert row["doc_id"] == list(range(len(texts))) and row["upto"][-1] == sum(len(p[2]) for p in parts)
-        held = Counter(x for p in parts for x in p[2].tolist())
-        assert dict(zip(row["pairs"], row["docs"], strict=True)) == dict(held)
-    finally:
-        align.SLICE_BYTES, align.BLOCK_BYTES = was
-    check(align.align(docs, *both), range(len(texts)), texts)
+def test_blocks(texts):
+    """Documents added in parts are one block with one list of pairs."""
+    both, block = align.pair(queries.byte_tokenizer_path(), queries.piece_model_path()), align._Block()
+    parts = [align._aligned(*both.encode(pa.array(texts[k : k + 5])), both) for k in range(0, len(texts), 5)]
+    for k, part in enumerate(parts):
+        block.add(list(range(5 * k, min(5 * k + 5, len(texts)))), part, 100)
+    row = block.row(3).to_pylist()[0]
+    assert row["doc_id"] == list(range(len(texts))) and row["upto"][-1] == sum(len(p[2]) for p in parts)
+    held = Counter(x for p in parts for x in p[2].tolist())
+    assert dict(zip(row["pairs"], row["docs"], strict=True)) == dict(held)
+
+
+def test_words_stand_alone(monkeypatch):
+    """Texts put together from remembered words have the ids of the libraries, whatever stands around the words, also after the memory was cleared."""
+    both, rng = align.pair(queries.byte_tokenizer_path(), queries.piece_model_path()), random.Random(6)
+    words = ["don't", "'s", "a", "É", "été", "x\ny", "1", "12ab", "...", "-", "日本", "a日", "日a", "", "\t", "a\t", "\u00a0b", "ж", "¿que?", "…", "x▁y", "▁", "<s>", "ab\u3000cd", "\u2028"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    monkeypatch.setattr(align, "MEMORY", 1000)
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        a, n_a, b, n_b = both.encode(pa.array(part))
+        want_a, want_b, ok = both.encode_each(part, " ")
+        assert a.tolist() == [i for x, y in zip(want_a, ok, strict=True) if y for i in x] and b.tolist() == [i for x, y in zip(want_b, ok, strict=True) if y for i in x]
+        assert n_a.tolist() == [len(x) * int(y) for x, y in zip(want_a, ok, strict=True)] and n_b.tolist() == [len(x) * int(y) for x, y in zip(want_b, ok, strict=True)]
 
 
 def test_query(spark):
