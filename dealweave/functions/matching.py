@@ -58,3 +58,22 @@ def compile_recipes(lines: DataFrame, key: str) -> DataFrame:
     rows = lines.withColumn("words", words(F.col("line")))
     listed = F.sort_array(F.collect_list(F.struct("line_no", "line", "words")))
     return rows.groupBy(key).agg(listed.alias("lines"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
+
+
+def compile_offers(offers: DataFrame, key: str, name: str, qualifiers: DataFrame, lists: dict[str, Sequence[str]], keyword: Column | None = None) -> DataFrame:
+    """One wide row per offer with what the gates look up: text, words, keyword (its last word, if none is given), qualifiers and an array for each named list.
+
+    qualifiers: keyword, qualifier, found by the keyword as whole words; lists: the words of the name that are in a list, in the name's order. A null name has
+    no words, no keyword and empty arrays. The other columns of the offers stay.
+    """
+    rows = offers.withColumns({"text": F.lower(F.trim(F.col(name))), "words": words(F.col(name))})
+    rows = rows.withColumn("keyword", F.get("words", F.size("words") - 1) if keyword is None else keyword)
+
+    def listed(xs):
+        return F.filter("words", lambda w: w.isin(*xs))
+
+    rows = rows.withColumns({n: listed(xs) for n, xs in lists.items()})
+    rules = qualifiers.groupBy("keyword").agg(F.sort_array(F.collect_set("qualifier")).alias("_q"))
+    rows = rows.join(rules, "keyword", "left")
+    found = F.filter("_q", lambda q: F.array_contains("words", q))
+    return rows.withColumn("qualifiers", F.coalesce(found, F.array().cast("array<string>"))).drop("_q")

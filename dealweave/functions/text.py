@@ -18,12 +18,13 @@ def repair(df: DataFrame, text: str, fixes: DataFrame, substrings: Sequence[tupl
     c = reduce(lambda a, p: F.replace(a, F.lit(p[0]), F.lit(p[1])), sorted(substrings, key=lambda p: (-len(p[0]), p[0])), c)
     base = df.withColumn(text, c)
     once = fixes.groupBy(F.col("wrong").alias("_w")).agg(F.min("right").alias("_right"))
-    words_of = base.select(F.col(text).alias("_t"), F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
+    digest = [F.md5(F.col(text)).alias("_t"), F.length(text).alias("_n")]
+    words_of = base.select(*digest, F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
     # only texts with a wrong word meet the rows again
-    changes = words_of.join(once, "_w").groupBy("_t").agg(F.map_from_entries(F.collect_set(F.struct("_w", "_right"))).alias("_fixes"))
+    changes = words_of.join(once, "_w").groupBy("_t", "_n").agg(F.map_from_entries(F.collect_set(F.struct("_w", "_right"))).alias("_fixes"))
     right = F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.col("_fixes")[w], w)), " ")
-    rows = base.join(changes, F.col(text) == F.col("_t"), "left")
-    return rows.withColumn(text, F.when(F.col("_fixes").isNotNull(), right).otherwise(F.col(text))).drop("_t", "_fixes")
+    rows = base.select("*", *digest).join(changes, ["_t", "_n"], "left")
+    return rows.withColumn(text, F.when(F.col("_fixes").isNotNull(), right).otherwise(F.col(text))).select(*df.columns)
 
 
 def join_phrases(df: DataFrame, text: str, phrases: Sequence[tuple[str, str]]) -> DataFrame:
@@ -34,6 +35,37 @@ def join_phrases(df: DataFrame, text: str, phrases: Sequence[tuple[str, str]]) -
     return df.withColumn(text, F.trim(out))
 
 
+def join_by_table(df: DataFrame, text: str, phrases: DataFrame, most: int = 4) -> DataFrame:
+    """`df` with spaced variants of a table (phrase, token) of any size joined to their token, in lower case with single blanks: from the left, the longest phrase at each word.
+
+    Runs of up to `most` words meet the table by equality, longer phrases never match; equal texts are looked up once, by digest and length.
+    The matches of a text are chosen in one pass from the left, a word is part of one only. Of several tokens of a phrase the first in
+    order is taken. Null texts stay null.
+    """
+    tokens = F.array_remove(F.split(F.lower(text), r"\s+"), "")
+    base = df.withColumn("_ws", tokens)
+    key = [F.md5(F.array_join("_ws", " ")).alias("_d"), F.size("_ws").alias("_n")]
+    once = base.where("_ws IS NOT NULL").select(*key, "_ws").distinct()
+    starts = F.transform("_ws", lambda w, i: F.struct(i.alias("at"), F.slice("_ws", i + 1, F.lit(most)).alias("run")))
+    runs = once.select("_d", "_n", F.explode(starts).alias("s")).select("_d", "_n", "s.at", F.explode(F.sequence(F.lit(1), F.size("s.run"))).alias("len"), F.col("s.run").alias("run"))
+    runs = runs.select("_d", "_n", "at", "len", F.array_join(F.slice("run", F.lit(1), F.col("len")), " ").alias("phrase"))
+    table = phrases.groupBy(F.array_join(F.array_remove(F.split(F.lower("phrase"), r"\s+"), ""), " ").alias("phrase")).agg(F.min("token").alias("token"))
+    # the longest at each place, then from the left those that begin after the last chosen one
+    longest = runs.join(table, "phrase").groupBy("_d", "_n", "at").agg(F.max_by(F.struct("len", "token"), "len").alias("m"))
+    found = longest.groupBy("_d", "_n").agg(F.sort_array(F.collect_list(F.struct("at", "m.len", "m.token"))).alias("_m"))
+    state = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at:int,len:int,token:string>>").alias("kept"))
+    walk = lambda a, m: F.when(m["at"] >= a["free"], F.struct((m["at"] + m["len"]).alias("free"), F.concat(a["kept"], F.array(m)).alias("kept"))).otherwise(a)
+    kept = found.select("_d", "_n", F.explode(F.aggregate("_m", state, walk)["kept"]).alias("k")).select("_d", "_n", "k.*")
+    # words outside the matches and the tokens of the matches, put together again
+    covered = kept.select("_d", "_n", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("at"))
+    tokens = once.join(kept.select("_d", "_n").distinct(), ["_d", "_n"], "left_semi").select("_d", "_n", F.posexplode("_ws").alias("at", "w"))
+    pieces = tokens.join(covered, ["_d", "_n", "at"], "left_anti").select("_d", "_n", "at", "w").union(kept.select("_d", "_n", "at", "token"))
+    listed = F.sort_array(F.collect_list(F.struct("at", "w")))
+    whole = pieces.groupBy("_d", "_n").agg(F.array_join(F.transform(listed, lambda x: x["w"]), " ").alias("_joined"))
+    rows = base.select("*", *key).join(whole, ["_d", "_n"], "left")
+    return rows.withColumn(text, F.coalesce("_joined", F.array_join("_ws", " "))).select(*df.columns)
+
+
 def normalize_name(c: Column, variants: Sequence[tuple[str, str]] = (), cut_words: Sequence[str] = (), brand: Column | None = None) -> Column:
     """Lower case, variants unified, brand and state words cut, and everything from an amount with a unit on."""
     out = F.lower(c)
@@ -61,11 +93,69 @@ def expand_lines(df: DataFrame, key: Sequence[str], line: str, bundles: Sequence
     return df.select(*key, F.posexplode(parts).alias("part_no", "part")).withColumn("part_no", F.col("part_no").cast("long"))
 
 
-def alternatives(c: Column, word: str = "or") -> Column:
-    """`N x or y z`: branches at the word or after `e.g.`; the first branch's amount is copied to the others."""
+def _let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+# Words of measure.
+MEASURES = ("kg", "g", "dl", "cl", "ml", "l", "st", "tbsp", "tsp", "pcs")
+
+
+def alternatives(c: Column, word: str = "or", usage: str | None = None, suffix: bool = False) -> Column:
+    """`N x or y z`: branches at the word or after `e.g.`; the first branch's amount is copied to the others.
+
+    With `usage`, a pattern of a trailing use (`to fry in`): found at the end of the last branch, it is said of all of them. With `suffix`,
+    a last branch of more words than the first shares what follows its first word (`frozen or fresh berries`) with the branches that are
+    shorter than it, unless the first has it, it holds a measure, or the last begins with a number or measure. The use is cut off before
+    and set after the rest. With either, `N a, b or c` of single words has a branch for each.
+    """
+    measure = "|".join(MEASURES)
+    amount = F.regexp_extract(c, rf"^(\d+(?:[.,]\d+)?(?: (?:{measure}))? )", 1)
     branches = F.when(c.contains(f" {word} "), F.split(c, f" {word} ")).when(c.contains("e.g. "), F.split(F.element_at(F.split(c, r"e\.g\. "), 2), ", ")).otherwise(F.array(c))
-    amount = F.regexp_extract(c, r"^(\d+(?:[.,]\d+)?(?: (?:kg|g|dl|cl|ml|l|st|tbsp|tsp))? )", 1)
-    return F.transform(branches, lambda b: F.when((amount != "") & ~b.rlike(r"^\d"), F.concat(amount, b)).otherwise(b))
+    if usage is None and not suffix:
+        return F.transform(branches, lambda b: F.when((amount != "") & ~b.rlike(r"^\d"), F.concat(amount, b)).otherwise(b))
+    n_words = lambda b: F.size(F.split(b, " "))
+
+    def bare(x):
+        """Branches without the first one's amount, which they get back at the end, and the branches of a measured list."""
+        first = F.substring(x["branches"][0], F.length(x["amount"]) + 1, F.length(x["branches"][0]))
+        leaves = F.split(first, ", *")
+        single = F.forall(leaves, lambda y: y.rlike(r"^[^ ]+$")) & F.element_at(x["branches"], -1).rlike(r"^[^ ]+$")
+        listed = (x["amount"] != "") & (F.size(x["branches"]) == 2) & (F.size(leaves) > 1) & single
+        rest = F.slice(x["branches"], F.lit(2), F.size(x["branches"]))
+        return F.struct(x["amount"].alias("amount"), F.when(listed, F.concat(leaves, rest)).otherwise(F.concat(F.array(first), rest)).alias("branches"))
+
+    def without_use(x):
+        """Adds tail, the use that the last branch ends with, and cuts it there."""
+        end, n = F.element_at(x["branches"], -1), F.size(x["branches"])
+        found = F.when(n > 1, F.regexp_extract(end, rf"(?: |^)({usage})$", 1)).otherwise("") if usage else F.lit("")
+
+        def cut(tail):
+            said = F.exists(F.slice(x["branches"], F.lit(1), F.greatest(n - 1, F.lit(0))), lambda y: y.contains(tail))
+            apart = (tail != "") & ~said
+            whole = F.when(apart, F.concat(F.slice(x["branches"], F.lit(1), n - 1), F.array(F.trim(F.substring(end, F.lit(1), F.length(end) - F.length(tail)))))).otherwise(x["branches"])
+            return F.struct(x["amount"].alias("amount"), whole.alias("branches"), F.when(apart, tail).otherwise("").alias("tail"))
+
+        return _let(found, cut)
+
+    def with_suffix(x):
+        """The branches with what follows the last one's first word."""
+        head, end, n = x["branches"][0], F.element_at(x["branches"], -1), F.size(x["branches"])
+        found = F.when((n > 1) & (n_words(end) > n_words(head)), F.regexp_extract(end, r"^[^ ]+ (.+)$", 1)).otherwise("")
+
+        def shared(text):
+            odd = F.arrays_overlap(F.split(text, " "), F.array(*map(F.lit, MEASURES))) | end.rlike(rf"^(?:\d|(?:{measure}) )") | head.contains(text)
+            return F.transform(x["branches"], lambda y, i: F.when((i < n - 1) & (text != "") & ~odd & (n_words(y) < n_words(end)), F.concat(y, F.lit(" "), text)).otherwise(y))
+
+        return F.struct(x["amount"].alias("amount"), _let(found, shared).alias("branches"), x["tail"].alias("tail")) if suffix else x
+
+    def whole(x):
+        measured = F.transform(x["branches"], lambda y: F.when((x["amount"] != "") & ~y.rlike(r"^\d"), F.concat(x["amount"], y)).otherwise(y))
+        return F.transform(measured, lambda y: F.when(x["tail"] != "", F.concat(y, F.lit(" "), x["tail"])).otherwise(y))
+
+    begin = F.struct(amount.alias("amount"), branches.alias("branches"))
+    return F.when(c.isNotNull(), _let(_let(_let(_let(begin, bare), without_use), with_suffix), whole))
 
 
 def merge_lines(df: DataFrame, group: str, order: str, line: str, word: str = "or") -> DataFrame:
@@ -149,6 +239,27 @@ def expand_terms(keywords: DataFrame, key: str, maps: DataFrame) -> DataFrame:
     return own.union(more).groupBy(key, "term").agg(F.min("rank").cast("long").alias("rank"))
 
 
+def ranked_terms(keywords: DataFrame, key: str, maps: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
+    """(key, term, kind, place): own keywords and those that maps (term, other, kind) add, own before derived, then longest, then first.
+
+    parent, extra and synonym add `other` to `term`; synonym also the reverse; reverse_parent adds to a parent `other` its children
+    `term`, unless exclusions (term, other) name the pair. A term that comes by several ways keeps the first kind of own, synonym,
+    parent, extra, reverse_parent.
+    """
+    kinds = ("own", "synonym", "parent", "extra", "reverse_parent")
+    steps = maps.where(F.col("kind") != "reverse_parent").select("term", "other", "kind")
+    steps = steps.union(maps.where("kind = 'synonym'").select(F.col("other").alias("term"), F.col("term").alias("other"), "kind"))
+    down = maps.where("kind = 'reverse_parent'").select(F.col("other").alias("term"), F.col("term").alias("other"), "kind")
+    if exclusions is not None:
+        down = down.join(exclusions.select(F.col("term").alias("other"), F.col("other").alias("term")).distinct(), ["term", "other"], "left_anti")
+    own = keywords.select(key, F.col("keyword").alias("term"), F.lit("own").alias("kind"))
+    more = keywords.select(key, F.col("keyword").alias("term")).join(steps.union(down), "term").select(key, F.col("other").alias("term"), "kind")
+    rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    out = own.union(more).groupBy(key, "term").agg(F.min_by("kind", rank).alias("kind"))
+    order = Window.partitionBy(key).orderBy(F.col("kind") != "own", F.desc(F.length("term")), "term")
+    return out.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def classify(df: DataFrame, key: str, text: str, classes: DataFrame, default: str, label: Column | None = None, masks: Sequence[str] = ()) -> DataFrame:
     """(key, class): a label decides; else the class (class, keyword) whose keyword comes first in the text, masked compounds left out; else the default."""
     t = reduce(lambda a, m: F.replace(a, F.lit(m), F.lit("_" * len(m))), masks, F.lower(F.coalesce(text, F.lit(""))))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 # Actions by precedence.
 ACTIONS = ("rematch", "remove", "rescore", "display")
@@ -54,10 +55,34 @@ def canonical(c: Column, kind: str) -> Column:
     return F.coalesce(F.concat(F.lit("v"), text), F.lit("n"))
 
 
-def fingerprint(df: DataFrame, cols: Sequence[str]) -> Column:
-    """SHA-256 of the canonical forms of some columns, in the order of their names."""
-    kinds = dict(df.dtypes)
-    return F.sha2(F.concat_ws("\x1f", *(canonical(F.col(c), kinds[c]) for c in sorted(cols))), 256)
+def canonical_text(c: Column, kind: DataType, path: str = "", volatile: Sequence[str] = ()) -> Column:
+    """Text form of a nested value, driven by its type: struct fields by name without those whose path is in `volatile`, arrays and maps in the order of their texts.
+
+    Leaves are as in `canonical`, preceded by their length, so that no text can look like another's parts. Paths go by field names alone,
+    with `key` and `value` for maps: `match_data.offers.offer_id` is the id of each element of an array of structs.
+    """
+    below = lambda name: f"{path}.{name}" if path else name
+    if isinstance(kind, StructType):
+        fields = sorted((f for f in kind.fields if below(f.name) not in volatile), key=lambda f: f.name)
+        parts = [F.concat(F.lit(f"{f.name}="), canonical_text(c[f.name], f.dataType, below(f.name), volatile)) for f in fields]
+        text = F.concat(F.lit("{"), *parts, F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.array_sort(F.transform(c, lambda x: canonical_text(x, kind.elementType, path, volatile))), ""), F.lit("]"))
+    elif isinstance(kind, MapType):
+        entry = lambda e: F.concat(canonical_text(e["key"], kind.keyType, below("key"), volatile), F.lit("="), canonical_text(e["value"], kind.valueType, below("value"), volatile))
+        text = F.concat(F.lit("("), F.array_join(F.array_sort(F.transform(F.map_entries(c), entry)), ""), F.lit(")"))
+    else:
+        leaf = canonical(c, kind.simpleString())
+        text = F.concat(F.length(leaf).cast("string"), F.lit(":"), leaf)
+    return F.coalesce(F.when(c.isNotNull(), text), F.lit("n"))
+
+
+def fingerprint(df: DataFrame, cols: Sequence[str], volatile: Sequence[str] = ()) -> Column:
+    """SHA-256 of the canonical forms of some columns, in the order of their names; nested ones by `canonical_text`."""
+    nested = lambda k: isinstance(k, (StructType, MapType)) or isinstance(k, ArrayType) and isinstance(k.elementType, (StructType, MapType, ArrayType))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    text = lambda n: canonical_text(F.col(n), kinds[n], n, volatile) if nested(kinds[n]) else canonical(F.col(n), kinds[n].simpleString())
+    return F.sha2(F.concat_ws("\x1f", *(text(c) for c in sorted(cols) if c not in volatile)), 256)
 
 
 def changed_ids(base: DataFrame, cand: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
@@ -117,13 +142,20 @@ def _least_action(acts: DataFrame, key: str) -> DataFrame:
     return acts.groupBy(key).agg(F.min_by("action", rank).alias("action"))
 
 
-def plan_offer_delta(changes: DataFrame, terms_old: DataFrame, terms_new: DataFrame, recipe_terms: DataFrame, stored: DataFrame, offer: str = "offer_id", recipe: str = "recipe_id") -> DataFrame:
-    """(recipe, action): offers to rematch reach recipes by their terms, old and new, and by stored matches; others by stored matches alone. Each recipe has its first action."""
+def plan_offer_delta(changes: DataFrame, terms_old: DataFrame, terms_new: DataFrame, recipe_terms: DataFrame, stored: DataFrame, offer: str = "offer_id", recipe: str = "recipe_id", members: DataFrame | None = None) -> DataFrame:
+    """(recipe, action): offers to rematch reach recipes by their terms, old and new, and by stored matches; others by stored matches alone. Each recipe has its first action.
+
+    `stored` has a row for each recipe and offer, or with `members` (offer, class_id) for each recipe and class: then a class takes the first
+    action of its members, and the pairs of recipes and offers are never made.
+    """
     redo = changes.where("action = 'rematch'").select(offer)
     terms = terms_old.select(offer, "term").union(terms_new.select(offer, "term")).join(redo, offer, "left_semi").select("term").distinct()
     by_term = recipe_terms.join(terms, "term", "left_semi").select(recipe, F.lit("rematch").alias("action"))
     # a recipe that loses an offer is matched again too
-    by_match = stored.join(changes.where("action IS NOT NULL"), offer).select(recipe, F.when(F.col("action") == "remove", "rematch").otherwise(F.col("action")).alias("action"))
+    acts = changes.where("action IS NOT NULL").select(offer, F.when(F.col("action") == "remove", "rematch").otherwise(F.col("action")).alias("action"))
+    if members is not None:
+        acts = _least_action(acts.join(members.select(offer, "class_id"), offer), "class_id")
+    by_match = stored.join(acts, offer if members is None else "class_id").select(recipe, "action")
     return _least_action(by_term.union(by_match), recipe)
 
 
@@ -133,9 +165,9 @@ def combine_plans(a: DataFrame, b: DataFrame, key: str = "recipe_id") -> DataFra
 
 
 def apply_patch(cache: DataFrame, patch: DataFrame, changed: DataFrame, removed: DataFrame, key: str = "recipe_id") -> DataFrame:
-    """`cache` with changed keys replaced by their patch rows and removed ones gone; fails before anything is written if the patch has a key outside `changed`."""
-    outside = patch.join(changed.select(key), key, "left_anti")
-    if not outside.isEmpty():
+    """`cache` with changed keys replaced by their patch rows and removed ones gone; a key in both sets is removed. Fails before anything is written if the patch has a key outside `changed`."""
+    declared = changed.select(key).join(removed.select(key), key, "left_anti")
+    if not patch.join(declared, key, "left_anti").isEmpty():
         raise ValueError("the patch has rows outside the declared set")
     touched = changed.select(key).union(removed.select(key)).distinct()
     return cache.join(touched, key, "left_anti").unionByName(patch)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealweave.functions.matching import words
+from dealweave.functions.text import alternatives
 
 TEXTS = ("keyword", "line", "name")
 
@@ -30,23 +31,40 @@ def _has(text: Column, word: Column) -> Column:
     return F.array_contains(words(text), word)
 
 
+def keyword_classes(keywords: DataFrame, parents: DataFrame, offer: str = "offer_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((offer, class_id), (class_id, keyword, rank), (class_id, parent)): offers with the same keywords and parents are one class."""
+    own_sets = keywords.groupBy(offer).agg(F.sort_array(F.collect_set(F.struct("keyword", "rank"))).alias("_keywords"))
+    parent_sets = parents.groupBy(offer).agg(F.sort_array(F.collect_set("parent")).alias("_parents"))
+    sets = own_sets.join(parent_sets, offer, "full").withColumn("class_id", F.sha2(F.to_json(F.struct("_keywords", "_parents")), 256))
+    classes = sets.groupBy("class_id").agg(F.any_value("_keywords").alias("_keywords"), F.any_value("_parents").alias("_parents"))
+    own = classes.select("class_id", F.explode("_keywords").alias("k")).select("class_id", "k.*")
+    return sets.select(offer, "class_id"), own, classes.select("class_id", F.explode("_parents").alias("parent"))
+
+
+def class_hits(pairs: DataFrame, lines: DataFrame, keywords: DataFrame, parents: DataFrame, recipe: str = "recipe_id") -> DataFrame:
+    """(recipe, class_id, line_no, keyword, rank): `keyword_hits` for pairs (recipe, class_id) of recipes and classes.
+
+    A class and a line's text are tried once, however many recipes have the line.
+    """
+    text = F.lower("line")
+    rows = pairs.select(recipe, "class_id").distinct().join(lines.select(recipe, "line_no", text.alias("_text")), recipe)
+    texts = rows.select("class_id", "_text").distinct()
+    own = texts.join(keywords, "class_id").where(F.col("_text").contains(F.col("keyword")))
+    own = own.groupBy("class_id", "_text").agg(F.min_by(F.struct("keyword", "rank"), F.struct("rank", "keyword")).alias("h")).select("class_id", "_text", "h.keyword", "h.rank")
+    rest = texts.join(own, ["class_id", "_text"], "left_anti").join(parents, "class_id").where(F.col("_text").contains(F.col("parent")))
+    rest = rest.groupBy("class_id", "_text").agg(F.min("parent").alias("keyword")).withColumn("rank", F.lit(None).cast("int"))
+    return rows.join(own.union(rest), ["class_id", "_text"]).select(recipe, "class_id", "line_no", "keyword", "rank")
+
+
 def keyword_hits(pairs: DataFrame, lines: DataFrame, keywords: DataFrame, parents: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id") -> DataFrame:
     """(recipe, offer, line_no, keyword, rank): the first keyword (offer, keyword, rank) found in each line of a pair; else its parent (offer, parent), rank null.
 
-    Offers with the same keywords and parents form a class; lines are searched once for each class, then pairs take what their class found.
+    The pairs take what their offer's class found: `class_hits` with the members put in.
     """
-    own_sets = keywords.groupBy(offer).agg(F.sort_array(F.collect_set(F.struct("keyword", "rank"))).alias("_keywords"))
-    parent_sets = parents.groupBy(offer).agg(F.sort_array(F.collect_set("parent")).alias("_parents"))
-    sets = own_sets.join(parent_sets, offer, "full").withColumn("_class", F.sha2(F.to_json(F.struct("_keywords", "_parents")), 256))
-    classes = sets.groupBy("_class").agg(F.any_value("_keywords").alias("_keywords"), F.any_value("_parents").alias("_parents"))
-    members = pairs.select(recipe, offer).join(sets.select(offer, "_class"), offer)
-    rows = members.select(recipe, "_class").distinct().join(lines, recipe)
-    text, place = F.lower("line"), [recipe, "_class", "line_no"]
-    own = rows.join(classes.select("_class", F.explode("_keywords").alias("k")).select("_class", "k.*"), "_class").where(text.contains(F.col("keyword")))
-    own = own.groupBy(*place).agg(F.min_by(F.struct("keyword", "rank"), F.struct("rank", "keyword")).alias("h")).select(*place, "h.keyword", "h.rank")
-    rest = rows.join(own, place, "left_anti").join(classes.select("_class", F.explode("_parents").alias("parent")), "_class").where(text.contains(F.col("parent")))
-    rest = rest.groupBy(*place).agg(F.min("parent").alias("keyword")).withColumn("rank", F.lit(None).cast("int"))
-    return own.union(rest).join(members, [recipe, "_class"]).select(recipe, offer, "line_no", "keyword", "rank")
+    members, own, parent_terms = keyword_classes(keywords, parents, offer)
+    rows = pairs.select(recipe, offer).join(members, offer)
+    found = class_hits(rows, lines, own, parent_terms, recipe)
+    return found.join(rows, [recipe, "class_id"]).select(recipe, offer, "line_no", "keyword", "rank")
 
 
 def block_false_hits(hits: DataFrame, blockers: DataFrame) -> DataFrame:
@@ -95,6 +113,39 @@ def specialty_gate(hits: DataFrame, qualifiers: DataFrame, equivalents: DataFram
     return hits.join(judged, list(TEXTS), "left").where("bad IS NULL OR NOT bad").withColumn("q_rank", F.coalesce("q_rank", F.lit(0))).drop("bad")
 
 
+def specialty_branches(hits: DataFrame, qualifiers: DataFrame, equivalents: DataFrame, word: str = "or") -> DataFrame:
+    """`specialty_gate` for lines with alternatives (`x or y`), with skipped qualifiers and packaging words.
+
+    qualifiers: keyword, qualifier, two_way, packaging, skip; equivalents: qualifier, other. Of the line's branches those that have the keyword are
+    looked at, and one of them must be answered: it names no qualifier but skipped ones, or the product has one of those that it names or
+    an equivalent. Packaging words count only where a branch names nothing more specific. Each two-way qualifier of the product must stand
+    in some branch, itself or an equivalent. q_rank is 2 if a branch and the product share a qualifier, 1 if they have equivalent ones or only
+    the product names one that the line answers, else 0.
+    """
+    both = equivalents.select("qualifier", "other").union(equivalents.select(F.col("other").alias("qualifier"), F.col("qualifier").alias("other"))).distinct()
+    others = both.groupBy("qualifier").agg(F.collect_set("other").alias("others"))
+    # a keyword's rules are a short list, tried within each row
+    rules = qualifiers.join(others, "qualifier", "left").withColumn("same", F.array_union(F.array("qualifier"), F.coalesce("others", F.array().cast("array<string>"))))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    rules = rules.groupBy("keyword").agg(F.collect_list(F.struct("qualifier", "same", flag("two_way"), flag("packaging"), flag("skip"))).alias("rules"))
+    rows = _distinct(hits).join(rules, "keyword").withColumns({"_n": words(F.col("name")), "_b": F.transform(alternatives(F.lower("line"), word), words)})
+    asked = F.filter("_b", lambda b: F.array_contains(b, F.col("keyword")))
+
+    def named(b):
+        listed = F.filter("rules", lambda r: ~r["skip"] & F.array_contains(b, r["qualifier"]))
+        specific = F.filter(listed, lambda r: ~r["packaging"])
+        return F.when(F.size(specific) > 0, specific).otherwise(listed)
+
+    met = lambda r: F.arrays_overlap(r["same"], F.col("_n"))
+    exact = lambda r: F.array_contains("_n", r["qualifier"])
+    first = F.exists(asked, lambda b: (F.size(named(b)) == 0) | F.exists(named(b), met)) | (F.size(asked) == 0)
+    in_line = lambda r: F.exists("_b", lambda b: F.arrays_overlap(r["same"], b))
+    second = F.forall("rules", lambda r: ~(r["two_way"] & exact(r)) | in_line(r))
+    rank = F.when(F.exists(asked, lambda b: F.exists(named(b), exact)), 2).when(F.exists(asked, lambda b: F.exists(named(b), met)) | F.exists("rules", lambda r: r["two_way"] & exact(r)), 1).otherwise(0)
+    judged = rows.select(*TEXTS, (first & second).alias("_ok"), rank.alias("q_rank"))
+    return hits.join(judged, list(TEXTS), "left").where("coalesce(_ok, true)").withColumn("q_rank", F.coalesce("q_rank", F.lit(0))).drop("_ok")
+
+
 def form_gate(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Forms of a product (keyword, form, mode, partner) that the line must answer.
 
@@ -192,12 +243,22 @@ def label_gate(hits: DataFrame, label: str, recipe_labelled: Column, plant: Sequ
 
 
 def select_winner(hits: DataFrame, n_keywords: str, recipe: str = "recipe_id", offer: str = "offer_id", flavour: str | None = None) -> DataFrame:
-    """One hit per pair: the first line fixes the keyword; among its lines a flavour match, then the fewest keywords, then the lowest index."""
+    """One hit per pair: the first line fixes the keyword; among its lines the one with the fewest keywords, then the lowest index, wins.
+
+    With `flavour` (whether the line names a flavour that the product's carrier took in), a winner that names none gives way to the
+    first line of the keyword that does.
+    """
     pair = Window.partitionBy(recipe, offer)
     keyword = F.min_by("keyword", F.struct("line_no", "keyword")).over(pair)
     rows = hits.withColumn("_k", keyword).where("keyword = _k").drop("_k")
-    order = ([F.desc(flavour)] if flavour else []) + [n_keywords, "line_no"]
-    return rows.withColumn("_n", F.row_number().over(pair.orderBy(*order))).where("_n = 1").drop("_n")
+    order: list = [n_keywords, "line_no"]
+    if flavour:
+        named = F.coalesce(F.col(flavour), F.lit(False))
+        rows = rows.withColumns({"_w": F.min(F.struct(n_keywords, "line_no")).over(pair)["line_no"], "_f": F.min(F.when(named, F.col("line_no"))).over(pair)})
+        keeps = F.bool_or(named & (F.col("line_no") == F.col("_w"))).over(pair)
+        rows = rows.withColumn("_to", F.when(keeps, F.col("_w")).otherwise(F.coalesce("_f", "_w")))
+        order = [F.col("line_no") != F.col("_to"), *order]
+    return rows.withColumn("_n", F.row_number().over(pair.orderBy(*order))).where("_n = 1").drop("_n", *(["_w", "_f", "_to"] if flavour else []))
 
 
 def validate(hits: DataFrame, stages: Sequence[tuple[str, Column, str]], keys: Sequence[str] = ("recipe_id", "offer_id"), start: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealweave.operators.grams import containing
 
 def scan_offers(df: DataFrame, categories: Sequence[str], side_rules: Sequence[tuple[str, Column]] = (), column: str = "category") -> DataFrame:
     """Rows of some categories, and of each side category those that pass its test. One predicate, so that the scan gets it."""
@@ -75,17 +76,30 @@ def replace_snapshot(new: DataFrame, old: DataFrame, cols: Sequence[str], root:
     return stats
 
 
-def upsert(incoming: DataFrame, target: DataFrame, key: str, excluded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(target with the incoming rows, (key, action: created, updated, changed or kept) of each row). Excluded keys do not come in."""
+def publish_snapshot(new: DataFrame, table, cols: Sequence[str], valid: Column | None = None) -> DataFrame:
+    """`replace_snapshot` on a versioned table: its next version has the valid rows of `new` alone, if they differ; returns the statistics. Readers keep their version."""
+    old = table.read() if table.current() else new.limit(0)
+    stats = snapshot_change(new, old, cols, valid)
+    stats = new.sparkSession.createDataFrame(stats.collect(), stats.schema)
+    if stats.first()["action"] == "replace":
+        table.replace(new if valid is None else new.where(valid))
+    return stats
+
+
+def upsert(incoming: DataFrame, target: DataFrame, key: str, excluded: DataFrame | None = None, clear: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(target with the incoming rows, (key, action: created, updated, changed, kept or removed) of each row). Excluded keys do not come in.
+
+    With `clear`, a condition on target rows (those of a source that are not hidden), such rows that do not come in again go.
+    """
     if excluded is not None:
         incoming = incoming.join(excluded.select(key), key, "left_anti")
     cols = [c for c in target.columns if c != key]
     a = incoming.select(key, F.struct(*cols).alias("new"))
-    b = target.select(key, F.struct(*cols).alias("old"))
+    b = target.select(key, F.struct(*cols).alias("old"), F.coalesce(F.lit(False) if clear is None else clear, F.lit(False)).alias("_clear"))
     both = a.join(b, key, "full")
-    action = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "kept").when(F.col("old") == F.col("new"), "updated").otherwise("changed")
+    action = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), F.when(F.col("_clear"), "removed").otherwise("kept")).when(F.col("old") == F.col("new"), "updated").otherwise("changed")
     both = both.withColumn("action", action).withColumn("row", F.coalesce("new", "old"))
-    return both.select(key, "row.*"), both.select(key, "action")
+    return both.where("action <> 'removed'").select(key, "row.*"), both.select(key, "action")
 
 
 def drop_stale(target: DataFrame, seen: DataFrame, key: str, mine: Column, hidden: Column) -> tuple[DataFrame, DataFrame]:
@@ -242,9 +256,9 @@ def categorize(df: DataFrame, rules: DataFrame, key: str, columns: Sequence[str]
     """(key, target): by `columns` in turn, the category of least priority of which a keyword (rules: keyword, target, priority) is contained."""
     out = df.select(key, *columns)
     for n, column in enumerate(columns):
-        # distinct texts meet the rules once
-        texts = df.select(F.lower(column).alias("_t")).distinct().where("_t IS NOT NULL")
-        hit = texts.join(rules, F.col("_t").contains(F.lower("keyword"))).groupBy("_t").agg(F.min_by("target", F.struct("priority", "target")).alias(f"_c{n}"))
+        # distinct texts meet the keywords by shared grams
+        texts, lower = df.select(F.lower(column).alias("_t")), rules.withColumn("_k", F.lower("keyword"))
+        hit = containing(texts, lower, "_t", "_k").join(lower, "_k").groupBy("_t").agg(F.min_by("target", F.struct("priority", "target")).alias(f"_c{n}"))
         out = out.withColumn("_t", F.lower(column)).join(hit, "_t", "left").drop("_t")
     return out.select(key, F.coalesce(*(F.col(f"_c{n}") for n in range(len(columns))), F.lit(default)).alias("target"))
 

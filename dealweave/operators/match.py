@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealweave.functions.matching import words
+from dealweave.operators.grams import containing
+from dealweave.sources.folders import stored
 
 
 def offer_terms(offers: DataFrame, key: str = "offer_id", name: str = "name", least: int = 4) -> DataFrame:
@@ -27,19 +29,41 @@ def manifest(terms: DataFrame, key: str) -> DataFrame:
     return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string").alias("manifest"))
 
 
-def candidates(recipe_terms: DataFrame, offer_terms: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id", strong: Sequence[str] | None = ("keyword", "parent_keyword")) -> DataFrame:
-    """(recipe, offer, terms): pairs that share a term, with their sorted shared terms; with `strong`, one of them must be of such a kind on the offer's side.
+#: Columns by which postings of one build are told from another's; those that both sides have are part of the join.
+STAMPS = ("version", "manifest")
+
+
+def stamped(postings: DataFrame, version: str, manifest: str) -> DataFrame:
+    """Postings of one build of the rules and one manifest."""
+    return postings.withColumns({"version": F.lit(version), "manifest": F.lit(manifest)})
+
+
+def posting_classes(offer_terms: DataFrame, offer: str = "offer_id") -> tuple[DataFrame, DataFrame]:
+    """((offer, class_id), (class_id, term, kind, stamps)): offers with equal postings are one class, so that one row stands for all of them."""
+    stamps = [c for c in STAMPS if c in offer_terms.columns]
+    lists = offer_terms.groupBy(offer).agg(F.sort_array(F.collect_set(F.struct("term", "kind", *stamps))).alias("_postings"))
+    members = lists.withColumn("class_id", F.sha2(F.to_json("_postings"), 256))
+    postings = members.groupBy("class_id").agg(F.any_value("_postings").alias("_postings")).select("class_id", F.explode("_postings").alias("p"))
+    return members.select(offer, "class_id"), postings.select("class_id", "p.*")
 
-    Offers with equal postings form a class. Terms are gathered for recipes and classes, and only the pairs that
-    are found meet the members of their class, so that offers of one name are not grouped one by one.
+
+def class_candidates(recipe_terms: DataFrame, postings: DataFrame, recipe: str = "recipe_id", strong: Sequence[str] | None = ("keyword", "parent_keyword")) -> DataFrame:
+    """(recipe, class_id, terms, stamps): the factorised candidates, a row for each recipe and class of offers that share a term of one build.
+
+    With `strong`, one of the shared terms must be of such a kind on the offers' side.
     """
-    r = recipe_terms.select(recipe, "term").distinct()
-    postings = offer_terms.groupBy(offer).agg(F.sort_array(F.collect_set(F.struct("term", "kind"))).alias("_postings"))
-    members = postings.withColumn("_class", F.sha2(F.to_json("_postings"), 256))
-    classes = members.groupBy("_class").agg(F.any_value("_postings").alias("_postings"))
-    o = classes.select("_class", F.explode("_postings").alias("p")).select("_class", "p.*")
-    pairs = r.join(o, "term").groupBy(recipe, "_class").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.bool_or(F.col("kind").isin(*strong) if strong else F.lit(True)).alias("strong"))
-    return pairs.where("strong").join(members.select("_class", offer), "_class").select(recipe, offer, "terms")
+    stamps = [c for c in STAMPS if c in recipe_terms.columns and c in postings.columns]
+    rows = recipe_terms.select(recipe, "term", *stamps).distinct().join(postings.select("class_id", "term", "kind", *stamps), ["term", *stamps])
+    fits = F.bool_or(F.col("kind").isin(*strong) if strong else F.lit(True))
+    pairs = rows.groupBy(recipe, "class_id", *stamps).agg(F.sort_array(F.collect_set("term")).alias("terms"), fits.alias("_strong"))
+    return pairs.where("_strong").select(recipe, "class_id", "terms", *stamps)
+
+
+def candidates(recipe_terms: DataFrame, offer_terms: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id", strong: Sequence[str] | None = ("keyword", "parent_keyword")) -> DataFrame:
+    """(recipe, offer, terms, stamps): pairs that share a term of one build, with their sorted shared terms; `class_candidates` with the classes' members put in."""
+    members, postings = posting_classes(offer_terms, offer)
+    pairs = class_candidates(recipe_terms, postings, recipe, strong)
+    return pairs.join(members, "class_id").select(recipe, offer, *(c for c in pairs.columns if c not in (recipe, "class_id")))
 
 
 def having_any(pairs: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:
@@ -50,31 +74,38 @@ def having_any(pairs: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> D
 def route_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, short: int = 2) -> DataFrame:
     """(key, term): terms (term, kind) in texts; keyword and parent_keyword as substrings of a word, name_word and short terms as whole words.
 
-    The vocabulary meets the terms once, not the texts: a term without blanks that lies in a text lies in one
+    The vocabulary meets the terms by shared grams, not the texts: a term without blanks that lies in a text lies in one
     of its words. Terms with blanks are looked for in the texts that have their rarest word, once for all terms of a text.
+    Terms of blanks alone are found nowhere.
     """
     tokens = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(F.trim(text)), r"\s+"))).alias("w"))
     single, multi = terms.where(~F.col("term").contains(" ")), terms.where(F.col("term").contains(" "))
-    vocabulary = tokens.select("w").distinct()
+    vocabulary = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("docs"))
     exact = (F.col("kind") == "name_word") | (F.length("term") <= short)
-    parts = vocabulary.join(single, F.when(exact, F.col("w") == F.col("term")).otherwise(F.col("w").contains(F.col("term")))).select("w", "term").distinct()
-    out = tokens.join(parts, "w").select(key, "term")
-    heads = multi.select("term", F.split("term", " ").alias("ts")).distinct()
-    if heads.isEmpty():
-        return out.distinct()
+    equal, inside = (single.where(c).select("term").distinct() for c in (exact, ~exact))
+    words_of = multi.select("term", F.split("term", " ").alias("ts")).distinct()
+    if words_of.isEmpty():
+        parts = containing(vocabulary, inside, "w").union(vocabulary.join(equal, F.col("w") == F.col("term")).select("w", "term"))
+        return tokens.join(parts, "w").select(key, "term").distinct()
     # a text with the term has a word for each of the term's: the first ends with it, the last starts with it, others equal it
-    parts = heads.select("term", F.size("ts").alias("n"), F.posexplode("ts").alias("i", "t"))
-    place = F.when(F.col("i") == 0, F.col("w").endswith(F.col("t"))).when(F.col("i") == F.col("n") - 1, F.col("w").startswith(F.col("t"))).otherwise(F.col("w") == F.col("t"))
-    fitting = vocabulary.join(parts, place).select("w", "term", "n", "i")
+    pieces = words_of.select("term", F.size("ts").alias("n"), F.posexplode("ts").alias("i", "t")).where("t <> ''")
+    outer = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1)
+    # one lookup for plain terms and the outer words of others
+    found = stored(containing(vocabulary, inside.union(pieces.where(outer).select("t")).distinct(), "w"), "contained")
+    parts = found.join(inside, "term").select("w", "term").union(vocabulary.join(equal, F.col("w") == F.col("term")).select("w", "term"))
+    ends = F.when(F.col("i") == 0, F.col("w").endswith(F.col("t"))).otherwise(F.col("w").startswith(F.col("t")))
+    fitting = found.withColumnRenamed("term", "t").join(pieces.where(outer), "t").where(ends).select("w", "term", "i")
+    fitting = fitting.union(pieces.where(~outer).join(vocabulary, F.col("w") == F.col("t")).select("w", "term", "i"))
     # of the term's words the rarest in all texts names the texts that are read again
-    counts = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("docs")).join(fitting, "w").groupBy("term", "n", "i").agg(F.sum("docs").alias("docs"))
+    counts = fitting.join(vocabulary, "w").groupBy("term", "i").agg(F.sum("docs").alias("docs"))
     rarest = counts.groupBy("term").agg(F.min_by("i", F.struct("docs", "i")).alias("i"))
-    wanted = tokens.join(fitting.join(rarest, ["term", "i"]).select("w", "term"), "w").select(key, "term").distinct()
-    lists = wanted.groupBy(key).agg(F.collect_list("term").alias("_terms"))
+    marks = parts.withColumn("sure", F.lit(True)).union(fitting.join(rarest, ["term", "i"]).select("w", "term", F.lit(False)))
+    hits = tokens.join(marks, "w")
+    lists = hits.where("NOT sure").groupBy(key).agg(F.collect_set("term").alias("_terms"))
     flat = F.concat_ws(" ", F.split(F.lower(F.trim(text)), r"\s+"))
     hit = texts.select(key, flat.alias("_t")).join(lists, key)
     hit = hit.select(key, F.explode(F.filter("_terms", lambda t: F.col("_t").contains(t))).alias("term"))
-    return out.union(hit).distinct()
+    return hits.where("sure").select(key, "term").union(hit).distinct()
 
 
 def line_hints(lines: DataFrame, pairs: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id") -> DataFrame:
@@ -83,15 +114,31 @@ def line_hints(lines: DataFrame, pairs: DataFrame, recipe: str = "recipe_id", of
     return wanted.join(lines.select(recipe, "term", "line_no").distinct(), [recipe, "term"]).groupBy(recipe, offer, "term").agg(F.sort_array(F.collect_set("line_no")).alias("line_nos"))
 
 
-def refresh_scope(pairs: DataFrame, fresh: DataFrame, recipe_ids: DataFrame, offer_ids: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id") -> DataFrame:
-    """`pairs` with those in scope (recipe in one set or offer in the other) replaced by those of `fresh` in scope."""
+def routing_saved(lines: DataFrame, class_pairs: DataFrame, members: DataFrame, recipe: str = "recipe_id") -> DataFrame:
+    """One row: pairs, scanned (line tests if every pair looks at all lines of its recipe), hinted (tests of hinted lines only) and saved_pct.
+
+    Counted from the factorised pairs (recipe, class_id, terms): a class counts as often as it has members.
+    """
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("_m"))
+    all_lines = lines.groupBy(recipe).agg(F.count_distinct("line_no").alias("_n"))
+    rows = class_pairs.select(recipe, "class_id", F.explode("terms").alias("term"))
+    hinted = rows.join(lines.select(recipe, "term", "line_no").distinct(), [recipe, "term"]).groupBy(recipe, "class_id").agg(F.count_distinct("line_no").alias("_h"))
+    each = class_pairs.select(recipe, "class_id").join(sizes, "class_id").join(all_lines, recipe).join(hinted, [recipe, "class_id"], "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = each.agg(total(F.col("_m")).alias("pairs"), total(F.col("_m") * F.col("_n")).alias("scanned"), total(F.col("_m") * F.coalesce("_h", F.lit(0))).alias("hinted"))
+    return sums.withColumn("saved_pct", F.when(F.col("scanned") > 0, F.round(100 - 100 * F.col("hinted") / F.col("scanned"), 2)).otherwise(0.0))
+
+
+def refresh_scope(pairs: DataFrame, fresh: DataFrame, recipe_ids: DataFrame, offer_ids: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id", manifest: str | None = None) -> DataFrame:
+    """`pairs` with those in scope (recipe in one set or offer in the other) replaced by those of `fresh` in scope; with `manifest`, all rows bear it from then on."""
 
     def in_scope(df, keep):
         marked = df.join(recipe_ids.select(recipe, F.lit(True).alias("_r")).distinct(), recipe, "left").join(offer_ids.select(offer, F.lit(True).alias("_o")).distinct(), offer, "left")
         scope = F.coalesce("_r", F.lit(False)) | F.coalesce("_o", F.lit(False))
         return marked.where(scope if keep else ~scope).select(*pairs.columns)
 
-    return in_scope(pairs, False).unionByName(in_scope(fresh, True))
+    out = in_scope(pairs, False).unionByName(in_scope(fresh, True))
+    return out if manifest is None else out.withColumn("manifest", F.lit(manifest))
 
 
 def duplicate_pairs(df: DataFrame, key: str, items: str, least: int = 2) -> DataFrame:
@@ -118,14 +165,27 @@ def resolve_sources(actual: DataFrame, enabled: DataFrame) -> DataFrame:
 
 
 def star_join(sources: DataFrame, starred: DataFrame) -> DataFrame:
-    """(source, starred): whether a favourite (name) equals, contains or lies in the source, case aside. Distinct names of both sides meet."""
-    s, n = F.lower("source"), F.lower("name")
-    hits = sources.select("source").distinct().join(starred.select("name").distinct(), s.contains(n) | n.contains(s)).select("source").distinct()
+    """(source, starred): whether a favourite (name) equals, contains or lies in the source, case aside; empty names are nobody's. Names meet by shared grams."""
+    s, n = sources.select(F.lower("source").alias("s")), starred.select(F.lower("name").alias("n"))
+    near = containing(s, n, "s", "n").select("s").union(containing(n, s, "n", "s").select("s")).distinct()
+    hits = sources.select("source").distinct().join(near, F.lower("source") == F.col("s"), "left_semi")
     return sources.select("source").distinct().join(hits.withColumn("starred", F.lit(True)), "source", "left").select("source", F.coalesce("starred", F.lit(False)).alias("starred"))
 
 
+def recipes_of_classes(pairs: DataFrame, members: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id") -> tuple[DataFrame, DataFrame]:
+    """((offer, class_id), (class_id, recipe)): the matches (recipe, class_id) turned round without a list for any offer: an offer's recipes are its class's."""
+    inverse = pairs.select("class_id", recipe).distinct()
+    return members.join(inverse.select("class_id").distinct(), "class_id", "left_semi").select(offer, "class_id"), inverse
+
+
+def recipes_with_any(pairs: DataFrame, members: DataFrame, offers: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id") -> DataFrame:
+    """(recipe): recipes that hold an offer of a set (EXISTS), found through the classes of the set alone."""
+    wanted = members.join(offers.select(offer).distinct(), offer, "left_semi").select("class_id").distinct()
+    return pairs.join(wanted, "class_id", "left_semi").select(recipe).distinct()
+
+
 def offer_to_recipes(cache: DataFrame, recipe: str = "recipe_id", matched: str = "matched") -> DataFrame:
-    """(offer_id, recipe_ids): the nested matches turned round."""
+    """(offer_id, recipe_ids): the nested matches turned round, a list for each offer; `recipes_of_classes` makes no list."""
     return cache.select(recipe, F.explode(matched).alias("m")).groupBy(F.col("m.offer_id").alias("offer_id")).agg(F.sort_array(F.collect_set(recipe)).alias("recipe_ids"))
 
 
@@ -158,18 +218,31 @@ def review_list(fixes: DataFrame, recipes: DataFrame, key: str, by: Sequence[str
 def compounds(vocabulary: DataFrame, dictionary: DataFrame, head: int = 4, tail: int = 3, binding: str = "s") -> DataFrame:
     """(word, head, tail): words of a known word (>= head letters), an optional binding letter and a known rest (>= tail letters); the longest head."""
     d = dictionary.select("word").distinct()
-    split = vocabulary.select("word").distinct().where(F.length("word") >= head + tail)
-    split = split.withColumn("n", F.explode(F.sequence(F.lit(head), F.length("word") - tail)))
+    # neither part is longer than the longest known word, so only cuts that leave such parts are made
+    longest = d.agg(F.max(F.length("word"))).first()[0] or 0
+    first, last = F.greatest(F.lit(head), F.length("word") - longest - len(binding)), F.least(F.length("word") - tail, F.lit(longest))
+    split = vocabulary.select("word").distinct().where((F.length("word") >= head + tail) & (first <= last))
+    split = split.withColumn("n", F.explode(F.sequence(first, last)))
     split = split.withColumn("h", F.substring("word", F.lit(1), F.col("n"))).withColumn("t", F.substring("word", F.col("n") + 1, F.length("word")))
     bound = split.where((F.substring("t", 1, 1) == binding) & (F.length("t") > tail)).withColumn("t", F.substring("t", F.lit(2), F.length("t")))
     parts = split.union(bound).join(d.select(F.col("word").alias("h")), "h", "left_semi").join(d.select(F.col("word").alias("t")), "t", "left_semi")
     return parts.groupBy("word").agg(F.min_by(F.struct("h", "t"), F.struct((-F.col("n")).alias("n"), (-F.length("t")).alias("m"))).alias("p")).select("word", F.col("p.h").alias("head"), F.col("p.t").alias("tail"))
 
 
-def suggest(vocabulary: DataFrame, dictionary: DataFrame, excluded: DataFrame | None = None, least: int = 5) -> DataFrame:
+def inflected(words_: DataFrame, known: DataFrame, suffixes: Sequence[str], least: int = 3) -> DataFrame:
+    """(word): those of `words_` (word) that are a known word (word) of `least` letters or more and one of some suffixes."""
+    w = F.col("word")
+    stems = [F.when(w.endswith(s) & (F.length(w) - len(s) >= least), F.substring(w, F.lit(1), F.length(w) - len(s))) for s in suffixes]
+    rows = words_.select("word", F.explode(F.array_compact(F.array(*stems, F.lit(None).cast("string")))).alias("stem"))
+    return rows.join(known.select(F.col("word").alias("stem")), "stem", "left_semi").select("word").distinct()
+
+
+def suggest(vocabulary: DataFrame, dictionary: DataFrame, excluded: DataFrame | None = None, least: int = 5, suffixes: Sequence[str] = (), compound: bool = False) -> DataFrame:
     """(word, fix): unknown words of `least` letters or more with exactly one dictionary word at edit distance 1.
 
-    Words that are one edit apart share a form with at most one letter deleted, so an equi-join on those forms finds all of them.
+    Words that are a dictionary word and one of `suffixes`, and with `compound` those made of two dictionary words, need no
+    fix. Words that are one edit apart share a form with at most one letter deleted, so an equi-join on those forms finds
+    all of them; words of more than one letter over the longest of the other side have no such partner and make no forms.
     """
 
     def forms(df, name):
@@ -177,7 +250,17 @@ def suggest(vocabulary: DataFrame, dictionary: DataFrame, excluded: DataFrame |
         return df.select(name, F.explode(F.array_distinct(F.concat(F.array(F.col(name)), cut))).alias("form"))
 
     d = dictionary.select(F.col("word").alias("fix")).distinct()
-    unknown = vocabulary.select("word").distinct().where(F.length("word") >= least).join(d.select(F.col("fix").alias("word")), "word", "left_anti")
+    known = d.select(F.col("fix").alias("word"))
+    unknown = vocabulary.select("word").distinct().where(F.length("word") >= least).join(known, "word", "left_anti")
+    longest = d.agg(F.max(F.length("fix"))).first()[0] or 0
+    unknown = unknown.where(F.length("word") <= longest + 1)
+    if suffixes:
+        unknown = unknown.join(inflected(unknown, known, suffixes), "word", "left_anti")
+    if compound:
+        made = compounds(unknown, known).select("word").union(compounds(unknown, known, 3, 4).select("word"))  # either part may be the longer known one
+        unknown = unknown.join(made, "word", "left_anti")
+    longest = unknown.agg(F.max(F.length("word"))).first()[0] or 0
+    d = d.where(F.length("fix") <= longest + 1)
     pairs = forms(unknown, "word").join(forms(d, "fix"), "form").select("word", "fix").distinct()
     pairs = pairs.where(F.levenshtein("word", "fix", 1) == 1)
     if excluded is not None:

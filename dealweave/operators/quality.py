@@ -40,6 +40,47 @@ def doctor(parents: DataFrame, cache: DataFrame, items: DataFrame, version: str,
     return report.union(overall)
 
 
+#: Checks of the whole report and their status when they fail.
+REPORT = {
+    "orphans": "error", "orphan_items": "error", "excluded_present": "error", "missing_rows": "warning", "missing_with_items": "error", "double_rows": "error", "double_parents": "error",
+    "stale_version": "warning", "null_version": "error", "null_total": "error", "negative_total": "error", "hash_mismatch": "error", "null_hash": "error", "items_without_entry": "warning",
+    "entry_without_items": "warning", "total_mismatch": "error", "count_mismatch": "error", "negative_amount": "error", "null_amount": "error", "double_items": "warning", "older_than_source": "warning",
+}
+
+
+def full_report(parents: DataFrame, cache: DataFrame, items: DataFrame, version: str, key: str = "recipe_id", item: str = "offer_id") -> DataFrame:
+    """`doctor` with all of REPORT: (check, status, n) in one pass, the number of keys that fail each check, and row `overall` with the worst status.
+
+    parents: key, excluded, changed_at; cache: key, version, total, n_items, hash, good_hash, built_at; items: key, item, amount. Each table is scanned once and
+    summed by key, the three meet in one full outer join, and every check is a conditional count over it. Null keys are one key.
+    """
+    p = parents.groupBy(key).agg(F.count(F.lit(1)).alias("p_n"), F.bool_or(F.coalesce("excluded", F.lit(False))).alias("hidden"), F.max("changed_at").alias("changed_at"))
+    c = cache.groupBy(key).agg(
+        F.count(F.lit(1)).alias("c_n"), F.bool_or(F.coalesce(F.col("version") != version, F.lit(False))).alias("stale"), F.bool_or(F.col("version").isNull()).alias("no_version"),
+        F.bool_or(F.col("total").isNull()).alias("no_total"), F.bool_or(F.coalesce(F.col("total") < 0, F.lit(False))).alias("below"), F.max("total").alias("total"), F.max("n_items").alias("n_items"),
+        F.bool_or(F.coalesce(F.col("hash") != F.col("good_hash"), F.lit(False))).alias("bad_hash"), F.bool_or(F.col("hash").isNull()).alias("no_hash"), F.min("built_at").alias("built_at"),
+    )
+    once = items.groupBy(key, item).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"), F.count_if(F.col("amount") < 0).alias("low"), F.count_if(F.col("amount").isNull()).alias("none"))
+    i = once.groupBy(key).agg(F.sum("n").alias("i_n"), F.sum("s").alias("i_s"), F.sum("low").alias("low"), F.sum("none").alias("none"), F.max("n").alias("most"))
+    named = lambda df, k: df.withColumn("_key", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))).drop(key).withColumn(k, F.lit(True))
+    rows = named(p, "is_p").join(named(c, "is_c"), "_key", "full").join(named(i, "is_i"), "_key", "full")
+    has = lambda n: F.coalesce(n, F.lit(False))
+    in_p, in_c, in_i, hidden = has("is_p"), has("is_c"), has("is_i"), has("hidden")
+    failing = {
+        "orphans": in_c & ~in_p, "orphan_items": in_i & ~in_p, "excluded_present": in_c & hidden, "missing_rows": in_p & ~hidden & ~in_c, "missing_with_items": in_p & ~hidden & ~in_c & in_i,
+        "double_rows": F.col("c_n") > 1, "double_parents": F.col("p_n") > 1, "stale_version": F.col("stale"), "null_version": F.col("no_version"), "null_total": F.col("no_total"),
+        "negative_total": F.col("below"), "hash_mismatch": F.col("bad_hash"), "null_hash": F.col("no_hash"), "items_without_entry": in_i & ~in_c, "entry_without_items": in_c & ~in_i,
+        "total_mismatch": in_c & (F.abs(F.coalesce("i_s", F.lit(0)) - F.col("total")) > 0.005), "count_mismatch": in_c & (F.coalesce("i_n", F.lit(0)) != F.col("n_items")),
+        "negative_amount": F.col("low") > 0, "null_amount": F.col("none") > 0, "double_items": F.col("most") > 1, "older_than_source": in_c & in_p & (F.col("built_at") < F.col("changed_at")),
+    }
+    counts = rows.agg(*(F.count_if(has(failing[name])).alias(name) for name in REPORT))
+    each = F.array(*(F.struct(F.lit(name).alias("check"), F.when(F.col(name) == 0, "ok").otherwise(status).alias("status"), F.col(name).alias("n")) for name, status in REPORT.items()))
+    level = F.array_max(F.transform(each, lambda x: F.when(x["status"] == "error", 2).when(x["status"] == "warning", 1).otherwise(0)))
+    total = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    overall = F.struct(F.lit("overall").alias("check"), F.element_at(F.array(F.lit("ok"), F.lit("warning"), F.lit("error")), level + 1).alias("status"), total.alias("n"))
+    return counts.select(F.explode(F.concat(each, F.array(overall))).alias("x")).select("x.*")
+
+
 def path_parity(paths: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """(keys, missing_in): pairs that not all paths have, with the paths that lack them."""
     names = sorted(paths)
@@ -61,14 +102,25 @@ def expect(pairs: DataFrame, rules: DataFrame, subjects: DataFrame, key: str = "
     return lacking.union(unwanted).union(beyond)
 
 
-def explain_pairs(expected: DataFrame, stages: Sequence[tuple[str, DataFrame]], keys: Sequence[str]) -> DataFrame:
-    """(keys, lost_at): for each expected pair the first stage whose pairs lack it, null if none does; found but not expected ones are `unexpected`."""
-    out = expected.select(*keys).distinct()
-    last = stages[-1][1].select(*keys).distinct().join(out, list(keys), "left_anti").withColumn("lost_at", F.lit("unexpected"))
-    for name, df in stages:
-        out = out.join(df.select(*keys).distinct().withColumn(f"_{name}", F.lit(True)), list(keys), "left")
-    lost = F.coalesce(*(F.when(F.col(f"_{n}").isNull(), F.lit(n)) for n, _ in stages))
-    return out.select(*keys, lost.alias("lost_at")).union(last)
+def explain_pairs(expected: DataFrame, stages: Sequence[tuple[str, DataFrame]], keys: Sequence[str], rules: DataFrame | None = None) -> DataFrame:
+    """(keys, lost_at): for each expected pair the first stage whose pairs lack it, null if none does; pairs of the last stage that were not expected are `unexpected`.
+
+    Each table tags its pairs with a bit, and the bits of a pair are or-ed in one aggregate, whatever the number of stages. With
+    `rules` (keys, stage, rule), the rules that took pairs at a stage, the column rule names the first one of a lost pair's stage.
+    """
+    tag = lambda df, bit, rule: df.select(*keys, F.lit(1 << bit).cast("long").alias("_bits"), rule)
+    nothing = F.lit(None).cast("struct<stage:string,rule:string>").alias("_rule")
+    rows = reduce(DataFrame.union, [tag(expected, 0, nothing), *(tag(df, i, nothing) for i, (_, df) in enumerate(stages, 1))])
+    if rules is not None:
+        rows = rows.union(rules.select(*keys, F.lit(0).cast("long"), F.struct(F.col("stage").cast("string").alias("stage"), F.col("rule").cast("string").alias("rule"))))
+    bits = rows.groupBy(*keys).agg(F.bit_or("_bits").alias("_bits"), *([F.collect_set("_rule").alias("_rules")] if rules is not None else []))
+    has = lambda i: F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0
+    lost = F.coalesce(*(F.when(~has(i), F.lit(n)) for i, (n, _) in enumerate(stages, 1)))
+    told = bits.where(has(0) | has(len(stages))).withColumn("lost_at", F.when(has(0), lost).otherwise("unexpected"))
+    if rules is None:
+        return told.select(*keys, "lost_at")
+    mine = F.array_min(F.filter("_rules", lambda r: r["stage"] == F.col("lost_at")))["rule"]
+    return told.select(*keys, "lost_at", mine.alias("rule"))
 
 
 def funnel(explained: DataFrame) -> DataFrame:

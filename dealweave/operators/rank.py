@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealweave.sources.folders import new_folder, stored
+
 LEAST_WEIGHT = 0.01
 
 
@@ -32,11 +34,18 @@ def allocate(weights: DataFrame, n: int, profile: str = "profile", name: str = "
     return rows.select(profile, name, slots.cast("long").alias("slots"))
 
 
-def balanced_topk(profiles: DataFrame, items: DataFrame, weights: DataFrame, n: int, by: str = "total_savings", pool: str = "budget_score", key: str = "recipe_id", hidden: DataFrame | None = None) -> DataFrame:
+def without_excluded(weights: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    """Weights without the hard excluded (profile, category): these get no slots and are in no pool, also where the pool has all slots."""
+    return weights if excluded is None else weights.join(excluded.select("profile", "category").distinct(), ["profile", "category"], "left_anti")
+
+
+def balanced_topk(profiles: DataFrame, items: DataFrame, weights: DataFrame, n: int, by: str = "total_savings", pool: str = "budget_score", key: str = "recipe_id", hidden: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """(profile, key, category, kind, place): per category its slots by `by`, then the profile's free slots from all not yet taken by `pool`.
 
-    profiles: profile, n_pool (slots of the pool); weights: profile, category, weight; hidden: profile, key never shown.
+    profiles: profile, n_pool (slots of the pool); weights: profile, category, weight; hidden: profile, key never shown; excluded: profile, category
+    never shown, unlike categories without weight, which the pool shows where it has all slots.
     """
+    weights = without_excluded(weights, excluded)
     slots = allocate(weights, n).join(profiles, "profile")
     slots = slots.withColumn("slots", F.greatest(F.col("slots") - F.floor(F.col("slots") * F.col("n_pool") / n), F.lit(0)))
     # each category's rows are ranked once; no profile needs more than n of them
@@ -60,14 +69,26 @@ def balanced_topk(profiles: DataFrame, items: DataFrame, weights: DataFrame, n:
     return chosen.union(rest.select("profile", key, "category", F.lit("pool").alias("kind"), "place"))
 
 
-def serve(profiles: DataFrame, items: DataFrame, weights: DataFrame, n: int, in_season: Column, seen: DataFrame, by: str = "total_savings", pool: str = "budget_score", key: str = "recipe_id") -> DataFrame:
-    """(profile, key, category, kind, place): the pool's slots first, then categories without those; rows out of season or already seen are left out before ranking, favourites break ties."""
+def serve(profiles: DataFrame, items: DataFrame, weights: DataFrame, n: int, in_season: Column, seen: DataFrame, by: str = "total_savings", pool: str = "budget_score", key: str = "recipe_id", excluded: DataFrame | None = None, size: tuple[str, int, int] | None = None) -> DataFrame:
+    """(profile, key, category, kind, place): the pool's slots first, then categories without those; rows out of season or already seen are left out before ranking, favourites break ties.
+
+    excluded: profile, category never shown; size: a column of item counts with its least and greatest value, 0 for no bound.
+    """
     rows = items.where(in_season)
+    if size is not None:
+        column, low, high = size
+        rows = rows.where(F.col(column) >= low) if low > 0 else rows
+        rows = rows.where(F.col(column) <= high) if high > 0 else rows
     n_seen = seen.groupBy("profile").count().agg(F.max("count")).first()[0] or 0
-    first = rows.orderBy(F.desc(pool), F.desc("starred"), key).limit(n + n_seen).crossJoin(F.broadcast(profiles)).join(seen, ["profile", key], "left_anti")
-    first = first.withColumn("place", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc(pool), F.desc("starred"), key))).where(F.col("place") <= F.col("n_pool"))
+    best = [F.desc(pool), F.desc("starred"), key]
+    # no profile needs more of a category than its slots and what it has seen
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy(*best))).where(F.col("_r") <= n + n_seen).drop("_r")
+    first = first.crossJoin(F.broadcast(profiles)).join(seen, ["profile", key], "left_anti")  # a bounded list for each profile
+    if excluded is not None:
+        first = first.join(excluded.select("profile", "category").distinct(), ["profile", "category"], "left_anti")
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("profile").orderBy(*best))).where(F.col("place") <= F.col("n_pool"))
     first = first.select("profile", key, "category", F.lit("pool").alias("kind"), "place")
-    slots = allocate(weights, n).join(profiles, "profile")
+    slots = allocate(without_excluded(weights, excluded), n).join(profiles, "profile")
     slots = slots.withColumn("slots", F.greatest(F.col("slots") - F.floor(F.col("slots") * F.col("n_pool") / n), F.lit(0)))
     top = rows.withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy(F.desc(by), F.desc("starred"), key))).where(F.col("_r") <= 2 * n + n_seen)
     rest = top.join(slots, "category").join(seen, ["profile", key], "left_anti").join(first.select("profile", key), ["profile", key], "left_anti")
@@ -102,6 +123,42 @@ def page(df: DataFrame, order: Sequence, limit: int, offset: int = 0, seen: Data
     return got.where(F.col("_n") <= limit).drop("_n")
 
 
+class Ordered:
+    """A table in order, as stored ranges with the number of rows before each, so that any place or page follows by addition.
+
+    The order ends in a unique key. Ranges are the tasks of one range partitioning, written once; `before` is a row for each of them.
+    Rows with equal first columns may be dealt over several ranges, so no value of the order is too frequent.
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence, kind: str = "ordered"):
+        self.order = [o if isinstance(o, Column) else F.col(o) for o in order]
+        dealt = df.repartitionByRange(*self.order).sortWithinPartitions(*self.order).withColumn("_range", F.spark_partition_id())
+        path = new_folder(df.sparkSession, kind)
+        dealt.write.partitionBy("_range").parquet(path)
+        self.rows = df.sparkSession.read.schema(dealt.schema).parquet(path)
+        sizes = self.rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        self.before = stored(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))), f"{kind}-directory")
+
+    def _ranked(self, rows: DataFrame) -> DataFrame:
+        within = F.row_number().over(Window.partitionBy("_range").orderBy(*self.order))
+        return rows.withColumn("_place", within).join(F.broadcast(self.before), "_range")  # a row for each range
+
+    def places(self) -> DataFrame:
+        """All rows with their place, from 1."""
+        rows = self._ranked(self.rows)
+        return rows.withColumn("place", (F.col("_place") + F.col("_before")).cast("long")).drop("_range", "_place", "_n", "_before")
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """Rows offset + 1 to offset + limit with their place and has_more; only the ranges that hold them are read. The limit is clamped to 1 .. 100."""
+        limit = max(1, min(100, limit))
+        hit = self.before.where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_n") > offset)).select("_range").collect()  # the ranges of one page
+        total = self.before.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        wanted = self.rows.where(F.col("_range").isin(*(r[0] for r in hit))) if hit else self.rows.limit(0)
+        rows = self._ranked(wanted).withColumn("place", (F.col("_place") + F.col("_before")).cast("long")).drop("_range", "_place", "_n", "_before")
+        return rows.where((F.col("place") > offset) & (F.col("place") <= offset + limit)).withColumn("has_more", F.lit(total > offset + limit))
+
+
 def rank_offers(hits: DataFrame, by: Sequence[str], frozen_context: str) -> DataFrame:
     """Adds place per recipe line: qualifier rank, qualifier match, context match, savings, then frozen first where the context is frozen, then id."""
     frozen = F.when(F.col(frozen_context), F.col("frozen").cast("int")).otherwise(0)

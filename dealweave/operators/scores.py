@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealweave.operators.grams import containing
+from dealweave.sources.folders import stored
+
 SAVING_CAP = 50
 FULL_MATCHES = 6
 
@@ -38,7 +41,7 @@ def _closed(sets: DataFrame, step: DataFrame) -> DataFrame:
     reach = step.select("short", "to")
     for _ in range(longest.bit_length()):
         there = reach.select(F.col("short").alias("to"), F.col("to").alias("further"))
-        reach = reach.join(there, "to", "left").select("short", F.coalesce("further", "to").alias("to")).persist()
+        reach = stored(reach.join(there, "to", "left").select("short", F.coalesce("further", "to").alias("to")), "reach")
     out = sets.select("key").join(reach.withColumnRenamed("short", "key"), "key", "left")
     return out.select("key", F.coalesce("to", "key").alias("target"))
 
@@ -59,13 +62,12 @@ def promote(keys: DataFrame, suffixes: Sequence[str] = ("s", "es")) -> DataFrame
 def promote_contained(keys: DataFrame, least: int = 2, blocked: DataFrame | None = None) -> DataFrame:
     """(key, target) of keys (key, group): a key moves to the shortest longer one that contains it and whose groups hold all of its own, over and over.
 
-    Pairs (short, key) in `blocked` don't count. Keys meet by the substrings of the longer one, of `least` letters or more.
+    Pairs (short, key) in `blocked` don't count, nor do short keys under `least` letters. Keys meet by shared grams.
     """
     sets = _key_sets(keys)
-    starts = F.sequence(F.lit(1), F.length("key") - least + 1)
-    pieces = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(least), F.length("key") - i + 1), lambda n: F.substring("key", i, n)))
-    long = sets.where(F.length("key") > least).select(F.explode(F.array_distinct(F.flatten(pieces))).alias("short"), "key", F.col("groups").alias("theirs"))
-    step = long.where("short <> key").join(sets.select(F.col("key").alias("short"), "groups"), "short").where(F.size(F.array_except("groups", "theirs")) == 0)
+    pairs = containing(sets, sets.select(F.col("key").alias("short")), "key", "short", least).where("short <> key")
+    step = pairs.join(sets.select("key", F.col("groups").alias("theirs")), "key").join(sets.select(F.col("key").alias("short"), "groups"), "short")
+    step = step.where(F.size(F.array_except("groups", "theirs")) == 0)
     if blocked is not None:
         step = step.join(blocked.select("short", "key"), ["short", "key"], "left_anti")
     return _closed(sets, step.groupBy("short").agg(F.min_by("key", F.struct(F.length("key").alias("n"), "key")).alias("to")))
@@ -125,6 +127,47 @@ def to_entry(scores: DataFrame, lines: DataFrame, offers: DataFrame, version: st
     return scores.join(lists, recipe).join(groups, recipe).withColumn("match_data", F.struct(F.lit(version).alias("rules_version"), "offers", "groups")).drop("offers", "groups")
 
 
+def offer_atoms(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((class_id, offer_id, ...), (keyword, class_id, n, first_offer)): offers (keyword, offer_id, ...) with equal keywords are one class.
+
+    Classes share no offer, so that numbers of offers add up over any set of classes; a keyword refers to its classes.
+    """
+    rest = [c for c in offers.columns if c not in ("keyword", "offer_id")]
+    of = offers.groupBy("offer_id").agg(F.sort_array(F.collect_set("keyword")).alias("_keywords"), *(F.max(c).alias(c) for c in rest))
+    members = of.withColumn("class_id", F.sha2(F.to_json("_keywords"), 256))
+    sizes = members.groupBy("class_id").agg(F.any_value("_keywords").alias("_keywords"), F.count(F.lit(1)).alias("n"), F.min("offer_id").alias("first_offer"))
+    postings = sizes.select(F.explode("_keywords").alias("keyword"), "class_id", "n", "first_offer")
+    return members.select("class_id", "offer_id", *rest), postings
+
+
+def factorised_entries(scores: DataFrame, lines: DataFrame, offers: DataFrame, version: str, recipe: str = "recipe_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, match_data, members): the result of `to_entry` without an offer list in any entry.
+
+    entries: the scores of each recipe and its line class; match_data: a row for each line class, that is for each set of (line_no, keyword), with the rules
+    version, the groups, and the offer classes with their sizes and first offers; members: class_id, offer_id and what else offers
+    have. lines: recipe, line_no, keyword; offers: keyword, offer_id, ... Recipes without a hit have no entry, as in `to_entry`.
+    """
+    members, postings = offer_atoms(offers)
+    known = lines.join(postings.select("keyword").distinct(), "keyword", "left_semi")
+    groups = known.groupBy(recipe).agg(F.sort_array(F.collect_set(F.struct("line_no", "keyword"))).alias("groups"))
+    groups = stored(groups.withColumn("line_class", F.sha2(F.to_json("groups"), 256)), "groups")
+    classes = groups.groupBy("line_class").agg(F.any_value("groups").alias("groups"))
+    wanted = classes.select("line_class", F.explode(F.array_distinct("groups.keyword")).alias("keyword")).join(postings, "keyword")
+    lists = wanted.groupBy("line_class").agg(F.sort_array(F.collect_set(F.struct("first_offer", "n", "class_id"))).alias("classes"))
+    match_data = classes.join(lists, "line_class").select("line_class", F.struct(F.lit(version).alias("rules_version"), "classes", "groups").alias("match_data"))
+    return scores.join(groups.select(recipe, "line_class"), recipe), match_data, members
+
+
+def expand_entries(entries: DataFrame, match_data: DataFrame, members: DataFrame) -> DataFrame:
+    """Some of `factorised_entries` as `to_entry` has them: offers sorted by id in place of the classes."""
+    wanted = match_data.join(entries.select("line_class").distinct(), "line_class", "left_semi")
+    rest = [c for c in members.columns if c not in ("class_id", "offer_id")]
+    offers = wanted.select("line_class", F.explode("match_data.classes.class_id").alias("class_id")).join(members, "class_id")
+    lists = offers.groupBy("line_class").agg(F.sort_array(F.collect_list(F.struct("offer_id", *rest))).alias("offers"))
+    whole = wanted.join(lists, "line_class").select("line_class", F.struct("match_data.rules_version", "offers", "match_data.groups").alias("match_data"))
+    return entries.join(whole, "line_class").drop("line_class")
+
+
 def category_counts(df: DataFrame, category: str, keep: Column) -> DataFrame:
     return df.where(keep).groupBy(category).agg(F.count(F.lit(1)).alias("n"))
 

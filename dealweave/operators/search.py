@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.functions.matching import words
+from dealweave.operators.grams import alike, containing
 
 WEIGHTS = {"A": 1.0, "B": 0.4}
 
@@ -85,29 +86,27 @@ def search_terms(df: DataFrame, key: str, text: str, keywords: DataFrame, parent
     return out.distinct()
 
 
-def _fuzzy(a: Column, b: Column) -> Column:
-    """Equal letters at equal places, 75 % of the shorter or more, if it has over three letters."""
-    same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-    short = F.least(F.length(a), F.length(b))
-    return (short > 3) & (same >= 0.75 * short)
+def near_terms(items: DataFrame, terms: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """(item, term): distinct pairs that are equal or of which one contains the other; with `fuzzy` also those of over three letters that agree at 75 % of the shorter one's places."""
+    found = containing(items, terms, "item").union(containing(terms, items, "term", "item").select("item", "term"))
+    return (found.union(alike(items, terms, "item")) if fuzzy else found).distinct()
 
 
 def pantry_search(items: DataFrame, queries: DataFrame, key: str, coverage: float = 0.5, missing: int = 3, fuzzy: bool = False) -> DataFrame:
     """(query_id, key, matched, total, coverage, is_full, preview): recipes (key, item) against many pantries (query_id, term).
 
-    An item is matched if it equals a term or one contains the other (with `fuzzy`, also by letters at equal
-    places). Vocabularies meet once. Kept from `coverage` on and up to `missing` items short, with three of them.
+    An item is matched by the terms of `near_terms`; vocabularies meet by shared pieces. Kept from `coverage` on and up
+    to `missing` items short, with three of them; null items are none. A recipe's items are gathered once, and its rows stay where they are: matched
+    places are counted by recipe and query without a further shuffle.
     """
-    v = items.select("item").distinct().join(queries.select("term").distinct(), (F.col("item").contains(F.col("term")) | F.col("term").contains(F.col("item"))) | (_fuzzy(F.col("item"), F.col("term")) if fuzzy else F.lit(False)))
-    hit_items = queries.join(v, "term").select("query_id", "item").distinct()
-    totals = items.select(key, "item").distinct()
-    hits = totals.join(hit_items, "item").select("query_id", key, "item")
-    counts = hits.groupBy("query_id", key).agg(F.count(F.lit(1)).alias("matched")).join(totals.groupBy(key).agg(F.count(F.lit(1)).alias("total")), key)
-    kept = counts.where((F.col("matched") >= coverage * F.col("total")) & (F.col("total") - F.col("matched") <= missing))
-    lacking = kept.select("query_id", key).join(totals, key).join(hits, ["query_id", key, "item"], "left_anti")
-    preview = lacking.groupBy("query_id", key).agg(F.array_join(F.slice(F.sort_array(F.collect_set("item")), 1, 3), ", ").alias("preview"))
-    out = kept.join(preview, ["query_id", key], "left")
-    return out.select("query_id", key, "matched", "total", F.round(F.col("matched") / F.col("total"), 4).alias("coverage"), (F.col("matched") == F.col("total")).alias("is_full"), F.coalesce("preview", F.lit("")).alias("preview"))
+    by_query = queries.join(near_terms(items, queries, fuzzy), "term").select("query_id", "item").distinct()
+    lists = items.where("item IS NOT NULL").groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("_items"))
+    rows = lists.select(key, F.size("_items").cast("long").alias("total"), F.posexplode("_items").alias("_i", "item"))
+    hits = rows.join(by_query, "item").groupBy(key, "query_id", "total").agg(F.count(F.lit(1)).alias("matched"), F.collect_list("_i").alias("_got"))
+    kept = hits.where((F.col("matched") >= coverage * F.col("total")) & (F.col("total") - F.col("matched") <= missing)).join(lists, key)
+    lacking = F.filter("_items", lambda x, i: ~F.array_contains("_got", i))
+    preview = F.array_join(F.slice(lacking, 1, 3), ", ")
+    return kept.select("query_id", key, "matched", "total", F.round(F.col("matched") / F.col("total"), 4).alias("coverage"), (F.col("matched") == F.col("total")).alias("is_full"), preview.alias("preview"))
 
 
 def query_coverage(index: DataFrame, queries: DataFrame, least: float = 0.5) -> DataFrame:

@@ -40,11 +40,13 @@ def c02(spark, d):
     return C.route_terms(table(spark, d, "documents"), terms, "doc_id", "text")
 
 
-@query("c03_refresh_scope", views("offers", "recipe_lines") + ", p AS (SELECT DISTINCT recipe_id, offer_id FROM recipe_lines JOIN offers ON line = name) SELECT recipe_id, offer_id, CASE WHEN recipe_id % 5 = 0 OR offer_id % 3 = 0 THEN 'new' ELSE 'old' END AS tag FROM p")
+@query("c03_refresh_scope", views("offers", "recipe_lines") + ", p AS (SELECT DISTINCT recipe_id, offer_id FROM recipe_lines JOIN offers ON line = name) SELECT recipe_id, offer_id, CASE WHEN recipe_id % 5 = 0 OR offer_id % 3 = 0 THEN 'new' ELSE 'old' END AS tag, 'm1' AS manifest FROM p")
 def c03(spark, d):
-    pairs = C.candidates(line_terms(spark, d), C.offer_terms(offers(spark, d))).select("recipe_id", "offer_id")
+    terms, postings = C.stamped(line_terms(spark, d), "v1", "m0"), C.stamped(C.offer_terms(offers(spark, d)), "v1", "m0")
+    pairs = C.candidates(terms, postings).select("recipe_id", "offer_id", "manifest")
     scope_r, scope_o = pairs.select("recipe_id").where("recipe_id % 5 = 0"), pairs.select("offer_id").where("offer_id % 3 = 0")
-    return C.refresh_scope(pairs.withColumn("tag", F.lit("old")), pairs.withColumn("tag", F.lit("new")), scope_r, scope_o)
+    fresh = pairs.withColumn("manifest", F.lit("m1"))
+    return C.refresh_scope(pairs.withColumn("tag", F.lit("old")), fresh.withColumn("tag", F.lit("new")), scope_r, scope_o, manifest="m1")
 
 
 @query("c04_line_hints", views("offers", "recipe_lines") + f", {TERMS_SQL} SELECT recipe_id, offer_id, term, array_to_string(list_sort(list(DISTINCT line_no)), ',') AS line_nos FROM recipe_lines JOIN terms ON term = lower(line) GROUP BY 1, 2, 3")
@@ -142,13 +144,15 @@ def gate(name, condition, extra=""):
     SELECT CASE WHEN contains(line, name) THEN name ELSE c END AS keyword, CASE WHEN contains(line, name) THEN 0 END AS rank, count(*) AS n FROM p JOIN recipe_lines USING (recipe_id) WHERE contains(line, c) GROUP BY 1, 2""",
 )
 def d01(spark, d):
+    """The hits of classes of offers, each counted as often as its class has members."""
     lines, o = recipe_lines(spark, d), offers(spark, d)
     first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
-    pairs = lines.select("recipe_id", first("line").alias("c"), "line_no").join(o.select("offer_id", first("name").alias("c")), "c")
-    lines2 = lines.select("recipe_id", "line_no", "line")
     keywords, parents = o.select("offer_id", F.col("name").alias("keyword"), F.lit(0).alias("rank")), o.select("offer_id", first("name").alias("parent"))
-    found = D.keyword_hits(pairs.select("recipe_id", "offer_id").distinct(), lines2, keywords, parents)
-    return found.groupBy("keyword", "rank").agg(F.count(F.lit(1)).alias("n"))
+    members, own, parent_terms = D.keyword_classes(keywords, parents)
+    pairs = lines.select("recipe_id", first("line").alias("parent")).distinct().join(parent_terms, "parent")
+    found = D.class_hits(pairs, lines, own, parent_terms).groupBy("class_id", "keyword", "rank").agg(F.count(F.lit(1)).alias("hits"))
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
+    return found.join(sizes, "class_id").groupBy("keyword", "rank").agg(F.sum(F.col("hits") * F.col("size")).alias("n"))
 
 
 @query("d02_block_false_hits", """WITH t(keyword, text) AS (VALUES ('the', 'other'), ('ing', 'ring'), ('ring', 'rings ring'), ('la', 'de la')), x AS (SELECT doc_id, lower(text) AS line FROM documents),
@@ -370,12 +374,13 @@ def e04(spark, d):
     SELECT * FROM scores JOIN e USING (recipe_id)""",
 )
 def e05(spark, d):
-    """The entries, their lists as sizes and first offers."""
+    """The entries with the sizes and first offers of their classes; no offer list is made."""
     lines, o = keyed(spark, d)
-    entries = E.to_entry(scored(spark, d), lines, o.drop("pct"), "v1").drop("mean_pct", "weighted_pct")
-    lists = F.col("match_data.offers")
-    digests = {"rules_version": F.col("match_data.rules_version"), "n_offers": F.size(lists).cast("long"), "first_offer": F.array_min(F.transform(lists, lambda x: x["offer_id"])), "n_groups": F.size("match_data.groups").cast("long")}
-    return entries.withColumns(digests).drop("match_data")
+    entries, match_data, _ = E.factorised_entries(scored(spark, d).drop("mean_pct", "weighted_pct"), lines, o.drop("pct"), "v1")
+    classes = F.col("match_data.classes")
+    n = F.aggregate(classes, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    digests = [F.col("match_data.rules_version").alias("rules_version"), n.alias("n_offers"), F.array_min(F.transform(classes, lambda x: x["first_offer"])).alias("first_offer"), F.size("match_data.groups").cast("long").alias("n_groups")]
+    return entries.join(match_data.select("line_class", *digests), "line_class").drop("line_class")
 
 
 @query("e06_count_duplicate_pairs", views("recipe_lines", "recipes") + ", s AS (SELECT list_sort(ingredients) AS i, count(*) AS n FROM recipes WHERE len(ingredients) > 2 GROUP BY 1) SELECT CAST(coalesce(sum(n * (n - 1) / 2), 0) AS BIGINT) AS pairs FROM s")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from dealweave.plans import ingest_queries, match_queries, serve_queries  # noqa: F401
+from dealweave.plans import ingest_queries, match_queries, rule_queries, serve_queries, upkeep_queries  # noqa: F401
 from dealweave.plans.base import ORACLES, QUERIES  # noqa: F401

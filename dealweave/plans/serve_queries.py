@@ -215,7 +215,10 @@ def _stored(spark, d):
 
 
 def _plan(spark, d, some_inactive=True):
-    return H.plan_offer_delta(_changes(spark, d, some_inactive), C.offer_terms(offers(spark, d)), C.offer_terms(next_offers(spark, d)), line_terms(spark, d), _stored(spark, d))
+    """The delta's plan over stored matches of recipes and classes of offers."""
+    terms, lines = C.offer_terms(offers(spark, d)), line_terms(spark, d)
+    members, postings = C.posting_classes(terms)
+    return H.plan_offer_delta(_changes(spark, d, some_inactive), terms, C.offer_terms(next_offers(spark, d)), lines, C.class_candidates(lines, postings), members=members)
 
 
 PLAN_SQL = """redo AS (SELECT DISTINCT lower(name) AS term FROM (SELECT * FROM offers UNION ALL SELECT * FROM next_offers) JOIN changes USING (offer_id) WHERE action = 'rematch'),
@@ -481,9 +484,11 @@ def j01(spark, d):
 
 
 def _matches(lines, o):
-    """The materialised result of the delta queries: per recipe its offers and their savings."""
-    pairs = C.candidates(lines, C.offer_terms(o)).select("recipe_id", "offer_id").join(o.select("offer_id", "original_price", "savings"), "offer_id")
-    return pairs.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("n_offers"), F.sum("savings").cast("decimal(20,2)").alias("savings"), F.sum("original_price").cast("decimal(20,2)").alias("prices"))
+    """The materialised result of the delta queries: per recipe its offers and their savings, summed by class before recipes meet them."""
+    members, postings = C.posting_classes(C.offer_terms(o))
+    sums = members.join(o.select("offer_id", "original_price", "savings"), "offer_id").groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.sum("savings").alias("s"), F.sum("original_price").alias("p"))
+    pairs = C.class_candidates(lines, postings).join(sums, "class_id")
+    return pairs.groupBy("recipe_id").agg(F.sum("n").alias("n_offers"), F.sum("s").cast("decimal(20,2)").alias("savings"), F.sum("p").cast("decimal(20,2)").alias("prices"))
 
 
 @query("j02_apply_offer_delta", views("offers", "next_offers", "recipe_lines") + "SELECT recipe_id, count(*) AS n_offers, CAST(sum(savings) AS DECIMAL(20,2)) AS savings, CAST(sum(original_price) AS DECIMAL(20,2)) AS prices FROM (SELECT DISTINCT recipe_id, line FROM recipe_lines) JOIN next_offers ON line = name GROUP BY 1")
