@@ -6,7 +6,13 @@ again from the containers on the path that its host chose. Hosts with several te
 those that hold the best container of a tenth of their pages, three at least; a page takes the one that scores
 best in it. A page without any of them falls back on its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out by their tags, roles and class words; class words never leave out an element that is or
-holds the page's main element, else its largest article, else most of its text.
+holds the page's main element, else its largest article, else most of its text, reader comments not counted: they are never
+kept, whatever their size, unless the element also holds the page's headline or main element.
+
+A form, or an element hidden from view or from screen readers, that holds the page's headline, main element or an article is the page's frame and no form:
+it stays, a hidden one only if the page shows no such element outside. Navigation, asides and forms that are never closed end at the
+next article or main element. A page that has no text else gives what its forms and hidden elements hold, less their controls, if that is `FRAME_WORDS`
+words or more.
 
 Defined results: null and empty pages have the empty text; a null or odd URL belongs to the host of the
 empty name; repeated rows are extracted alike; a page without any container uses its body, broken markup
@@ -44,6 +50,12 @@ BAD_WORDS = set(
     "newsletter subscribe subscription signup login paywall sidebar sidebars sidenav nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs footer comment comments commentlist "
     "disqus respond replies related recommended recommendations recirc share sharing sharebar social popup popups modal overlay widget widgets toolbar pagination pager skip hidden alert alerts toplinks".split()
 )
+#: Class words of reader comments.
+REMARKS = set("comment comments commentlist disqus respond replies".split())
+#: Words that forms and unseen elements must hold to be a page's text where there is no other.
+FRAME_WORDS = 25
+#: Skipped elements that may turn out to frame the page, and elements that an article or main element closes if they are never closed.
+FRAMES, UNCLOSED = {"form"}, ("nav", "aside", "form")
 HEAD_WORDS = set("header masthead topbar".split())
 GOOD_WORDS = set("article content post entry main story text body".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -61,11 +73,16 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 class Node:
     """An element; what depends on the elements around it is carried down, so that depth costs nothing."""
 
-    __slots__ = ("tag", "parent", "children", "skip", "good", "heading", "marked", "depth", "path", "inside", "holds_h1")
+    __slots__ = ("tag", "parent", "children", "skip", "frame", "good", "heading", "marked", "remarks", "depth", "path", "inside", "shown", "holds_h1", "holds_main", "holds_article")
 
     def __init__(self, tag, label, parent, skip=False, good=1.0):
         self.tag, self.parent, self.skip, self.good = tag, parent, skip, good
-        self.children, self.heading, self.marked, self.holds_h1 = [], False, False, False
+        #: Whether neither it nor an element around it is skipped or holds reader comments.
+        self.shown = not skip and (parent is None or parent.shown)
+        #: Why a skipped element may frame the page: "form" or "unseen".
+        self.frame = ""
+        self.children, self.heading, self.marked, self.remarks = [], False, False, False
+        self.holds_h1 = self.holds_main = self.holds_article = False
         self.depth = parent.depth + 1 if parent else 0
         #: Digest of the tag-class path: each label's, seeded with that of the path to its parent.
         self.path = xxh64_intdigest(label.encode(errors="replace"), parent.path) if parent else 0
@@ -77,7 +94,16 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", "", None)
-        self.marked, self.open = [], defaultdict(list)
+        self.marked, self.open, self.frames, self.leads = [], defaultdict(list), [], False
+        #: Tags of which more are opened than closed in the page.
+        self.unclosed: set[str] = set()
+
+    def _hold(self, node, what):
+        """Tells a node and the elements around it what they hold."""
+        self.leads, up = self.leads or node.shown, node
+        while up is not None and not getattr(up, what):
+            setattr(up, what, True)
+            up = up.parent
 
     def _close(self, node):
         """Leaves `node`, and with it all that is open in it."""
@@ -101,6 +127,8 @@ class _Builder(HTMLParser):
             self._close(p)
         if tag in SIBLINGS and (other := self._open(SIBLINGS[tag], SCOPES[tag])):
             self._close(other)
+        if tag in ("article", "main") and (other := self._open(self.unclosed)):
+            self._close(other)
         attrs = dict(attrs)
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
         words = {w.lower() for w in _WORDS.findall(_MODIFIERS.sub("", names))} if names != " " else set()
@@ -116,12 +144,18 @@ class _Builder(HTMLParser):
         node = Node(tag, label, self.at, skip, good)
         node.heading = tag == "header" or not top and bool(words & HEAD_WORDS)
         if not top and not skip and tag != "main" and words & BAD_WORDS:
-            node.marked = True
+            node.marked, node.remarks = True, bool(words & REMARKS)
+            node.shown = node.shown and not node.remarks
             self.marked.append(node)
+        if skip and (tag in FRAMES or tag not in SKIPPED and (unseen or role in FRAMES)):
+            node.frame = "unseen" if unseen else "form"
+            self.frames.append(node)
         if tag == "h1":
-            up = self.at
-            while up is not None and not up.holds_h1:
-                up.holds_h1, up = True, up.parent
+            self._hold(self.at, "holds_h1")
+        if tag == "main" or role == "main":
+            self._hold(self.at, "holds_main")
+        if is_article:
+            self._hold(self.at, "holds_article")
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -142,8 +176,15 @@ class _Builder(HTMLParser):
 
 def parse(html: str) -> Node:
     builder = _Builder()
+    lower = html.lower()
+    builder.unclosed = {t for t in UNCLOSED if len(re.findall(rf"<{t}[\s/>]", lower)) > lower.count(f"</{t}")}
     builder.feed(html)
     builder.close()
+    for node in builder.frames:
+        if (node.holds_h1 or node.holds_main or node.holds_article) and (node.frame == "form" or not builder.leads):
+            node.skip = False
+    for node in builder.marked:
+        node.remarks = node.remarks and not (node.holds_h1 or node.holds_main)
     if builder.marked:
         spared = set()
         for node in _keepers(builder.root):
@@ -154,12 +195,12 @@ def parse(html: str) -> Node:
 
 
 def _keepers(root: Node) -> list[Node]:
-    """What class words must not leave out: main elements, else the article with most text, else the innermost element with most of the text."""
+    """What class words must not leave out: main elements, else the article with most text, else the innermost element with most of the text, comments aside."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += [x for x in node.children if isinstance(x, Node) and not x.skip]
+        todo += [x for x in node.children if isinstance(x, Node) and not x.skip and not x.remarks]
     sizes = {id(n): 0 for n in order}
     for node in reversed(order):  # inner ones first
         sizes[id(node)] += sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
@@ -218,8 +259,8 @@ def page_votes(html: str) -> list[tuple[int, float]]:
     return list(votes.items())
 
 
-def text_of(nodes: list[Node]) -> str:
-    """Blocks of text under `nodes`, in page order, one a line."""
+def text_of(nodes: list[Node], frames: bool = False) -> str:
+    """Blocks of text under `nodes`, in page order, one a line; with `frames`, also what stands in forms and unseen elements."""
     blocks: list[str] = []
     words: list[str] = []
 
@@ -237,7 +278,7 @@ def text_of(nodes: list[Node]) -> str:
                 words.append(x)
             elif closing:
                 flush()
-            elif x is top or not _left_out(x):
+            elif x is top or not _left_out(x) or frames and x.frame:
                 if x.tag == "br":
                     words.append(" ")
                 block = x.tag in BLOCKS or x is top
@@ -274,7 +315,11 @@ def extract(html: str, path: int | None = None, others: Collection[int] = ()) ->
     if not text and scored:
         best = max(scored, key=lambda x: x[1])
         text = text_of([best[0]]) if best[1] > 0 else ""
-    return text or text_of([root])
+    text = text or text_of([root])
+    if not text:
+        framed = text_of([root], True)
+        text = framed if len(framed.split()) >= FRAME_WORDS else ""
+    return text
 
 
 def host_of(url) -> F.Column:
