@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from dealweave.llm.common import lean_batches, slices, written
 
 #: Ends merged in one piece, bytes of text encoded together, bytes of text in a block, bytes of words that a worker remembers.
-PIECE, SLICE_BYTES, BLOCK_BYTES, MEMORY = 1 << 16, 2_000_000, 8_000_000, 100_000_000
+PIECE, SLICE_BYTES, BLOCK_BYTES, MEMORY = 1 << 16, 2_000_000, 8_000_000, 50_000_000
 #: Characters that are surely no white space: printable ASCII and Latin letters.
 SAFE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]))
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
