@@ -11,23 +11,26 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealweave.sources.folders import stored
+
 #: Letters of a gram.
 GRAM = 3
+#: Terms of so many letters in all are sent to the values' tasks, with their grams at most 60 MB; more of them meet by shuffles.
+SENT_LETTERS = 500_000
 
 
 def _named(df: DataFrame, column: str, key: str) -> DataFrame:
-    """(key, column): distinct strings that have a letter, each with its digest."""
-    return df.select(column).where(F.col(column) != "").distinct().select(F.md5(F.col(column)).alias(key), column)
+    """(key, column): distinct strings that have a letter, each with its digest.
+
+    Dealt to as many tasks as a shuffle has: few bytes of strings give many pieces, and tasks planned by bytes would be one or two.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(column).where(F.col(column) != "").distinct().select(F.md5(F.col(column)).alias(key), column).repartition(tasks, key)
 
 
 def _grams(text: Column, n: int) -> Column:
-    """All runs of `n` letters of a text; shifted arrays are zipped, as a lambda that looked letters up would split the text for each."""
-    letters = F.split(text, "")
-    size = F.greatest(F.size(letters) - n + 1, F.lit(0))
-    runs = F.slice(letters, F.lit(1), size)
-    for k in range(1, n):
-        runs = F.zip_with(runs, F.slice(letters, F.lit(k + 1), size), lambda a, b: F.concat(a, b))
-    return runs
+    """All runs of `n` letters of a text, in one pass of a pattern that looks `n` letters ahead and goes on by one."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def containing(values: DataFrame, terms: DataFrame, value: str = "value", term: str = "term", least: int = 1) -> DataFrame:
@@ -35,10 +38,13 @@ def containing(values: DataFrame, terms: DataFrame, value: str = "value", term:
 
     A term lies in a value only if all its grams do, so it is looked up by the one that fewest values have; a term of
     fewer letters than a gram is one itself. Terms with a gram that no value has meet nothing. Nulls and empty strings match nothing.
+    Pairs are the same whether the terms are sent (`SENT_LETTERS`) or shuffled.
     """
     v, t = _named(values, value, "_value_id"), _named(terms, term, "_term_id").where(F.length(term) >= least)
     width = F.least(F.length(term), F.lit(GRAM))
-    sizes = [r[0] for r in t.select(width.alias("n")).distinct().collect()]  # up to GRAM rows
+    widths = t.groupBy(width.alias("n")).agg(F.sum(F.length(term)).alias("letters")).collect()  # up to GRAM rows
+    sizes = [r["n"] for r in widths]
+    send = F.broadcast if sum(r["letters"] for r in widths) <= SENT_LETTERS else lambda df: df
     if not sizes:
         return values.select(value, F.lit(None).cast("string").alias(term)).limit(0)
     pick = F.array().cast("array<string>")
@@ -46,10 +52,12 @@ def containing(values: DataFrame, terms: DataFrame, value: str = "value", term:
         pick = F.when(width == n, _grams(F.col(term), n)).otherwise(pick)
     wanted = t.select("_term_id", F.explode(F.array_distinct(pick)).alias("gram"))
     postings = v.select("_value_id", F.explode(F.array_distinct(F.concat(*(_grams(F.col(value), n) for n in sizes)))).alias("gram"))
-    counts = postings.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # grams that no term has go before anything is shuffled; the rest is read twice
+    postings = stored(postings.join(send(wanted.select("gram").distinct()), "gram", "left_semi"), "postings")
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(counts, "gram", "left").groupBy("_term_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
-    pairs = postings.join(rarest, "gram").select("_value_id", "_term_id")
-    return pairs.join(v, "_value_id").join(t, "_term_id").where(F.col(value).contains(F.col(term))).select(value, term)
+    pairs = postings.join(send(rarest), "gram").select("_value_id", "_term_id")
+    return pairs.join(v, "_value_id").join(send(t), "_term_id").where(F.col(value).contains(F.col(term))).select(value, term)
 
 
 def _mismatches(length: Column, share: float) -> Column:

@@ -80,7 +80,8 @@ def route_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, short:
     """
     tokens = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(F.trim(text)), r"\s+"))).alias("w"))
     single, multi = terms.where(~F.col("term").contains(" ")), terms.where(F.col("term").contains(" "))
-    vocabulary = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("docs"))
+    # read several times below; without it every reading would split all texts anew
+    vocabulary = stored(tokens.groupBy("w").agg(F.count(F.lit(1)).alias("docs")), "vocabulary")
     exact = (F.col("kind") == "name_word") | (F.length("term") <= short)
     equal, inside = (single.where(c).select("term").distinct() for c in (exact, ~exact))
     words_of = multi.select("term", F.split("term", " ").alias("ts")).distinct()
@@ -100,7 +101,7 @@ def route_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, short:
     counts = fitting.join(vocabulary, "w").groupBy("term", "i").agg(F.sum("docs").alias("docs"))
     rarest = counts.groupBy("term").agg(F.min_by("i", F.struct("docs", "i")).alias("i"))
     marks = parts.withColumn("sure", F.lit(True)).union(fitting.join(rarest, ["term", "i"]).select("w", "term", F.lit(False)))
-    hits = tokens.join(marks, "w")
+    hits = stored(tokens.join(marks, "w").select(key, "term", "sure").distinct(), "hits")
     lists = hits.where("NOT sure").groupBy(key).agg(F.collect_set("term").alias("_terms"))
     flat = F.concat_ws(" ", F.split(F.lower(F.trim(text)), r"\s+"))
     hit = texts.select(key, flat.alias("_t")).join(lists, key)
