@@ -39,7 +39,8 @@ PIECES = 64
 SEED = 1
 #: Kinds of block draws: of whole epochs, taken and left of the last epoch.
 WHOLE, LAST, LEFT = "a_whole", "b_last", "c_left"
-SAMPLER_LIMIT = 1_000_000_000
+#: Odds under this, against the mode's, are nothing in double precision; a task holds so many odds at once.
+_LEAST_ODDS, _LONGEST_PIECE = 1e-30, 1 << 20
 _ALL = (1 << 63) - 1
 
 
@@ -47,8 +48,10 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """`docs` with size, m_source (never null), m_block and m_order (the keyed permutation of documents)."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))  # null last: "s..." is less than "t"
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"))
-    block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "doc_id"), F.lit(BLOCKS)).cast("int")
+    # rows without an id are told apart by their texts, or all would be one block
+    name = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    order = F.xxhash64(F.lit(seed), name, F.col("source"))
+    block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), name), F.lit(BLOCKS)).cast("int")
     return docs.withColumns({"size": size, "m_source": source, "m_order": order, "m_block": block})
 
 
@@ -69,14 +72,38 @@ def targets(blocks: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS) -> D
 
 
 def _hypergeometric(rng, good: int, bad: int, want: int) -> int:
-    """How many of `want` draws without replacement are good; by the normal law where counts pass the sampler's limit."""
-    if not good or not want:
-        return 0
-    if good + bad < SAMPLER_LIMIT:
-        return int(rng.hypergeometric(good, bad, want))
-    n = good + bad
-    mean, spread = want * good / n, (want * (good / n) * (bad / n) * ((n - want) / n)) ** 0.5
-    return min(good, want, max(0, want - bad, round(mean + spread * rng.standard_normal())))
+    """How many of `want` draws without replacement are good, by inversion outwards from the mode, at every count.
+
+    Odds are running products of the ratios of neighbouring values, up from the mode and then down, so no factorial is
+    taken; they end where they are below a double's precision, some ten deviations out.
+    """
+    low, high = max(0, want - bad), min(good, want)
+    if low == high:
+        return low
+    mode = min(high, max(low, (good + 1) * (want + 1) // (good + bad + 2)))
+
+    def odds(step: int):
+        """(value before, odds relative to the mode's of those after it), piece by piece."""
+        at, weight, long = mode, 1.0, 256
+        while weight > _LEAST_ODDS and at != (high if step > 0 else low):
+            k = at + step * np.arange(min(long, abs((high if step > 0 else low) - at)), dtype=np.float64)
+            if step > 0:
+                ratios = (good - k) * (want - k) / ((k + 1) * (bad - want + k + 1))
+            else:
+                ratios = k * (bad - want + k) / ((good - k + 1) * (want - k + 1))
+            weights = weight * np.cumprod(ratios)
+            yield at, np.cumsum(weights)
+            at, weight, long = at + step * len(k), weights[-1], min(2 * long, _LONGEST_PIECE)
+
+    left = rng.random() * (1.0 + sum(sums[-1] for step in (1, -1) for _, sums in odds(step))) - 1.0
+    if left < 0:
+        return mode
+    for step in (1, -1):
+        for at, sums in odds(step):
+            if left < sums[-1]:
+                return at + step * (1 + int(np.searchsorted(sums, left, "right")))
+            left -= sums[-1]
+    return mode  # what rounding leaves over
 
 
 def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small fixtures, with the odd cases its docstring defines."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -270,11 +271,10 @@ def test_mixing(docs, empty):
     assert mixing.report(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
-def test_splitting_tree(spark, monkeypatch):
+def test_splitting_tree(spark):
     quotas = [("a", "b_last", 100), ("b", "b_last", 7), ("c", "b_last", 0), ("d", "a_whole", 33), ("d", "c_left", 50)]
     table = spark.createDataFrame(quotas, "m_source string, kind string, quota long")
-    for shards, limit in ((8, 10**9), (5, 10**9), (1, 10**9), (8, 20)):
-        monkeypatch.setattr(mixing, "SAMPLER_LIMIT", limit)
+    for shards in (8, 5, 1):
         total, per_shard = Counter(), Counter()
         for r in mixing.split_quotas(table, shards).collect():
             total[r["m_source"], r["kind"]] += r["quota"]
@@ -282,9 +282,36 @@ def test_splitting_tree(spark, monkeypatch):
             assert r["quota"] >= 0
         assert total == Counter({(s, k): n for s, k, n in quotas})
         assert len(per_shard) == shards and max(per_shard.values()) - min(per_shard.values()) <= 3
-    rng = np.random.default_rng(1)
-    monkeypatch.setattr(mixing, "SAMPLER_LIMIT", 10**9)
-    assert 0.49e12 < mixing._hypergeometric(rng, 10**12, 10**12, 10**12) < 0.51e12
+
+
+@pytest.mark.parametrize("good,bad,want", [(3, 4, 5), (9, 1, 4), (40, 60, 30), (5, 200, 50), (1, 1, 1), (700, 300, 500)])
+def test_hypergeometric_law(good, bad, want):
+    """Draws against exact odds from binomials, by their chi-square."""
+    r, n = np.random.default_rng(2), 20_000
+    got = Counter(mixing._hypergeometric(r, good, bad, want) for _ in range(n))
+    expected = {k: n * math.comb(good, k) * math.comb(bad, want - k) / math.comb(good + bad, want) for k in range(max(0, want - bad), min(good, want) + 1)}
+    assert set(got) <= set(expected)
+    often = [k for k, e in expected.items() if e >= 5]
+    chi = sum((got[k] - expected[k]) ** 2 / expected[k] for k in often)
+    assert chi < len(often) + 5 * (2 * len(often)) ** 0.5 + 5
+
+
+def test_hypergeometric_any_count():
+    """Sure draws, and mean and spread of counts beyond any sampler's limit."""
+    r = np.random.default_rng(1)
+    assert [mixing._hypergeometric(r, *x) for x in ((0, 5, 3), (5, 0, 3), (4, 4, 0), (4, 4, 8))] == [0, 3, 0, 4]
+    for good, bad, want in ((10**10, 10**10, 10**10), (3 * 10**9, 7 * 10**10, 10**10)):
+        n = good + bad
+        mean, spread = want * good / n, (want * (good / n) * (bad / n) * ((n - want) / n)) ** 0.5
+        z = (np.array([mixing._hypergeometric(r, good, bad, want) for _ in range(60)]) - mean) / spread
+        assert abs(z.mean()) < 0.7 and 0.6 < z.std() < 1.5
+    assert 0.49e12 < mixing._hypergeometric(r, 10**12, 10**12, 10**12) < 0.51e12
+
+
+def test_rows_without_id_are_dealt_by_text(spark):
+    rows = [(None, f"w{i} " * 5, "a") for i in range(60)]
+    sized = mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sized.select("m_block").distinct().count() > 40
 
 
 def test_the_tree_decides(spark):
