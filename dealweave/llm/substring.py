@@ -9,7 +9,7 @@ h and sorted by it, a row for each document and fingerprint. A new batch's run i
 runs before it, bucket by bucket; what it shares with them, or repeats itself, names candidates. Only
 windows filed under those are then verified, by 128-bit digests of their words: a window is repeated if
 its digest also starts earlier, in the history or in the batch. From `COMPACT_AT` runs on, runs are
-compacted into one. A manifest in the index's folder lists the runs, so that a later session can open
+compacted into one, which later batches are joined with. A manifest in the index's folder lists the runs, so that a later session can open
 the index and add batches to it.
 
 Tasks drop windows that they see repeated in a slice of their documents, so a huge group of copies sends
@@ -34,6 +34,8 @@ from dealweave.llm.common import flat_words, lean_batches, new_path, slices, wri
 WINDOW = 20
 RUN = 10
 COMPACT_AT = 2
+#: Batches of the log in `dedup`: the third meets the run that the first two were compacted into.
+BATCHES = 3
 #: Documents in a bucket of a table, about; a session's shuffle partitions are the least number of buckets.
 BUCKET_ROWS = 20_000
 _LEAST_KEY = -(1 << 63)
@@ -267,8 +269,8 @@ def _verify(found: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "hi long, lo long, key long, old boolean, start int, starts array<int>")
 
 
-def repeated_windows(index: FingerprintIndex, batch: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
-    """(key, starts) of windows of `batch` that also start earlier; the batch joins the index.
+def repeated_windows(index: FingerprintIndex, batch: DataFrame, texts: DataFrame, buckets: int, last: bool = False) -> DataFrame:
+    """(key, starts) of windows of `batch` that also start earlier; the batch joins the index, which is compacted unless this was its `last`.
 
     `batch` and `texts` are packed rows (key, data); `texts` has the batch and all that the index covers.
     """
@@ -279,7 +281,7 @@ def repeated_windows(index: FingerprintIndex, batch: DataFrame, texts: DataFrame
     later = windows.where(F.col("starts").isNotNull() | (~F.col("old") & (place != F.col("first"))))
     starts = F.coalesce("starts", F.array("start"))
     found = written(later.groupBy("key").agg(F.flatten(F.collect_list(starts)).alias("starts")), "repeats")
-    if len(index.runs) >= index.compact_at:
+    if not last and len(index.runs) >= index.compact_at:
         index.compact()
     return found
 
@@ -309,12 +311,12 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 
 def dedup(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 2, index: FingerprintIndex | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, index: FingerprintIndex | None = None
 ) -> DataFrame:
     """(key, n_words, n_removed, kept: binary) of every row: `docs` as a log of `batches` batches by ascending id.
 
-    With the default of `COMPACT_AT`, the runs are compacted after each batch but the first. `index` takes an index that
-    is to be kept: it may hold older batches of `docs` already, and more can be added to it later.
+    With the default of `COMPACT_AT`, the runs are compacted after each batch but the first, and but the last of an index that
+    is not kept. `index` takes an index that is: it may hold older batches of `docs` already, and more can be added to it later.
     """
     lean_batches(docs.sparkSession)
     spark, buckets = docs.sparkSession, buckets_for(docs)
@@ -326,7 +328,8 @@ def dedup(
     log, repeats = index or FingerprintIndex(spark), None
     for low, high in zip(bounds, bounds[1:], strict=False):
         upto = texts if high is None else texts.where(F.col("key") < high)
-        found = repeated_windows(log, upto if low is None else upto.where(F.col("key") >= low), upto, buckets)
+        batch = upto if low is None else upto.where(F.col("key") >= low)
+        found = repeated_windows(log, batch, upto, buckets, last=high is None and index is None)
         repeats = found if repeats is None else repeats.union(found)
     if index is None:
         log.close()

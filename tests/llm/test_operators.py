@@ -475,6 +475,18 @@ def test_substring_index_is_kept(spark, docs, texts):
     assert substring.FingerprintIndex.open(spark, index.folder).version == later.version
 
 
+def test_substring_meets_a_compacted_run(docs, texts, monkeypatch):
+    """The query's last batch is joined with the run that the first two were compacted into, and nothing is compacted in vain."""
+    joined, compacted, look, compact = [], [], substring.FingerprintIndex.candidates, substring.FingerprintIndex.compact
+    monkeypatch.setattr(substring.FingerprintIndex, "candidates", lambda self, new: joined.append((self.compactions, len(self.runs))) or look(self, new))
+    monkeypatch.setattr(substring.FingerprintIndex, "compact", lambda self: compacted.append(len(self.runs)) or compact(self))
+    rows = substring.dedup(docs.dropDuplicates(["doc_id"])).collect()
+    assert joined == [(0, 1), (0, 2), (1, 2)] and compacted == [2]
+    want = removed(enumerate(texts))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], bytes(r["kept"])) for r in rows}
+    assert {i: got[i] for i in want} == want
+
+
 def test_substring_odd_tables(docs, empty):
     assert substring.dedup(empty).count() == 0
     rows = substring.dedup(docs).collect()
