@@ -23,8 +23,10 @@ def nested_loops(df):
     return "NestedLoop" in text or "CartesianProduct" in text
 
 
-@pytest.mark.parametrize("least", [1, 3])
-def test_containing(spark, least):
+@pytest.mark.parametrize("least,sent", [(1, grams.SENT_LETTERS), (3, grams.SENT_LETTERS), (1, 0)])
+def test_containing(spark, monkeypatch, least, sent):
+    """Terms that are sent and terms that are shuffled give the same pairs."""
+    monkeypatch.setattr(grams, "SENT_LETTERS", sent)
     a, b = [*words(400), "", None, "日本語テキスト", "x" * 3000, "a\U0001f600b"], [*words(300, 5), "", None, "語", "本語", "\U0001f600", "x" * 2999, "zzz"]
     found = grams.containing(column(spark, a, "value"), column(spark, b, "term"), least=least)
     assert sorted(map(tuple, found.collect())) == sorted({(x, y) for x in a for y in b if x and y and y in x and len(y) >= least})
