@@ -139,6 +139,27 @@ def routing_saved(lines: DataFrame, class_pairs: DataFrame, members: DataFrame,
     return sums.withColumn("saved_pct", F.when(F.col("scanned") > 0, F.round(100 - 100 * F.col("hinted") / F.col("scanned"), 2)).otherwise(0.0))
 
 
+def text_classes(texts: DataFrame, postings: DataFrame, text: str = "text", strong: Sequence[str] = ("keyword", "parent_keyword")) -> DataFrame:
+    """(text, class_id, strong): the classes that share a term with each of some texts (text, term), stored, and whether a shared term is of a strong kind."""
+    rows = texts.select(text, "term").distinct().join(postings.select("class_id", "term", "kind"), "term")
+    return stored(rows.groupBy(text, "class_id").agg(F.bool_or(F.col("kind").isin(*strong)).alias("strong")), "text-classes")
+
+
+def routing_saved_by_text(lines: DataFrame, found: DataFrame, members: DataFrame, recipe: str = "recipe_id") -> DataFrame:
+    """The row of `routing_saved`, from lines (recipe, line_no, text), each a row, and the classes of their texts (text, class_id, strong).
+
+    Texts meet the classes once, and recipes with the same texts are counted and looked at once.
+    """
+    lists = lines.groupBy(recipe).agg(F.sort_array(F.collect_list("text")).alias("_texts")).groupBy("_texts").agg(F.count(F.lit(1)).alias("_r"))
+    lists = stored(lists.select(F.sha2(F.to_json("_texts"), 256).alias("_id"), "_texts", "_r"), "text-lists")
+    rows = lists.select("_id", F.explode("_texts").alias("text")).join(found, "text").groupBy("_id", "class_id").agg(F.count(F.lit(1)).alias("_h"), F.bool_or("strong").alias("_s")).where("_s")
+    each = rows.join(class_sizes(members), "class_id").groupBy("_id").agg(F.sum("m").alias("_m"), F.sum(F.col("m") * F.col("_h")).alias("_mh"))
+    each = each.join(lists.select("_id", "_r", F.size("_texts").alias("_n")), "_id")
+    total = lambda c: F.coalesce(F.sum(F.col("_r") * c), F.lit(0)).cast("long")
+    sums = each.agg(total(F.col("_m")).alias("pairs"), total(F.col("_m") * F.col("_n")).alias("scanned"), total(F.col("_mh")).alias("hinted"))
+    return sums.withColumn("saved_pct", F.when(F.col("scanned") > 0, F.round(100 - 100 * F.col("hinted") / F.col("scanned"), 2)).otherwise(0.0))
+
+
 def refresh_scope(pairs: DataFrame, fresh: DataFrame, recipe_ids: DataFrame, offer_ids: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id", manifest: str | None = None) -> DataFrame:
     """`pairs` with those in scope (recipe in one set or offer in the other) replaced by those of `fresh` in scope; with `manifest`, all rows bear it from then on."""
 
