@@ -31,6 +31,15 @@ def build_groups(lines: DataFrame, offers: DataFrame, recipe: str = "recipe_id")
     return rows.groupBy(recipe, "line_no").agg(F.sort_array(F.collect_set("keyword")).alias("keywords"), found.alias("offers"))
 
 
+def group_sizes(lines: DataFrame, offers: DataFrame, recipe: str = "recipe_id") -> DataFrame:
+    """(recipe, line_no, n_keywords, n_offers, first_offer): the groups of `build_groups` in numbers, added up over the classes of `offer_atoms`; no offer list is made."""
+    postings = stored(offer_atoms(offers.select("keyword", "offer_id"))[1], "postings")
+    rows = lines.select(recipe, "line_no", "keyword").distinct().join(postings, "keyword")
+    g = rows.groupBy(recipe, "line_no").agg(F.size(F.collect_set("keyword")).cast("long").alias("n_keywords"), F.collect_set(F.struct("class_id", "n", "first_offer")).alias("_c"))
+    n = F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return g.select(recipe, "line_no", "n_keywords", n.alias("n_offers"), F.array_min(F.transform("_c", lambda x: x["first_offer"])).alias("first_offer"))
+
+
 def _closed(sets: DataFrame, step: DataFrame) -> DataFrame:
     """(key, target) of all keys after all moves (short, to) have been followed.
 
