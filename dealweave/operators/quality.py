@@ -123,8 +123,9 @@ def explain_pairs(expected: DataFrame, stages: Sequence[tuple[str, DataFrame]],
     return told.select(*keys, "lost_at", mine.alias("rule"))
 
 
-def funnel(explained: DataFrame) -> DataFrame:
-    return explained.groupBy(F.coalesce("lost_at", F.lit("found")).alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+def funnel(explained: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+    """(stage, by, n): explained pairs by the stage that lost them; with `weight`, a row stands for so many pairs."""
+    return explained.groupBy(F.coalesce("lost_at", F.lit("found")).alias("stage"), *by).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
 
 
 def lint_rules(rules: DataFrame, kinds: Sequence[str], statuses: Sequence[str]) -> DataFrame:
