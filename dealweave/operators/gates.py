@@ -69,10 +69,12 @@ def keyword_hits(pairs: DataFrame, lines: DataFrame, keywords: DataFrame, parent
 
 def block_false_hits(hits: DataFrame, blockers: DataFrame) -> DataFrame:
     """Without hits whose blockers (keyword, blocker) are in the line, if the keyword neither stands alone nor starts a word that is no blocker; a blocker of several words voids at once."""
-    found = _distinct(hits).join(blockers, "keyword").where(F.lower("line").contains(F.col("blocker")))
-    found = found.groupBy(*TEXTS).agg(F.collect_set("blocker").alias("b"), F.bool_or(F.col("blocker").contains(" ")).alias("multi"))
-    free = F.exists(words(F.col("line")), lambda w: w.startswith(F.col("keyword")) & ~F.array_contains("b", w))
-    return _without(hits, found.where(F.col("multi") | ~(free | _has(F.col("line"), F.col("keyword")))))
+    # stored, so that Catalyst knows how few they are: whole texts are judged where they lie, and never dealt by keyword
+    rules = stored(blockers.groupBy("keyword").agg(F.collect_set("blocker").alias("_all")), "blockers")
+    rows = hits.join(rules, "keyword", "left").withColumn("_b", F.filter("_all", lambda b: F.lower("line").contains(b)))
+    free = F.exists(words(F.col("line")), lambda w: w.startswith(F.col("keyword")) & ~F.array_contains("_b", w))
+    void = (F.size("_b") > 0) & (F.exists("_b", lambda b: b.contains(" ")) | ~(free | _has(F.col("line"), F.col("keyword"))))
+    return rows.where(~F.coalesce(void, F.lit(False))).select(*hits.columns)
 
 
 def compound_strict(hits: DataFrame, aliases: DataFrame) -> DataFrame:
