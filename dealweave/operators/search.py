@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dealweave.functions.matching import words
 from dealweave.operators.grams import alike, containing
+from dealweave.sources.folders import stored
 
 WEIGHTS = {"A": 1.0, "B": 0.4}
 
@@ -82,6 +83,8 @@ def search_terms(df: DataFrame, key: str, text: str, keywords: DataFrame, parent
         cut = ws.where(F.col("w").endswith(t) & (F.length("w") - len(t) >= least))
         out = out.union(cut.select(key, F.expr(f"left(w, length(w) - {len(t)})"), F.lit("legacy_subterm")))
     out = out.union(keywords.select(key, "keyword", F.lit("ingredient_keyword")))
+    # of known size, so that keywords are not dealt by name
+    parents = stored(parents.select("keyword", "parent"), "parents")
     out = out.union(keywords.join(parents, "keyword").select(key, "parent", F.lit("parent_keyword")))
     return out.distinct()
 
