@@ -18,7 +18,7 @@ def repair(df: DataFrame, text: str, fixes: DataFrame, substrings: Sequence[tupl
     c = F.translate(c, *accents) if accents[0] else c
     c = reduce(lambda a, p: F.replace(a, F.lit(p[0]), F.lit(p[1])), sorted(substrings, key=lambda p: (-len(p[0]), p[0])), c)
     base = df.withColumn(text, c)
-    once = fixes.groupBy(F.col("wrong").alias("_w")).agg(F.min("right").alias("_right"))
+    once = stored(fixes.groupBy(F.col("wrong").alias("_w")).agg(F.min("right").alias("_right")), "fixes")  # of known size
     digest = [F.md5(F.col(text)).alias("_t"), F.length(text).alias("_n")]
     words_of = base.select(*digest, F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
     # only texts with a wrong word meet the rows again
@@ -51,6 +51,7 @@ def join_by_table(df: DataFrame, text: str, phrases: DataFrame, most: int = 4) -
     runs = once.select("_d", "_n", F.explode(starts).alias("s")).select("_d", "_n", "s.at", F.explode(F.sequence(F.lit(1), F.size("s.run"))).alias("len"), F.col("s.run").alias("run"))
     runs = runs.select("_d", "_n", "at", "len", F.array_join(F.slice("run", F.lit(1), F.col("len")), " ").alias("phrase"))
     table = phrases.groupBy(F.array_join(F.array_remove(F.split(F.lower("phrase"), r"\s+"), ""), " ").alias("phrase")).agg(F.min("token").alias("token"))
+    table = stored(table, "phrases")  # of known size: a short table goes to the runs, which are many times the texts
     # the longest at each place, then from the left those that begin after the last chosen one
     longest = runs.join(table, "phrase").groupBy("_d", "_n", "at").agg(F.max_by(F.struct("len", "token"), "len").alias("m"))
     found = longest.groupBy("_d", "_n").agg(F.sort_array(F.collect_list(F.struct("at", "m.len", "m.token"))).alias("_m"))
@@ -188,8 +189,9 @@ def extract_keywords(
     ws = ws.select(*keys, F.array_compact(kept).alias("_w"))
     rows = ws.select(*keys, F.posexplode("_w").alias("pos", "word"))
     rows = rows.where(((F.length("word") >= least) | F.col("word").isin(*keep_short)) & ~F.col("word").rlike(r"^\d"))
-    # few distinct words meet the rule tables
-    rows = rows.join(stop.select("word"), "word", "left_anti")
+    # rule tables are stored, of known size: short ones go to the words, which are not dealt by word
+    stop, synonyms = stored(stop.select("word"), "stop"), stored(synonyms.select("word", "canonical"), "synonyms")
+    rows = rows.join(stop, "word", "left_anti")
     if compounds is not None:
         whole = rows.select(*keys, F.col("word").alias("compound")).join(compounds.select("part", "compound"), "compound")
         rows = rows.join(whole.select(*keys, F.col("part").alias("word")).distinct(), [*keys, "word"], "left_anti")
