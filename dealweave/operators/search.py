@@ -63,16 +63,21 @@ def search(index: DataFrame, key: str, query: str, limit: int | None = None) ->
 
 
 def parse_queries(df: DataFrame, key: str, text: str, suffixes: Sequence[str] = ("s", "es"), stop: Sequence[str] = (), least: int = 3) -> DataFrame:
-    """(key, part_no, part, term): comma parts with their words and inflections (a listed suffix cut or added); units, numbers and stop words are left out."""
-    parts = df.select(key, F.posexplode(F.split(F.col(text), ",")).alias("part_no", "part"))
-    parts = parts.withColumn("part", F.trim(F.lower("part"))).where("part <> ''")
+    """(key, part_no, part, term): comma parts with their words and inflections (a listed suffix cut or added); units, numbers and stop words are left out.
+
+    Queries are dealt by key to as many tasks as a shuffle has, since few bytes of them give many terms. Distinct parts have
+    distinct rows if each has its terms once, so that parts are compared, not their terms.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.select(key, F.col(text).alias("_text")).repartition(tasks, key).select(key, F.posexplode(F.split("_text", ",")).alias("part_no", "part"))
+    parts = parts.withColumn("part", F.trim(F.lower("part"))).where("part <> ''").distinct()
     # Units.
     units = ("kg", "g", "dl", "cl", "ml", "l", "st", "pcs")
-    rows = parts.select("*", F.explode(F.array_distinct(words(F.col("part")))).alias("w"))
-    rows = rows.where(~F.col("w").isin(*units, *stop) & ~F.col("w").rlike(r"^\d+$") & (F.length("w") >= least))
-    w = F.col("w")
-    forms = [F.array(w)] + [F.array(F.concat(w, F.lit(s))) for s in suffixes] + [F.when(w.endswith(s) & (F.length(w) - len(s) >= least), F.array(F.expr(f"left(w, length(w) - {len(s)})"))).otherwise(F.array().cast("array<string>")) for s in suffixes]
-    return rows.select(key, F.col("part_no").cast("long").alias("part_no"), "part", F.explode(F.array_distinct(F.concat(*forms))).alias("term")).distinct()
+    counts = lambda w: ~w.isin(*units, *stop) & ~w.rlike(r"^\d+$") & (F.length(w) >= least)
+    cut = lambda w, s: F.when(w.endswith(s) & (F.length(w) - len(s) >= least), F.substring(w, F.lit(1), F.length(w) - len(s)))
+    forms = lambda w: F.array_compact(F.array(w, *(F.concat(w, F.lit(s)) for s in suffixes), *(cut(w, s) for s in suffixes)))
+    terms = F.array_distinct(F.flatten(F.transform(F.filter(words(F.col("part")), counts), forms)))
+    return parts.select(key, F.col("part_no").cast("long").alias("part_no"), "part", F.explode(terms).alias("term"))
 
 
 def search_terms(df: DataFrame, key: str, text: str, keywords: DataFrame, parents: DataFrame, tails: Sequence[str] = (), least: int = 3) -> DataFrame:

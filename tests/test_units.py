@@ -341,3 +341,11 @@ def test_path_parity_names_the_path_that_lacks_a_pair(spark):
     df = lambda *r: spark.createDataFrame(list(r), "recipe_id long, offer_id long")
     found = K.path_parity({"a": df((1, 1), (1, 2)), "b": df((1, 1), (1, 1)), "c": df((1, 1), (1, 2), (3, 3))}, ["recipe_id", "offer_id"])
     assert sorted(map(tuple, found.collect())) == [(1, 2, "b"), (3, 3, "a,b")]
+
+
+def test_parse_queries_of_a_key_in_several_rows(spark):
+    rows = [(1, "Bolts, bolt bolts"), (1, "bolts, nut"), (1, "bolts, nut"), (2, "2 kg, nuts"), (3, None)]
+    found = I.parse_queries(spark.createDataFrame(rows, "q int, t string"), "q", "t").collect()
+    want = {(1, 0, "bolts", t) for t in ("bolts", "boltss", "boltses", "bolt")} | {(1, 1, "bolt bolts", t) for t in ("bolt", "boltes", "bolts", "boltss", "boltses")}
+    want |= {(1, 1, "nut", t) for t in ("nut", "nuts", "nutes")} | {(2, 1, "nuts", t) for t in ("nuts", "nutss", "nutses", "nut")}
+    assert sorted(tuple(r) for r in found) == sorted(want)
