@@ -215,6 +215,12 @@ def recipes_with_any(pairs: DataFrame, members: DataFrame, offers: DataFrame, re
     return pairs.join(wanted, "class_id", "left_semi").select(recipe).distinct()
 
 
+def recipes_with_terms(recipe_terms: DataFrame, offer_terms: DataFrame, offers: DataFrame, recipe: str = "recipe_id", offer: str = "offer_id", strong: Sequence[str] = ("keyword", "parent_keyword")) -> DataFrame:
+    """(recipe): the recipes of `recipes_with_any` over the matches of `candidates`, found by the strong terms of the set's offers; no match is made."""
+    wanted = offer_terms.where(F.col("kind").isin(*strong)).join(offers.select(offer).distinct(), offer, "left_semi").select("term").distinct()
+    return recipe_terms.join(stored(wanted, "wanted"), "term", "left_semi").select(recipe).distinct()
+
+
 def offer_to_recipes(cache: DataFrame, recipe: str = "recipe_id", matched: str = "matched") -> DataFrame:
     """(offer_id, recipe_ids): the nested matches turned round, a list for each offer; `recipes_of_classes` makes no list."""
     return cache.select(recipe, F.explode(matched).alias("m")).groupBy(F.col("m.offer_id").alias("offer_id")).agg(F.sort_array(F.collect_set(recipe)).alias("recipe_ids"))
