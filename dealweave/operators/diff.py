@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from dealweave.sources import folders
+
 # Actions by precedence.
 ACTIONS = ("rematch", "remove", "rescore", "display")
 
@@ -138,8 +140,28 @@ def classify_recipes(cur: DataFrame, old: DataFrame, key: str = "recipe_key", ro
 
 
 def _least_action(acts: DataFrame, key: str) -> DataFrame:
-    rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
-    return acts.groupBy(key).agg(F.min_by("action", rank).alias("action"))
+    actions = F.array(*map(F.lit, ACTIONS))
+    # places are numbers, whose least is found by hashing; least texts would have all rows sorted
+    first = F.min(F.array_position(actions, F.col("action"))).cast("int")
+    return acts.groupBy(key).agg(F.element_at(actions, first).alias("action"))
+
+
+def term_actions(changes: DataFrame, terms_old: DataFrame, terms_new: DataFrame, offer: str = "offer_id", strong: Sequence[str] = ("keyword", "parent_keyword")) -> DataFrame:
+    """(term, action), stored: the first action that the offers of a term (offer, term, kind) ask of recipes with it.
+
+    Offers to rematch ask by all their terms, old and new; others by the old ones of a strong kind, as a recipe matches an offer by
+    such a term (`match.candidates`).
+    """
+    acts = changes.where("action IS NOT NULL").select(offer, F.when(F.col("action") == "remove", "rematch").otherwise(F.col("action")).alias("action"))
+    by_match = terms_old.where(F.col("kind").isin(*strong)).select(offer, "term").join(acts, offer).select("term", "action")
+    redo = changes.where("action = 'rematch'").select(offer)
+    by_term = terms_old.select(offer, "term").union(terms_new.select(offer, "term")).join(redo, offer, "left_semi").select("term", F.lit("rematch").alias("action"))
+    return folders.stored(_least_action(by_match.union(by_term), "term"), "term-actions")
+
+
+def plan_by_terms(recipe_terms: DataFrame, actions: DataFrame, recipe: str = "recipe_id") -> DataFrame:
+    """(recipe, action): the plan of `plan_offer_delta` over the matches of `match.candidates`, from recipes' terms and `term_actions`; no match is made or stored."""
+    return _least_action(recipe_terms.select(recipe, "term").join(actions, "term").select(recipe, "action"), recipe)
 
 
 def plan_offer_delta(changes: DataFrame, terms_old: DataFrame, terms_new: DataFrame, recipe_terms: DataFrame, stored: DataFrame, offer: str = "offer_id", recipe: str = "recipe_id", members: DataFrame | None = None) -> DataFrame:

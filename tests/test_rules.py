@@ -241,3 +241,17 @@ def test_full_report(spark):
     assert {r["check"]: r["n"] for r in found.where("check <> 'overall'").collect()} == want and set(want) == set(K.REPORT)
     assert [tuple(r) for r in found.where("check = 'overall'").collect()] == [("overall", "error", sum(want.values()))]
     assert {r["status"] for r in K.full_report(parents.limit(0), cache.limit(0), items.limit(0), "v1").collect()} == {"ok"}
+
+
+def test_plan_and_recipes_by_terms(spark):
+    kinds = ["keyword", "parent_keyword", "name_word"]
+    old, new = ([(o, f"t{rng.randint(0, 30)}", rng.choice(kinds)) for o in range(30) for _ in range(2)] for _ in range(2))
+    old, new = (spark.createDataFrame(t, "offer_id long, term string, kind string") for t in (old, new))
+    lines = spark.createDataFrame([(r, f"t{rng.randint(0, 40)}") for r in range(60) for _ in range(2)] + [(99, None)], "recipe_id long, term string")
+    actions = {1: "rescore", 6: "remove", 2: "rematch", 3: "display", 8: "display", 9: "rescore", 4: None}
+    changes = spark.createDataFrame([(o, "x", a) for o, a in actions.items()], "offer_id long, change string, action string")
+    pairs = C.candidates(lines, old)
+    want = rows(H.plan_offer_delta(changes, old, new, lines, pairs.select("recipe_id", "offer_id")))
+    assert want and rows(H.plan_by_terms(lines, H.term_actions(changes, old, new))) == want
+    some = spark.createDataFrame([(3,), (4,), (999,)], "offer_id long")
+    assert rows(C.recipes_with_terms(lines, old, some)) == rows(pairs.join(some, "offer_id", "left_semi").select("recipe_id").distinct())
