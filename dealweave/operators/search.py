@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.functions.matching import words
@@ -12,6 +12,8 @@ from dealweave.operators.grams import alike, containing
 from dealweave.sources.folders import stored
 
 WEIGHTS = {"A": 1.0, "B": 0.4}
+#: Places of a basket that are bits of one number.
+PLACES = 60
 
 
 def token_index(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
@@ -104,17 +106,30 @@ def pantry_search(items: DataFrame, queries: DataFrame, key: str, coverage: floa
     """(query_id, key, matched, total, coverage, is_full, preview): recipes (key, item) against many pantries (query_id, term).
 
     An item is matched by the terms of `near_terms`; vocabularies meet by shared pieces. Kept from `coverage` on and up
-    to `missing` items short, with three of them; null items are none. A recipe's items are gathered once, and its rows stay where they are: matched
-    places are counted by recipe and query without a further shuffle.
+    to `missing` items short, with three of them; null items are none. A recipe's items are gathered once, and recipes of the same items are one
+    basket: baskets are dealt to as many tasks as a shuffle has, since few bytes of them give many rows, and matched places are counted by
+    basket and query without a further shuffle, as bits of a number where a basket has no more than `PLACES` of them. Recipes come in last.
     """
-    by_query = queries.join(near_terms(items, queries, fuzzy), "term").select("query_id", "item").distinct()
     lists = items.where("item IS NOT NULL").groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("_items"))
-    rows = lists.select(key, F.size("_items").cast("long").alias("total"), F.posexplode("_items").alias("_i", "item"))
-    hits = rows.join(by_query, "item").groupBy(key, "query_id", "total").agg(F.count(F.lit(1)).alias("matched"), F.collect_list("_i").alias("_got"))
-    kept = hits.where((F.col("matched") >= coverage * F.col("total")) & (F.col("total") - F.col("matched") <= missing)).join(lists, key)
-    lacking = F.filter("_items", lambda x, i: ~F.array_contains("_got", i))
-    preview = F.array_join(F.slice(lacking, 1, 3), ", ")
-    return kept.select("query_id", key, "matched", "total", F.round(F.col("matched") / F.col("total"), 4).alias("coverage"), (F.col("matched") == F.col("total")).alias("is_full"), preview.alias("preview"))
+    lists = stored(lists.select(key, F.unhex(F.md5(F.to_json("_items"))).alias("_basket"), "_items"), "lists")
+    baskets = stored(lists.select("_basket", "_items").distinct(), "baskets")
+    vocabulary = stored(baskets.select(F.explode("_items").alias("item")).distinct(), "items")
+    by_query = stored(queries.join(near_terms(vocabulary, queries, fuzzy), "term").select("query_id", "item").distinct(), "by-query")
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = F.size("_items").cast("long")
+
+    def kept(some: DataFrame, got: Column, lacks: Callable[[Column], Column]) -> DataFrame:
+        rows = some.repartition(tasks, "_basket").select("_basket", total.alias("total"), F.posexplode("_items").alias("_i", "item"))
+        hits = rows.join(by_query, "item").groupBy("_basket", "query_id", "total").agg(F.count(F.lit(1)).alias("matched"), got.alias("_got"))
+        good = hits.where((F.col("matched") >= coverage * F.col("total")) & (F.col("total") - F.col("matched") <= missing)).join(some, "_basket")
+        preview = F.array_join(F.slice(F.filter("_items", lambda x, i: lacks(i)), 1, 3), ", ")
+        return good.select("_basket", "query_id", "matched", "total", preview.alias("preview"))
+
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    few = kept(baskets.where(total <= PLACES), F.bit_or(bit(F.col("_i"))), lambda i: F.col("_got").bitwiseAND(bit(i)) == 0)
+    many = kept(baskets.where(total > PLACES), F.collect_list("_i"), lambda i: ~F.array_contains("_got", i))
+    out = few.union(many).join(lists.select(key, "_basket"), "_basket")
+    return out.select("query_id", key, "matched", "total", F.round(F.col("matched") / F.col("total"), 4).alias("coverage"), (F.col("matched") == F.col("total")).alias("is_full"), "preview")
 
 
 def query_coverage(index: DataFrame, queries: DataFrame, least: float = 0.5) -> DataFrame:

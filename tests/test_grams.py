@@ -122,3 +122,19 @@ def test_stars(spark):
     found = match.star_join(column(spark, sources, "source"), column(spark, starred, "name"))
     assert {(r["source"], r["starred"]) for r in found.collect()} == {("Alpha.x", True), ("beta", False), ("gam", True), ("", False), (None, False)}
     assert not nested_loops(found) and found.where(F.col("starred")).count() == 2
+
+
+def test_pantry_search_of_long_and_equal_lists(spark):
+    names = [f"item{i:03}" for i in range(130)]
+    items = [(r, x) for r, n in ((1, 60), (2, 61), (3, 130), (4, 60), (5, 2)) for x in names[:n]] + [(6, None)]
+    pantries = {1: names[3:60], 2: names[:130], 3: names[:1] + names[2:61], 4: names[:127]}
+    got = search.pantry_search(spark.createDataFrame(items, "recipe long, item string"), spark.createDataFrame([(q, t) for q, ts in pantries.items() for t in ts], "query_id long, term string"), "recipe").collect()
+    want = []
+    for r in (1, 2, 3, 4, 5):
+        own = sorted(x for k, x in items if k == r)
+        for q, ts in pantries.items():
+            lacking = [x for x in own if x not in ts]
+            n = len(own) - len(lacking)
+            if n and n >= 0.5 * len(own) and len(lacking) <= 3:
+                want.append((q, r, n, len(own), round(n / len(own), 4), not lacking, ", ".join(lacking[:3])))
+    assert sorted(tuple(x) for x in got) == sorted(want)
