@@ -73,7 +73,7 @@ def promote_contained(keys: DataFrame, least: int = 2, blocked: DataFrame | None
 
     Pairs (short, key) in `blocked` don't count, nor do short keys under `least` letters. Keys meet by shared grams.
     """
-    sets = _key_sets(keys)
+    sets = stored(_key_sets(keys), "key-sets")  # read many times below
     pairs = containing(sets, sets.select(F.col("key").alias("short")), "key", "short", least).where("short <> key")
     step = pairs.join(sets.select("key", F.col("groups").alias("theirs")), "key").join(sets.select(F.col("key").alias("short"), "groups"), "short")
     step = step.where(F.size(F.array_except("groups", "theirs")) == 0)
