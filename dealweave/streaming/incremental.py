@@ -27,8 +27,9 @@ def refresh_ids(index: DataFrame, fresh: DataFrame, ids: DataFrame, key: str) ->
 
 def apply_delta(cache: DataFrame, plan: DataFrame, recompute: Callable[[DataFrame], DataFrame], key: str = "recipe_id") -> DataFrame:
     """The cache after a plan (key, action): impacted keys are recomputed, removed ones go, a key that yields nothing any more goes too."""
+    plan = stored(plan.select(key, "action"), "plan")
     impacted, removed = plan.where("action <> 'remove'").select(key), plan.where("action = 'remove'").select(key)
-    return diff.apply_patch(cache, recompute(impacted), impacted, removed, key)
+    return diff.apply_patch(cache, stored(recompute(impacted), "patch"), impacted, removed, key)
 
 
 def publish_delta(table: Versions, plan: DataFrame, recompute: Callable[[DataFrame], DataFrame], full: DataFrame | None = None, version: tuple[str, str] | None = None) -> DataFrame:
@@ -63,7 +64,8 @@ def publish_delta(table: Versions, plan: DataFrame, recompute: Callable[[DataFra
 
     def same(staged: DataFrame) -> bool:
         columns = [c for c in staged.columns if c != key]
-        return diff.parity(diff.compare(full, staged, key, columns), key).first()["ok"]
+        compared = stored(diff.compare(full, staged, key, columns), "compared")  # its report reads it twice
+        return diff.parity(compared, key).first()["ok"]
 
     try:
         table.patch(patch, changed, removed, None if full is None else same)
