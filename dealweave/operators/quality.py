@@ -81,12 +81,22 @@ def full_report(parents: DataFrame, cache: DataFrame, items: DataFrame, version:
     return counts.select(F.explode(F.concat(each, F.array(overall))).alias("x")).select("x.*")
 
 
+def path_marks(paths: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """(keys, have): the pairs of any path, with a bit for each path that has them, in the order of the paths' names."""
+    rows = reduce(DataFrame.union, (paths[n].select(*keys, F.lit(1 << i).cast("long").alias("have")) for i, n in enumerate(sorted(paths))))
+    return rows.groupBy(*keys).agg(F.bit_or("have").alias("have"))
+
+
+def paths_missing(marks: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, missing_in): pairs whose marks (keys, have) together lack some of the named paths."""
+    have = marks.groupBy(*keys).agg(F.bit_or("have").alias("have")).where(F.col("have") != (1 << len(names)) - 1)
+    lacking = (F.when(F.col("have").bitwiseAND(1 << i) == 0, n) for i, n in enumerate(sorted(names)))
+    return have.select(*keys, F.concat_ws(",", *lacking).alias("missing_in"))
+
+
 def path_parity(paths: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """(keys, missing_in): pairs that not all paths have, with the paths that lack them."""
-    names = sorted(paths)
-    rows = reduce(DataFrame.union, (paths[n].select(*keys).distinct().withColumn("path", F.lit(n)) for n in names))
-    have = rows.groupBy(*keys).agg(F.collect_set("path").alias("have"))
-    return have.where(F.size("have") < len(names)).select(*keys, F.array_join(F.array_except(F.array(*map(F.lit, names)), "have"), ",").alias("missing_in"))
+    return paths_missing(path_marks(paths, keys), list(paths), keys)
 
 
 def expect(pairs: DataFrame, rules: DataFrame, subjects: DataFrame, key: str = "offer_id") -> DataFrame:
