@@ -167,17 +167,18 @@ def text_classes(texts: DataFrame, postings: DataFrame, text: str = "text", stro
 
 
 def routing_saved_by_text(lines: DataFrame, found: DataFrame, members: DataFrame, recipe: str = "recipe_id") -> DataFrame:
-    """The row of `routing_saved`, from lines (recipe, line_no, text), each a row, and the classes of their texts (text, class_id, strong).
+    """The row of `routing_saved`, from lines (recipe, text_id), each a row, and the classes of their texts (text_id, class_id, strong).
 
-    Texts meet the classes once, and recipes with the same texts are counted and looked at once.
+    Texts meet the classes once, and recipes with the same texts are counted and looked at once. Lines without a text are scanned too.
+    Lists of texts are dealt once, as sorted numbers, and their classes are counted where they then lie.
     """
-    lists = lines.groupBy(recipe).agg(F.sort_array(F.collect_list("text")).alias("_texts")).groupBy("_texts").agg(F.count(F.lit(1)).alias("_r"))
-    lists = stored(lists.select(F.sha2(F.to_json("_texts"), 256).alias("_id"), "_texts", "_r"), "text-lists")
-    rows = lists.select("_id", F.explode("_texts").alias("text")).join(found, "text").groupBy("_id", "class_id").agg(F.count(F.lit(1)).alias("_h"), F.bool_or("strong").alias("_s")).where("_s")
-    each = rows.join(class_sizes(members), "class_id").groupBy("_id").agg(F.sum("m").alias("_m"), F.sum(F.col("m") * F.col("_h")).alias("_mh"))
-    each = each.join(lists.select("_id", "_r", F.size("_texts").alias("_n")), "_id")
-    total = lambda c: F.coalesce(F.sum(F.col("_r") * c), F.lit(0)).cast("long")
-    sums = each.agg(total(F.col("_m")).alias("pairs"), total(F.col("_m") * F.col("_n")).alias("scanned"), total(F.col("_mh")).alias("hinted"))
+    lists = lines.groupBy(recipe).agg(F.sort_array(F.collect_list(F.coalesce("text_id", F.lit(-1)))).alias("_texts"))
+    lists = lists.groupBy("_texts").agg(F.count(F.lit(1)).alias("_r"))
+    sized = stored(found.join(class_sizes(members), "class_id"), "sized")
+    rows = lists.select("_texts", "_r", F.explode("_texts").alias("text_id")).join(sized, "text_id")
+    each = rows.groupBy("_texts", "_r", "class_id", "m").agg(F.count(F.lit(1)).alias("_h"), F.bool_or("strong").alias("_s")).where("_s")
+    total = lambda c: F.coalesce(F.sum(F.col("_r") * F.col("m") * c), F.lit(0)).cast("long")
+    sums = each.agg(total(F.lit(1)).alias("pairs"), total(F.size("_texts")).alias("scanned"), total(F.col("_h")).alias("hinted"))
     return sums.withColumn("saved_pct", F.when(F.col("scanned") > 0, F.round(100 - 100 * F.col("hinted") / F.col("scanned"), 2)).otherwise(0.0))
 
 
