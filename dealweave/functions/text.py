@@ -39,33 +39,37 @@ def join_phrases(df: DataFrame, text: str, phrases: Sequence[tuple[str, str]]) -
 def join_by_table(df: DataFrame, text: str, phrases: DataFrame, most: int = 4) -> DataFrame:
     """`df` with spaced variants of a table (phrase, token) of any size joined to their token, in lower case with single blanks: from the left, the longest phrase at each word.
 
-    Runs of up to `most` words meet the table by equality, longer phrases never match; equal texts are looked up once, by digest and length.
+    Runs of up to `most` words meet the table by equality, longer phrases never match. Only found runs are gathered, by a digest of
+    their text and its length, and the rows meet the choice among them by the same; no word is dealt.
     The matches of a text are chosen in one pass from the left, a word is part of one only. Of several tokens of a phrase the first in
     order is taken. Null texts stay null.
     """
     tokens = F.array_remove(F.split(F.lower(text), r"\s+"), "")
-    base = df.withColumn("_ws", tokens)
-    key = [F.md5(F.array_join("_ws", " ")).alias("_d"), F.size("_ws").alias("_n")]
-    once = base.where("_ws IS NOT NULL").select(*key, "_ws").distinct()
+    key = [F.unhex(F.md5(F.array_join("_ws", " "))).alias("_d"), F.size("_ws").alias("_n")]
     starts = F.transform("_ws", lambda w, i: F.struct(i.alias("at"), F.slice("_ws", i + 1, F.lit(most)).alias("run")))
-    runs = once.select("_d", "_n", F.explode(starts).alias("s")).select("_d", "_n", "s.at", F.explode(F.sequence(F.lit(1), F.size("s.run"))).alias("len"), F.col("s.run").alias("run"))
-    runs = runs.select("_d", "_n", "at", "len", F.array_join(F.slice("run", F.lit(1), F.col("len")), " ").alias("phrase"))
+    # the digest is made before a text is taken apart; an inner explode would have all starts made a second time, for a filter in which each cuts the text anew
+    runs = df.select(tokens.alias("_ws")).select(*key, starts.alias("_s")).select("_d", "_n", F.explode_outer("_s").alias("s")).where("s IS NOT NULL")
     table = phrases.groupBy(F.array_join(F.array_remove(F.split(F.lower("phrase"), r"\s+"), ""), " ").alias("phrase")).agg(F.min("token").alias("token"))
     table = stored(table, "phrases")  # of known size: a short table goes to the runs, which are many times the texts
-    # the longest at each place, then from the left those that begin after the last chosen one
-    longest = runs.join(table, "phrase").groupBy("_d", "_n", "at").agg(F.max_by(F.struct("len", "token"), "len").alias("m"))
-    found = longest.groupBy("_d", "_n").agg(F.sort_array(F.collect_list(F.struct("at", "m.len", "m.token"))).alias("_m"))
-    state = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at:int,len:int,token:string>>").alias("kept"))
-    walk = lambda a, m: F.when(m["at"] >= a["free"], F.struct((m["at"] + m["len"]).alias("free"), F.concat(a["kept"], F.array(m)).alias("kept"))).otherwise(a)
-    kept = found.select("_d", "_n", F.explode(F.aggregate("_m", state, walk)["kept"]).alias("k")).select("_d", "_n", "k.*")
-    # words outside the matches and the tokens of the matches, put together again
-    covered = kept.select("_d", "_n", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("at"))
-    tokens = once.join(kept.select("_d", "_n").distinct(), ["_d", "_n"], "left_semi").select("_d", "_n", F.posexplode("_ws").alias("at", "w"))
-    pieces = tokens.join(covered, ["_d", "_n", "at"], "left_anti").select("_d", "_n", "at", "w").union(kept.select("_d", "_n", "at", "token"))
-    listed = F.sort_array(F.collect_list(F.struct("at", "w")))
-    whole = pieces.groupBy("_d", "_n").agg(F.array_join(F.transform(listed, lambda x: x["w"]), " ").alias("_joined"))
-    rows = base.select("*", *key).join(whole, ["_d", "_n"], "left")
-    return rows.withColumn(text, F.coalesce("_joined", F.array_join("_ws", " "))).select(*df.columns)
+    # runs are made where a phrase may begin, as long as it may be
+    firsts = stored(table.groupBy(F.split_part("phrase", F.lit(" "), F.lit(1)).alias("first")).agg(F.max(F.size(F.split("phrase", " "))).alias("longest")), "firsts")
+    runs = runs.select("_d", "_n", "s.at", "s.run", F.get("s.run", F.lit(0)).alias("first")).join(firsts, "first")
+    runs = runs.select("_d", "_n", "at", "run", F.explode(F.sequence(F.lit(1), F.least(F.size("run"), F.col("longest")))).alias("len"))
+    runs = runs.select("_d", "_n", "at", "len", F.array_join(F.slice("run", F.lit(1), F.col("len")), " ").alias("phrase"))
+    found = runs.join(table, "phrase").groupBy("_d", "_n").agg(F.sort_array(F.collect_set(F.struct("at", (-F.col("len")).alias("less"), "token"))).alias("_m"))
+    # the longest at each place comes first; then from the left those that begin after the last chosen one
+    state = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at:int,less:int,token:string>>").alias("kept"))
+    walk = lambda a, m: F.when(m["at"] >= a["free"], F.struct((m["at"] - m["less"]).alias("free"), F.concat(a["kept"], F.array(m)).alias("kept"))).otherwise(a)
+    kept = found.select("_d", "_n", F.aggregate("_m", state, walk)["kept"].alias("_kept"))
+    # the words up to each match and its token, then the words after the last
+    before = lambda j: F.coalesce(F.get("_kept", j - 1)["at"] - F.get("_kept", j - 1)["less"], F.lit(0))
+    own = lambda j: F.slice("_ws", before(j) + 1, F.coalesce(F.get("_kept", j)["at"], F.size("_ws")) - before(j))
+    token = lambda j: F.when(j < F.size("_kept"), F.array(F.get("_kept", j)["token"])).otherwise(F.array().cast("array<string>"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("_kept")), lambda j: F.concat(own(j), token(j)))
+    # words are cut anew behind the join, so that the texts alone are dealt
+    rows = df.withColumn("_ws", tokens).select(*df.columns, *key).join(kept, ["_d", "_n"], "left").withColumn("_ws", tokens)
+    joined = F.when(F.col("_kept").isNotNull(), F.flatten(pieces)).otherwise(F.col("_ws"))
+    return rows.withColumn(text, F.array_join(joined, " ")).select(*df.columns)
 
 
 def normalize_name(c: Column, variants: Sequence[tuple[str, str]] = (), cut_words: Sequence[str] = (), brand: Column | None = None) -> Column:
